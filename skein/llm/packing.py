@@ -28,6 +28,8 @@ QUANTUM = 8
 CHUNK_IDS = 12 << 20
 #: Gaps of fewer ids are padded, not filled by cutting a document.
 LEAST_FILL = 8
+#: Columns that enter the least-squares solution at once.
+AT_ONCE = 12
 #: Sequences of one task have ids from partition * 2**40.
 TASK_BITS = 40
 
@@ -36,56 +38,60 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(maxsize=4)
 def combinations(steps: int) -> np.ndarray:
-    """Columns: how often each length 1..steps is used by a combination of one or two lengths that fills ``steps``."""
+    """Rows (i, times i, j, times j) with i * times i + j * times j == steps: one length (times j is 0) or two."""
     found = []
     for i in range(1, steps + 1):
         for a in range(1, steps // i + 1):
             rest = steps - a * i
             if rest == 0:
-                found.append({i: a})
+                found.append((i, a, i, 0))
             for j in range(i + 1, rest + 1):
                 if rest % j == 0:
-                    found.append({i: a, j: rest // j})
-    out = np.zeros((steps, len(found)))
-    for k, c in enumerate(found):
-        for length, times in c.items():
-            out[length - 1, k] = times
-    return out
+                    found.append((i, a, j, rest // j))
+    return np.asarray(found, np.int64)
+
 
+def nnls(columns: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min |A x - b| over x >= 0 by active sets: columns of steepest descent enter, a few at a time that share no length; those that
+    turn negative leave.
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """min |a x - b| over x >= 0 by active sets: the column of steepest descent enters, columns that turn negative leave."""
-    n = a.shape[1]
-    x, inside = np.zeros(n), []
-    gram_tol = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
-    w = a.T @ b
-    for _ in range(rounds or 3 * a.shape[0]):
+    A's columns are sparse: rows (i, times i, j, times j) as above, i and j counted from 1.
+    """
+    i, m, j, n = columns.T
+    i, j = i - 1, j - 1
+    x, inside = np.zeros(len(columns)), np.zeros(0, np.int64)
+    a, gram, aim = np.zeros((0, len(b))), np.zeros((0, 0)), np.zeros(0)  # of the columns inside
+    residual = b.astype(float)
+    least = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
+    for _ in range(3 * len(b)):
+        w = m * residual[i] + n * residual[j]
         w[inside] = -np.inf
-        j = int(np.argmax(w))
-        if w[j] <= gram_tol:
+        new = []
+        steepest = np.argpartition(-w, min(8 * AT_ONCE, len(w) - 1))[: 8 * AT_ONCE]
+        for k in steepest[np.argsort(-w[steepest], kind="stable")].tolist():
+            if w[k] > least and len(new) < AT_ONCE and not {i[k], j[k]} & {y for z in new for y in (i[z], j[z])}:
+                new.append(k)
+        if not new:
             break
-        inside.append(j)
-        while True:
-            p = a[:, inside]
-            s = np.linalg.lstsq(p, b, rcond=None)[0] if len(inside) > a.shape[0] else np.linalg.solve(p.T @ p + 1e-10 * np.eye(len(inside)), p.T @ b)
+        more = np.zeros((len(new), len(b)))
+        np.add.at(more, (np.arange(len(new)), i[new]), m[new])
+        np.add.at(more, (np.arange(len(new)), j[new]), n[new])
+        dots = a @ more.T
+        gram = np.block([[gram, dots], [dots.T, more @ more.T]])
+        a, aim, inside = np.vstack([a, more]), np.append(aim, more @ b), np.append(inside, new)
+        while len(inside):
+            s = np.linalg.solve(gram + 1e-9 * np.eye(len(inside)), aim)
             if s.min() > 0:
                 break
-            old = x[inside]
-            bad = s <= 0
-            step = np.min(old[bad] / np.maximum(old[bad] - s[bad], 1e-300))
-            moved = old + step * (s - old)
+            old, bad = x[inside], s <= 0
+            moved = old + np.min(old[bad] / np.maximum(old[bad] - s[bad], 1e-300)) * (s - old)
             keep = ~(bad & (moved <= 1e-12))
             if keep.all():
                 keep[np.flatnonzero(bad)[np.argmin(moved[bad])]] = False
-            x[inside] = 0
-            inside = [k for k, good in zip(inside, keep) if good]
-            x[inside] = moved[keep]
-            if not inside:
-                s = np.zeros(0)
-                break
-        x[:] = 0
-        x[inside] = s
-        w = a.T @ (b - a @ x)
+            x[inside] = np.where(keep, moved, 0)
+            inside, a, aim, gram = inside[keep], a[keep], aim[keep], gram[np.ix_(keep, keep)]
+        x[inside] = s if len(inside) else 0
+        residual = b - x[inside] @ a
     return x
 
 
@@ -95,40 +101,36 @@ def plan(hist: np.ndarray) -> list[tuple[dict[int, int], int]]:
     First the rounded solution, most used first; then greedy combinations of what is left, largest first, that fill a window.
     """
     steps = len(hist)
-    have = np.flatnonzero(hist)
     out: list[tuple[dict[int, int], int]] = []
     left = hist.astype(np.int64).copy()
-    if len(have) == 0:
-        return out
     every = combinations(steps)
-    able = np.flatnonzero((every[hist == 0].sum(axis=0) == 0) & np.all(every <= hist[:, None], axis=0))
-    if len(able):
-        cols = every[:, able]
-        x = nnls(cols[have], hist[have].astype(float))
+    own = every[(hist[every[:, 0] - 1] >= every[:, 1]) & (hist[every[:, 2] - 1] >= every[:, 3])]
+    if len(own):
+        x = nnls(own, hist)
         for k in np.argsort(-x, kind="stable"):
-            used = np.flatnonzero(cols[:, k])
-            times = int(min(np.floor(x[k] + 1e-6), (left[used] // cols[used, k].astype(np.int64)).min()))
-            if times <= 0:
-                continue
-            left[used] -= times * cols[used, k].astype(np.int64)
-            out.append(({int(u) + 1: int(cols[u, k]) for u in used}, times))
-    while True:
+            if x[k] < 1 - 1e-6:
+                break
+            i, m, j, n = own[k].tolist()
+            mix = {i: m} | ({j: n} if n else {})
+            times = min(int(x[k] + 1e-6), *(int(left[u - 1]) // c for u, c in mix.items()))
+            if times > 0:
+                for u, c in mix.items():
+                    left[u - 1] -= times * c
+                out.append((mix, times))
+    while left.any():
         room, mix = steps, {}
-        for u in np.flatnonzero(left)[::-1]:
-            n = min(int(left[u]), room // (int(u) + 1))
-            if n:
-                mix[int(u) + 1] = n
-                room -= n * (int(u) + 1)
-        if room or not mix:  # not full: for the string
-            largest = np.flatnonzero(left)
-            if len(largest) == 0 or not mix:
-                return out
-            left[largest[-1]] = 0  # the largest length fills no window with what is left
+        for u in np.flatnonzero(left)[::-1].tolist():
+            if c := min(int(left[u]), room // (u + 1)):
+                mix[u + 1] = c
+                room -= c * (u + 1)
+        if room:  # the largest length fills no window with what is left: for the string
+            left[np.flatnonzero(left)[-1]] = 0
             continue
-        times = min(int(left[u - 1]) // n for u, n in mix.items())
-        for u, n in mix.items():
-            left[u - 1] -= times * n
+        times = min(int(left[u - 1]) // c for u, c in mix.items())
+        for u, c in mix.items():
+            left[u - 1] -= times * c
         out.append((mix, times))
+    return out
 
 
 def pack(lengths: np.ndarray, window: int = WINDOW, quantum: int = QUANTUM) -> tuple[np.ndarray, int]:
