@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, langcrf, packing, pq, quality, simhash, token_store
+from . import byte_bpe, langcrf, packing, pq, quality, simhash, sitetree, token_store, toolcalls, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,14 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_turns(spark, table(spark, sf_dir, "conversations"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,9 +59,9 @@ def op10_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_simhash, op3_token_store, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq]
+    own = [op1_main_text, op2_simhash, op3_token_store, op4_warc, op5_tool_calls, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": quality.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "op6_quality": quality.ORACLE}

@@ -55,7 +55,7 @@ class _Writer:
     def __init__(self, folder: str, shard: int, width: int):
         self.fs, self.at = common.file_system(folder)
         self.shard, self.width, self.name = shard, width, f"{shard:06d}-{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(f"{self.at}/{self.name}.ids")
+        self.out = self.fs.open_output_stream(f"{self.at}/{self.name}.ids", compression=None)
         self.keys, self.lengths, self.nulls = [], [], 0
 
     def add(self, keys: list, ids: list[bytes]) -> None:
@@ -72,7 +72,7 @@ class _Writer:
         raw = _HEAD.pack(MAGIC, self.width, least, self.nulls, int(starts[-1]))
         # differences wrap to unsigned, so any two signed doc_ids have one
         raw += EliasFano.encode((keys - np.int64(least)).view(np.uint64)).to_bytes() + EliasFano.encode(starts).to_bytes()
-        with self.fs.open_output_stream(f"{self.at}/{self.name}.ef") as out:
+        with self.fs.open_output_stream(f"{self.at}/{self.name}.ef", compression=None) as out:
             out.write(raw)
         return {"shard": self.shard, "name": self.name, "n_docs": len(lengths), "n_ids": int(starts[-1])}
 
@@ -83,7 +83,7 @@ class Shard:
     def __init__(self, folder: str, name: str):
         self.fs, at = common.file_system(folder)
         self.path = f"{at}/{name}.ids"
-        with self.fs.open_input_stream(f"{at}/{name}.ef") as f:
+        with self.fs.open_input_stream(f"{at}/{name}.ef", compression=None) as f:
             raw = f.read()
         magic, self.width, self.least, self.nulls, self.n_ids = _HEAD.unpack_from(raw, 0)
         if magic != MAGIC:
