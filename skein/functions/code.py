@@ -138,22 +138,27 @@ def excerpt(content: Column, language: Column) -> Column:
     lines = _lines(content)
     begins = lambda x, marks: F.coalesce(sum((F.when(x.startswith(m), 1).otherwise(0) for m in marks), F.lit(0)) > 0, F.lit(False))
     arms = None
-    for name, (doc, imports, signatures) in MARKERS.items():
-        kinds = lambda x, d=doc, i=imports, s=signatures: F.when(begins(x, i), "i").when(begins(x, s), "s").when(begins(x, d), "d").otherwise("")
-        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(False).alias("full"))
-
-        def step(a, x, kinds=kinds):
-            k = kinds(x)
-            wanted = ((k == "i") & (a["i"] < MOST_IMPORTS)) | ((k == "s") & (a["s"] < MOST_SIGNATURES)) | (k == "d")
-            longer = F.when(a["text"] == "", x).otherwise(F.concat(a["text"], F.lit("\n"), x))
-            fits = wanted & ~a["full"] & (F.octet_length(longer) <= EXCERPT_BYTES)
-            return F.struct(F.when(fits, longer).otherwise(a["text"]).alias("text"), (a["i"] + F.when(fits & (k == "i"), 1).otherwise(0)).alias("i"), (a["s"] + F.when(fits & (k == "s"), 1).otherwise(0)).alias("s"), (a["full"] | (wanted & ~fits)).alias("full"))
-
-        arm = F.aggregate(lines, start, step, lambda a: a["text"])
+    for name, marks in MARKERS.items():
+        arm = _excerpt(lines, marks, begins)
         arms = F.when(language == name, arm) if arms is None else arms.when(language == name, arm)
     return arms
 
 
+def _excerpt(lines: Column, marks: tuple, begins) -> Column:
+    doc, imports, signatures = marks
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(False).alias("full"))
+
+    def step(a, x):
+        k = F.when(begins(x, imports), "i").when(begins(x, signatures), "s").when(begins(x, doc), "d").otherwise("")
+        wanted = ((k == "i") & (a["i"] < MOST_IMPORTS)) | ((k == "s") & (a["s"] < MOST_SIGNATURES)) | (k == "d")
+        longer = F.when(a["text"] == "", x).otherwise(F.concat(a["text"], F.lit("\n"), x))
+        fits = wanted & ~a["full"] & (F.octet_length(longer) <= EXCERPT_BYTES)
+        seen = lambda c: (a[c] + F.when(fits & (k == c), 1).otherwise(0)).alias(c)
+        return F.struct(F.when(fits, longer).otherwise(a["text"]).alias("text"), seen("i"), seen("s"), (a["full"] | (wanted & ~fits)).alias("full"))
+
+    return F.aggregate(lines, start, step, lambda a: a["text"])
+
+
 def node_text(kind: Column, language: Column, relative_path: Column, more: Column | None = None) -> Column:
     """What an embedder reads of a node."""
     return F.concat_ws(" ", kind, language, relative_path, *([more] if more is not None else []))

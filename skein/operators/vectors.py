@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, l2_norm
+from ..functions.scalars import cosine, l2_norm, let
 
 
 def upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """A stand-in for a model, without one: signed counts of words hashed to ``dim`` places, of unit length."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("p"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(places, lambda x: x["p"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
-    norm = l2_norm(raw)
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    raw = let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(ps, lambda x: x["p"] == d), F.lit(0.0), lambda a, x: a + x["s"])))
+    scaled = lambda v, norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    return let(raw, lambda v: let(l2_norm(v), lambda norm: scaled(v, norm)))
 
 
 def zero_embedding(dim: int = 64) -> Column:
