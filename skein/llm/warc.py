@@ -127,9 +127,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
     return common.cut(spark, kinds(pages, spark).mapInArrow(put, CAPTURES), "captures")
 
 
-def write_index(captures: DataFrame, folder: str) -> list[dict]:
+def write_index(captures: DataFrame, folder: str, shard_lines: int = SHARD_LINES, block_lines: int = BLOCK_LINES) -> list[dict]:
     """Sorts captures into shards of compressed blocks; the manifest, in key order: a row for each shard."""
-    n = max(1, -(-captures.count() // SHARD_LINES))
+    n = max(1, -(-captures.count() // shard_lines))
 
     def put(batches):
         import pyarrow as pa
@@ -151,7 +151,7 @@ def write_index(captures: DataFrame, folder: str) -> list[dict]:
                 out = out or fs.open_output_stream(f"{top}/{name}.cdx", compression=None)
                 lines.append(row)
                 count += 1
-                if len(lines) >= BLOCK_LINES:
+                if len(lines) >= block_lines:
                     block()
         if out:
             if lines:
