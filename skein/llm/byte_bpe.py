@@ -170,14 +170,9 @@ class ByteBPE:
         return self.flat[np.arange(int(ends[-1])) + np.repeat(self.begins[i] - ends + size, size)].tobytes()
 
 
-_coders: dict[tuple[str, str], ByteBPE] = {}
-
-
 def coder(path: str, pattern: str) -> ByteBPE:
     """One per worker process and file."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = ByteBPE(path, pattern)
-    return _coders[path, pattern]
+    return common.held(("bytes", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:

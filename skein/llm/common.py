@@ -67,3 +67,19 @@ def file_system(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives, kept by a worker process for its next tasks until it asks for something else: one thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drops what ``held`` kept for another operator."""
+    _held.clear()

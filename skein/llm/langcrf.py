@@ -19,7 +19,7 @@ from . import common
 UNKNOWN = "und"
 #: Bounds of the training sample: documents (by a hash of doc_id), lines of each (by a hash), characters of a line.
 FIT_DOCS = 1500
-FIT_LINES = 20
+FIT_LINES = 8
 FIT_CHARS = 1000
 #: Words of the lexicon (the commonest of the sample) and the least count of one.
 LEXICON_WORDS = 20_000
@@ -32,7 +32,10 @@ DECAY = 1e-4
 #: Of all training chains, those spliced, and the words of a spliced part.
 SPLICED = 0.3
 PART_WORDS = (3, 15)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+#: Characters labelled at once, and words whose features are made at once; both bound memory only.
+AT_ONCE = 1 << 20
+NEW_WORDS = 10_000
 #: The pipeline's least score.
 LEAST_SCORE = 0.35
 
@@ -61,6 +64,7 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, first: np.nda
     """Posterior of each label at each word; with ``pairs`` also the expected transitions, summed."""
     psi = np.exp(emission - emission.max(axis=1, keepdims=True))
     m = np.exp(transition - transition.max())
+    every = np.ones_like(m)  # x @ every: each row's sum in all its places, faster than a sum over a short axis
     alpha, beta = np.zeros_like(psi), np.zeros_like(psi)
     if len(first) == 0:
         return psi, np.zeros_like(m)
@@ -68,21 +72,21 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, first: np.nda
     for t, n in enumerate(active):
         at = first[:n] + t
         a = psi[at] if t == 0 else (alpha[at - 1] @ m) * psi[at]
-        alpha[at] = a / a.sum(axis=1, keepdims=True)
+        alpha[at] = a / (a @ every)
     beta[first + size - 1] = 1.0
     for t in range(len(active) - 2, -1, -1):
         at = first[: active[t + 1]] + t
         b = (psi[at + 1] * beta[at + 1]) @ m.T
-        beta[at] = b / b.sum(axis=1, keepdims=True)
+        beta[at] = b / (b @ every)
     post = alpha * beta
-    post /= post.sum(axis=1, keepdims=True)
+    post /= post @ every
     if not pairs:
         return post, None
     inner = np.ones(len(psi), bool)
     inner[first] = False
     at = np.flatnonzero(inner)
     left, right = alpha[at - 1], psi[at] * beta[at]
-    weight = 1.0 / np.einsum("ni,ij,nj->n", left, m, right)
+    weight = 1.0 / (((left @ m) * right) @ every[:, 0])
     return post, m * ((left * weight[:, None]).T @ right)
 
 
@@ -95,11 +99,11 @@ class WordField:
         self.weights, self.entry, self.transition = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros((k, k))
 
     def _flat(self, words: list[str]):
-        each = [features(w) for w in words]
+        each = [np.asarray(features(w), np.int32) for w in words]
         n = np.fromiter(map(len, each), np.int64, len(each))
         none = np.zeros(len(self.labels))
         lex = np.stack([self.lexicon.get(w, none) for w in words]) if words else np.zeros((0, len(none)))
-        return np.fromiter((f for x in each for f in x), np.int64, int(n.sum())), n, lex
+        return np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64), n, lex
 
     def emissions(self, words: list[str]) -> np.ndarray:
         flat, n, lex = self._flat(words)
@@ -120,20 +124,23 @@ class WordField:
                 counts.setdefault(w, np.zeros(k))[place[label]] += 1
         common_words = sorted((w for w, c in counts.items() if c.sum() >= LEAST_COUNT), key=lambda w: (-counts[w].sum(), w))[:LEXICON_WORDS]
         field = cls(labels, {w: counts[w] / (counts[w].sum() + 1) for w in common_words})
-        chains = [[(w, place[label]) for w in words] for label, words in lines if words]
-        by_label = [[c for c in chains if c[0][1] == y] for y in range(k)]
+        # a chain is a list of parts (words, label)
+        chains = [[(words, place[label])] for label, words in lines if words]
+        by_label = [[c[0][0] for c in chains if c[0][1] == y] for y in range(k)]
         for _ in range(int(len(chains) * SPLICED / (1 - SPLICED)) if k > 1 else 0):
             mixed = []
             for y in rng.permutation(k)[: rng.integers(2, min(k, 3) + 1)]:
                 own = by_label[y][rng.integers(len(by_label[y]))]
                 n = int(rng.integers(PART_WORDS[0], PART_WORDS[1] + 1))
                 at = int(rng.integers(0, max(1, len(own) - n + 1)))
-                mixed += own[at : at + n]
+                mixed.append((own[at : at + n], y))
             chains.append(mixed)
-        types = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w, _ in c))}
-        words = np.fromiter((types[w] for c in chains for w, _ in c), np.int64)
-        truth = np.fromiter((y for c in chains for _, y in c), np.int64)
-        first, size = chains_of(np.fromiter(map(len, chains), np.int64, len(chains)))
+        parts = [p for c in chains for p in c]
+        types = {w: i for i, w in enumerate(dict.fromkeys(w for own, _ in parts for w in own))}
+        words = np.fromiter((types[w] for own, _ in parts for w in own), np.int64)
+        truth = np.repeat([y for _, y in parts], [len(own) for own, _ in parts])
+        first, size = chains_of(np.fromiter((sum(len(own) for own, _ in c) for c in chains), np.int64, len(chains)))
+        del chains, parts, by_label
         flat, n, lex = field._flat(list(types))
         owner = np.repeat(np.arange(len(types)), n)
         inner = np.ones(len(words), bool)
@@ -185,7 +192,7 @@ class Labeller:
         new = [w for w in dict.fromkeys(flat) if w not in self.memo]
         if new:
             self.memo.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, self.field.emissions(new)])
+            self.table = np.concatenate([self.table, *[self.field.emissions(new[k : k + NEW_WORDS]) for k in range(0, len(new), NEW_WORDS)]])
         ids = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
         text = np.repeat(np.arange(len(texts)), n)
         real = ids > 0
@@ -198,6 +205,19 @@ class Labeller:
 
     def languages(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Label and score of each text; texts without letters: UNKNOWN and 0."""
+        labels: list[str] = []
+        scores: list[float] = []
+        first = size = 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= AT_ONCE or k == len(texts) - 1:
+                got = self._languages(texts[first : k + 1])
+                labels += got[0]
+                scores += got[1]
+                first, size = k + 1, 0
+        return labels, scores
+
+    def _languages(self, texts: list[str]) -> tuple[list[str], list[float]]:
         _, post, text = self.posteriors(texts)
         total = np.stack([np.bincount(text, post[:, y], minlength=len(texts)) for y in range(post.shape[1])], axis=1) if post.shape[1] else np.zeros((len(texts), 0))
         n = np.bincount(text, minlength=len(texts))
@@ -243,6 +263,7 @@ def predict(spark: SparkSession, docs: DataFrame, keep=None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        common.let_go()
         own = Labeller(field) if field else None
         for b in batches:
             texts = [(x or b"").decode("utf-8", "replace") for x in b.column(0).to_pylist()]

@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        common.let_go()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(b.column(1).to_pylist()))], ["doc_id", "fp"])
 

@@ -12,6 +12,8 @@ from itertools import accumulate, chain
 
 import numpy as np
 
+from . import common
+
 #: ASCII marks but the apostrophe: a run of them that ends a chunk is a pre-token of its own after what LETTER_END ends.
 MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum() and x != 39)
 #: The last letter, ASCII or of Latin-1, or digit of a chunk.
@@ -116,11 +118,6 @@ class ChunkEncoder:
         return [b"".join(got[a:z]) for a, z in zip([0, *ends], ends)]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """One per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return common.held(("words", path), lambda: ChunkEncoder(path))
