@@ -118,13 +118,18 @@ def _(s, d):
 
 
 SEED = "SELECT id, CASE WHEN id % 37 = 0 THEN 1.0 ELSE 0.0 END AS a, id % 37 = 0 AS ch, 0.0 AS st FROM nodes"
-MINE = F.col("id") % 37 == 0
+
+
+def seeded_ids():
+    return F.col("id") % 37 == 0
+
+
 GOAL = "implement part_1 and the supplier cache"
 
 
 def _seeded(s, d, rules, **k):
     g = fk_graph(s, d, SMALL)
-    return A.Automaton(g, rules, A.initial_state(g.nodes, F.when(MINE, 1.0).otherwise(0.0), MINE), **k)
+    return A.Automaton(g, rules, A.initial_state(g.nodes, F.when(seeded_ids(), 1.0).otherwise(0.0), seeded_ids()), **k)
 
 
 def _activations(run):
@@ -162,7 +167,7 @@ FULL = ["proximity", "damped", "import", "module", "complexity"]
 @query("j21_apply_description", f"{SQL}{ROLES}{ticks_sql(DESCRIBED, FULL, 2)} SELECT id, round(a, 6) AS activation, pn AS neighbor_count, pi AS import_count FROM s2")
 def _(s, d):
     g = fk_graph(s, d, SMALL)
-    st = A.with_description(g, P.describe(g), g.nodes.where(MINE)).run_ticks(2).state
+    st = A.with_description(g, P.describe(g), g.nodes.where(seeded_ids())).run_ticks(2).state
     return st.select("id", r6("activation"), F.col("payload.neighbor_count").alias("neighbor_count"), F.col("payload.import_count").alias("import_count"))
 
 
@@ -170,7 +175,7 @@ def _(s, d):
 def _(s, d):
     g = fk_graph(s, d, SMALL)
     desc = P.describe(g)
-    r = P.impact_report(desc, A.with_description(g, desc, g.nodes.where(MINE)).run_ticks(2).state)
+    r = P.impact_report(desc, A.with_description(g, desc, g.nodes.where(seeded_ids())).run_ticks(2).state)
     return r.select("id", "path", "role", r6("stability"), r6("activation"), "level")
 
 
@@ -178,7 +183,7 @@ def _(s, d):
 def _(s, d):
     g = fk_graph(s, d, SMALL)
     desc = P.describe(g)
-    return P.impact_stats(P.impact_report(desc, A.with_description(g, desc, g.nodes.where(MINE)).run_ticks(2).state)).select("high", "medium", "low", "none", r6("avg_activation"))
+    return P.impact_stats(P.impact_report(desc, A.with_description(g, desc, g.nodes.where(seeded_ids())).run_ticks(2).state)).select("high", "medium", "low", "none", r6("avg_activation"))
 
 
 @query("g1_top_activated", f"{SQL}{ticks_sql(SEED, ['proximity', 'import', 'module'], 2)} SELECT id, round(a, 6) AS activation FROM s2 ORDER BY a DESC, id LIMIT 25")
