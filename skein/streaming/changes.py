@@ -51,9 +51,9 @@ def only_changes_batch(rows: DataFrame) -> DataFrame:
     return rows.withColumn("b", before).where(~F.col("fingerprint").eqNullSafe(F.col("b"))).drop("b")
 
 
-def events_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
+def events_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
     """Files that arrive in a folder, with an event time that watermarks accept."""
-    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def latest(stream: DataFrame, key: str, value: str, ts: str) -> DataFrame:
