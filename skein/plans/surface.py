@@ -50,8 +50,10 @@ def table_sql(rows, names) -> str:
 FILES = {"repo/src/lib.rs": "mod util;\n", "repo/src/util.rs": "#[test]\n", "repo/node_modules/x.js": "x", "repo/.hidden/y.py": "y", "repo/app/main.py": "import src\n", "repo/data.bin": "a\x00b", "repo/package.json": '{"scripts": {"test": "jest", "odd": "x"}}', "repo/ignore.txt": "# no\n\n a \nb\n"}
 
 
-def work_folder() -> str:
-    top = tempfile.mkdtemp(prefix="skein-scan-")
+def work_folder(s=None) -> str:
+    """In the session's shared folder where that is a plain one, as Spark reads some of the files too."""
+    at = shared(s, "scan") if s is not None else ""
+    top = at.removeprefix("file://") if at.startswith("file:///") else tempfile.mkdtemp(prefix="skein-scan-")
     for name, text in FILES.items():
         path = os.path.join(top, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -65,7 +67,7 @@ SEEN = ["app/main.py", "data.bin", "ignore.txt", "package.json", "src/lib.rs", "
 
 @query("a1_scan", table_sql([(p, len(FILES["repo/" + p])) for p in SEEN], "relative_path, size"))
 def _(s, d):
-    return scan.scan(s, work_folder()).select("relative_path", F.col("size").cast("int").alias("size"))
+    return scan.scan(s, work_folder(s)).select("relative_path", F.col("size").cast("int").alias("size"))
 
 
 @query("a2_hidden_segments", "SELECT page_id, regexp_matches(url, '/\\.') AS hidden FROM pages")
@@ -80,17 +82,17 @@ def _(s, d):
 
 @query("a4_scan_with_options", table_sql([("src/lib.rs",), ("src/util.rs",)], "relative_path"))
 def _(s, d):
-    return scan.scan(s, work_folder(), options=scan.ScanOptions(extensions={"rs"}, max_size=100)).select("relative_path")
+    return scan.scan(s, work_folder(s), options=scan.ScanOptions(extensions={"rs"}, max_size=100)).select("relative_path")
 
 
 @query("a7_expanded_content", table_sql([(p, None if p == "data.bin" else FILES["repo/" + p]) for p in SEEN], "relative_path, content").replace("\n", "' || chr(10) || '"))
 def _(s, d):
-    return scan.with_content(s, scan.scan(s, work_folder())).select("relative_path", "content")
+    return scan.with_content(s, scan.scan(s, work_folder(s))).select("relative_path", "content")
 
 
 @query("a8_text_sources", table_sql([(p, p != "data.bin") for p in SEEN], "relative_path, is_text"))
 def _(s, d):
-    return scan.with_content(s, scan.scan(s, work_folder())).select("relative_path", F.col("content").isNotNull().alias("is_text"))
+    return scan.with_content(s, scan.scan(s, work_folder(s))).select("relative_path", F.col("content").isNotNull().alias("is_text"))
 
 
 REMOTES = ["./x", "/abs", "acme", "https://github.com/acme/tool.git", "git@github.com:acme/tool"]
@@ -108,28 +110,28 @@ def _(s, d):
 
 @query("a14_workspace", table_sql([("plain",)], "kind"))
 def _(s, d):
-    return values(s, [(scan.workspace(work_folder())["kind"],)], "kind string")
+    return values(s, [(scan.workspace(work_folder(s))["kind"],)], "kind string")
 
 
 @query("a30_project_type", table_sql([("node", "test", "npm run test")], "type, script, command"))
 def _(s, d):
-    w = work_folder()
+    w = work_folder(s)
     return values(s, [(project.detect_type(w), k, v) for k, v in project.infer(w).scripts.items()], "type string, script string, command string")
 
 
 @query("a32_package_scripts", table_sql([("test", "npm run test")], "name, command"))
 def _(s, d):
-    return values(s, list(project.package_scripts(work_folder()).items()), "name string, command string")
+    return values(s, list(project.package_scripts(work_folder(s)).items()), "name string, command string")
 
 
 @query("a37_ignore_list", table_sql([("a",), ("b",), ("c",)], "name"))
 def _(s, d):
-    return scan.ignore_list(s, ["c", ""], "file://" + work_folder() + "/ignore.txt")
+    return scan.ignore_list(s, ["c", ""], "file://" + work_folder(s) + "/ignore.txt")
 
 
 @query("a38_read_file", table_sql([("src/lib.rs", 2, "rust")], "path, lines, language"))
 def _(s, d):
-    r = scan.read_file(work_folder(), "src/lib.rs")
+    r = scan.read_file(work_folder(s), "src/lib.rs")
     return values(s, [(r["path"], r["lines"], r["language"])], "path string, lines int, language string")
 
 
@@ -622,7 +624,7 @@ def _(s, d):
     return values(s, rows, "tick int, value int")
 
 
-@query("n1_stream_of_changes")
+@query("n1_stream_of_changes", "SELECT user_id::VARCHAR AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, event_type AS fingerprint FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE event_type IS DISTINCT FROM b")
 def _(s, d):
     """The stream itself, over the events as files; one row a change."""
     name = f"changes_{uuid.uuid4().hex[:8]}"
@@ -630,7 +632,7 @@ def _(s, d):
     keyed = stream.select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("fingerprint"))
     q = C.only_changes(keyed).writeStream.format("memory").queryName(name).option("checkpointLocation", shared(s, "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name)
+    return s.table(name).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "fingerprint")
 
 
 @query("o8_iterations", table_sql([(10, 10), (1000, 5), (9000, 2)], "nodes, steps"))
