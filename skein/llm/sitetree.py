@@ -33,6 +33,8 @@ ROLES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer footnav sidebar side rail widget widgets aside complementary contentinfo"
     " comment comments respond reply replies discussion disqus cookie cookies consent notice notices alert popup modal overlay dialog newsletter subscribe signup login search searchbox form share sharing social follow related recommended pagination pager toolbar skip copyright legal".split()
 )
+#: Of these, the ones that hold for any element; the others say nothing about inline ones, nor about a branch that holds the article.
+STRONG = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo comment comments respond reply replies discussion disqus related recommended".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Za-z]+")
@@ -52,6 +54,10 @@ def _hash(*parts) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Why text is dropped: for good, or only until an article or main begins inside.
+LOOSE, FIRM = 1, 2
+
+
 class Block:
     __slots__ = ("text", "branches", "main")
 
@@ -80,7 +86,7 @@ CLOSES = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td",
 
 def parse(page: str) -> list[Block]:
     """Text blocks in page order outside of declared boilerplate: white space made single, character references decoded."""
-    stack: list[_Open] = [_Open("", 0, False, False, False)]
+    stack: list[_Open] = [_Open("", 0, False, 0, False)]
     blocks: list[Block] = []
     text: list[str] = []
 
@@ -130,9 +136,11 @@ def parse(page: str) -> list[Block]:
         top = stack[-1]
         style, words = _marks(m[4])
         main = tag in ("article", "main")
-        drop = top.drop or tag in DROPPED or tag == "header" and not any(o.tag == "article" for o in stack)
-        if not drop and words and tag not in ("html", "body"):
-            drop = not ROLES.isdisjoint(words) and not (main and words.isdisjoint(("comment", "comments", "related", "ad", "ads", "advert", "sponsored", "promo", "reply")))
+        drop = 0 if main and top.drop == LOOSE else top.drop
+        if tag in DROPPED or tag == "header" and not any(o.tag == "article" for o in stack) or not STRONG.isdisjoint(words) and tag not in ("html", "body"):
+            drop = FIRM
+        elif not drop and tag not in ("html", "body") and tag not in INLINE and not main and not ROLES.isdisjoint(words):
+            drop = LOOSE
         path = _hash(top.path, tag, style)
         branch = bool(style) or tag not in CONTENT and tag not in INLINE and not main and tag not in ("html", "body", "header") and not any(o.main for o in stack)
         stack.append(_Open(tag, path, branch, drop, main and not drop))

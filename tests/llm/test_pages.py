@@ -21,6 +21,7 @@ def test_main_text_of_a_page():
     [
         ("", ""), ("just text", "just text"), ("<p>a<br>b<p>c", "a b c"), ("<p>x <i>y</i>z</p><nav>m", "x yz"), ("<div>a<div>b</div>c</div>", "a b c"), ("<script>never", ""), ("<!-- open", ""), ("a &lt;p&gt; b", "a <p> b"),
         ("<article><p>only this</article><p>not this", "only this"), ("<p>" + "w " * 50_000, ("w " * 50_000).strip()), ("<a href='x>y'>in</a> out", "in out"),
+        ("<div class='layout has-sidebar'>lost<article class='post'>kept <em class='notice'>too</em></article></div>", "kept too"), ("<aside><article>teaser</article></aside><p>text", "text"), ("<article class='comment'>no</article><article>yes</article>", "yes"), ("<p>a <span class='ad'>buy</span>b", "a b"),
     ],
 )
 def test_pieces(page, text):
