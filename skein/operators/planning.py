@@ -228,3 +228,31 @@ def repo_summary(g: Graph, candidates: DataFrame, repo: Column) -> DataFrame:
     best = candidates.groupBy(repo.alias("repo")).agg(F.count(F.lit(1)).alias("candidates"), F.min_by("path", F.struct(-F.col("roi"), -F.col("impact"), F.col("cost"), F.col("path"))).alias("top"))
     kind = F.when((F.col("python") > 0) & (F.col("rust") > 0), "mixed").when(F.col("python") > 0, "python").when(F.col("rust") > 0, "rust").otherwise("other")
     return files.join(best, "repo", "left").select("repo", "python", "rust", "tests", F.coalesce("candidates", F.lit(0)).alias("candidates"), "top", kind.alias("class"))
+
+
+#: The rules that a description names, by role.
+DEFAULT_RULES = (
+    ("entry_point", "keep the public surface stable"), ("hub", "damp changes by stability"), ("directory_container", "follow the children"), ("utility_propagation", "pass changes on"), ("identity", "keep the state"), ("sink", "absorb changes"),
+)
+
+
+def default_rules_table(spark) -> DataFrame:
+    return spark.createDataFrame(DEFAULT_RULES, "role string, rule string")
+
+
+def node_configs(description: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """id, path, kind, stability, rule; overrides (id, rule) win over the role's own name."""
+    d = description.select("id", F.coalesce("path", "name").alias("path"), "kind", "stability", "role")
+    if overrides is None:
+        return d.withColumnRenamed("role", "rule")
+    named = overrides.select("id", F.col("rule").alias("own"))
+    return d.join(named, "id", "left").select("id", "path", "kind", "stability", F.coalesce("own", "role").alias("rule"))
+
+
+def structural_features(description: DataFrame) -> DataFrame:
+    """What a model sees of a node when it names rules."""
+    return description.select("id", "role", "in_degree", "out_degree", F.round("norm_in", 6).alias("norm_in"), S.is_entry_point("name").alias("entry"))
+
+
+def visible_rows(report: DataFrame, least: float = 0.01, most: int = 20) -> DataFrame:
+    return report.where(F.col("activation") >= least).orderBy(F.desc("activation"), "id").limit(most)
