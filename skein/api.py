@@ -154,9 +154,9 @@ class Engine:
         self.run = Automaton(graph, rules or default_rules(), initial_state(graph.nodes))
         self.log: list[dict] = []
 
-    def apply_vibe(self, title: str, targets: list[int]) -> None:
+    def apply_intent(self, title: str, targets: list[int]) -> None:
         """Targets become active and changed."""
-        self.log.append({"type": "vibe", "title": title, "targets": targets})
+        self.log.append({"type": "intent", "title": title, "targets": targets})
         mine = F.col("id").isin(targets)
         self.run.state = self.run.state.withColumn("activation", F.when(mine, F.lit(1.0)).otherwise(F.col("activation"))).withColumn("changed", mine | F.col("changed"))
 

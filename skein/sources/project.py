@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.planning import OBJECTIVE
 
-#: Marker files by project type, the first present wins; scripts by type; known script names.
+#: Marker files by project type, the first present wins; scripts by type; the configuration file; known script names.
 MARKERS = (("rust", ("Cargo.toml",)), ("node", ("package.json",)), ("python", ("pyproject.toml", "setup.py")), ("go", ("go.mod",)), ("make", ("Makefile",)), ("compose", ("docker-compose.yml", "compose.yaml")))
 SCRIPTS = {
     "rust": {"build": "cargo build", "test": "cargo test", "check": "cargo check", "lint": "cargo clippy"}, "node": {"build": "npm run build", "test": "npm test"}, "python": {"test": "pytest", "lint": "ruff check ."},
     "go": {"build": "go build ./...", "test": "go test ./...", "lint": "go vet ./..."}, "make": {"build": "make", "test": "make test"}, "compose": {"up": "docker compose up"},
 }
 WATCH = {"rust": ["check", "test"], "node": ["test"], "python": ["test"], "go": ["test"], "make": ["test"], "compose": []}
+CONFIG_FILE = "vg.toml"
 NPM_NAMES = ("build", "test", "lint", "dev", "start", "check")
 
 
@@ -45,8 +46,8 @@ class ProjectConfig:
 
 
 def load(folder: str) -> ProjectConfig | None:
-    """vg.toml of a folder; its name defaults to the folder's."""
-    path = os.path.join(folder, "vg.toml")
+    """The configuration file of a folder; the name defaults to the folder's."""
+    path = os.path.join(folder, CONFIG_FILE)
     if not os.path.exists(path):
         return None
     with open(path, "rb") as f:
