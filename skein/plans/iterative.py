@@ -154,7 +154,7 @@ for _id, _rule, _class in (("j8_import", "import", A.ImportPropagation), ("j9_mo
     query(f"{_id}_rule", f"{SQL}{ticks_sql(SEED, [_rule], 2)} SELECT id, round(a, 6) AS activation FROM s2")(_one)
 
 
-@query("j11_complexity_rule", f"{SQL}{ticks_sql(SEED, ['complexity'], 1)} SELECT id, pn AS neighbor_count, pi AS import_count, round(least(1.0, 0.1 * pn + 0.2 * pi), 6) AS complexity FROM s1")
+@query("j11_complexity_rule", f"{SQL}{ticks_sql(SEED, ['complexity'], 1)} SELECT id, pn AS neighbor_count, pi AS import_count, round(least(1.0, 0.1 * pn + 0.2 * pi)::DOUBLE, 6) AS complexity FROM s1")
 def _(s, d):
     st = _seeded(s, d, A.Registry(A.ComplexityTracking())).run_ticks(1).state
     return st.select("id", F.col("payload.neighbor_count").alias("neighbor_count"), F.col("payload.import_count").alias("import_count"), F.round("payload.complexity", 6).alias("complexity"))

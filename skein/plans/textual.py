@@ -51,7 +51,7 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
 
 
-SRC_SQL = f"src(id, path, content) AS (VALUES {values(SOURCES)})"
+SRC_SQL = f"src AS (SELECT id::BIGINT AS id, path, content FROM (VALUES {values(SOURCES)}) v(id, path, content))"
 LOG_SQL = f"log(pos, name, exit_code, stderr, stdout, ran) AS (VALUES {values(LOGS)})"
 
 # Paths and names
@@ -198,7 +198,7 @@ def _(s, d):
     return fk_graph(s, d).nodes.select("id", S.display_label(F.col("path"), F.lit(None).cast("string"), F.col("id")).alias("label"))
 
 
-@query("f15_source_totals", "SELECT count(*) AS sources, sum(n_chars) AS size FROM documents")
+@query("f15_source_totals", "SELECT count(*) AS sources, sum(n_chars)::BIGINT AS size FROM documents")
 def _(s, d):
     from ..sources.scan import totals
 
@@ -485,7 +485,7 @@ def _(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", C.should_restart(policy, F.col("event_id") % 3 == 0, (F.col("event_id") % 5).cast("int")).alias("restart"))
 
 
-@query("f12_temporal_stats", f"WITH {fk_sql()}, q AS (SELECT id, id % 3 AS k FROM nodes) SELECT count(*) AS nodes, sum(k + 1) AS transitions, 0.25 AS avg_activation, count(*) FILTER (k > 0) AS evolved, (SELECT count(*) FROM edges) AS edges FROM q")
+@query("f12_temporal_stats", f"WITH {fk_sql()}, q AS (SELECT id, id % 3 AS k FROM nodes) SELECT count(*) AS nodes, sum(k + 1)::BIGINT AS transitions, 0.25::DOUBLE AS avg_activation, count(*) FILTER (k > 0) AS evolved, (SELECT count(*) FROM edges) AS edges FROM q")
 def _(s, d):
     g = fk_graph(s, d)
     done = g.nodes.where("id % 3 > 0").select("id", F.explode(F.sequence(F.lit(1), (F.col("id") % 3).cast("int"))).alias("seq"))
