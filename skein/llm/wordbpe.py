@@ -24,7 +24,7 @@ LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
 COMBINING = re.compile(rb"\xcc|\xcd[\x80-\xaf]")
 
 #: Chunks in each of the two generations of a worker's memo; when the younger is full, it becomes the elder.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 450_000
 #: Bytes of texts that are split at once; bounds the chunks held.
 SPLIT_BYTES = 2 << 20
 #: Distinct chunks encoded in one call.
@@ -68,14 +68,13 @@ class ChunkEncoder:
             text = text.lower()
         return text.split()
 
-    def _recall(self, chunks) -> None:
+    def _recall(self, chunks: set[bytes]) -> None:
         """Puts these into the memo: from the elder generation, from their two parts, or encoded."""
         memo, elder = self.memo, self.elder
+        old = elder.keys() & chunks
+        memo.update(zip(old, map(elder.__getitem__, old)))
         parts, new = [], set()
-        for c in chunks:
-            if (known := elder.get(c)) is not None:
-                memo[c] = known
-                continue
+        for c in chunks - old:
             stem = c.rstrip(MARKS)
             if stem and len(stem) < len(c) and LETTER_END.search(stem):
                 parts.append((c, stem, c[len(stem) :]))
