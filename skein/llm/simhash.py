@@ -23,15 +23,16 @@ WORDS = 4
 SEED = 42
 RADIUS = 4
 BLOCKS = 3
-#: Fingerprints the shards' trees are fitted on.
+#: Fingerprints the shards' trees are fitted on, at least; deeper trees take SAMPLE_LEAF for each shard, 2**19 at most.
 SAMPLE = 8192
+SAMPLE_LEAF = 8
 #: Fingerprints in a shard, about; shards of more than HOT are dealt out by pairs of chunks.
 SHARD_ROWS = 16_384
 HOT_ROWS = 200_000
 #: Fingerprints that are compared directly.
 LEAF_ROWS = 256
-#: Deepest shard tree: 2**12 shards a block.
-MOST_LEVELS = 12
+#: Deepest shard tree: 2**16 shards a block.
+MOST_LEVELS = 16
 #: Shingles hashed before their bits are summed.
 SUM_SHINGLES = 200_000
 
@@ -178,8 +179,8 @@ def links_of(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, blo
     """u, v: links between the distinct fingerprints ``fp`` that join exactly those within ``radius`` by steps."""
     n = distinct.count()
     levels = min(MOST_LEVELS, max(0, math.ceil(math.log(max(1, n) / SHARD_ROWS) / math.log(1 / 0.585)) if n else 0))
-    # bounded: SAMPLE fingerprints, taken by a hash of their own
-    sample = np.asarray([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    # bounded (see SAMPLE), taken by a hash of their own
+    sample = np.asarray([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, SAMPLE_LEAF << levels)).collect()], np.int64).view(np.uint64)
     masks, block_radius = block_masks(blocks), radius // blocks
     trees = [ShardTree(sample, m, levels, block_radius) for m in masks]
 
