@@ -68,7 +68,7 @@ def _(s, d):
 @query("b12_materialised", table_sql([(31,)], "made"))
 def _(s, d):
     g = fk_graph(s, d, 1)
-    g = Graph(g.nodes.where("kind = 'Directory' or path = 'parts/part_1.rs'"), g.edges)
+    g = Graph(g.nodes.where("kind = 'Directory' or path = 'orders/test_order_0.rs'"), g.edges)
     return values(s, [(scripts.materialise(g, tempfile.mkdtemp(prefix="skein-")),)], "made int")
 
 
