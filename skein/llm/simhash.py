@@ -37,7 +37,7 @@ MOST_LEVELS = 16
 SUM_SHINGLES = 200_000
 
 
-def text_hashes(text: bytes | None) -> list[int]:
+def text_hashes(text: bytes | None, shingle: int = WORDS) -> list[int]:
     """XXH64 of each word shingle; fewer words than a shingle make one; no word none."""
     import xxhash
 
@@ -45,13 +45,13 @@ def text_hashes(text: bytes | None) -> list[int]:
     if not words:
         return []
     line = b" ".join(words)
-    if len(words) <= WORDS:
+    if len(words) <= shingle:
         return [xxhash.xxh64_intdigest(line, SEED)]
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(size) - 1
-    begins = (ends - size + 1)[: -(WORDS - 1)].tolist()
+    begins = (ends - size + 1)[: len(words) - shingle + 1].tolist()
     h, view = xxhash.xxh64_intdigest, memoryview(line)
-    return [h(view[a:b], SEED) for a, b in zip(begins, ends[WORDS - 1 :].tolist())]
+    return [h(view[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist())]
 
 
 def fingerprints_of(texts: list[bytes | None]) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from skein.llm import common, langcrf, quality, queries, simhash, toolcalls
+from skein.llm import common, jaccard, langcrf, quality, queries, simhash, toolcalls
 
 
 def duck(sf, *tables):
@@ -192,3 +192,38 @@ def test_stages_bear_odd_rows(spark, sf, odd_documents, no_documents):
         assert stage(spark, no_documents, sf).count() == 0
     once = corpus_pipeline.near_duplicate_stage(spark, odd_documents, sf)
     assert once.where("doc_id = 5").count() == 1 and once.where("doc_id is null").count() == 1
+
+
+def copy_with_changes(text, places):
+    words = text.split(" ")
+    for k in places:
+        words[k] = f"changed{k}"
+    return " ".join(words)
+
+
+def test_pipeline_drops_copies_of_similarity_four_fifths(spark, sf):
+    """Two changed words in a hundred leave 86 of 106 shingles (0.811), three leave 81 of 111 (0.73)."""
+    base = " ".join(f"w{k}" for k in range(100))
+    others = [" ".join(f"{name}{k}" for k in range(100)) for name in "abc"]
+    rows = [(1, base), (2, copy_with_changes(base, [30, 60])), (3, copy_with_changes(base, [20, 50, 80])), (None, others[0])]
+    rows += [(10 + k, t) for k, t in enumerate(others)] + [(20 + k, copy_with_changes(t, [40 + k])) for k, t in enumerate(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[2:-1]:
+        docs = stage(spark, docs, sf)
+    assert sorted(r.doc_id for r in docs.collect()) == [1, 3, 10, 11, 12]
+
+
+def test_near_copies_are_those_of_brute_force(spark, sf):
+    rows = common.table(spark, sf, "documents").select("text").distinct().limit(150).collect()
+    texts = [r.text for r in rows] + [copy_with_changes(r.text, range(3, len(r.text.split(" ")), 60)) for r in rows[:60]]
+    sets = [jaccard.shingles(t.encode()) for t in texts]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    id_of = {r.text: r.id for r in frame.select("text", jaccard.text_id().alias("id")).collect()}
+    ids = sorted(set(id_of.values()))
+    label = {i: i for i in ids}
+    near = [(id_of[texts[i]], id_of[texts[j]]) for i in range(len(texts)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    for _ in ids:
+        for u, v in near:
+            label[u] = label[v] = min(label[u], label[v])
+    got = {r.id: r.component for r in jaccard.near_copies(spark, frame).collect()}
+    assert len(near) > 10 and {i: got.get(i, i) for i in ids} == label
