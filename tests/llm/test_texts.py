@@ -227,3 +227,11 @@ def test_near_copies_are_those_of_brute_force(spark, sf):
             label[u] = label[v] = min(label[u], label[v])
     got = {r.id: r.component for r in jaccard.near_copies(spark, frame).collect()}
     assert len(near) > 10 and {i: got.get(i, i) for i in ids} == label
+
+
+def test_near_duplicate_stage_judges_rows(spark, sf):
+    """A doc_id that names a copy and another text loses the copy only; rows without doc_id are judged like others."""
+    one, two, three = (" ".join(f"{name}{k}" for k in range(50)) for name in "xyz")
+    rows = [(1, one), (5, one), (5, two), (None, one), (None, three), (None, three)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, one), (5, two), (None, three)]
