@@ -1,26 +1,41 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree whose nodes are style paths (tags with their class and id, from the root). A
-node's importance is the normalised entropy of what its branch holds over the host's distinct pages: 1 if every page has
-its own text there, 0 if all have the same. Branches of low importance are removed from each page. So are branches whose
-presentation declares what they are (navigation, footers, adverts, comments and the like): their importance is 0 whatever
-their text. Plain text elements (paragraphs, headings, lists without a class) are judged by the branch that holds them,
-never by their own repeats, so a passage that many articles share stays.
+The pages of a host are merged into one tree whose nodes are style paths (tags with their class and id, from the root), over
+every presentation and content node. A node's importance weighs two normalised entropies over the host's distinct pages: of
+what its branch holds (1 if every page has its own text there, 0 if all have the same) and of how it looks, the row of its
+children. It is compared with the host's most important branch. Inside of the site's main branch (an article or main element,
+or the deepest branch that holds half of the host's texts) only branches of LOW importance go; outside of it all below GOOD
+go. So an advert that always looks alike stays only if no page shares its text, and a passage that many articles share stays:
+plain text elements are judged by the branch that holds them, never by their own repeats.
+
+A branch on fewer than HOST_PAGES pages of its host is judged in the tree of all hosts; on fewer than LEAST_PAGES there too,
+nothing is known: it stays only inside of the main branch, or where the page has none. What HTML itself sets apart from the
+text (navigation, footers, asides, forms, scripts) never counts as text. Names of a class, id or role are a prior only
+(PRIOR), but for adverts and readers' comments (STRONG): comments differ on each page, so no tree can tell them from text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Branches of less importance are removed; fewer distinct texts than this say nothing.
-LEAST_IMPORTANCE = 0.25
-LEAST_BLOCKS = 8
+#: Distinct pages with a branch for its host's tree to judge it, and for the tree of all hosts.
+HOST_PAGES = 40
+LEAST_PAGES = 8
+#: Longest texts of a page that make it a copy of another, whatever else differs.
+COPY_BLOCKS = 3
+#: Shares of the most important branch's importance: below LOW a branch goes anywhere, below GOOD outside of the main branch.
+LOW = 0.3
+GOOD = 0.8
+#: Weight of how a branch looks against what it holds; factor of a branch whose name declares boilerplate.
+LOOKS = 0.2
+PRIOR = 0.8
 
 #: HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,13 +43,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 DROPPED = frozenset("nav footer aside form button select option input textarea menu dialog head noscript object iframe svg math canvas audio video map template datalist fieldset".split())
 RAW = "script|style|textarea|title|noscript|iframe|noframes|xmp|template"
-#: Words of a class, id or role that declare a branch's part on the page.
+#: Parts of a class, id or role that declare what a branch is on the page, and parts that say where it is; a name declares
+#: something only if it has no other parts.
 ROLES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer footnav sidebar side rail widget widgets aside complementary contentinfo"
     " comment comments respond reply replies discussion disqus cookie cookies consent notice notices alert popup modal overlay dialog newsletter subscribe signup login search searchbox form share sharing social follow related recommended pagination pager toolbar skip copyright legal".split()
 )
-#: Of these, the ones that hold for any element; the others say nothing about inline ones, nor about a branch that holds the article.
-STRONG = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo comment comments respond reply replies discussion disqus related recommended".split())
+PLACES = frozenset("site page top bottom left right upper lower main box wrap wrapper container area list block section bar thread item items links posts inner outer bottom fixed".split())
+#: Of the parts, the ones that hold for any element and in the article too.
+STRONG = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo comment comments respond reply replies disqus related recommended".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Za-z]+")
@@ -54,63 +71,81 @@ def _hash(*parts) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-#: Why text is dropped: for good, or only until an article or main begins inside.
-LOOSE, FIRM = 1, 2
+class Block:
+    """A run of text: what counts of it, all of it, its branches from the root, where in these an article or main begins (-1: nowhere)."""
 
+    __slots__ = ("text", "whole", "branches", "main", "named")
+
+    def __init__(self, text: str, whole: str, branches: tuple[int, ...], main: int, named: bool):
+        self.text, self.whole, self.branches, self.main, self.named = text, whole, branches, main, named
 
-class Block:
-    __slots__ = ("text", "branches", "main")
 
-    def __init__(self, text: str, branches: tuple[int, ...], main: bool):
-        self.text, self.branches, self.main = text, branches, main
+def declared(name: str) -> int:
+    """0: a name that declares no part of a page; 1: one that does; 2: a strong one."""
+    parts = [w.lower() for w in PART.findall(name)]
+    if not parts or not all(w in ROLES or w in PLACES for w in parts):
+        return 0
+    return 2 if any(w in STRONG for w in parts) else 1 if any(w in ROLES for w in parts) else 0
 
 
-def _marks(attributes: str) -> tuple[str, frozenset]:
+def _marks(attributes: str) -> tuple[str, int]:
+    """Style (classes and ids, digits as 0) and the strongest declaration among its names and role."""
     if "=" not in attributes:
-        return "", frozenset()
+        return "", 0
     found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in MARK.finditer(attributes)]
     style = ".".join(sorted(x for k, v in found if k != "role" for x in v.split()))
-    return re.sub(r"\d+", "0", style), frozenset(w.lower() for _, v in found for w in PART.findall(v))
+    return re.sub(r"\d+", "0", style), max((declared(x) for _, v in found for x in v.split()), default=0)
 
 
 class _Open:
-    __slots__ = ("tag", "path", "branch", "drop", "main")
+    __slots__ = ("tag", "path", "branch", "drop", "main", "named", "looks")
 
-    def __init__(self, tag, path, branch, drop, main):
-        self.tag, self.path, self.branch, self.drop, self.main = tag, path, branch, drop, main
+    def __init__(self, tag, path, branch, drop, main, named):
+        self.tag, self.path, self.branch, self.drop, self.main, self.named, self.looks = tag, path, branch, drop, main, named, 0
 
 
 #: Start tags that end an open element of the second kind.
 CLOSES = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 
 
-def parse(page: str) -> list[Block]:
-    """Text blocks in page order outside of declared boilerplate: white space made single, character references decoded."""
-    stack: list[_Open] = [_Open("", 0, False, 0, False)]
+def parse(page: str, names: bool = True) -> tuple[list[Block], dict[int, list]]:
+    """Text blocks in page order, white space made single and character references decoded; and by branch (style path) its
+    depth, whether its name declares boilerplate (if ``names`` are heeded), and how each of its elements looks (the row of its
+    block-level children)."""
+    stack: list[_Open] = [_Open("", 0, False, False, False, False)]
     blocks: list[Block] = []
-    text: list[str] = []
+    text: list[tuple[str, bool]] = []
+    looks: dict[int, list] = {}
 
     def flush():
         if text:
-            words = " ".join("".join(text).split())
+            whole = " ".join("".join(x for x, _ in text).split())
+            if whole:
+                own = " ".join("".join(x for x, dropped in text if not dropped).split()) if any(dropped for _, dropped in text) else whole
+                branches = [o for o in stack if o.branch]
+                blocks.append(Block(own, whole, tuple(o.path for o in branches), next((k for k, o in enumerate(branches) if o.main), -1), stack[-1].named))
             text.clear()
-            if words:
-                blocks.append(Block(words, tuple(o.path for o in stack if o.branch), any(o.main for o in stack)))
+
+    def pop(k: int) -> None:
+        for o in stack[k:]:
+            if o.branch:
+                looks[o.path][2].append(o.looks)
+        del stack[k:]
 
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == tag:
                 if any(o.tag not in INLINE for o in stack[k:]):
                     flush()
-                del stack[k:]
+                pop(k)
                 return
             if stack[k].tag in ("article", "main", "body") and tag not in ("html", "body", "main", "article"):
                 return  # a stray end tag closes nothing outside of its region
 
     at = 0
     for m in TOKEN.finditer(page):
-        if m.start() > at and not stack[-1].drop:
-            text.append(entities.unescape(page[at : m.start()]))
+        if m.start() > at:
+            text.append((entities.unescape(page[at : m.start()]), stack[-1].drop))
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -121,47 +156,82 @@ def parse(page: str) -> list[Block]:
             continue
         if tag in VOID or m[4].endswith("/") and tag not in CONTENT:
             if tag in ("br", "hr"):
-                text.append(" ")
+                text.append((" ", False))
             continue
         if tag == "p" or tag in CLOSES and any(o.tag == CLOSES[tag] for o in stack[-3:]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == CLOSES[tag]:
                     flush()
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
         if tag not in INLINE:
             flush()
         top = stack[-1]
-        style, words = _marks(m[4])
-        main = tag in ("article", "main")
-        drop = 0 if main and top.drop == LOOSE else top.drop
-        if tag in DROPPED or tag == "header" and not any(o.tag == "article" for o in stack) or not STRONG.isdisjoint(words) and tag not in ("html", "body"):
-            drop = FIRM
-        elif not drop and tag not in ("html", "body") and tag not in INLINE and not main and not ROLES.isdisjoint(words):
-            drop = LOOSE
+        style, name = _marks(m[4])
+        name = name if names else 0
+        root, inline = tag in ("html", "body"), tag in INLINE
+        drop = top.drop or tag in DROPPED or tag == "header" and not any(o.tag == "article" for o in stack) or name == 2 and not root
+        main = tag in ("article", "main") and not drop
+        named = not main and (top.named or bool(name) and not root and not inline and not any(o.main for o in stack))
         path = _hash(top.path, tag, style)
-        branch = bool(style) or tag not in CONTENT and tag not in INLINE and not main and tag not in ("html", "body", "header") and not any(o.main for o in stack)
-        stack.append(_Open(tag, path, branch, drop, main and not drop))
-    if at < len(page) and not stack[-1].drop:
-        text.append(entities.unescape(page[at:]))
+        branch = not root and not inline and (bool(style) or tag not in CONTENT)
+        if branch and path not in looks:
+            looks[path] = [sum(o.branch for o in stack), bool(name), []]
+        if not inline:
+            top.looks = zlib.crc32(path.to_bytes(8, "little", signed=True), top.looks)
+        stack.append(_Open(tag, path, branch, drop, main, named))
+    if at < len(page):
+        text.append((entities.unescape(page[at:]), stack[-1].drop))
     flush()
-    return blocks
+    pop(1)
+    return blocks, looks
+
+
+def main_text(page: str, low: frozenset | set = frozenset(), good: frozenset | set = frozenset(), main: int | None = None, elements: bool = True, names: bool = True) -> str:
+    """The text of the blocks that stay, given the branches of ``low`` and of ``good`` importance and the site's main branch.
+
+    elements: whether an article or main element is a main branch too. names: whether names of classes, ids and roles count.
+    """
+    blocks = [b for b in parse(page, names)[0] if b.text and not any(x in low for x in b.branches)]
+
+    def begins(b: Block) -> int:
+        return b.main if elements and b.main >= 0 else b.branches.index(main) if main in b.branches else -1
+
+    above = {x for b in blocks if begins(b) >= 0 for x in b.branches[: begins(b)]}
+    if not any(begins(b) >= 0 for b in blocks):
+        return " ".join([b.text for b in blocks if not b.named] or [b.text for b in blocks])
+
+    def stays(b: Block) -> bool:
+        own = [x for x in b.branches if x not in above]
+        return begins(b) >= 0 or bool(own) and all(x in good for x in own)
+
+    return " ".join(b.text for b in blocks if stays(b))
 
 
-def main_text(page: str, noise: frozenset | set = frozenset()) -> str:
-    """The blocks in article or main if those hold any, else all, less those in a branch of ``noise``."""
-    blocks = [b for b in parse(page) if not any(x in noise for x in b.branches)]
-    inside = [b.text for b in blocks if b.main]
-    return " ".join(inside or [b.text for b in blocks])
+def _entropy(kind: int) -> Column:
+    """Normalised entropy of the values of a kind: 1 for a single one."""
+    m, s = F.col(f"m{kind}"), F.col(f"s{kind}")
+    return F.when(m > 1, 1 - s / (m * F.log(m))).otherwise(1.0)
 
 
-def noise_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, blocks: int = LEAST_BLOCKS) -> DataFrame:
-    """host and the paths of its low-importance branches.
+def importance(counts: DataFrame, *key: str) -> DataFrame:
+    """key, pages, importance, texts (distinct ones) and depth of every branch with text; counts: key, kind, value and c.
 
-    Exact copies of a page count once, and repeats of a text in a page once, so importance is about the host's distinct
-    pages. Rows are made distinct and summed before they are shuffled; a large host is no group anywhere.
+    kind 0: a text of the branch; 1: how the branch looks on a page; 2: its depth and whether its name declares boilerplate.
+    """
+    sums = [x for k in (0, 1) for x in (F.sum(F.when(F.col("kind") == k, F.col("c"))).alias(f"m{k}"), F.sum(F.when(F.col("kind") == k, F.col("c") * F.log("c"))).alias(f"s{k}"))]
+    total = counts.groupBy(*key).agg(*sums, F.count_if(F.col("kind") == 0).alias("texts"), F.max(F.when(F.col("kind") == 2, F.col("value"))).alias("about"))
+    prior = F.when(F.col("about") % 2 == 1, PRIOR).otherwise(1.0)
+    value = ((1 - LOOKS) * _entropy(0) + LOOKS * _entropy(1)) * prior
+    return total.where("m0 > 0").select(*key, F.col("m1").alias("pages"), value.alias("importance"), "texts", F.floor(F.col("about") / 2).alias("depth"))
+
+
+def cells(pages: DataFrame, names: bool = True) -> DataFrame:
+    """Distinct host, path, kind, value and copy: what the branches of each page hold and look like, and what is said of them.
+
+    Pages whose COPY_BLOCKS longest texts are the same are copies; see importance() for the kinds.
     """
 
     def run(batches):
@@ -171,35 +241,68 @@ def noise_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, blocks: in
             rows = set()
             for url, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if raw:
-                    page, host = raw.decode("utf-8", "replace"), host_of(url)
-                    copy = _hash(page)
-                    rows.update((host, path, _hash(x.text), copy) for x in parse(page) for path in x.branches)
-            got = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), *[pa.array(g, pa.int64()) for g in got[1:]]], ["host", "path", "content", "copy"])
+                    host = host_of(url)
+                    blocks, looks = parse(raw.decode("utf-8", "replace"), names)
+                    copy = _hash(*sorted((x.whole for x in blocks), key=lambda x: (-len(x), x))[:COPY_BLOCKS])
+                    rows.update((host, path, 0, _hash(x.whole), copy) for x in blocks for path in x.branches)
+                    rows.update((host, path, 1, _hash(*sorted(rows_)), copy) for path, (_, _, rows_) in looks.items())
+                    rows.update((host, path, 2, depth * 2 + named, 0) for path, (depth, named, _) in looks.items())
+            got = list(zip(*rows)) or [[], [], [], [], []]
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(g, t) for g, t in zip(got, types)], ["host", "path", "kind", "value", "copy"])
+
+    return pages.select("url", F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path long, kind int, value long, copy long").distinct()
+
 
-    cells = pages.select("url", F.col("html").cast("binary").alias("html")).mapInArrow(run, "host string, path long, content long, copy long").distinct()
-    counts = cells.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    importance = 1 - F.col("s") / (F.col("m") * F.log("m"))
-    return total.where((F.col("m") >= blocks) & (importance < least)).groupBy("host").agg(F.collect_set("path").alias("noise"))
+def site_trees(pages: DataFrame, names: bool = True) -> DataFrame:
+    """host, low and good (paths of branches judged so) and main (path of the host's main branch, null if not known).
+
+    Copies count once, so importance is about the host's distinct articles.
+    Rows are made distinct and summed before they are shuffled; a large host is no group anywhere. A host's lists hold only
+    branches of many pages, however many names its pages make up.
+    """
+
+    counts = common.cut(pages.sparkSession, cells(pages, names).groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c")), "counts")
+    own = importance(counts, "host", "path")
+    known = F.col("pages") >= HOST_PAGES
+    best = own.groupBy("host").agg(F.max(F.when(known, F.col("importance"))).alias("best"), F.max("texts").alias("most"))
+    every = importance(counts.groupBy("path", "kind", "value").agg(F.sum("c").alias("c")), "path").where(F.col("pages") >= LEAST_PAGES)
+    every = every.join(F.broadcast(every.agg(F.max("importance").alias("best"), F.max("texts").alias("most")))).withColumn("share", F.col("importance") / F.col("best"))
+    usual = F.broadcast(every.agg(_main(F.lit(True)).alias("usual")))
+    rows = own.join(best, "host").join(every.select("path", F.col("share").alias("anywhere")), "path", "left")
+    rows = rows.withColumn("share", F.coalesce(F.when(known, F.col("importance") / F.col("best")), F.col("anywhere"))).where("share is not null")
+    paths = lambda which: F.collect_set(F.when(which, F.col("path")))
+    trees = rows.groupBy("host").agg(paths(F.col("share") < LOW).alias("low"), paths(F.col("share") >= GOOD).alias("good"), _main(known).alias("own"))
+    return trees.join(usual).select("host", "low", "good", F.coalesce("own", "usual").alias("main"))
 
 
-def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def _main(known: Column) -> Column:
+    """The deepest of the important branches that hold half as many texts as the fullest."""
+    return F.max(F.when(known & (F.col("share") >= GOOD) & (2 * F.col("texts") >= F.col("most")), F.struct("depth", "texts", "path")))["path"]
+
+
+def extract(spark: SparkSession, pages: DataFrame, elements: bool = True, names: bool = True) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of ``pages`` (page_id, url, html; more columns are not read).
 
+    elements: whether article and main elements count as main branches besides those that the trees find; names: whether names of
+    classes, ids and roles are a prior.
+
     Null or empty html has empty text. A page whose url names no host is merged with the others of that kind. Repeated rows
     and rows with null page_id have a row each. No rows: no rows.
     """
     common.bounded_batches(spark)
-    noise = common.cut(spark, noise_branches(pages), "noise").withColumnRenamed("host", "of")
+    trees = common.cut(spark, site_trees(pages, names), "trees").withColumnRenamed("host", "of")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts = [main_text(x.decode("utf-8", "replace"), frozenset(n or ())) if x else "" for x, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = []
+            for k, raw in enumerate(b.column(2).to_pylist()):
+                low, good, main = (b.column(c)[k].as_py() for c in (3, 4, 5))
+                texts.append(main_text(raw.decode("utf-8", "replace"), frozenset(low or ()), frozenset(good or ()), main, elements, names) if raw else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     host = F.coalesce(F.lower(F.nullif(F.regexp_extract("url", HOST.pattern, 1), F.lit(""))), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("html"), host.alias("host"))
-    return rows.join(noise, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "noise").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(trees, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "low", "good", "main").mapInArrow(run, "page_id long, url string, text string, n_chars long")

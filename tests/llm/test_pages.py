@@ -1,4 +1,8 @@
 import hashlib
+import html
+import math
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -37,17 +41,58 @@ def test_low_importance_branches_go(spark):
     assert got[3] == "Story 3 of the day." and got[103] == "Own words 3 Story 3 of the day." and got[205] == "Story 0 of the day."
 
 
-def test_extract_over_the_table(spark, sf):
-    import html
-    import re
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><section class='discussion'>We discuss.</section><div class='share-price table'>Up 3</div></article>", "We discuss. Up 3"), ("<main><section class='social-history'>Long ago</section><div class='header-image-wrap'><p>Text</div></main>", "Long ago Text"),
+        ("<article><p>Text</p><div class='comments'>Nice</div><div id='related-posts'>More</div></article>", "Text"), ("<div class='widget'>Links</div><p>Text</p>", "Text"),
+    ],
+)
+def test_names_are_judged_whole(page, text):
+    assert sitetree.main_text(page) == text
+
+
+def entropy(values):
+    n, counts = len(values), Counter(values).values()
+    return 1.0 if n < 2 else -sum(c / n * math.log(c / n) for c in counts) / math.log(n)
 
+
+def test_importance_by_brute_force(spark, sf):
+    """Importance over the given pages, computed from the parsed pages alone, in the tree of all hosts' paths by host."""
+    seen = {}
+    for r in common.table(spark, sf, "pages").collect():
+        blocks, looks = sitetree.parse(r.html)
+        copy = tuple(sorted((b.whole for b in blocks), key=lambda x: (-len(x), x))[:3])
+        for path, (_, named, rows) in looks.items():
+            own = seen.setdefault((sitetree.host_of(r.url), path), ({}, {}, named))
+            own[0].update({(b.whole, copy): b.whole for b in blocks if path in b.branches})
+            own[1][tuple(sorted(rows)), copy] = tuple(sorted(rows))
+    want = {key: ((1 - sitetree.LOOKS) * entropy(list(held.values())) + sitetree.LOOKS * entropy(list(looks.values()))) * (sitetree.PRIOR if named else 1) for key, (held, looks, named) in seen.items() if held}
+    counts = sitetree.cells(common.table(spark, sf, "pages")).groupBy("host", "path", "kind", "value").count().withColumnRenamed("count", "c")
+    got = {(r.host, r.path): r.importance for r in sitetree.importance(counts, "host", "path").collect()}
+    assert len(want) > 50 and got == pytest.approx(want)
+
+
+def article_of(page):
+    inner = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br>|</?p>|</?h1>", " ", inner))).split())
+
+
+def test_the_trees_alone_find_the_articles(spark, sf):
+    """Without heeding names or article elements; without the trees' verdicts the adverts stay."""
+    table = common.table(spark, sf.replace("sf0.001", "sf0.01"), "pages")
+    pages = {r.page_id: r.html for r in table.collect()}
+    got = {r.page_id: r.text for r in sitetree.extract(spark, table, elements=False, names=False).collect()}
+    assert got == {k: article_of(page) for k, page in pages.items()}
+    assert all(sitetree.main_text(page, elements=False, names=False) != got[k] for k, page in pages.items())
+
+
+def test_extract_over_the_table(spark, sf):
     pages = {r.page_id: r for r in common.table(spark, sf, "pages").collect()}
     rows = queries.op1_main_text(spark, sf).collect()
     assert len(rows) == len(pages)
     for r in rows:
-        inner = re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id].html, re.S)[1]
-        text = re.sub(r"<[^>]+>", "", re.sub(r"<br>|</?p>|</?h1>", " ", inner))
-        assert r.text == " ".join(html.unescape(text).split()) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+        assert r.text == article_of(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
 @pytest.fixture(scope="module")
