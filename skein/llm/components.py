@@ -34,3 +34,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             break
         mark = new
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("w")).distinct().toDF("id", "component"))
+
+
+def named(members: DataFrame, names: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """``members`` with their group's row of ``names`` (one for each ``key``): a large group is dealt out over ``salts`` tasks."""
+    dealt = members.withColumn("__salt", F.pmod(F.xxhash64(*members.columns), F.lit(salts)).cast("int"))
+    every = names.withColumn("__salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    return dealt.join(every, [key, "__salt"]).drop("__salt")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .components import components
+from .components import components, named
 
 COSINE = 0.95
 #: Vectors that centroids and codebooks are fitted on; every vector is coded and compared.
@@ -62,7 +62,8 @@ class Quantiser:
         # pairs at the limit: each turned off its own direction in a random one
         a = x[rng.integers(0, len(x), PAIRS)]
         turn = rng.standard_normal(a.shape)
-        turn = unit(turn - (turn * a).sum(1, keepdims=True) * a)
+        turn = turn - (turn * a).sum(1, keepdims=True) * a
+        turn = unit(np.where(np.abs(turn).max(axis=1, keepdims=True) > 0, turn, a))  # of one component: there is no other direction
         b = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * turn
         d = self.squared(a)
         gap = d[np.arange(PAIRS), np.argmin(self.squared(b), axis=1)] - d.min(axis=1)
@@ -99,7 +100,9 @@ class Quantiser:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of finite ones that are not zero; scaled first, so that no square over- or underflows."""
     x = np.asarray(x, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -170,27 +173,56 @@ class _List:
 def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding; more columns are not read).
 
-    A vector that is null, zero, of another length than most of the fitted sample, or that holds null, NaN or infinity has no
-    link and is its own component. Equal vectors link; they are compared once for all their rows. Rows without vec_id take
-    part, but give no component its name. No rows: no rows.
+    A vector that is null, empty, zero, or that holds null, NaN or infinity has no link and is its own component. Vectors are
+    compared with all others of their length, a length after the other. Equal vectors link; they are compared once for all
+    their rows. Rows without vec_id take part, but give no component its name. No rows: no rows.
     """
     common.bounded_batches(spark)
-    number = vectors.schema["embedding"].dataType.elementType
-    wide = np.dtype("<f4" if isinstance(number, T.FloatType) else "<f8")
     e = F.col("embedding")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce((F.size(e) > 0) & ~bad & F.exists(e, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, e).alias("embedding"))
-    lengths = rows.groupBy(F.size("embedding").alias("dim")).count().where("dim > 0").orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not lengths:
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, e).alias("embedding")).withColumn("hash", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
+    distinct = rows.where("hash is not null").groupBy("hash", "embedding").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+    nodes = common.cut(spark, distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    # a row for each length
+    lengths = nodes.groupBy(F.size("embedding").alias("dim")).count().orderBy("dim").collect()
+    counts, links = None, None
+    for dim, total in lengths:
+        found = common.cut(spark, _found(spark, nodes.where(F.size("embedding") == dim).select("node", "embedding", "n"), dim, total, cosine), "found")
+        counts = found.where("v is null") if counts is None else counts.unionByName(found.where("v is null"))
+        links = found.where("v is not null") if links is None else links.unionByName(found.where("v is not null"))
+    if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = lengths[0][0]
-    rows = rows.withColumn("node", F.when(F.size("embedding") == dim, F.xxhash64("embedding")))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    nodes = common.cut(spark, nodes, "vectors")
-    total = nodes.count()
+    joined = components(spark, links.select("u", "v")).select(F.col("id").alias("node"), "component")
+    known = common.cut(spark, nodes.select("node", "hash", "n", "least").join(joined, "node", "left"), "classes")
+    members = known.where("component is not null")
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.where("component is null").withColumn("component_id", F.col("least")).unionByName(named(members, names, "component"))
+    counts = counts.groupBy("u").agg(F.sum("links").alias("links"))
+    by_node = known.join(counts, F.col("node") == F.col("u"), "left").select("node", "hash", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = _of_rows(spark, rows, nodes, by_node)
+    component = F.when(F.col("hash").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def _of_rows(spark: SparkSession, rows: DataFrame, nodes: DataFrame, by_node: DataFrame) -> DataFrame:
+    """vec_id, hash, component_id and n_links of each row; vectors that only share their hash are told apart by themselves."""
+    by_node = common.cut(spark, by_node, "by_node")
+    shared = common.cut(spark, nodes.groupBy("hash").count().where("count > 1").select("hash"), "shared")
+    plain = rows.select("vec_id", "hash").join(by_node.select("hash", "component_id", "n_links"), "hash", "left")
+    if shared.isEmpty():
+        return plain
+    plain = rows.join(shared, "hash", "left_anti").select("vec_id", "hash").join(by_node.select("hash", "component_id", "n_links"), "hash", "left")
+    told = nodes.join(shared, "hash", "left_semi").select("hash", "embedding", "node").join(by_node.select("node", "component_id", "n_links"), "node")
+    return plain.unionByName(rows.join(shared, "hash", "left_semi").join(told, ["hash", "embedding"]).select("vec_id", "hash", "component_id", "n_links"))
+
+
+def _found(spark: SparkSession, nodes: DataFrame, dim: int, total: int, cosine: float) -> DataFrame:
+    """u, null, links: links of u to be summed; u, v, null: links that join; over nodes (node, embedding, n) of one length."""
+    number = nodes.schema["embedding"].dataType.elementType
+    wide = np.dtype("<f4" if isinstance(number, T.FloatType) else "<f8")
     # bounded: FIT_ROWS vectors, taken by a hash
-    sample = np.asarray([r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("embedding").collect()], np.float64)
+    sample = np.asarray([r[0] for r in nodes.orderBy(F.xxhash64("embedding"), "embedding").limit(FIT_ROWS).select("embedding").collect()], np.float64)
     q = Quantiser(sample, min(MOST_LISTS, max(1, math.isqrt(total))), cosine)
 
     def assign(batches):
@@ -253,14 +285,4 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
         if own is not None and open_:
             yield from rows_of(*own.rest())
 
-    found = resident.unionByName(asking).repartition("task").sortWithinPartitions("task", "kind").mapInArrow(compare, "u long, v long, links long")
-    found = common.cut(spark, found, "found")
-    counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
-    joined = components(spark, found.where("v is not null").select("u", "v"))
-    known = nodes.select("node", "n", "least").join(joined, F.col("node") == F.col("id"), "left").select("node", "n", "least", F.coalesce("component", "node").alias("component"))
-    known = common.cut(spark, known, "classes")
-    names = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = known.join(names, "component").join(counts, F.col("node") == F.col("u"), "left").select("node", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return resident.unionByName(asking).repartition("task").sortWithinPartitions("task", "kind").mapInArrow(compare, "u long, v long, links long")

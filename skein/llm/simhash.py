@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, named
 
 WORDS = 4
 SEED = 42
@@ -256,9 +256,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS)
     common.bounded_batches(spark)
     prints = common.cut(spark, fingerprints(docs), "fingerprints")
     distinct = common.cut(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = components(spark, links_of(spark, distinct, radius))
-    known = distinct.join(joined, distinct.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    known = common.cut(spark, known, "classes")
-    classes = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = known.join(classes, "component").select("fp", "component_id")
+    joined = components(spark, links_of(spark, distinct, radius)).select(F.col("id").alias("fp"), "component")
+    known = common.cut(spark, distinct.join(joined, "fp", "left"), "classes")
+    members = known.where("component is not null")
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_print = known.where("component is null").select("fp", F.col("least").alias("component_id")).unionByName(named(members, names, "component").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

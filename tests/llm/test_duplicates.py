@@ -113,6 +113,34 @@ def test_vectors_in_clouds_and_chunks(spark, monkeypatch):
     assert sorted(map(tuple, pq.near_vectors(spark, frame).collect())) == brute_vectors(frame.collect())
 
 
+def test_vectors_of_any_magnitude(spark):
+    """Very small and very large components neither spoil other vectors nor lose links of their own."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 4))
+    x = np.concatenate([base[rng.integers(0, 6, 40)] + 0.05 * rng.standard_normal((40, 4)), [[1e-200, 0, 0, 0], [3e-200, 0, 0, 1e-202], [1e200, 1e200, 0, 0], [2e200, 2e200, 0, 0], [1, 1, 0, 0], [5e-324, 0, 0, 0], [1.7e308, 1.7e308, 1.7e308, 1.7e308]]])
+    frame = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    scaled = spark.createDataFrame([(k, (row / np.abs(row).max()).tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, pq.near_vectors(spark, frame).collect()))
+    assert got == brute_vectors(scaled.collect()) and got[44][1] >= 2 and got[40][1] >= 2
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.standard_normal(5).tolist()) for k in range(40)] + [(100 + k, [1.0, k / 100, 0.0]) for k in range(8)] + [(200, [2.0]), (201, [-1.0]), (202, [0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(spark, frame).collect()}
+    assert [got[k] for k in range(100, 108)] == [(7, 100)] * 8 and (got[200], got[201], got[202]) == ((1, 200), (0, 201), (1, 200))
+
+
+def test_vectors_of_one_hash_are_told_apart(spark):
+    """Rows of vectors that only share a hash keep to their own node."""
+    rows = spark.createDataFrame([(0, 7, [1.0]), (1, 7, [2.0]), (2, 8, [3.0]), (3, 7, [2.0]), (4, None, None)], "vec_id long, hash long, embedding array<double>")
+    nodes = spark.createDataFrame([(10, 7, [1.0]), (11, 7, [2.0]), (12, 8, [3.0])], "node long, hash long, embedding array<double>")
+    by_node = spark.createDataFrame([(10, 7, 0, 1), (11, 7, 1, 5), (12, 8, 2, 9)], "node long, hash long, component_id long, n_links long")
+    got = {r.vec_id: r.n_links for r in pq._of_rows(spark, rows, nodes, by_node).collect()}
+    assert got == {0: 1, 1: 5, 2: 9, 3: 5, 4: None}
+
+
 def test_vectors_bear_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, -1.0])]
