@@ -102,7 +102,7 @@ def thresholds(judged: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
 
     Rows are summed to a count for each stratum, signal and step of the grid before anything is shuffled.
     """
-    strata = judged.agg(F.count_distinct(F.coalesce("stratum", F.lit("")))).first()[0]
+    strata = judged.agg(F.count_distinct(F.struct("stratum"))).first()[0]
     p, level = alpha / len(SIGNALS), delta / max(1, strata * len(SIGNALS))
     above = lambda s: sum(F.when(F.col(s) > g / 64, 1).otherwise(0) for g in GRID)  # noqa: E731  steps of the grid below the signal
     long = judged.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), above(s).alias("passed")) for s in SIGNALS])).alias("x"))
@@ -153,17 +153,14 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all their columns unchanged; columns of any other name pass through."""
-    own = docs.select("doc_id", "text", F.col("lang").alias("stratum"))
-    flat = common.cut(spark, measured(own).select("doc_id", "stratum", "measures.base_failed", *[f"measures.{s}" for s in SIGNALS]), "measures")
-    limits = fit(spark, flat, labels)
-    limits = limits.select(F.struct("*").alias("__limits"))
-    inner = docs.select(F.struct("*").alias("__row"), F.col("text").alias("text"), F.col("lang").alias("__lang"))
-    joined = measured(inner).drop("text").join(limits, F.col("__lang").eqNullSafe(F.col("__limits.stratum")), "left")
-    ok = ~F.col("measures.base_failed")
-    for s in SIGNALS:
-        ok = ok & ~F.coalesce(F.col(f"measures.{s}") > F.col(f"__limits.max_{s}"), F.lit(False))
-    return joined.where(ok).select("__row.*")
+    """The rows of ``docs`` that the rules keep, all their columns unchanged; columns of any other name pass through.
+
+    Texts are measured once: rows that the base rules keep are written with their signals, and cutoffs come from these.
+    """
+    inner = measured(docs.select(F.struct("*").alias("__row"), "text", F.col("lang").alias("__lang"))).where(~F.col("measures.base_failed"))
+    rows = common.cut(spark, inner.select("__row", "__lang", *[F.col(f"measures.{s}").alias(s) for s in SIGNALS]), "measured")
+    limits = fit(spark, rows.select("__row.doc_id", F.col("__lang").alias("stratum"), F.lit(False).alias("base_failed"), *SIGNALS), labels)
+    return rows.join(limits, F.col("__lang").eqNullSafe(F.col("stratum")), "left").where(_verdict(F.col)).select("__row.*")
 
 
 #: DuckDB SQL for ``judge`` over tables documents and labels. Not a port of the expressions: windows and unnesting.
@@ -193,7 +190,7 @@ x AS (
 c AS (
  SELECT stratum, signal, cut / 64.0::DOUBLE AS cutoff, count_if(quality = 1)::BIGINT AS n, count_if(quality = 1 AND v > cut / 64.0::DOUBLE)::BIGINT AS k, count_if(quality = 0 AND v > cut / 64.0::DOUBLE)::BIGINT AS caught
  FROM x, (SELECT unnest([{', '.join(map(str, GRID))}]) AS cut) GROUP BY ALL),
-p AS (SELECT {ALPHA} / {len(SIGNALS)} AS p, {DELTA} / ({len(SIGNALS)} * count(DISTINCT coalesce(stratum, ''))) AS level FROM j),
+p AS (SELECT {ALPHA} / {len(SIGNALS)} AS p, {DELTA} / ({len(SIGNALS)} * count(DISTINCT {{'of': stratum}})) AS level FROM j),
 b AS (
  SELECT c.*, k <= n * p AND list_sum(list_transform(range(0, k + 1), lambda y: exp(lgamma(n + 1) - lgamma(y + 1) - lgamma(n - y + 1) + y * ln(p) + (n - y) * ln(1 - p)))) <= level AS passes
  FROM c, p),
