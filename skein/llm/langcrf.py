@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents (by a hash of doc_id), lines of each (by a hash), characters of a line.
+#: Bounds of the training sample: labelled documents (by a hash of doc_id), and pieces of their whole texts (by a hash). A piece
+#: is a line, cut after PIECE_CHARS at the end of a word.
 FIT_DOCS = 1500
-FIT_LINES = 8
-FIT_CHARS = 1000
+FIT_PIECES = 12_000
+PIECE_CHARS = 1000
 #: Words of the lexicon (the commonest of the sample) and the least count of one.
 LEXICON_WORDS = 20_000
 LEAST_COUNT = 3
@@ -233,7 +234,7 @@ def held_out(doc_id):
 def train(docs: DataFrame) -> WordField | None:
     """Learns from text and lang of a bounded sample of the documents that aren't held out; None if no such row has words.
 
-    First the doc_ids alone are read to find the hash below which FIT_DOCS lie, then the lines of those.
+    First the doc_ids alone are read to find the hash below which FIT_DOCS lie, then the pieces of those.
     """
     import regex
 
@@ -242,11 +243,11 @@ def train(docs: DataFrame) -> WordField | None:
     top = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(order.alias("h")).orderBy("h").limit(FIT_DOCS).agg(F.max("h")).first()[0]
     if top is None:
         return None
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
-    some = F.slice(F.sort_array(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(x, 1, FIT_CHARS).alias("x")))), 1, FIT_LINES)
-    rows = docs.where(able & (order <= top)).select("lang", order.alias("h"), F.transform(some, lambda x: x["x"]).alias("lines")).orderBy("h", "lines").limit(FIT_DOCS).collect()
+    pieces = F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{PIECE_CHARS}}}\b|[^\n]{{1,{PIECE_CHARS}}}"), F.lit(0))
+    some = docs.where(able & (order <= top)).select("lang", "doc_id", F.explode(pieces).alias("piece")).select("lang", "piece", F.xxhash64("doc_id", "piece").alias("h"))
+    rows = some.orderBy("h", "lang", "piece").limit(FIT_PIECES).collect()
     find = regex.compile(r"\p{L}+").findall
-    chains = [(r[0], w) for r in rows for x in r[2] if (w := find(x.lower()))]
+    chains = [(r[0], w) for r in rows if (w := find(r[1].lower()))]
     return WordField.fit(chains) if chains else None
 
 
