@@ -2,7 +2,8 @@
 
 Valid for tokenizers that drop white space and never join over it (normaliser and pre-tokeniser act on each side alone):
 then a text's ids are its chunks' ids in a row. Chunks are split at the six ASCII white-space bytes only; any other
-white space stays inside a chunk and is left to the tokenizer.
+white space stays inside a chunk and is left to the tokenizer. A text that holds an added token of the tokenizer, such as an
+end mark, goes to it whole, as the tokenizer finds these before all else.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for chunks: a chunk put in lower case may look like an added token that its text doesn't hold
         self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         normal = self.tokenizer.normalizer
         self.lowers = normal is not None and normal.normalize_str("Ab") == "ab"
@@ -101,8 +104,16 @@ class ChunkEncoder:
                 first, size = k + 1, 0
         return out
 
+    def _whole(self, text: bytes) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [self._chunks(t) if t else [] for t in texts]
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if t and any(x in t for x in self.added)}
+        split = [self._chunks(t) if t and k not in whole else [] for k, t in enumerate(texts)]
         if len(self.memo) > MEMO_CHUNKS:
             self.memo, self.elder = {}, self.memo
         ends = list(accumulate(map(len, split)))
@@ -114,7 +125,10 @@ class ChunkEncoder:
             memo = self.memo
             for k in missing:
                 got[k] = memo[flat[k]]
-        return [b"".join(got[a:z]) for a, z in zip([0, *ends], ends)]
+        out = [b"".join(got[a:z]) for a, z in zip([0, *ends], ends)]
+        for k, ids in whole.items():
+            out[k] = ids
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -19,7 +19,6 @@ BYTE = P.path("byte_bpe_multi_50k.tiktoken")
 
 def plain_ids(texts):
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -48,6 +47,12 @@ def test_chunks_encode_as_the_library_does(text):
     assert np.frombuffer(got, "<u2").tolist() == plain_ids([text])[0]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> Big", "<|endoftext|", "e\u0301<|endoftext|>\u0301 f"])
+def test_added_tokens_encode_as_the_library_does(text):
+    got = ChunkEncoder.encode(_shared_word(), [text.encode(), b"other words"])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == plain_ids([text, "other words"])
+
+
 _memo = {}
 
 
