@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, langcrf, packing, pq, quality, simhash, sitetree, token_store, toolcalls, warc
 from .common import table
@@ -36,6 +37,14 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.format_turns(spark, table(spark, sf_dir, "conversations"))
 
 
+def tool_calls_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op5 over the conversations with calls, results and declared tools put in: theirs hold none."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("skein_conversations")
+    turns = spark.sql(toolcalls.MADE.replace("{conversations}", "skein_conversations"))
+    found = toolcalls.format_turns(spark, turns).where("n_calls > 0")
+    return found.select("conv_id", "turn", "n_calls", "n_linked", "n_invalid", F.get_json_object("message", "$.tool_calls[0].level").cast("long").alias("level"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,9 +68,9 @@ def op10_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_main_text, op2_simhash, op3_token_store, op4_warc, op5_tool_calls, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq]
+    own = [op1_main_text, op2_simhash, op3_token_store, op4_warc, op5_tool_calls, tool_calls_made, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "op6_quality": quality.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "tool_calls_made": toolcalls.MADE_ORACLE, "op6_quality": quality.ORACLE}

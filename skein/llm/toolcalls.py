@@ -5,6 +5,10 @@ A call is ``<tool_call>{"id": ..., "name": ..., "arguments": {...}}</tool_call>`
 ``tool_call_id``. Calls and results are joined by conversation and identifier. A call depends on another of its conversation
 where its arguments hold ``{"$result": "<id>"}``. Sorted by (level, turn, position) the calls of a conversation are in
 topological order; no conversation is ever gathered in one place.
+
+A conversation declares its tools in any turn by ``<tools>[{"name": ..., "parameters": {JSON schema}}]</tools>``; its calls are
+checked against these, a tool that it doesn't declare being an error. Conversations that declare none are checked against the
+schemas given to the operator, if there are any.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from . import common
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 RESULT = re.compile(r"<tool_result>(.*?)</tool_result>", re.S)
+TOOLS = re.compile(r"<tools>(.*?)</tools>", re.S)
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 CALLS = "conv_id long, turn long, row long, k int, id string, name string, arguments string, error string, needs array<string>"
 RESULTS = "conv_id long, turn long, k int, id string, content string"
+DECLARED = "conv_id long, turn long, k int, name string, schema string"
 
 
 def canonical(value) -> str:
@@ -82,8 +88,8 @@ def needs(value) -> set[str]:
     return set().union(*map(needs, value)) if isinstance(value, list) else set()
 
 
-def read_calls(text: str | None, schemas: dict[str, dict]) -> list[tuple]:
-    """(k, id, name, canonical arguments, error, needs) of each call of a text."""
+def read_calls(text: str | None) -> list[tuple]:
+    """(k, id, name, canonical arguments, error, needs) of each call of a text; errors of form only."""
     out = []
     for k, m in enumerate(CALL.finditer(text or "")):
         try:
@@ -91,13 +97,38 @@ def read_calls(text: str | None, schemas: dict[str, dict]) -> list[tuple]:
             arguments = x.get("arguments", {}) if isinstance(x, dict) else None
             if not isinstance(x, dict) or not isinstance(x.get("id"), str) or not isinstance(x.get("name"), str):
                 raise ValueError("no id or name")
-            error = "$: not object" if not isinstance(arguments, dict) else None if not schemas else "unknown tool" if x["name"] not in schemas else check(schemas[x["name"]], arguments)
-            out.append((k, x["id"], x["name"], canonical(arguments), error, sorted(needs(arguments))))
+            out.append((k, x["id"], x["name"], canonical(arguments), None if isinstance(arguments, dict) else "$: not object", sorted(needs(arguments))))
         except (ValueError, RecursionError) as e:
             out.append((k, None, None, None, f"malformed: {type(e).__name__}", []))
     return out
 
 
+def read_tools(text: str | None) -> list[tuple]:
+    """(k, name, schema as JSON) of each well-formed tool that a turn declares; no parameters: an empty schema."""
+    out = []
+    for m in TOOLS.finditer(text or ""):
+        try:
+            found = json.loads(m[1])
+        except (ValueError, RecursionError):
+            continue
+        for x in found if isinstance(found, list) else [found]:
+            if isinstance(x, dict) and isinstance(x.get("name"), str) and isinstance(x.get("parameters", {}), dict):
+                out.append((len(out), x["name"], json.dumps(x.get("parameters", {}))))
+    return out
+
+
+def violation(arguments: str, schema: str | None, known: bool) -> str | None:
+    """The first violation of a call's schema; known: whether there are schemas for its conversation at all."""
+    if not known:
+        return None
+    if schema is None:
+        return "unknown tool"
+    try:
+        return check(json.loads(schema), json.loads(arguments))
+    except (re.error, RecursionError, TypeError, AttributeError) as e:
+        return f"bad schema: {type(e).__name__}"
+
+
 def read_results(role: str | None, text: str | None) -> list[tuple]:
     """(k, id, content as canonical JSON) of each well-formed result of a turn."""
     found = [m[1] for m in RESULT.finditer(text or "")]
@@ -128,19 +159,17 @@ def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
     rest = calls.select(*key).join(odd, "conv_id", "left_semi")
     links = edges.join(odd, "conv_id", "left_semi").select("conv_id", "id", "other")
     done = calls.select(*key).join(odd, "conv_id", "left_anti").withColumn("level", F.lit(0))
-    waiting, n = common.cut(spark, rest, "waiting"), 0
-    layers = [done]
+    waiting, n, path = common.cut(spark, rest, "waiting"), 0, common.shared_dir(spark, "layers")
+    schema = "conv_id long, id string, level int"
     while True:
         blocked = links.join(waiting.withColumnRenamed("id", "other"), ["conv_id", "other"], "left_semi").select(*key).distinct()
-        free = common.cut(spark, waiting.join(blocked, key, "left_anti").withColumn("level", F.lit(n)), "layer")
+        waiting.join(blocked, key, "left_anti").write.parquet(f"{path}/level={n}")
+        free = spark.read.schema("conv_id long, id string").parquet(f"{path}/level={n}")
         if free.isEmpty():
             break
-        layers.append(free)
         waiting, n = common.cut(spark, waiting.join(free, key, "left_anti"), "waiting"), n + 1
-    out = layers[0]
-    for x in layers[1:]:
-        out = out.unionByName(x)
-    return out.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
+    layered = spark.read.schema(schema).parquet(path).select(*key, "level")
+    return done.unionByName(layered).unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
 
 
 def format_turns(spark: SparkSession, turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -149,17 +178,16 @@ def format_turns(spark: SparkSession, turns: DataFrame, schemas: dict[str, dict]
     message is canonical JSON: content (the text less its calls), role, and tool_calls in topological order if there are any,
     each with arguments, error, id, level, name and result. Of calls or results that share conversation and identifier the
     first by (turn, position) counts. Null text or role is JSON null; equal rows each have their row; a null conv_id or turn
-    links with nothing. More columns are not read. No rows: no rows.
+    links with nothing. Of a tool declared more than once the first schema counts. More columns are not read. No rows: no rows.
     """
     common.bounded_batches(spark)
-    schemas = schemas or {}
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("row", F.xxhash64("role", "text"))
 
     def calls_of(batches):
         import pyarrow as pa
 
         for b in batches:
-            got = [(c, t, r, *x) for c, t, r, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 4, 3))) for x in read_calls(text, schemas)]
+            got = [(c, t, r, *x) for c, t, r, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 4, 3))) for x in read_calls(text)]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate(types)], ["conv_id", "turn", "row", "k", "id", "name", "arguments", "error", "needs"])
 
@@ -171,8 +199,33 @@ def format_turns(spark: SparkSession, turns: DataFrame, schemas: dict[str, dict]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate(types)], ["conv_id", "turn", "k", "id", "content"])
 
+    def tools_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [(c, t, *x) for c, t, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 3))) for x in read_tools(text)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate(types)], ["conv_id", "turn", "k", "name", "schema"])
+
+    def checked(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            arguments, errors, declared, known = (b.column(k).to_pylist() for k in (6, 7, 9, 10))
+            names = b.column(5).to_pylist()
+            found = []
+            for name, a, error, schema, own in zip(names, arguments, errors, declared, known):
+                given = None if schemas is None or name not in schemas else json.dumps(schemas[name])
+                found.append(error or violation(a, schema if own else given, bool(own) or bool(schemas)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(found, pa.string()), b.column(8)], b.schema.names[:9])
+
     has_call = F.coalesce(F.contains("text", F.lit("<tool_call>")), F.lit(False))
-    calls = common.cut(spark, rows.where(has_call).mapInArrow(calls_of, CALLS).distinct(), "calls")
+    calls = rows.where(has_call).mapInArrow(calls_of, CALLS).distinct()
+    tools = rows.where(F.contains("text", F.lit("<tools>"))).mapInArrow(tools_of, DECLARED).where("conv_id is not null")
+    tools = common.cut(spark, tools.groupBy("conv_id", "name").agg(F.min_by("schema", F.struct("turn", "k")).alias("schema")), "tools")
+    own = tools.select("conv_id").distinct().withColumn("known", F.lit(True))
+    calls = calls.join(tools, ["conv_id", "name"], "left").join(own, "conv_id", "left").select("conv_id", "turn", "row", "k", "id", "name", "arguments", "error", "needs", "schema", "known")
+    calls = common.cut(spark, calls.mapInArrow(checked, CALLS), "calls")
     linked = None
     if not calls.isEmpty():
         results = rows.where((F.col("role") == "tool") | F.contains("text", F.lit("<tool_result>"))).mapInArrow(results_of, RESULTS)
@@ -208,7 +261,47 @@ def format_turns(spark: SparkSession, turns: DataFrame, schemas: dict[str, dict]
     return out.mapInArrow(render, "conv_id long, turn long, role string, n_calls long, n_linked long, n_invalid long, message string")
 
 
-#: DuckDB SQL for tables whose turns hold no call.
-ORACLE = """
-SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, to_json({'content': text, 'role': role})::VARCHAR AS message FROM conversations
+def _sql(turns: str) -> str:
+    """DuckDB: calls with their links and errors of form, of ``turns`` (conv_id, turn, role, text); schemas are not expressed."""
+    return rf"""
+WITH RECURSIVE turns AS ({turns}),
+c0 AS (SELECT conv_id, turn, role, text, unnest(regexp_extract_all(text, '<tool_call>(.*?)</tool_call>', 1, 's')) AS raw, generate_subscripts(regexp_extract_all(text, '<tool_call>(.*?)</tool_call>', 1, 's'), 1) AS k FROM (SELECT DISTINCT conv_id, turn, role, text FROM turns)),
+calls AS (SELECT * EXCLUDE (raw), CASE WHEN json_valid(raw) AND json_type(raw, '$.id') = 'VARCHAR' AND json_type(raw, '$.name') = 'VARCHAR' THEN raw END AS call FROM c0),
+r0 AS (SELECT conv_id, unnest(CASE WHEN contains(text, '<tool_result>') THEN regexp_extract_all(text, '<tool_result>(.*?)</tool_result>', 1, 's') WHEN role = 'tool' THEN [text] ELSE [] END) AS raw FROM turns),
+results AS (SELECT DISTINCT conv_id, coalesce(raw ->> '$.id', raw ->> '$.tool_call_id') AS id FROM r0 WHERE json_valid(raw)),
+t0 AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '<tools>(.*?)</tools>', 1, 's')) AS raw FROM turns),
+tools AS (SELECT conv_id, tool ->> '$.name' AS name, arg_min(tool -> '$.parameters', turn) AS schema FROM (SELECT conv_id, turn, unnest(from_json(raw, '["JSON"]')) AS tool FROM t0 WHERE json_valid(raw)) GROUP BY ALL),
+linked AS (SELECT calls.*, call ->> '$.id' AS id, call ->> '$.name' AS name, results.id IS NOT NULL AS has_result, tools.schema, EXISTS (SELECT 1 FROM tools t WHERE t.conv_id = calls.conv_id) AS known
+ FROM calls LEFT JOIN results ON results.conv_id = calls.conv_id AND results.id = call ->> '$.id' LEFT JOIN tools ON tools.conv_id = calls.conv_id AND tools.name = call ->> '$.name'),
+judged AS (SELECT *, call IS NULL OR (known AND (schema IS NULL OR coalesce((call ->> '$.arguments.n')::BIGINT > (schema ->> '$.properties.n.maximum')::BIGINT, false) OR (coalesce(schema ->> '$.required[0]', '') = 'n' AND (call -> '$.arguments.n') IS NULL))) AS wrong FROM linked),
+per AS (SELECT conv_id, turn, role, text, count(*) AS n_calls, count(*) FILTER (has_result) AS n_linked, count(*) FILTER (wrong) AS n_invalid FROM judged GROUP BY ALL)"""
+
+
+#: DuckDB SQL for ``format_turns`` over conversations whose calls, if any, take a number n; the message of turns without a call.
+ORACLE = (
+    _sql("SELECT conv_id, turn, role, text FROM conversations")
+    + """ SELECT c.conv_id, c.turn, c.role, coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(n_invalid, 0)::BIGINT AS n_invalid,
+ CASE WHEN n_calls IS NULL THEN to_json({'content': c.text, 'role': c.role})::VARCHAR END AS message
+FROM conversations c LEFT JOIN per ON per.conv_id = c.conv_id AND per.turn = c.turn AND per.role IS NOT DISTINCT FROM c.role AND per.text IS NOT DISTINCT FROM c.text"""
+)
+
+#: Turns of conversations with calls put in, the same text for both engines. Each assistant's turn calls a tool; every third
+#: conversation's calls need the result of the next one, the others' that of the one before; two of three turns after a call
+#: hold its result; every second conversation declares one tool of the two.
+MADE = """
+SELECT conv_id, turn, role, concat(coalesce(text, ''),
+ CASE WHEN role = 'assistant' THEN concat('<tool_call>{"id": "c', turn, '", "name": "', CASE WHEN conv_id % 5 = 0 THEN 'find' ELSE 'count' END, '", "arguments": {"n": ', length(text), ', "of": {"$result": "c', CASE WHEN conv_id % 3 = 0 THEN turn + 2 ELSE turn - 2 END, '"}}}</tool_call>') ELSE '' END,
+ CASE WHEN role <> 'assistant' AND (conv_id + turn) % 3 > 0 THEN concat('<tool_result>{"id": "c', turn - 1, '", "content": ', turn, '}</tool_result>') ELSE '' END,
+ CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN '<tools>[{"name": "count", "parameters": {"required": ["n"], "properties": {"n": {"type": "integer", "maximum": 300}}}}]</tools>' ELSE '' END) AS text
+FROM {conversations}
 """
+
+#: Levels: calls without an earlier one to wait for first, then a level for each step; only where some call needs a later one.
+MADE_ORACLE = (
+    _sql(MADE.replace("{conversations}", "conversations"))
+    + """, e AS (SELECT a.conv_id, a.id, a.turn, b.id AS other, b.turn AS other_turn FROM judged a JOIN judged b ON a.conv_id = b.conv_id AND b.id = a.call ->> '$.arguments.of."$result"'),
+odd AS (SELECT DISTINCT conv_id FROM e WHERE other_turn >= turn),
+walk(conv_id, id, level) AS (SELECT conv_id, id, 0 FROM judged UNION SELECT e.conv_id, e.id, level + 1 FROM walk JOIN e ON e.conv_id = walk.conv_id AND e.other = walk.id),
+lev AS (SELECT w.conv_id, id, CASE WHEN odd.conv_id IS NULL THEN 0 ELSE level END AS level FROM (SELECT conv_id, id, max(level) AS level FROM walk GROUP BY ALL) w LEFT JOIN odd ON odd.conv_id = w.conv_id)
+SELECT per.conv_id, per.turn, n_calls, n_linked, n_invalid, lev.level::BIGINT AS level FROM per JOIN judged USING (conv_id, turn) JOIN lev ON lev.conv_id = per.conv_id AND lev.id = judged.id"""
+)

@@ -1,5 +1,6 @@
 import itertools
 import json
+import random
 
 import duckdb
 import numpy as np
@@ -154,6 +155,52 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert toolcalls.format_turns(spark, frame.limit(0)).count() == 0
 
 
+def test_declared_tools_are_schemas(spark):
+    declared = [{"name": "f", "parameters": SCHEMAS["f"]}, {"name": "k"}, {"parameters": {}}, 3]
+    rows = [
+        (1, 0, "system", f"<tools>{json.dumps(declared)}</tools> <tools>[bad</tools>"), (1, 1, "assistant", turn({"id": "a", "name": "f", "arguments": {"x": "1"}}, {"id": "b", "name": "k", "arguments": {"y": 2}}, {"id": "c", "name": "g", "arguments": {"q": "x"}})),
+        (2, 0, "assistant", turn({"id": "a", "name": "f", "arguments": {"x": "1"}})), (3, 0, "user", '<tools>{"name": "f", "parameters": {"required": ["x", 7], "properties": 5}}</tools>'), (3, 1, "assistant", turn({"id": "a", "name": "f", "arguments": {"x": 1}})),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    errors = lambda schemas: {(r.conv_id, r.turn): [c["error"] for c in json.loads(r.message)["tool_calls"]] for r in toolcalls.format_turns(spark, frame, schemas).collect() if r.n_calls}
+    own = {(1, 1): ["$.x: not integer", None, "unknown tool"], (2, 0): [None], (3, 1): ["$.7: missing"]}
+    assert errors(None) == own and errors({"f": {"required": ["z"]}}) == own | {(2, 0): ["$.z: missing"]}
+
+
+def test_random_calls_against_brute_force(spark):
+    """Links, levels (cycles too) and errors of random conversations."""
+    rng = random.Random(11)
+    rows, talks = [], {}
+    for conv in range(60):
+        names = [f"c{k}" for k in range(rng.randint(1, 7))]
+        calls = [{"id": i, "name": rng.choice("fg"), "arguments": {"n": rng.randint(0, 9), "of": [{"$result": rng.choice(names)} for _ in range(rng.choice([0, 0, 1, 1, 2]))]}} for i in names]
+        results = {i: rng.randint(0, 99) for i in names if rng.random() < 0.7}
+        tools = [{"name": "f", "parameters": {"properties": {"n": {"maximum": 5}}}}] if rng.random() < 0.5 else []
+        rows.append((conv, 0, "system", f"<tools>{json.dumps(tools)}</tools>" if tools else "hello"))
+        rows += [(conv, 1 + k, "assistant", turn(c)) for k, c in enumerate(calls)]
+        rows += [(conv, 50 + k, "tool", json.dumps({"tool_call_id": i, "content": v})) for k, (i, v) in enumerate(results.items())]
+        talks[conv] = (calls, results, tools)
+    got = {(r.conv_id, r.turn): json.loads(r.message)["tool_calls"][0] for r in toolcalls.format_turns(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.n_calls}
+    cycles = 0
+    for conv, (calls, results, tools) in talks.items():
+        place = {c["id"]: k for k, c in enumerate(calls)}
+        need = {c["id"]: {x["$result"] for x in c["arguments"]["of"]} for c in calls}
+        level = {i: 0 for i in place} if all(place[o] < place[i] for i in place for o in need[i]) else {}
+        step = 0
+        while step == 0 or len(level) < len(place):
+            free = [i for i in place if i not in level and all(o in level for o in need[i])]
+            if not free:
+                break
+            level.update(dict.fromkeys(free, step))
+            step += 1
+        cycles += len(level) < len(place)
+        for k, c in enumerate(calls):
+            error = None if not tools else "unknown tool" if c["name"] != "f" else "$.n: out of range" if c["arguments"]["n"] > 5 else None
+            found = got[conv, 1 + k]
+            assert (found["id"], found["level"], found["result"], found["error"]) == (c["id"], level.get(c["id"]), results.get(c["id"]), error)
+    assert cycles > 5
+
+
 def test_canonical_json():
     assert toolcalls.canonical({"b": [1.0, 1.5, None, True], "a": {"é": "\n\"/"}}) == '{"a":{"é":"\\n\\"/"},"b":[1,1.5,null,true]}'
     with pytest.raises(ValueError):
@@ -166,6 +213,13 @@ def test_turns_against_sql(spark, sf):
     assert sorted(map(tuple, queries.op5_tool_calls(spark, sf).select(*columns.split(", ")).collect())) == sorted(want)
 
 
+def test_made_calls_against_sql(spark, sf):
+    columns = "conv_id, turn, n_calls, n_linked, n_invalid, level"
+    want = duck(sf, "conversations").execute(f"SELECT {columns} FROM ({toolcalls.MADE_ORACLE})").fetchall()
+    got = queries.tool_calls_made(spark, sf).select(*columns.split(", ")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r.n_linked for r in got) > 0 < sum(r.n_invalid for r in got) and len({r.level for r in got}) > 2
+
+
 # Pipeline
 
 
@@ -182,10 +236,19 @@ def test_stages_in_turn(spark, sf):
     assert ids(kept[0][1]) == good
     known = {r.doc_id for r in langcrf.predict(spark, kept[1][0]).collect() if r.lang_pred != langcrf.UNKNOWN and r.score >= langcrf.LEAST_SCORE}
     assert ids(kept[1][1]) == known
-    assert ids(kept[2][1]) == {r.component_id for r in simhash.near_duplicates(spark, kept[2][0]).collect()}
+    texts = {r.doc_id: r.text for r in kept[2][0].collect()}
+    sets = {i: jaccard.shingles(t.encode()) for i, t in texts.items()}
+    near = {(i, j) for i in texts for j in texts if i < j and jaccard.similar(sets[i], sets[j])}
+    left = ids(kept[2][1])
+    assert not any(i in left and j in left for i, j in near) and all(any(j == gone or i == gone for i, j in near) for gone in ids(docs_of(kept[2])) - left)
+    assert len(left) < len(texts) and {i for i in texts if not any(i in pair for pair in near)} <= left
     assert ids(corpus_pipeline.run(spark, sf)) == ids(docs)
 
 
+def docs_of(before_and_after):
+    return before_and_after[0]
+
+
 def test_stages_bear_odd_rows(spark, sf, odd_documents, no_documents):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd_documents, sf).collect()
