@@ -20,6 +20,12 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
+    def cut(self) -> "Graph":
+        """The same graph, its tables checkpointed once for all that follows."""
+        from .operators.traversal import cut
+
+        return replace(self, nodes=cut(self.nodes), edges=cut(self.edges))
+
     def where(self, condition: Column) -> "Graph":
         """Nodes that meet a condition and the edges among them."""
         return Graph(self.nodes.where(condition), self.edges).clean()

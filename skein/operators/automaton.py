@@ -290,8 +290,8 @@ class Automaton:
     def step(self, rule: Rule | None = None) -> Tick:
         done = cut(evaluate(self.state, self.adjacency, [rule] if rule else self.rules.by_priority()))
         self.state = applied(done)
-        n, t = done.agg(F.count(F.lit(1)), F.count_if(F.col("outcome").isNotNull())).first()
-        mean = self.state.agg(F.coalesce(F.avg("activation"), F.lit(0.0))).first()[0]
+        now = F.coalesce("outcome.activation", "activation")
+        n, t, mean = done.agg(F.count(F.lit(1)), F.count_if(F.col("outcome").isNotNull()), F.coalesce(F.avg(now), F.lit(0.0))).first()
         self.history.append(Tick(len(self.history) + 1, t, n - t, mean))
         return self.history[-1]
 

@@ -101,25 +101,44 @@ def stem(path: str | Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.col(path) if isinstance(path, str) else path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
-def tests_by_stem(g: Graph, nodes: DataFrame) -> DataFrame:
-    """id, test: tests whose path holds a node's stem as a run of letters, digits and ``_`` cut at word parts.
+GRAM = 3
+
+
+def _grams(c: Column, n: Column | int = GRAM) -> Column:
+    """The distinct runs of ``n`` characters of a text; none if it is shorter."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))).otherwise(F.array().cast("array<string>"))
+
 
-    A stem inside a path joins on its parts: the test path is unfolded to all runs of its ``_``-separated parts, so a stem
-    meets a run that equals it. Stems that begin or end inside a part are compared within the part's own suffixes.
+def stem_matches(tests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, stem, test, test_path candidates: rows whose test path may hold the node's stem anywhere, even inside a word.
+
+    An equi-join on grams: test paths are unfolded to their runs of 1 to GRAM characters, of the lengths that stems need, and
+    each stem meets them at the rarest of its own runs. Stems that have a run that no test path has are out at once.
     """
-    tests = g.nodes.where("kind = 'Test'").select(F.col("id").alias("test"), F.col("path").alias("test_path"))
-    words = F.split(F.regexp_replace("test_path", "[^A-Za-z0-9_]+", "/"), "/")
-    pieces = tests.select("test", F.explode(words).alias("w")).where("w <> ''").withColumn("p", F.split("w", "_"))
-    begins = pieces.select("test", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i"))
-    runs = begins.select("test", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - F.col("i") + 1), lambda n: F.array_join(F.slice("p", F.col("i"), n), "_"))).alias("stem")).where("stem <> ''").distinct()
-    return nodes.select("id", stem("path").alias("stem")).where("stem <> ''").join(runs, "stem").select("id", "test").distinct()
+    stems = nodes.select("id", stem("path").alias("stem")).where("stem <> ''")
+    distinct = stems.select("stem").distinct().withColumn("n", F.least(F.lit(GRAM), F.length("stem")))
+    lengths = F.broadcast(distinct.select("n").distinct())  # GRAM rows at most
+    held = tests.select(F.col("id").alias("test"), F.col("path").alias("test_path")).join(lengths).select("test", "test_path", F.explode(_grams(F.col("test_path"), F.col("n"))).alias("gram"))
+    frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    rarest = distinct.select("stem", F.explode(_grams(F.col("stem"), F.col("n"))).alias("gram")).join(frequency, "gram", "left").groupBy("stem")
+    rarest = rarest.agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("r")).where("r.c > 0").select("stem", F.col("r.gram").alias("gram"))
+    return stems.join(rarest, "stem").join(held, "gram").select("id", "stem", "test", "test_path")
+
+
+def tests_by_stem(g: Graph, nodes: DataFrame) -> DataFrame:
+    """id, test: tests whose path holds a node's stem."""
+    return stem_matches(g.nodes.where("kind = 'Test'"), nodes).where(F.contains("test_path", F.col("stem"))).select("id", "test").distinct()
 
 
-def nearby_tests(g: Graph) -> DataFrame:
-    """id, test: tests with an edge to a node, and those by stem."""
+def nearby_tests(g: Graph, nodes: DataFrame | None = None) -> DataFrame:
+    """id, test: of ``nodes`` (all but directories), the tests with an edge to each, and those by stem; a test's own path holds its stem."""
+    own = nodes if nodes is not None else g.nodes.where("kind <> 'Directory'")
     tests = g.nodes.where("kind = 'Test'").select(F.col("id").alias("src"))
     direct = g.edges.join(tests, "src", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("test"))
-    return direct.unionByName(tests_by_stem(g, g.nodes.where("kind <> 'Directory'"))).where("id <> test").distinct()
+    if nodes is not None:
+        direct = direct.join(own.select("id"), "id", "left_semi")
+    return direct.unionByName(tests_by_stem(g, own)).distinct()
 
 
 def related_paths(g: Graph, node_id: int, outward: bool = True) -> DataFrame:

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..session import ship
+from . import cell_tree
+from .cell_tree import SOFT
 from .traversal import cut
 
-SOFT = 0.01
+AXES = ("x", "y")
+#: Places and edges of a layout that one task runs by itself, for many steps a job.
+ONE_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -42,105 +46,63 @@ def bounds(at: DataFrame) -> DataFrame:
 
 
 def cells(at: DataFrame, depth: int, side: float, x0: float, y0: float) -> DataFrame:
-    """level, cell, mass, x, y (centre of mass) of every occupied cell of a quadtree down to ``depth``: one sum over Morton prefixes.
+    """level, i, j, mass, x, y (centre of mass) of every occupied cell of a quadtree down to ``depth``."""
+    return cell_tree.cells(at, AXES, depth, side, (x0, y0))
 
-    Each place adds to one cell a level, so rows are places x levels before partial sums and at most that many cells after.
-    """
-    n = 1 << depth
-    grid = lambda c, low: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - low) / side * n))).cast("long")
-    own = at.select("id", "x", "y", grid("x", x0).alias("i"), grid("y", y0).alias("j"))
-    levels = own.select("x", "y", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.struct(d.alias("level"), F.call_function("shiftright", F.col("i"), F.lit(depth) - d).alias("i"), F.call_function("shiftright", F.col("j"), F.lit(depth) - d).alias("j")))).alias("c"))
-    return levels.groupBy("c.level", "c.i", "c.j").agg(F.count(F.lit(1)).alias("mass"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+#: Queries whose sums each task holds in one pass over the places.
+BLOCK = 4096
 
 
 def exact_repulsion(at: DataFrame, queries: DataFrame, strength: float) -> DataFrame:
-    """id, fx, fy of ``queries`` from all places, in blocks: Python tasks hold their queries and one block of places at a time.
+    """id, fx, fy of ``queries`` from all places, in blocks: a pass over the places for each block of queries, whose sums every
+    task makes for its own places before they are shuffled. Work is queries x places; repulsion() is for large graphs."""
+    ship(at.sparkSession)
+    found = None
+    for rows in _blocks(queries.select("id", F.col("x").cast("double"), F.col("y").cast("double")).toLocalIterator()):
+        ids, own = np.asarray([r[0] for r in rows], np.int64), np.asarray([r[1:] for r in rows], float)
 
-    For small graphs and for checking; the places are dealt to blocks, each block meets the queries once.
-    """
-    return _repulsion(at, queries, strength, None, 0)
+        def run(batches, ids=ids, own=own):
+            import pyarrow as pa
 
+            force = np.zeros_like(own)
+            for batch in batches:
+                places = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+                for k in range(0, len(places), 256):
+                    force += _exact(own, places[k : k + 256], strength)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(force[:, 0]), pa.array(force[:, 1])], ["id", "fx", "fy"])
+
+        part = at.select(F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(run, "id long, fx double, fy double")
+        part = cut(part.groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy")))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else queries.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy")).limit(0)
 
-def repulsion(at: DataFrame, config: Config) -> DataFrame:
-    """id, fx, fy by Barnes-Hut: cells accepted where width / distance < theta, the others opened."""
-    return _repulsion(at, at, config.repulsion, config.theta, config.depth)
 
+def _exact(own: np.ndarray, places: np.ndarray, strength: float) -> np.ndarray:
+    """The force on each of ``own`` from all ``places``; a place doesn't push itself, its distance being 0."""
+    d = own[:, None, :] - places[None, :, :]
+    d2 = (d * d).sum(axis=2) + SOFT
+    return (d * (strength / (d2 * np.sqrt(d2)))[:, :, None]).sum(axis=1)
 
-#: Places that a tree, held by each task, is built over at most; above, cells stand for the places of the lowest level.
-TREE_PLACES = 2_000_000
 
+def _blocks(rows):
+    held = []
+    for r in rows:
+        held.append(tuple(r))
+        if len(held) == BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
 
-def _repulsion(at: DataFrame, queries: DataFrame, strength: float, theta: float | None, depth: int) -> DataFrame:
+
+def repulsion(at: DataFrame, config: Config) -> DataFrame:
+    """id, fx, fy by Barnes-Hut: cells accepted where width / distance < theta, the others opened."""
     ship(at.sparkSession)
     b = bounds(at).first()
     if not b["n"]:
-        return queries.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-    if theta is None:
-        rows = at.select("x", "y").withColumn("mass", F.lit(1)).collect() if b["n"] <= 20_000 else None
-        if rows is None:
-            raise ValueError("exact repulsion is for 20,000 places at most")
-        tree = None
-        points = np.asarray([(r[0], r[1]) for r in rows])
-    else:
-        # bounded: occupied cells of the levels that keep the tree under TREE_PLACES
-        levels = depth
-        while levels > 1 and min(b["n"], 4**levels) * 1.34 > TREE_PLACES:
-            levels -= 1
-        rows = cells(at, levels, b["side"], b["x0"], b["y0"]).collect()
-        points = None
-        tree = [{} for _ in range(levels + 1)]
-        for r in rows:
-            tree[r["level"]][r["i"], r["j"]] = (r["mass"], r["x"], r["y"])
-
-    side = b["side"]
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            force = _exact(x, y, points, strength) if tree is None else _walk(x, y, tree, side, theta, strength)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(force[0]), pa.array(force[1])], ["id", "fx", "fy"])
-
-    return queries.select("id", "x", "y").mapInArrow(run, "id long, fx double, fy double")
-
-
-def _push(dx, dy, mass, strength):
-    d2 = dx * dx + dy * dy + SOFT
-    size = strength * mass / d2 / np.sqrt(d2)
-    return dx * size, dy * size
-
-
-def _exact(x, y, points, strength):
-    fx, fy = np.zeros(len(x)), np.zeros(len(x))
-    for k in range(0, len(points), 2048):
-        dx, dy = x[:, None] - points[None, k : k + 2048, 0], y[:, None] - points[None, k : k + 2048, 1]
-        px, py = _push(dx, dy, 1.0, strength)  # a place doesn't push itself: dx and dy are 0
-        fx, fy = fx + px.sum(1), fy + py.sum(1)
-    return fx, fy
-
-
-def _walk(x, y, tree, side, theta, strength):
-    """All queries of a batch go down the tree together, level by level."""
-    fx, fy = np.zeros(len(x)), np.zeros(len(x))
-    front = {(0, 0): np.arange(len(x))}
-    for level, own in enumerate(tree):
-        width, below = side / (1 << level), {}
-        for (i, j), who in front.items():
-            if (i, j) not in own:
-                continue
-            mass, cx, cy = own[i, j]
-            dx, dy = x[who] - cx, y[who] - cy
-            near = (width / np.sqrt(dx * dx + dy * dy + SOFT) >= theta) & (mass > 1) & (level < len(tree) - 1)
-            px, py = _push(dx[~near], dy[~near], mass, strength)
-            np.add.at(fx, who[~near], px)
-            np.add.at(fy, who[~near], py)
-            if near.any():
-                for a in (0, 1):
-                    for c in (0, 1):
-                        below[2 * i + a, 2 * j + c] = who[near]
-        front = below
-    return fx, fy
+        return at.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
+    return cell_tree.repulsion(at, AXES, config.depth, b["side"], (b["x0"], b["y0"]), config.theta, config.repulsion)
 
 
 def springs(at: DataFrame, edges: DataFrame, config: Config) -> DataFrame:
@@ -162,6 +124,52 @@ def step(at: DataFrame, edges: DataFrame, config: Config = Config()) -> DataFram
     return integrate(j, config)
 
 
+def run(at: DataFrame, edges: DataFrame, config: Config = Config(), steps: int = 1) -> DataFrame:
+    """Places after ``steps``. A graph whose counted places and edges are at most ONE_TASK is one task's work, with no job for
+    a step; larger ones take a distributed step() at a time. Both compute the same forces."""
+    if at.count() + edges.count() > ONE_TASK:
+        for _ in range(steps):
+            at = cut(step(at, edges, config))
+        return at
+    ship(at.sparkSession)
+    places = at.select(F.lit(0).alias("one"), "id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")]).groupBy("one")
+    links = edges.select(F.lit(0).alias("one"), "src", "dst").groupBy("one")
+
+    def simulate(left, right):
+        import pyarrow as pa
+
+        ids = left.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        p, v = (np.stack([left.column(c).to_numpy()[order] for c in names], axis=1) for names in (("x", "y"), ("vx", "vy")))
+        ends = [right.column(c).to_numpy() for c in ("src", "dst")] if right.num_rows else [np.zeros(0, np.int64)] * 2
+        at_ = [np.minimum(np.searchsorted(ids, e), max(0, len(ids) - 1)) for e in ends]
+        known = (ends[0] != ends[1]) & (ids[at_[0]] == ends[0]) & (ids[at_[1]] == ends[1]) if len(ids) else np.zeros(0, bool)
+        a, b = at_[0][known], at_[1][known]
+        for _ in range(steps if len(ids) else 0):
+            p, v = _moved(p, v, a, b, config)
+        return pa.table({"id": ids, "x": p[:, 0], "y": p[:, 1], "vx": v[:, 0], "vy": v[:, 1]})
+
+    return places.cogroup(links).applyInArrow(simulate, "id long, x double, y double, vx double, vy double")
+
+
+def _moved(p: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
+    """Places and velocities after a step; edges join rows a and b."""
+    low = p.min(axis=0)
+    side = max(*(p.max(axis=0) - low), 1.0) * 1.1
+    if config.barnes_hut:
+        force = cell_tree.CellTree.of_places(p, config.depth, side, low).push(p, config.theta, config.repulsion)
+    else:
+        force = np.concatenate([_exact(p[k : k + 256], p, config.repulsion) for k in range(0, len(p), 256)])
+    d = p[b] - p[a]
+    dist = np.sqrt((d * d).sum(axis=1) + SOFT)
+    pull = d * ((dist - config.ideal_length) * config.attraction / dist)[:, None]
+    for axis in range(2):
+        force[:, axis] += np.bincount(a, pull[:, axis], minlength=len(p)) - np.bincount(b, pull[:, axis], minlength=len(p))
+    v = (v + (force - p * config.gravity) * config.dt) * config.damping
+    return p + v * config.dt, v
+
+
 def integrate(j: DataFrame, config: Config) -> DataFrame:
     """Velocity and place after a step under forces fx, fy (push) and px, py (pull, may be null)."""
     force = lambda f, p, c: F.col(f) + F.coalesce(p, F.lit(0.0)) - F.col(c) * config.gravity

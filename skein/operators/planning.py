@@ -197,10 +197,15 @@ def migration_reason(path: Column, in_degree: Column, has_test: Column, strategy
 
 
 def test_signal(g: Graph, nodes: DataFrame) -> DataFrame:
-    """Ids of nodes with an edge from a test, or whose stem is a run of word parts in a test's path."""
+    """Ids of nodes whose metadata says has_tests, with an edge from a test, or whose stem a test's path holds."""
     from .joins import nearby_tests
 
-    return nodes.select("id").join(nearby_tests(Graph(g.nodes, g.edges)).select("id"), "id", "left_semi")
+    found = nearby_tests(g, nodes).select("id")
+    if "metadata" in g.nodes.columns:
+        found = found.unionByName(g.nodes.where(F.col("metadata")["has_tests"] == "true").select("id"))
+    if "has_tests" in g.nodes.columns:
+        found = found.unionByName(g.nodes.where(F.col("has_tests").cast("string") == "true").select("id"))
+    return nodes.select("id").join(found, "id", "left_semi")
 
 
 def migration_candidates(g: Graph) -> DataFrame:

@@ -16,24 +16,24 @@ UNION ALL SELECT CAST(4000000000 + s_suppkey AS BIGINT), concat('supplier_', s_s
 UNION ALL SELECT CAST(5000000000 + p_partkey AS BIGINT), CASE WHEN p_partkey % 500 = 0 THEN 'lib.rs' WHEN p_size % 10 = 0 THEN concat('part_', p_partkey, '_utils.rs') ELSE concat('part_', p_partkey, '.rs') END, 'File',
  CASE WHEN p_partkey % 500 = 0 THEN concat('parts/p', p_partkey, '/lib.rs') WHEN p_size % 10 = 0 THEN concat('parts/part_', p_partkey, '_utils.rs') ELSE concat('parts/part_', p_partkey, '.rs') END FROM {part}
 UNION ALL SELECT CAST(6000000000 + o_orderkey AS BIGINT), CASE WHEN o_orderkey % 50 = 0 THEN concat('test_order_', o_orderkey, '.rs') ELSE concat('order_', o_orderkey, '.rs') END, CASE WHEN o_orderkey % 50 = 0 THEN 'Test' ELSE 'File' END,
- CASE WHEN o_orderkey % 50 = 0 THEN concat('orders/test_order_', o_orderkey, '.rs') ELSE concat('orders/order_', o_orderkey, '.rs') END FROM {orders} WHERE o_orderkey < {most}
+ CASE WHEN o_orderkey % 50 = 0 THEN concat('orders/test_order_', o_orderkey, '.rs') ELSE concat('orders/order_', o_orderkey, '.rs') END FROM {orders}
 """
 
 FK_EDGES = """
 SELECT CAST(1000000000 + n_regionkey AS BIGINT) AS src, CAST(2000000000 + n_nationkey AS BIGINT) AS dst, 'contains' AS relationship, 0 AS pos FROM {nation}
 UNION ALL SELECT CAST(2000000000 + c_nationkey AS BIGINT), CAST(3000000000 + c_custkey AS BIGINT), 'contains', 0 FROM {customer}
 UNION ALL SELECT CAST(2000000000 + s_nationkey AS BIGINT), CAST(4000000000 + s_suppkey AS BIGINT), 'contains', 0 FROM {supplier}
-UNION ALL SELECT CAST(6000000000 + o_orderkey AS BIGINT), CAST(3000000000 + o_custkey AS BIGINT), 'uses', 1 FROM {orders} WHERE o_orderkey < {most}
-UNION ALL SELECT DISTINCT CAST(6000000000 + l_orderkey AS BIGINT), CAST(5000000000 + l_partkey AS BIGINT), 'imports', 2 FROM {lineitem} WHERE l_orderkey < {most}
-UNION ALL SELECT DISTINCT CAST(5000000000 + l_partkey AS BIGINT), CAST(4000000000 + l_suppkey AS BIGINT), 'imports', 2 FROM {lineitem} WHERE l_orderkey < {most}
+UNION ALL SELECT CAST(6000000000 + o_orderkey AS BIGINT), CAST(3000000000 + o_custkey AS BIGINT), 'uses', 1 FROM {orders}
+UNION ALL SELECT DISTINCT CAST(6000000000 + l_orderkey AS BIGINT), CAST(5000000000 + l_partkey AS BIGINT), 'imports', 2 FROM {lineitem}
+UNION ALL SELECT DISTINCT CAST(5000000000 + l_partkey AS BIGINT), CAST(4000000000 + l_suppkey AS BIGINT), 'imports', 2 FROM {lineitem}
 """
 
-#: The extension stands for the language; every tenth document is a test.
+#: The extension stands for the language; every tenth document is a test, named after the document of a tenth of its id.
 DOC_NODES = """
 SELECT DISTINCT CAST(-1 - CAST(substr(source, 4) AS BIGINT) AS BIGINT) AS id, source AS name, 'Directory' AS kind, source AS path FROM {documents}
 UNION ALL SELECT doc_id, name, kind, concat(source, '/', lang, '/', name) FROM (
  SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN 'Test' ELSE 'File' END AS kind,
-  concat(CASE WHEN doc_id % 10 = 0 THEN 'test_' WHEN doc_id % 7 = 0 THEN 'parser_' WHEN doc_id % 11 = 0 THEN 'api_client_' WHEN doc_id % 13 = 0 THEN 'plugin_' ELSE 'doc_' END, doc_id, CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.rs' WHEN 'de' THEN '.ts' ELSE '.md' END) AS name
+  concat(CASE WHEN doc_id % 10 = 0 THEN 'test_doc_' WHEN doc_id % 7 = 0 THEN 'parser_' WHEN doc_id % 11 = 0 THEN 'api_client_' WHEN doc_id % 13 = 0 THEN 'plugin_' ELSE 'doc_' END, CASE WHEN doc_id % 10 = 0 THEN CAST(doc_id / 10 AS BIGINT) ELSE doc_id END, CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.rs' WHEN 'de' THEN '.ts' ELSE '.md' END) AS name
  FROM {documents}) AS d
 """
 
@@ -42,18 +42,14 @@ SELECT CAST(-1 - CAST(substr(source, 4) AS BIGINT) AS BIGINT) AS src, doc_id AS
 UNION ALL SELECT doc_id, prev, 'imports', 1 FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM {documents}) AS d WHERE prev IS NOT NULL
 """
 
-LARGE = 1 << 62
-#: Orders of the smaller graph that iterative queries run over.
-SMALL = 300
-
 
 def _names(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
 
 
-def fk_graph(spark: SparkSession, sf_dir: str, most: int = LARGE) -> Graph:
-    """Regions, nations, customers, suppliers, parts and orders, linked by their keys; only orders under ``most``."""
-    nodes, edges = (spark.sql(t.replace("{most}", str(most)), **_names(spark, sf_dir, t)) for t in (FK_NODES, FK_EDGES))
+def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions, nations, customers, suppliers, parts and orders, linked by their keys."""
+    nodes, edges = (spark.sql(t, **_names(spark, sf_dir, t)) for t in (FK_NODES, FK_EDGES))
     return Graph(nodes.withColumn("pos", nodes.id), edges)
 
 
@@ -63,16 +59,16 @@ def doc_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes.withColumn("pos", nodes.id), edges)
 
 
-def twin(text: str, most: int = LARGE) -> str:
+def twin(text: str) -> str:
     """The text for DuckDB's views."""
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
-    return text.replace("{most}", str(most))
+    return text
 
 
-def fk_sql(most: int = LARGE) -> str:
-    return f"nodes AS ({twin(FK_NODES, most)}), edges AS ({twin(FK_EDGES, most)})"
+def fk_sql() -> str:
+    return f"nodes AS MATERIALIZED ({twin(FK_NODES)}), edges AS MATERIALIZED ({twin(FK_EDGES)})"
 
 
 def doc_sql() -> str:
-    return f"nodes AS ({twin(DOC_NODES)}), edges AS ({twin(DOC_EDGES)})"
+    return f"nodes AS MATERIALIZED ({twin(DOC_NODES)}), edges AS MATERIALIZED ({twin(DOC_EDGES)})"

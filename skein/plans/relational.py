@@ -9,11 +9,10 @@ from ..operators import degrees as D
 from ..operators import joins as J
 from ..operators import search as R
 from ..operators import traversal as T
-from .projections import SMALL, doc_graph, doc_sql, fk_graph, fk_sql
+from .projections import doc_graph, doc_sql, fk_graph, fk_sql
 from .registry import query, r6
 
 FK, DOC = f"WITH RECURSIVE {fk_sql()}", f"WITH RECURSIVE {doc_sql()}"
-FK_SMALL = f"WITH RECURSIVE {fk_sql(SMALL)}"
 DEG = ", ind AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst), outd AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY src), deg AS (SELECT nodes.id, coalesce(ind.n, 0)::BIGINT AS in_degree, coalesce(outd.n, 0)::BIGINT AS out_degree FROM nodes LEFT JOIN ind USING (id) LEFT JOIN outd USING (id))"
 BOTH = ", both_ways AS (SELECT src AS id, dst AS peer, relationship, pos FROM edges UNION ALL SELECT dst, src, relationship, pos FROM edges WHERE src <> dst)"
 REGION, NATION = 1_000_000_000, 2_000_000_000
@@ -100,9 +99,9 @@ def _(s, d):
     return D.roots(fk_graph(s, d)).select("id")
 
 
-@query("d10_orphans", f"{FK_SMALL} SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM edges) AND id NOT IN (SELECT src FROM edges)")
+@query("d10_orphans", f"{FK} SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM edges) AND id NOT IN (SELECT src FROM edges)")
 def _(s, d):
-    return D.orphans(fk_graph(s, d, SMALL)).select("id")
+    return D.orphans(fk_graph(s, d)).select("id")
 
 
 @query("d11_degree_flags", f"{FK}{DEG}{NORM} SELECT id, in_degree = 0 AND out_degree = 0 AS is_isolated, in_degree = 0 AS is_leaf, norm_in >= 0.5 AS is_hub FROM norm")
@@ -239,12 +238,12 @@ def _(s, d):
     return J.match_changed(fk_graph(s, d).nodes, s.createDataFrame([(c,) for c in CHANGED], "changed string"))
 
 
-@query("e13_enrich_hits", f"{FK}, h AS (SELECT id, (id % 1000) / 1000.0::DOUBLE AS score FROM nodes WHERE id % 1000 > 990) SELECT id, name, round(score, 6) AS score FROM h JOIN nodes USING (id)")
+@query("e13_enrich_hits", f"{FK}, h AS (SELECT id, (id % 1000) / 1000.0::DOUBLE AS score FROM nodes) SELECT id, name, round(score, 6) AS score FROM h JOIN nodes USING (id)")
 def _(s, d):
     from ..operators.vectors import enrich
 
     n = fk_graph(s, d).nodes
-    return enrich(n.where("id % 1000 > 990").select("id", (F.col("id") % 1000 / 1000.0).alias("score")), n).select("id", "name", r6("score"))
+    return enrich(n.select("id", (F.col("id") % 1000 / 1000.0).alias("score")), n).select("id", "name", r6("score"))
 
 
 @query("e14_tested", f"{FK} SELECT DISTINCT dst AS id FROM edges JOIN nodes ON nodes.id = src WHERE kind = 'Test'")
@@ -252,7 +251,10 @@ def _(s, d):
     return J.tested(fk_graph(s, d))
 
 
-@query("e16_nearby_tests", f"{DOC}, t AS (SELECT id, path FROM nodes WHERE kind = 'Test'), direct AS (SELECT dst AS id, src AS test FROM edges JOIN t ON t.id = src), st AS (SELECT id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM nodes WHERE kind <> 'Directory'), byname AS (SELECT st.id, t.id AS test FROM st JOIN t ON regexp_matches(t.path, '(^|[^A-Za-z0-9])' || st.stem || '($|[^A-Za-z0-9])') AND stem <> '') SELECT DISTINCT id, test FROM (SELECT * FROM direct UNION ALL SELECT * FROM byname) WHERE id <> test")
+STEM = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
+
+
+@query("e16_nearby_tests", f"{DOC}, t AS (SELECT id, path FROM nodes WHERE kind = 'Test'), direct AS (SELECT dst AS id, src AS test FROM edges JOIN t ON t.id = src), st AS (SELECT id, {STEM} AS stem FROM nodes WHERE kind <> 'Directory'), byname AS (SELECT st.id, t.id AS test FROM st JOIN t ON contains(t.path, st.stem) AND stem <> '') SELECT DISTINCT id, test FROM (SELECT * FROM direct UNION ALL SELECT * FROM byname)")
 def _(s, d):
     return J.nearby_tests(doc_graph(s, d))
 
@@ -325,15 +327,15 @@ def _(s, d):
     return T.context(fk_graph(s, d), NATION + 3).edges.select("src", "dst", "relationship")
 
 
-@query("h1_union_selection", f"{FK_SMALL}{_reach(2, 'dst', 'src')} SELECT id FROM reach")
+@query("h1_union_selection", f"{FK}{_reach(2, 'dst', 'src')} SELECT id FROM reach")
 def _(s, d):
-    g = fk_graph(s, d, SMALL)
+    g = fk_graph(s, d)
     return T.expand(g, g.nodes.where(F.col("id").between(SUPPLIER, SUPPLIER + 2)), 2)
 
 
-@query("h2_replace_selection", f"{FK_SMALL}{_reach(2, 'dst', 'src')} SELECT id FROM reach WHERE depth = 2")
+@query("h2_replace_selection", f"{FK}{_reach(2, 'dst', 'src')} SELECT id FROM reach WHERE depth = 2")
 def _(s, d):
-    g = fk_graph(s, d, SMALL)
+    g = fk_graph(s, d)
     return T.expand(g, g.nodes.where(F.col("id").between(SUPPLIER, SUPPLIER + 2)), 2, "replace")
 
 
@@ -350,15 +352,15 @@ def _(s, d):
 
 
 def _pagerank_sql(rounds: int) -> str:
-    out = f"{FK_SMALL}, e AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM edges), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT id, 1.0 / n AS rank FROM nodes, n)"
+    out = f"{FK}, e AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM edges), n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS MATERIALIZED (SELECT id, 1.0 / n AS rank FROM nodes, n)"
     for k in range(rounds):
-        out += f", r{k + 1} AS (SELECT nodes.id, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(g, 0) AS rank FROM nodes CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE id NOT IN (SELECT src FROM e)) LEFT JOIN (SELECT dst, sum(rank * share) AS g FROM r{k} JOIN e ON src = id GROUP BY dst) x ON x.dst = nodes.id)"
+        out += f", r{k + 1} AS MATERIALIZED (SELECT nodes.id, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(g, 0) AS rank FROM nodes CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE id NOT IN (SELECT src FROM e)) LEFT JOIN (SELECT dst, sum(rank * share) AS g FROM r{k} JOIN e ON src = id GROUP BY dst) x ON x.dst = nodes.id)"
     return out + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
 
 
-@query("i7_pagerank", _pagerank_sql(3))
+@query("i7_pagerank", _pagerank_sql(20))
 def _(s, d):
-    return T.pagerank(fk_graph(s, d, SMALL), rounds=3).select("id", F.round("rank", 9).alias("rank"))
+    return T.pagerank(fk_graph(s, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query("a35_lattice_edges", "WITH c AS (SELECT x, y FROM range(12) AS a(x), range(9) AS b(y)), o AS (SELECT i, j FROM range(-1, 2) AS a(i), range(-1, 2) AS b(j) WHERE i <> 0 OR j <> 0) SELECT DISTINCT y * 12 + x AS src, ((y + j + 9) % 9) * 12 + (x + i + 12) % 12 AS dst FROM c, o WHERE y * 12 + x < ((y + j + 9) % 9) * 12 + (x + i + 12) % 12")

@@ -22,13 +22,11 @@ from ..sources import project, render, scan, vcs
 from ..sources.store import Store, read_graph_json, write_graph_json
 from ..streaming import changes as C
 from .iterative import ACTION, DESCRIBED, FULL, ITEMS, MIG, ROLES, SEED, SQL, _structural_items, seeded_ids, ticks_sql
-from .projections import SMALL, doc_graph, fk_graph, fk_sql
+from .projections import doc_graph, fk_graph, fk_sql
 from .registry import ORACLES, query, r6
-from .relational import BOTH, DEG, DOC, FK, FK_SMALL, NATION, PART, REGION
+from .relational import BOTH, DEG, DOC, FK, NATION, PART, REGION
 from .textual import LOG_SQL, SRC_SQL, log_rows, sources
 
-IDS = f"{FK_SMALL}"
-
 
 def shared(s, name: str) -> str:
     """A folder below the session's shared one, or a local one where none is set."""
@@ -163,16 +161,16 @@ def _(s, d):
 # Stores
 
 
-@query("b3_graph_round_trip", f"{IDS} SELECT src, dst, relationship FROM edges")
+@query("b3_graph_round_trip", f"{FK} SELECT src, dst, relationship FROM edges")
 def _(s, d):
     st = Store(s, shared(s, "store"))
-    st.save_graph(fk_graph(s, d, SMALL))
+    st.save_graph(fk_graph(s, d))
     return st.load_graph().edges.select("src", "dst", "relationship")
 
 
-@query("a18_graph_json", f"{IDS}, n AS (SELECT * FROM nodes WHERE kind = 'Directory') SELECT id, name, kind, path FROM n")
+@query("a18_graph_json", f"{FK}, n AS (SELECT * FROM nodes WHERE kind = 'Directory') SELECT id, name, kind, path FROM n")
 def _(s, d):
-    g, at = fk_graph(s, d, SMALL).where(F.col("kind") == "Directory"), shared(s, "graph")
+    g, at = fk_graph(s, d).where(F.col("kind") == "Directory"), shared(s, "graph")
     write_graph_json(g, at)
     return read_graph_json(s, at).nodes.select("id", "name", "kind", "path")
 
@@ -231,20 +229,20 @@ def _(s, d):
 
 @query("p13_impact_markdown")
 def _(s, d):
-    g = fk_graph(s, d, SMALL)
+    g = fk_graph(s, d)
     desc = P.describe(g)
     return render.impact_markdown(P.impact_report(desc, A.with_description(g, desc, g.nodes.where(seeded_ids())).run_ticks(1).state))
 
 
 @query("p14_plan_markdown")
 def _(s, d):
-    items, g = _structural_items(s, d, SMALL)
+    items, g = _structural_items(s, d)
     return render.plan_markdown(items, P.summary(items, g.nodes.count()))
 
 
 @query("p15_task_markdown")
 def _(s, d):
-    items, g = _structural_items(s, d, SMALL)
+    items, g = _structural_items(s, d)
     return render.task_markdown(P.next_task(items, g))
 
 
@@ -282,26 +280,26 @@ NODE_SQL = [
 
 def _enter(name, sql, make):
     def run(s, d):
-        g = fk_graph(s, d, SMALL)
+        g = fk_graph(s, d)
         if make is None:
             p = api.Projects()
             p.register(api.Project("fk", g))
             return api.Tools(s, p).resource("health").select("status", "node_count", "edge_count")
         return make(g)
 
-    query(name, f"{IDS} {sql}")(run)
+    query(name, f"{FK} {sql}")(run)
 
 
 for _row in NODE_SQL:
     _enter(*_row)
 
 
-@query("c26_payloads", f"{IDS}{DEG} SELECT id, in_degree, out_degree, CASE WHEN id % 2 = 0 THEN id % 1000 END::BIGINT AS loc FROM deg")
+@query("c26_payloads", f"{FK}{DEG} SELECT id, in_degree, out_degree, CASE WHEN id % 2 = 0 THEN id % 1000 END::BIGINT AS loc FROM deg")
 def _(s, d):
     from ..operators.degrees import degrees
 
     raw = F.when(F.col("id") % 2 == 0, (F.col("id") % 1000).cast("string")).otherwise("many")
-    return degrees(fk_graph(s, d, SMALL)).select("id", "in_degree", "out_degree", raw.try_cast("long").alias("loc"))
+    return degrees(fk_graph(s, d)).select("id", "in_degree", "out_degree", raw.try_cast("long").alias("loc"))
 
 
 @query("c25_role_rules", table_sql(sorted((k,) for k in P.OBJECTIVE), "role"))
@@ -356,7 +354,7 @@ def _(s, d):
 
 
 def _auto(s, d, rules):
-    g = fk_graph(s, d, SMALL)
+    g = fk_graph(s, d).cut()
     return A.Automaton(g, rules, A.initial_state(g.nodes, F.when(seeded_ids(), 1.0).otherwise(0.0), seeded_ids()))
 
 
@@ -382,7 +380,7 @@ def _(s, d):
     return _auto(s, d, A.Registry(A.Delegate(F.coalesce(F.col("n_contains") > 0, F.lit(False)), A.ModuleActivation()))).run_ticks(1).state.select("id", r6("activation"))
 
 
-@query("j14_noop_rule", f"{IDS} SELECT count(*) AS transitions FROM nodes")
+@query("j14_noop_rule", f"{FK} SELECT count(*) AS transitions FROM nodes")
 def _(s, d):
     return _auto(s, d, A.Registry(A.NoOp())).run_ticks(1).ticks().select("transitions")
 
@@ -408,9 +406,9 @@ for _id, (_name, _class, _cond) in GUARDS.items():
     query(f"{_id}_{_name}_guard", f"{SQL}{ticks_sql(SEED, [_name], 1)} SELECT s0.id FROM s0 LEFT JOIN m0 ON m0.id = s0.id WHERE coalesce({_cond}, false)")(_guard)
 
 
-@query("p40_neighbours_with_repeats", f"{IDS}{BOTH} SELECT id, count(*) AS n FROM both_ways GROUP BY id")
+@query("p40_neighbours_with_repeats", f"{FK}{BOTH} SELECT id, count(*) AS n FROM both_ways GROUP BY id")
 def _(s, d):
-    return fk_graph(s, d, SMALL).both_ways().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return fk_graph(s, d).both_ways().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p36_prompts", f"{SQL} SELECT nodes.id, count(peer) AS n FROM nodes LEFT JOIN adj ON adj.id = nodes.id GROUP BY nodes.id")
@@ -420,7 +418,7 @@ def _(s, d):
     return p.select("id", F.get_json_object("prompt", "$.neighbors.n").cast("long").alias("n"))
 
 
-@query("j27_model_tick", f"{IDS} SELECT id, 0.25::DOUBLE AS activation FROM nodes")
+@query("j27_model_tick", f"{FK} SELECT id, 0.25::DOUBLE AS activation FROM nodes")
 def _(s, d):
     run = _auto(s, d, A.Registry())
     return ModelRule(_quarter).tick(run.graph, run.state).select("id", "activation")
@@ -430,7 +428,7 @@ def _quarter(prompts):
     return ['{"activation": 0.25}' for _ in prompts]
 
 
-@query("j30_unreadable_answers", f"{IDS} SELECT id, CASE WHEN id % 37 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS activation, 'unreadable answer' AS feedback FROM nodes")
+@query("j30_unreadable_answers", f"{FK} SELECT id, CASE WHEN id % 37 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS activation, 'unreadable answer' AS feedback FROM nodes")
 def _(s, d):
     run = _auto(s, d, A.Registry())
     return ModelRule(lambda prompts: ["?" for _ in prompts]).tick(run.graph, run.state)
@@ -438,7 +436,7 @@ def _(s, d):
 
 @query("j31_engine", f"{SQL}{ticks_sql(SEED, ['proximity', 'import', 'module'], 1)} SELECT id, round(a, 6) AS activation FROM s1")
 def _(s, d):
-    g = fk_graph(s, d, SMALL)
+    g = fk_graph(s, d)
     e = api.Engine(g)
     e.apply_intent("touch", [r[0] for r in g.nodes.where(seeded_ids()).select("id").collect()])
     e.tick()
@@ -480,37 +478,37 @@ def _(s, d):
 
 # Planning details
 
-PLAN_SMALL = f"{IDS}{ITEMS}"
+PLAN = f"{FK}{ITEMS}"
 
 
-@query("k3_descriptions", f"{IDS}{ROLES} SELECT id, name, role, round(stability, 6) AS stability, in_degree, out_degree FROM des")
+@query("k3_descriptions", f"{FK}{ROLES} SELECT id, name, role, round(stability, 6) AS stability, in_degree, out_degree FROM des")
 def _(s, d):
-    return P.describe(fk_graph(s, d, SMALL)).select("id", "name", "role", r6("stability"), "in_degree", "out_degree")
+    return P.describe(fk_graph(s, d)).select("id", "name", "role", r6("stability"), "in_degree", "out_degree")
 
 
-@query("k7_effective_stability", f"{IDS} SELECT id, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS stability FROM nodes")
+@query("k7_effective_stability", f"{FK} SELECT id, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS stability FROM nodes")
 def _(s, d):
     own = F.when(F.col("id") % 2 == 0, 0.9)
-    return fk_graph(s, d, SMALL).nodes.select("id", F.coalesce(own, F.lit(P.DEFAULT_TARGET)).alias("stability"))
+    return fk_graph(s, d).nodes.select("id", F.coalesce(own, F.lit(P.DEFAULT_TARGET)).alias("stability"))
 
 
-@query("k13_task_kinds", f"{PLAN_SMALL}, a AS (SELECT lower({ACTION}) AS x FROM items) SELECT CASE WHEN contains(x, 'test') THEN 'AddTests' WHEN contains(x, 'document') THEN 'AddDocs' WHEN contains(x, 'coupling') OR contains(x, 'interface') OR contains(x, 'extract') THEN 'ReduceCoupling' ELSE 'Refactor' END AS kind, count(*) AS n FROM a GROUP BY 1")
+@query("k13_task_kinds", f"{PLAN}, a AS (SELECT lower({ACTION}) AS x FROM items) SELECT CASE WHEN contains(x, 'test') THEN 'AddTests' WHEN contains(x, 'document') THEN 'AddDocs' WHEN contains(x, 'coupling') OR contains(x, 'interface') OR contains(x, 'extract') THEN 'ReduceCoupling' ELSE 'Refactor' END AS kind, count(*) AS n FROM a GROUP BY 1")
 def _(s, d):
-    items, _ = _structural_items(s, d, SMALL)
+    items, _ = _structural_items(s, d)
     return items.groupBy(S.task_action(F.col("action")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g3_plan_order", f"{PLAN_SMALL} SELECT id, row_number() OVER (ORDER BY round(0.6 * structural, 9) DESC, round(gap, 9) DESC, in_degree DESC, path, id) AS rank FROM items QUALIFY rank <= 30")
+@query("g3_plan_order", f"{PLAN} SELECT id, row_number() OVER (ORDER BY round(0.6 * structural, 9) DESC, round(gap, 9) DESC, in_degree DESC, path, id) AS rank FROM items QUALIFY rank <= 30")
 def _(s, d):
-    items, _ = _structural_items(s, d, SMALL)
+    items, _ = _structural_items(s, d)
     i = items.withColumns({"priority": F.round("priority", 9), "gap": F.round("gap", 9)})
     order = (F.desc("priority"), F.desc("gap"), F.desc("in_degree"), F.asc("path"), F.asc("id"))
     return J.ranked(i.orderBy(*order).limit(30), *order).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("f19_weighted_gap", f"{PLAN_SMALL} SELECT round(coalesce(sum(gap), 0) / (SELECT count(*) FROM nodes), 6) AS weighted FROM items")
+@query("f19_weighted_gap", f"{PLAN} SELECT round(coalesce(sum(gap), 0) / (SELECT count(*) FROM nodes), 6) AS weighted FROM items")
 def _(s, d):
-    items, g = _structural_items(s, d, SMALL)
+    items, g = _structural_items(s, d)
     return P.quality(items, g.nodes.count()).select(r6("weighted_gap", "weighted"))
 
 
@@ -648,7 +646,7 @@ def _(s, d):
 
 @query("j13_damped_description", f"{SQL}{ROLES}{ticks_sql(DESCRIBED, [r for r in FULL if r == 'damped'], 2)} SELECT id, round(a, 6) AS activation FROM s2")
 def _(s, d):
-    g = fk_graph(s, d, SMALL)
+    g = fk_graph(s, d)
     run = A.with_description(g, P.describe(g), g.nodes.where(seeded_ids()))
     run.rules = A.Registry(A.DampedPropagation(0.5))
     return run.run_ticks(2).state.select("id", r6("activation"))
@@ -659,15 +657,15 @@ def _(s, d):
     return values(s, project.ProjectConfig("p", {"b": "x", "a": "y"}, ["a", "zz"]).watch_scripts(), "name string, command string")
 
 
-@query("i13_added_edges", f"WITH {fk_sql(SMALL)} SELECT count(*) + 1 AS n FROM edges")
+@query("i13_added_edges", f"WITH {fk_sql()} SELECT count(*) + 1 AS n FROM edges")
 def _(s, d):
     more = values(s, [(REGION, NATION, "uses", 9), (REGION, REGION, "uses", 9), (REGION, 77, "uses", 9)], "src long, dst long, relationship string, pos int")
-    return fk_graph(s, d, SMALL).add_edges(more).edges.agg(F.count(F.lit(1)).alias("n"))
+    return fk_graph(s, d).add_edges(more).edges.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("i14_node_metadata", f"{IDS} SELECT id, CASE WHEN kind = 'Test' THEN 'true' END AS has_tests FROM nodes")
+@query("i14_node_metadata", f"{FK} SELECT id, CASE WHEN kind = 'Test' THEN 'true' END AS has_tests FROM nodes")
 def _(s, d):
-    g = fk_graph(s, d, SMALL)
+    g = fk_graph(s, d)
     g = api.Graph(g.nodes.withColumn("metadata", F.expr("cast(map() as map<string,string>)")), g.edges)
     out = g.with_metadata(g.nodes.where("kind = 'Test'").select("id", F.lit("true").alias("value")), "has_tests")
     return out.nodes.select("id", F.col("metadata")["has_tests"].alias("has_tests"))
