@@ -3,7 +3,9 @@
 Archives are ``.warc.gz`` files of one gzip member a record. The index is a sorted list of captures (reversed-host key,
 page_id) cut into shards by key range; a shard is a file of compressed blocks of lines and a sparse directory with the first
 capture of each block. A look-up binary-searches shards, then the directory, reads one block's bytes, and then one record's.
-Only files named in the manifests count, so files of lost or repeated task attempts do no harm.
+Many look-ups at once, as in reading all back, are dealt to the shards in key order, and the captures they find to their
+archives, each of which is opened once. Only files named in the manifests count, so files of lost or repeated task attempts do
+no harm.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ LEAST_REVISIT = 1000
 #: Date of all records; the pages carry none.
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 1
-#: Bytes of one archive, about; captures of one index block; captures of one index shard, about.
+#: Bytes of one archive, about; captures of one index block; captures of one index shard, about, and of one where there are
+#: fewer shards than cores otherwise.
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 1000
-SHARD_LINES = 500_000
+SHARD_LINES = 100_000
+LEAST_SHARD_LINES = 5000
 PAGE_URN = "urn:x-page:"
 
 URL = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
@@ -129,7 +133,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
 
 def write_index(captures: DataFrame, folder: str, shard_lines: int = SHARD_LINES, block_lines: int = BLOCK_LINES) -> list[dict]:
     """Sorts captures into shards of compressed blocks; the manifest, in key order: a row for each shard."""
-    n = max(1, -(-captures.count() // shard_lines))
+    total = captures.count()
+    cores = captures.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-total // shard_lines), min(cores, total // min(shard_lines, LEAST_SHARD_LINES)))
 
     def put(batches):
         import pyarrow as pa
@@ -170,7 +176,7 @@ def _low(page_id: int | None) -> tuple[bool, int]:
 
 
 class Index:
-    """One shard: the directory is held, blocks are read as bytes ranges."""
+    """One shard: the directory is held, blocks are read as byte ranges; the last block read is kept."""
 
     def __init__(self, folder: str, name: str):
         self.fs, top = common.file_system(folder)
@@ -178,21 +184,29 @@ class Index:
         with self.fs.open_input_stream(f"{top}/{name}.dir", compression=None) as f:
             self.directory = json.loads(f.read().decode("utf-8"))
         self.firsts = [x[0] for x in self.directory]
+        self.held: tuple[int, list, list] = (-1, [], [])
 
-    def block(self, k: int) -> list[list]:
-        _, _, at, size = self.directory[k]
-        with self.fs.open_input_file(self.path) as f:
-            f.seek(at)
-            return [json.loads(x) for x in decompress(f.read(size)).decode("utf-8").split("\n")]
+    def block(self, k: int) -> tuple[list[list], list[str]]:
+        """The captures of a block, and their keys."""
+        if self.held[0] != k:
+            _, _, at, size = self.directory[k]
+            with self.fs.open_input_file(self.path) as f:
+                f.seek(at)
+                lines = [json.loads(x) for x in decompress(f.read(size)).decode("utf-8").split("\n")]
+            self.held = (k, lines, [x[0] for x in lines])
+        return self.held[1:]
 
-    def find(self, key: str) -> list[list]:
-        """All captures of a key: binary search in the directory, then in the blocks that may hold it."""
-        out = []
+    def find(self, key: str):
+        """The captures of a key, a block's at a time: binary search in the directory, then in each block that may hold it."""
         for k in range(max(0, bisect_left(self.firsts, key) - 1), bisect_right(self.firsts, key)):
-            lines = self.block(k)
-            keys = [x[0] for x in lines]
-            out += lines[bisect_left(keys, key) : bisect_right(keys, key)]
-        return out
+            lines, keys = self.block(k)
+            if found := lines[bisect_left(keys, key) : bisect_right(keys, key)]:
+                yield found
+
+
+def shards_of(firsts: list[str], key: str) -> range:
+    """The shards that may hold a key, by the first key of each."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
 
 
 def look_up(folder: str, manifest: list[dict], url: str) -> list[dict]:
@@ -200,16 +214,47 @@ def look_up(folder: str, manifest: list[dict], url: str) -> list[dict]:
     key, firsts = sort_key(url), [m["first"] for m in manifest]
     fs, top = common.file_system(folder)
     out = []
-    for m in manifest[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]:
-        for _, _, _, file, at, size in Index(folder, m["name"]).find(key):
-            with fs.open_input_file(f"{top}/{file}") as f:
-                f.seek(at)
-                out.append(parse_record(decompress(f.read(size))))
+    for k in shards_of(firsts, key):
+        for lines in Index(folder, manifest[k]["name"]).find(key):
+            for _, _, _, file, at, size in lines:
+                with fs.open_input_file(f"{top}/{file}") as f:
+                    f.seek(at)
+                    out.append(parse_record(decompress(f.read(size))))
     return out
 
 
-def read_back(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """Every record by way of the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+def find_captures(spark: SparkSession, folder: str, manifest: list[dict], urls: DataFrame) -> DataFrame:
+    """page_id, url, file, offset and length of all captures of the urls (one column), each url's once, by binary search.
+
+    A url's key goes to the shards that may hold it; there a task looks its keys up in order, so a block is read once.
+    """
+    firsts, names = [m["first"] for m in manifest], [m["name"] for m in manifest]
+
+    def ask(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [(k, key) for key in sorted({sort_key(u) for u in b.column(0).to_pylist()}) for k in shards_of(firsts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.string())], ["shard", "key"])
+
+    def find(batches):
+        import pyarrow as pa
+
+        index, open_ = None, -1
+        for b in batches:
+            for shard, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if shard != open_:
+                    index, open_ = Index(folder, names[shard]), shard
+                for lines in index.find(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*lines))[1:], (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["page_id", "url", "file", "offset", "length"])
+
+    asked = urls.mapInArrow(ask, "shard int, key string").distinct()
+    asked = asked.repartitionById(max(1, len(manifest)), F.col("shard")).sortWithinPartitions("shard", "key")
+    return asked.mapInArrow(find, "page_id long, url string, file string, offset long, length long")
+
+
+def read_records(folder: str, captures: DataFrame) -> DataFrame:
+    """The records of captures: page_id, url, payload_bytes, payload_digest, record_type, refers_to; archives are read in order.
 
     A response's bytes and digest are taken from its payload as read; a revisit carries those of the payload it refers to.
     """
@@ -218,30 +263,33 @@ def read_back(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFra
         import pyarrow as pa
 
         fs, top = common.file_system(folder)
+        name, f = None, None
         for b in batches:
-            for name in b.column(1).to_pylist():
-                index = Index(folder, name)
-                for k in range(len(index.directory)):
-                    by_file: dict[str, list] = {}
-                    for line in index.block(k):
-                        by_file.setdefault(line[3], []).append(line)
-                    rows = []
-                    for file, lines in by_file.items():
-                        with fs.open_input_file(f"{top}/{file}") as f:
-                            for _, page_id, url, _, at, size in sorted(lines, key=lambda x: x[4]):
-                                f.seek(at)
-                                r = parse_record(decompress(f.read(size)))
-                                payload = r["payload"]
-                                if r["page_id"] != page_id or payload is not None and len(payload) != r["payload_bytes"]:
-                                    raise ValueError(f"{file} at {at} is not the record of the index")
-                                digest = r["digest"] if payload is None else hashlib.sha1(payload).hexdigest()
-                                rows.append((page_id, url, r["payload_bytes"], digest, r["type"], r["refers_to"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    names = spark.createDataFrame([(k, m["name"]) for k, m in enumerate(manifest)], "k int, name string")
-    if manifest:
-        names = names.repartitionById(len(manifest), F.col("k"))
-    return names.mapInArrow(get, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            rows = []
+            for page_id, url, file, at, size in zip(*(c.to_pylist() for c in b.columns)):
+                if file != name:
+                    if f:
+                        f.close()
+                    name, f = file, fs.open_input_file(f"{top}/{file}")
+                f.seek(at)
+                r = parse_record(decompress(f.read(size)))
+                payload = r["payload"]
+                if r["page_id"] != page_id or payload is not None and len(payload) != r["payload_bytes"]:
+                    raise ValueError(f"{file} at {at} is not the record of the index")
+                digest = r["digest"] if payload is None else hashlib.sha1(payload).hexdigest()
+                rows.append((page_id, url, r["payload_bytes"], digest, r["type"], r["refers_to"]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if f:
+            f.close()
+
+    ordered = captures.repartition("file").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(get, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def read_back(spark: SparkSession, folder: str, manifest: list[dict], urls: DataFrame) -> DataFrame:
+    """Every record of the urls, looked up in the index and then read from its archive."""
+    return read_records(folder, find_captures(spark, folder, manifest, urls))
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -249,11 +297,12 @@ def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload, null url an empty target. Of equal payloads of at least LEAST_REVISIT bytes the row of the
     largest page_id is the response; rows that share that page_id all are. A null page_id refers to the response like any
-    other, or is a response if no copy has a page_id. No rows: no files, no rows.
+    other, or is a response if no copy has a page_id. Rows that repeat a page_id repeat its record id. No rows: no files, no rows.
     """
     common.bounded_batches(spark)
     folder = common.shared_dir(spark, "warc")
-    return read_back(spark, folder, write_index(write_archives(spark, pages, folder), folder))
+    manifest = write_index(write_archives(spark, pages, folder), folder)
+    return read_back(spark, folder, manifest, pages.select(F.col("url").cast("string")))
 
 
 #: DuckDB SQL for the query's digest columns.
