@@ -23,8 +23,9 @@ from .wordbpe import encoder
 MAGIC = b"SKEF"
 _HEAD = struct.Struct("<4sBxxxqQQ")  # magic, bytes an id, smallest doc_id, rows without doc_id, ids
 
-#: Bytes of text that go into one shard, about.
+#: Bytes of text that go into one shard, about; larger where there would be more than MOST_SHARDS.
 SHARD_TEXT_BYTES = 48 << 20
+MOST_SHARDS = 50_000
 #: Documents whose boundaries are selected, and whose ids are read, at once.
 READ_DOCS = 1024
 
@@ -116,12 +117,15 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, end_id:
     Null or empty text: only the end id. Null doc_id: before all others. No rows: no shards.
     """
     common.bounded_batches(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // shard_bytes))
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    n = min(MOST_SHARDS, max(1, -(-size // shard_bytes)))
     splits: list[int] = []
     if n > 1:
         ask = [k / n for k in range(1, n)]
-        splits = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), ask, max(10_000, 20 * n))).first()[0] or []))
+        # a long text counts as often as it is longer than the mean: twice as many rows as documents at most
+        often = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / F.lit(size / rows)).cast("int")
+        weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), often))))
+        splits = sorted(set(weighed.agg(F.percentile_approx("doc_id", ask, max(10_000, 20 * n))).first()[0] or []))
 
     def put(batches):
         import pyarrow as pa
