@@ -26,8 +26,11 @@ BLOCKS = 3
 #: Fingerprints the shards' trees are fitted on, at least; deeper trees take SAMPLE_LEAF for each shard, 2**19 at most.
 SAMPLE = 8192
 SAMPLE_LEAF = 8
-#: Fingerprints in a shard, about; shards of more than HOT are dealt out by pairs of chunks.
-SHARD_ROWS = 16_384
+#: Fingerprints in a shard, about: enough for SHARDS shards a block to begin with, so that few are sent to more than one, but
+#: within these; the task that gets a shard goes on splitting it. Shards of more than HOT_ROWS, or four times as many as
+#: meant, are dealt out by pairs of chunks.
+SHARD_ROWS = (16_384, 4_000_000)
+SHARDS = 24
 HOT_ROWS = 200_000
 #: Fingerprints that are compared directly.
 LEAF_ROWS = 256
@@ -178,7 +181,9 @@ def link(fps: np.ndarray, mask: np.uint64, block_radius: int, radius: int = RADI
 def links_of(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """u, v: links between the distinct fingerprints ``fp`` that join exactly those within ``radius`` by steps."""
     n = distinct.count()
-    levels = min(MOST_LEVELS, max(0, math.ceil(math.log(max(1, n) / SHARD_ROWS) / math.log(1 / 0.585)) if n else 0))
+    rows = max(SHARD_ROWS[0], min(SHARD_ROWS[1], n // SHARDS))
+    levels = min(MOST_LEVELS, max(0, math.ceil(math.log(max(1, n) / rows) / math.log(1 / 0.585)) if n else 0))
+    hot_rows = max(HOT_ROWS, 4 * rows if rows > SHARD_ROWS[0] else 0)
     # bounded (see SAMPLE), taken by a hash of their own
     sample = np.asarray([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, SAMPLE_LEAF << levels)).collect()], np.int64).view(np.uint64)
     masks, block_radius = block_masks(blocks), radius // blocks
@@ -199,7 +204,7 @@ def links_of(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, blo
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["shard", "n"])
 
     # as many rows as there are shards over the bound
-    hot = {r[0]: -(-r[1] // (HOT_ROWS // 2)) for r in distinct.select("fp").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_ROWS).collect()}
+    hot = {r[0]: -(-r[1] // (hot_rows // 2)) for r in distinct.select("fp").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).collect()}
 
     def deal(batches):
         import pyarrow as pa

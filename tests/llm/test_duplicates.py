@@ -58,7 +58,7 @@ def test_simhash_bears_odd_rows(spark, odd_documents, no_documents):
 @pytest.mark.parametrize("hot", [False, True])
 def test_trees_join_what_brute_force_joins(spark, hot, monkeypatch):
     """Clouds of near fingerprints, many shards; with ``hot`` shards are dealt by pairs of chunks."""
-    monkeypatch.setattr(simhash, "SHARD_ROWS", 200)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", (200, 200))
     monkeypatch.setattr(simhash, "HOT_ROWS", 300 if hot else 10**9)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**64, 600, dtype=np.uint64)
