@@ -21,6 +21,21 @@ def session(app: str = "skein", master: str | None = None, **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+CHECKPOINT_KEY = "spark.checkpoint.dir"
+
+
+def shared_top(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, as the session names it. Only a local master, as in tests, gets a
+    folder of its own where none is named."""
+    top = spark.conf.get(CHECKPOINT_KEY, None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors see")
+        top = "file://" + tempfile.mkdtemp(prefix="skein-")
+        spark.conf.set(CHECKPOINT_KEY, top)
+    return top.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, so that their Python finds it wherever it started."""
     app = spark.sparkContext.applicationId
