@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
-
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from ..session import shared_top, ship
 
 #: Rows and bytes of one Arrow batch that a Python worker holds.
 BATCH_ROWS = 1000
@@ -28,16 +26,9 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that the driver and all executors see, removed when the session ends.
-
-    It lies in ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is made and set.
-    """
-    top = spark.conf.get(CHECKPOINT_KEY, None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set(CHECKPOINT_KEY, top)
-        spark.sparkContext.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder that the driver and all executors see, removed when the session ends."""
+    top = shared_top(spark)
+    path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -51,11 +42,35 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_noted: list[list[str]] = []
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: survives lost executors, no lineage behind it."""
-    path = shared_dir(spark, name) + "/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark, name)
+    for notes in _noted:
+        notes.append(folder)
+    df.write.parquet(f"{folder}/table")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/table")
+    out.cut_folder = folder
+    return out
+
+
+def free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables that cut() wrote, once all that was made of them is written out itself."""
+    for t in tables:
+        remove(spark, t.cut_folder)
+
+
+@contextmanager
+def noted():
+    """The folders that cut() makes meanwhile, as a list that grows."""
+    notes: list[str] = []
+    _noted.append(notes)
+    try:
+        yield notes
+    finally:
+        _noted.remove(notes)
 
 
 def file_system(uri: str):
@@ -75,11 +90,22 @@ _held: dict = {}
 def held(key, make):
     """What ``make`` gives, kept by a worker process for its next tasks until it asks for something else: one thing at a time."""
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
 def let_go() -> None:
-    """Drops what ``held`` kept for another operator."""
+    """Drops what ``held`` kept for another operator, and gives memory that other operators' tasks left in this worker back."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
     _held.clear()
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

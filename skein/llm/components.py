@@ -26,9 +26,11 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.cut(spark, large, "large")
+        before = edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.cut(spark, small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        common.free(spark, before, large)
         new = _mark(edges)
         if new == mark:
             break

@@ -109,6 +109,7 @@ def _prefixes(texts: DataFrame, words: int, token: np.ndarray, held: np.ndarray)
     def run(batches):
         import pyarrow as pa
 
+        common.let_go()
         for b in batches:
             out, sizes, parity = [], [], []
             for t in b.column(1).to_pylist():
@@ -165,7 +166,9 @@ def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, words: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
-    return common.cut(spark, both.select("u", "v", "x", "y").mapInArrow(whole, "u long, v long"), "verified")
+    out = common.cut(spark, both.select("u", "v", "x", "y").mapInArrow(whole, "u long, v long"), "verified")
+    common.free(spark, pairs, sets)
+    return out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -191,8 +194,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> Dat
     parted = shared.join(joined, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("part"))
     parted = parted.distinct().withColumns({"first": F.min("part").over(met), "last": F.max("part").over(met), "least": F.min("id").over(met)}).where("first <> last").select("token", "id", "n", "pos", "part", "least")
     parted = common.cut(spark, parted, "parted")
+    common.free(spark, shared)
     x, y = parted.alias("x"), parted.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.id") != F.col("x.least"))
     pairs = x.join(y, apart).where(_suffices("x", "y")).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
     more = verified(spark, _possible(pairs, prints), texts, words)
+    common.free(spark, prefixes, parted)
     return components(spark, links.unionByName(more))
