@@ -180,7 +180,7 @@ def migration_inspection(g: Graph, target: int) -> DataFrame:
     uses, used = joins.related_paths(g, target), joins.related_paths(g, target, outward=False)
     tests = joins.nearby_tests(g).where(F.col("id") == target)
     side = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))
-    advice = F.when(~F.col("has_test"), "port tests first").when(F.col("cost") >= 0.7, "defer").when(F.col("dependents") > 5, "shadow behind the old interface").otherwise("move as a helper")
+    advice = planning.recommendation(F.col("has_test"), F.col("cost"), F.col("dependents"))
     return own.join(side(uses, "dependencies")).join(side(used, "dependents")).join(side(tests, "tests")).withColumn("recommendation", advice)
 
 

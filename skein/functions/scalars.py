@@ -224,3 +224,13 @@ def has_inline_tests(content: Column, path: Column) -> Column:
 def change_fingerprint(files) -> Column:
     """Of a set of paths: equal sets have equal values."""
     return F.sha2(F.array_join(F.sort_array(F.collect_set(files)), "\n"), 256)
+
+
+def node_radius(n: Column) -> Column:
+    """Of a node in a graph of ``n`` nodes."""
+    return F.when(n < 1000, 8.0).when(n < 3000, 6.0).otherwise(4.0)
+
+
+def epsilon(n: Column) -> Column:
+    """Movement below which a layout of ``n`` nodes counts as still."""
+    return F.when(n < 1000, 0.01).when(n < 3000, 0.05).otherwise(0.1)

@@ -83,3 +83,12 @@ def degree_flags(g: Graph, hub: float = 0.5) -> DataFrame:
 def affected_roots(paths: DataFrame, pattern: str = r"crates/([^/]+)") -> DataFrame:
     """id and the number of distinct crates among its dependents' paths, 1 at least; paths: id, path."""
     return paths.groupBy("id").agg(F.greatest(F.lit(1), F.count_distinct(F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")))).alias("affected"))
+
+
+def in_degrees(edges: DataFrame) -> DataFrame:
+    """id and in_degree of every node that an edge goes to."""
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
+
+
+def edge_count(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count(F.lit(1)).alias("n"))

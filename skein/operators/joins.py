@@ -192,3 +192,10 @@ def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
 def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """A running number in this order. The caller bounds the rows: one task numbers them."""
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def adjacency_lists(edges: DataFrame) -> DataFrame:
+    """id, direction (out, in), n and the first, by pos, of each node's neighbours: the lists stay rows, an edge each."""
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("direction"), F.col("dst").alias("peer")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("direction"), F.col("src").alias("peer")))
+    rows = edges.select("pos", F.explode(ends).alias("e")).select("pos", "e.*")
+    return rows.groupBy("id", "direction").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "peer")).alias("f")).select("id", "direction", "n", F.col("f.peer").alias("first"))

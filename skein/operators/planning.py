@@ -261,3 +261,19 @@ def structural_features(description: DataFrame) -> DataFrame:
 
 def visible_rows(report: DataFrame, least: float = 0.01, most: int = 20) -> DataFrame:
     return report.where(F.col("activation") >= least).orderBy(F.desc("activation"), "id").limit(most)
+
+
+def effective(nodes: DataFrame, config: DataFrame, stability: float = DEFAULT_TARGET, rule: str = "identity", inheritance: str = "inherit") -> DataFrame:
+    """id, stability, rule and inheritance of each node: those of its configuration (id and these, any null), else the defaults."""
+    own = config.select("id", *[F.col(c).alias(f"__{c}") for c in ("stability", "rule", "inheritance")])
+    return nodes.select("id").join(own, "id", "left").select("id", F.coalesce("__stability", F.lit(stability)).alias("stability"), F.coalesce("__rule", F.lit(rule)).alias("rule"), F.coalesce("__inheritance", F.lit(inheritance)).alias("inheritance"))
+
+
+def node_stability(nodes: DataFrame, config: DataFrame) -> DataFrame:
+    """id, stability: 0 where the configuration names none."""
+    return effective(nodes, config.select("id", "stability", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("inheritance")), 0.0).select("id", "stability")
+
+
+def recommendation(has_test: Column, cost: Column, dependents: Column) -> Column:
+    """What to do with a migration target; the first that holds."""
+    return F.when(~has_test, "port tests first").when(cost >= 0.7, "defer").when(dependents > 5, "shadow behind the old interface").otherwise("move as a helper")

@@ -132,3 +132,36 @@ def first_by_name(nodes: DataFrame) -> DataFrame:
     """The first node of each name, directories left out."""
     order = Window.partitionBy("name").orderBy("pos")
     return nodes.where("kind <> 'Directory'").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def node_path(nodes: DataFrame) -> Column:
+    """The path, else the relative path."""
+    have = [F.col(c) for c in ("path", "relative_path") if c in nodes.columns]
+    return F.coalesce(*have) if have else F.lit(None).cast("string")
+
+
+def node_info(nodes: DataFrame) -> DataFrame:
+    """id, name, kind in lower case and path, or the name where there is none."""
+    return nodes.select("id", "name", kind_string(F.col("kind")).alias("kind"), F.coalesce(node_path(nodes), "name").alias("path"))
+
+
+def kind_string(kind: Column) -> Column:
+    return F.lower(kind)
+
+
+def is_container(kind: Column) -> Column:
+    return kind.isin("Directory", "Module")
+
+
+def get_node(nodes: DataFrame, id: int) -> DataFrame:
+    """The node of an id, the first by pos; one row at most."""
+    return nodes.where(F.col("id") == id).orderBy("pos").limit(1)
+
+
+def node_id(nodes: DataFrame, path: str) -> DataFrame:
+    """id of the first node at exactly this path; one row at most."""
+    return nodes.where(F.col("path") == path).orderBy("pos").limit(1).select("id")
+
+
+def all_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id")

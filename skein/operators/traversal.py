@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import CONTAINS, Graph
+from ..session import shared_top
 from .degrees import degrees
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder; without one set, as in tests, by a temporary folder."""
+    """Cuts lineage by a checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+        context.setCheckpointDir(shared_top(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -83,19 +82,36 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     return rank
 
 
+#: The prime that generated numbers are taken modulo.
+MODULUS = 2_147_483_647
+
+
+def mixed(x: Column, seed: int) -> Column:
+    """A number from 0 to below MODULUS that looks drawn, from a number's lowest 31 bits: whole-number arithmetic that any engine can do."""
+    m = F.lit(MODULUS)
+    u = F.pmod((F.pmod(x, m) + (seed + 1)) * 48271, m)
+    u = F.pmod(u * (F.pmod(u, F.lit(9973)) + 1) + F.pmod(x, m), m)
+    u = F.pmod(u * 69621, m)
+    return F.pmod(u * (F.pmod(u, F.lit(7919)) + 1) + seed, m)
+
+
 def random_graph(spark: SparkSession, n: int, seed: int = 42) -> Graph:
     """n nodes and 3n random edges without loops."""
     nodes = spark.range(n).select("id", F.col("id").alias("pos"), F.concat(F.lit("node_"), "id").alias("name"), F.lit("File").alias("kind"), F.concat(F.lit("node_"), "id").alias("path"))
-    pick = spark.range(3 * n).select(F.col("id").alias("pos"), F.floor(F.rand(seed) * n).cast("long").alias("src"), F.floor(F.rand(seed + 1) * (n - 1)).cast("long").alias("skip"))
+    pick = spark.range(3 * n).select(F.col("id").alias("pos"), F.pmod(mixed(F.col("id"), seed), F.lit(max(1, n))).alias("src"), F.pmod(mixed(F.col("id"), seed + 1), F.lit(max(1, n - 1))).alias("skip"))
     edges = pick.select("src", F.when(F.col("skip") >= F.col("src"), F.col("skip") + 1).otherwise(F.col("skip")).alias("dst"), F.lit("uses").alias("relationship"), "pos")
     return Graph(nodes, edges if n > 1 else edges.limit(0))
 
 
+#: References that a draw follows at most; each ends it with a chance of one half.
+HOPS = 48
+
+
 def scale_free_graph(spark: SparkSession, n: int, m: int, seed: int = 42) -> Graph:
     """Preferential attachment: node k links to m earlier nodes, drawn by their degree.
 
     Drawing an end of a random earlier edge is drawing by degree, so the targets follow from the edge numbers alone: a
-    reference to edge j's target is followed until it names a node, seven times at most. No driver loop over nodes.
+    reference to edge j's target is followed until it names a node. No driver loop over nodes.
     """
     nodes = random_graph(spark, n, seed).nodes
     e = spark.range(max(0, n - 1) * m).select(F.col("id").alias("pos"), (F.floor(F.col("id") / m) + 1).cast("long").alias("src"))
@@ -104,19 +120,25 @@ def scale_free_graph(spark: SparkSession, n: int, m: int, seed: int = 42) -> Gra
         """Half of the draws name the source of an earlier edge, half go on to that edge's own target."""
         pos = a["pos"]
         own = (F.floor(pos / m) + 1).cast("long")
-        h = F.pmod(F.xxhash64(pos, F.lit(seed)), 2 * F.greatest(pos, F.lit(1)))
+        h = F.pmod(mixed(pos, seed), 2 * F.greatest(pos, F.lit(1).cast("long")))
         at = F.floor(h / 2).cast("long")
         source = F.least((F.floor(at / m) + 1).cast("long"), own - 1)
-        plain = F.pmod(F.xxhash64(pos, F.lit(seed + 1)), own)
-        found = F.when(pos == 0, F.lit(0).cast("long")).when(h % 2 == 0, source).when(depth == 6, plain)
+        found = F.when(pos == 0, F.lit(0).cast("long")).when((h % 2 == 0) | (depth == HOPS - 1), source)
         return F.struct(F.when(a["dst"].isNull(), at).otherwise(pos).alias("pos"), F.coalesce(a["dst"], found).alias("dst"))
 
     start = F.struct(F.col("pos").alias("pos"), F.lit(None).cast("long").alias("dst"))
-    target = F.aggregate(F.sequence(F.lit(0), F.lit(6)), start, step, lambda a: a["dst"])
+    target = F.aggregate(F.sequence(F.lit(0), F.lit(HOPS - 1)), start, step, lambda a: a["dst"])
     edges = e.select("src", target.alias("dst"), F.lit("uses").alias("relationship"), "pos").where("src <> dst")
     return Graph(nodes, edges)
 
 
+def sample_graph(spark: SparkSession) -> Graph:
+    """A small workspace to try things on: a folder with a library, a parser and a test."""
+    nodes = [(0, "src", "Directory", "src"), (1, "lib.rs", "File", "src/lib.rs"), (2, "parser.rs", "File", "src/parser.rs"), (3, "parser_test.rs", "Test", "src/parser_test.rs")]
+    edges = [(0, 1, "contains"), (0, 2, "contains"), (0, 3, "contains"), (1, 2, "uses"), (3, 2, "imports")]
+    return Graph(spark.createDataFrame([(i, i, n, k, p) for i, n, k, p in nodes], "id long, pos long, name string, kind string, path string"), spark.createDataFrame([(*e, k) for k, e in enumerate(edges)], "src long, dst long, relationship string, pos long"))
+
+
 def lattice(spark: SparkSession, width: int, height: int) -> Graph:
     """A torus of width x height cells, each linked with its eight neighbours once, from the smaller id."""
     n = width * height

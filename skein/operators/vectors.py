@@ -44,7 +44,8 @@ def neighbors_of(index: DataFrame, id: int, k: int = 5) -> DataFrame:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """A stand-in for a model, without one: signed counts of words hashed to ``dim`` places, of unit length."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("p"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    part = lambda w, k: F.conv(F.substring(F.md5(w), k, 7), 16, 10).cast("long")
+    places = F.transform(words, lambda w: F.struct(F.pmod(part(w, 1), F.lit(dim)).cast("int").alias("p"), F.when(part(w, 8) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
     raw = let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(ps, lambda x: x["p"] == d), F.lit(0.0), lambda a, x: a + x["s"])))
     scaled = lambda v, norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
     return let(raw, lambda v: let(l2_norm(v), lambda norm: scaled(v, norm)))
@@ -57,3 +58,50 @@ def zero_embedding(dim: int = 64) -> Column:
 def index_nodes(nodes: DataFrame, text: Column, dim: int = 64) -> DataFrame:
     """id, embedding of nodes of kind File or Module."""
     return nodes.where(F.col("kind").isin("File", "Module")).select("id", hashed_embedding(text, dim).alias("embedding"))
+
+
+#: Embedders by code; a model of one's own is a function from texts to vectors.
+MODELS = (("feature-hash", 64, "signed word counts, no model"), ("zero", 64, "all zero, for tests"))
+
+
+def available_models(spark) -> DataFrame:
+    return spark.createDataFrame(MODELS, "code string, dim int, description string")
+
+
+def node_header(nodes: DataFrame, depth: str = "fast", content: Column | None = None) -> Column:
+    """What an index reads of a node: fast its kind, language and path; deep an excerpt of its content too."""
+    from ..functions import code, scalars
+
+    language = scalars.language("path")
+    if depth not in ("fast", "deep"):
+        raise ValueError(f"no such depth: {depth}")
+    return code.node_text(F.col("kind"), language, F.col("path"), code.excerpt(content, language) if depth == "deep" and content is not None else None)
+
+
+def bootstrap(store, nodes: DataFrame, depth: str = "fast", content: Column | None = None, dim: int = 64, force: bool = False):
+    """The stored index and its meta, made and stored first if there is none: dim, model and depth go into the meta."""
+    if force or store.load_vectors() is None:
+        store.save_vectors(index_nodes(nodes, node_header(nodes, depth, content), dim), "feature-hash", dim, {"depth": depth})
+    return store.load_vectors()
+
+
+def search_stored(store, query: list[float], model: str, k: int = 10) -> tuple[DataFrame | None, str | None]:
+    """Hits in the stored index, and a warning if it was made by another model; none without an index."""
+    have = store.load_vectors()
+    if have is None:
+        return None, "there is no index"
+    index, meta = have
+    return search(index, query, k), None if meta["model"] == model else f"the index is of {meta['model']}, the query of {model}"
+
+
+def semantic_enabled(index: DataFrame | None, model: str | None) -> bool:
+    """Search by meaning needs an index with a row and a real model."""
+    return index is not None and model not in (None, "zero") and not index.isEmpty()
+
+
+def get(index: DataFrame, id: int) -> DataFrame:
+    return index.where(F.col("id") == id)
+
+
+def node_ids(index: DataFrame) -> DataFrame:
+    return index.select("id")

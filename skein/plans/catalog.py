@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extras, iterative, relational, surface, textual  # noqa: F401  enter their queries
+from . import extras, finer, iterative, relational, surface, textual  # noqa: F401  enter their queries
 from .registry import ORACLES, QUERIES
 
 

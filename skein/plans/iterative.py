@@ -251,11 +251,15 @@ def _(s, d):
     return P.evolution_plan(fk_graph(s, d).cut(), goal=GOAL).select("id", r6("priority"), "action")
 
 
-@query("k12_next_task")
+TOP = f"top AS (SELECT *, 0.6 * structural AS priority, {ACTION} AS action FROM items ORDER BY 0.6 * structural DESC, gap DESC, in_degree DESC, path, id LIMIT "
+TASK = "CASE WHEN contains(action, 'test') THEN 'AddTests' WHEN contains(action, 'document') THEN 'AddDocs' WHEN contains(action, 'coupling') OR contains(action, 'interface') THEN 'ReduceCoupling' ELSE 'Refactor' END"
+
+
+@query("k12_next_task", f"{FK}{ITEMS}, {TOP} 1) SELECT id, path, role, action, {TASK} AS task_action, round(gap, 6) AS gap, round(priority, 6) AS priority, (SELECT count(*) FROM (SELECT DISTINCT path, relationship FROM edges JOIN nodes n ON n.id = src WHERE dst = (SELECT id FROM top) LIMIT 10)) AS dependents, (SELECT count(*) FROM (SELECT DISTINCT path, relationship FROM edges JOIN nodes n ON n.id = dst WHERE src = (SELECT id FROM top) LIMIT 10)) AS dependencies FROM top")
 def _(s, d):
-    g = fk_graph(s, d)
-    items, _ = _structural_items(s, d)
-    return P.next_task(items, g)
+    items, g = _structural_items(s, d)
+    t = P.next_task(items, g).select(F.from_json("task", "id long, path string, role string, action string, task_action string, gap double, priority double, dependents array<string>, dependencies array<string>").alias("t")).select("t.*")
+    return t.select("id", "path", "role", "action", "task_action", r6("gap"), r6("priority"), F.size("dependents").cast("long").alias("dependents"), F.size("dependencies").cast("long").alias("dependencies"))
 
 
 # Migration ranking over the documents

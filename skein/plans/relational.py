@@ -368,12 +368,23 @@ def _(s, d):
     return T.lattice(s, 12, 9).edges.select("src", "dst")
 
 
-@query("a33_random_graph")
+def _mixed_sql(x: str, seed: int, name: str) -> str:
+    """u4, made of ``x`` step by step as the library's mixed() does."""
+    m = T.MODULUS
+    u1 = f"((({x} % {m}) + {seed + 1}) * 48271) % {m}"
+    return f"LATERAL (SELECT {u1} AS u1) {name}1, LATERAL (SELECT (u1 * (u1 % 9973 + 1) + {x} % {m}) % {m} AS u2) {name}2, LATERAL (SELECT (u2 * 69621) % {m} AS u3) {name}3, LATERAL (SELECT (u3 * (u3 % 7919 + 1) + {seed}) % {m} AS u4) {name}4"
+
+
+def _drawn(n: int, most: int, seed: int) -> str:
+    return f"(SELECT pos, u4 % {most} AS v FROM range({n}) r(pos), {_mixed_sql('pos', seed, 'w')})"
+
+
+@query("a33_random_graph", f"SELECT src, CASE WHEN skip >= src THEN skip + 1 ELSE skip END AS dst FROM (SELECT a.v AS src, b.v AS skip FROM {_drawn(3000, 1000, 42)} a JOIN {_drawn(3000, 999, 43)} b USING (pos))")
 def _(s, d):
     return T.random_graph(s, 1000).edges.select("src", "dst")
 
 
-@query("a34_scale_free_graph")
+@query("a34_scale_free_graph", f"WITH RECURSIVE h AS MATERIALIZED (SELECT pos, u4 % (2 * greatest(pos, 1)) AS h FROM range({999 * 3}) r(pos), {_mixed_sql('pos', 42, 'w')}), t AS MATERIALIZED (SELECT pos, h // 2 AS at, CASE WHEN pos = 0 THEN 0 WHEN h % 2 = 0 THEN least(h // 2 // 3 + 1, pos // 3) END AS dst FROM h), walk(e, pos, dst) AS (SELECT pos, at, dst FROM t UNION ALL SELECT walk.e, t.at, t.dst FROM walk JOIN t ON t.pos = walk.pos WHERE walk.dst IS NULL) SELECT e // 3 + 1 AS src, dst FROM walk WHERE dst IS NOT NULL AND dst <> e // 3 + 1")
 def _(s, d):
     return T.scale_free_graph(s, 1000, 3).edges.select("src", "dst")
 

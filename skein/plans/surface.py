@@ -11,27 +11,29 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import code, scalars as S
 from ..operators import automaton as A
+from ..operators import degrees as D
 from ..operators import joins as J
 from ..operators import layout as L
 from ..operators import planning as P
 from ..operators import search as R
 from ..operators import traversal as T
 from ..operators import vectors as V
-from ..samplers import Constitution, DegreeSampler, EmbeddingSampler, ModelRule, NoOpSampler
+from ..operators.selection import label_visible
+from ..session import shared_top
+from ..samplers import Constitution, DegreeSampler, EmbeddingSampler, ModelRule, NoOpSampler, resolver_of
 from ..sources import project, render, scan, vcs
 from ..sources.store import Store, read_graph_json, write_graph_json
 from ..streaming import changes as C
-from .iterative import ACTION, DESCRIBED, FULL, ITEMS, MIG, ROLES, SEED, SQL, _structural_items, seeded_ids, ticks_sql
+from .iterative import ACTION, DESCRIBED, FULL, ITEMS, MIG, ROLES, SEED, SQL, TASK, TOP, _structural_items, seeded_ids, ticks_sql
 from .projections import doc_graph, fk_graph, fk_sql
 from .registry import ORACLES, query, r6
-from .relational import BOTH, DEG, DOC, FK, NATION, PART, REGION
+from .relational import BOTH, DEG, DOC, FK, NATION, PART, REGION, STEM
 from .textual import LOG_SQL, SRC_SQL, log_rows, sources
 
 
 def shared(s, name: str) -> str:
-    """A folder below the session's shared one, or a local one where none is set."""
-    top = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the session's shared one."""
+    return f"{shared_top(s)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def values(s, rows, schema):
@@ -70,12 +72,15 @@ def _(s, d):
 
 @query("a2_hidden_segments", "SELECT page_id, regexp_matches(url, '/\\.') AS hidden FROM pages")
 def _(s, d):
-    return s.read.parquet(f"{d}/pages.parquet").select("page_id", F.exists(F.split("url", "/"), lambda x: x.startswith(".")).alias("hidden"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", F.exists(F.split("url", "/"), scan.is_hidden).alias("hidden"))
 
 
-@query("a3_skipped_folders", table_sql([(n,) for n in sorted(scan.SKIPPED)], "name"))
+FOLDER = "CASE page_id % 6 WHEN 0 THEN 'target' WHEN 1 THEN '.git' WHEN 2 THEN 'node_modules' WHEN 3 THEN '__pycache__' WHEN 4 THEN 'mine' ELSE 'src' END"
+
+
+@query("a3_skipped_folders", f"SELECT page_id, page_id % 6 < 5 AS skipped FROM pages")
 def _(s, d):
-    return values(s, [(n,) for n in sorted(scan.SKIPPED)], "name string").where(F.col("name").isin(*scan.SKIPPED))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", scan.is_skipped(F.expr(FOLDER), {"mine"}).alias("skipped"))
 
 
 @query("a4_scan_with_options", table_sql([("src/lib.rs",), ("src/util.rs",)], "relative_path"))
@@ -133,10 +138,12 @@ def _(s, d):
     return values(s, [(r["path"], r["lines"], r["language"])], "path string, lines int, language string")
 
 
-@query("a36_sample_graph", table_sql([("src", 0, 3), ("src/lib.rs", 1, 1)], "path, ins, outs"))
+@query("a36_sample_graph", table_sql([("src", 0, 3), ("src/lib.rs", 1, 1), ("src/parser.rs", 3, 0), ("src/parser_test.rs", 1, 1)], "path, ins, outs"))
 def _(s, d):
-    n = values(s, [(0, 0, "src", "Directory", "src"), (1, 1, "lib.rs", "File", "src/lib.rs")], "id long, pos long, name string, kind string, path string")
-    return n.select("path", F.col("id").cast("int").alias("ins"), F.when(F.col("id") == 0, 3).otherwise(1).alias("outs"))
+    from ..operators.degrees import degrees
+
+    g = T.sample_graph(s)
+    return degrees(g).join(g.nodes, "id").select("path", F.col("in_degree").cast("int").alias("ins"), F.col("out_degree").cast("int").alias("outs"))
 
 
 STATUS = "MM a\0R  new\0old\0?? c\0"
@@ -155,7 +162,7 @@ def _(s, d):
 @query("p76_absolute_paths", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '/x' ELSE '/w/x' END AS path FROM events")
 def _(s, d):
     p = F.when(F.col("event_id") % 2 == 0, "/x").otherwise("x")
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/w/"), p)).alias("path"))
+    return vcs.absolute(s.read.parquet(f"{d}/events.parquet").select("event_id", p.alias("path")), "/w")
 
 
 # Stores
@@ -227,20 +234,26 @@ def _(s, d):
     return render.sources_markdown(docs)
 
 
-@query("p13_impact_markdown")
+LINE = "chr(10)"
+
+
+@query("p13_impact_markdown", f"{SQL}{ROLES}{ticks_sql(DESCRIBED, FULL, 1)}, r AS (SELECT id, path, role, a, CASE WHEN a >= 0.7 THEN 'High' WHEN a >= 0.3 THEN 'Medium' ELSE 'Low' END AS level FROM s1 JOIN des USING (id) WHERE a >= 0.05 ORDER BY a DESC, id LIMIT 50) SELECT '# Impact' || {LINE} || {LINE} || '| path | role | level | activation |' || {LINE} || '|-|-|-|-|' || {LINE} || string_agg(printf('| %s | %s | %s | %.3f |', path, role, level, a), {LINE} ORDER BY a DESC, id) AS text FROM r")
 def _(s, d):
     g = fk_graph(s, d)
     desc = P.describe(g)
     return render.impact_markdown(P.impact_report(desc, A.with_description(g, desc, g.nodes.where(seeded_ids())).run_ticks(1).state))
 
 
-@query("p14_plan_markdown")
+@query("p14_plan_markdown", f"{FK}{ITEMS}, {TOP} 30), k AS (SELECT count(*) AS below, avg(gap) AS ag, (SELECT count(*) FROM nodes) AS total FROM items), h AS (SELECT *, greatest(0, least(1, 1 - ag * below / total)) AS health FROM k), lines AS (SELECT string_agg(printf('| %s | %s | %.3f | %.3f | %s |', path, role, gap, priority, action), {LINE} ORDER BY priority DESC, gap DESC, in_degree DESC, path, id) AS t FROM top) SELECT '# Plan' || {LINE} || {LINE} || 'Health [' || repeat('#', round(health * 20)::INT) || repeat('.', 20 - round(health * 20)::INT) || ']' || printf(' %.0f %%, %d of %d below target', health * 100, below, total) || {LINE} || {LINE} || '| path | role | gap | priority | action |' || {LINE} || '|-|-|-|-|-|' || {LINE} || t AS text FROM h, lines")
 def _(s, d):
     items, g = _structural_items(s, d)
     return render.plan_markdown(items, P.summary(items, g.nodes.count()))
 
 
-@query("p15_task_markdown")
+STEPS = "CASE " + TASK.removeprefix("CASE ").replace("'AddTests'", "['read the public functions', 'write a test for each behaviour', 'run the test suite']").replace("'AddDocs'", "['list contracts and invariants', 'document them', 'review examples']").replace("'ReduceCoupling'", "['find callers', 'extract an interface', 'move callers to it']").replace("'Refactor'", "['find the parts', 'simplify them', 'run the checks']")
+
+
+@query("p15_task_markdown", f"{FK}{ITEMS}, {TOP} 1), st AS (SELECT *, {STEPS} AS steps FROM top) SELECT printf('# %s', action) || {LINE} || {LINE} || printf('%s (%s, gap %.3f)', path, role, gap) || {LINE} || {LINE} || '1. ' || steps[1] || {LINE} || '2. ' || steps[2] || {LINE} || '3. ' || steps[3] || {LINE} AS text FROM st")
 def _(s, d):
     items, g = _structural_items(s, d)
     return render.task_markdown(P.next_task(items, g))
@@ -249,29 +262,29 @@ def _(s, d):
 # Projections and predicates
 
 NODE_SQL = [
-    ("c21_node_info", "SELECT id, name, lower(kind) AS kind, path FROM nodes", lambda g: g.nodes.select("id", "name", F.lower("kind").alias("kind"), F.coalesce("path", "name").alias("path"))),
-    ("c23_node_paths", "SELECT id, path FROM nodes", lambda g: g.nodes.select("id", F.coalesce("path", F.lit(None).cast("string")).alias("path"))),
+    ("c21_node_info", "SELECT id, name, lower(kind) AS kind, path FROM nodes", lambda g: R.node_info(g.nodes)),
+    ("c23_node_paths", "SELECT id, path FROM nodes", lambda g: g.nodes.select("id", R.node_path(g.nodes).alias("path"))),
     ("c29_node_texts", "SELECT id, kind || ' rust ' || path AS text FROM nodes WHERE kind <> 'Directory'", lambda g: g.nodes.where("kind <> 'Directory'").select("id", code.node_text(F.col("kind"), S.language("path"), F.col("path")).alias("text"))),
     ("d2_activate_where", "SELECT id, CASE WHEN kind = 'Test' THEN 0.8 ELSE 0.0 END::DOUBLE AS activation FROM nodes", lambda g: A.seeded(A.initial_state(g.nodes.select("id", "kind")).join(g.nodes.select("id", "kind"), "id"), F.col("kind") == "Test", 0.8).select("id", "activation")),
     ("d19_allowed_changes", "SELECT id FROM nodes WHERE kind = 'File' AND id % 2 = 0", lambda g: g.nodes.where(Constitution("c").add_evaluator(F.col("kind") == "File").add_evaluator(F.col("id") % 2 == 0).allowed()).select("id")),
-    ("d20_visible_labels", "SELECT id FROM nodes WHERE kind = 'Directory' OR id % 100 = 0", lambda g: g.nodes.where((F.col("kind") == "Directory") | (F.col("id") % 100 == 0)).select("id")),
+    ("d20_visible_labels", "SELECT id FROM nodes WHERE kind = 'Directory' OR id % 100 < 30", lambda g: g.nodes.where(label_visible("all", F.col("id") % 100, F.col("kind") == "Directory", most=30)).select("id")),
     ("e23_find_target", f"SELECT id, path FROM nodes WHERE path = 'parts/part_9.rs' OR ends_with(path, '/part_9.rs') ORDER BY id LIMIT 1", lambda g: R.find_by_path(g.nodes, "part_9.rs").select("id", "path")),
-    ("e25_adjacency_lists", "SELECT src AS id, count(*) AS n, min(dst) AS first FROM edges GROUP BY src", lambda g: g.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("first"))),
-    ("f4_plan_in_degrees", "SELECT dst AS id, count(*) AS in_degree FROM edges GROUP BY dst", lambda g: g.edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))),
-    ("h4_all_nodes", "SELECT id FROM nodes", lambda g: g.nodes.select("id")),
+    ("e25_adjacency_lists", "SELECT src AS id, 'out' AS direction, count(*) AS n, arg_min(dst, (pos, dst)) AS first FROM edges GROUP BY src UNION ALL SELECT dst, 'in', count(*), arg_min(src, (pos, src)) FROM edges GROUP BY dst", lambda g: J.adjacency_lists(g.edges)),
+    ("f4_plan_in_degrees", "SELECT dst AS id, count(*) AS in_degree FROM edges GROUP BY dst", lambda g: D.in_degrees(g.edges)),
+    ("h4_all_nodes", "SELECT id FROM nodes", lambda g: R.all_nodes(g.nodes)),
     ("i12_initial_states", "SELECT id, 0.0::DOUBLE AS activation, false AS changed FROM nodes", lambda g: A.initial_state(g.nodes).select("id", "activation", "changed")),
     ("j18_overwritten_states", "SELECT id, 0.5::DOUBLE AS activation FROM nodes", lambda g: A.seeded(A.initial_state(g.nodes), F.lit(True), 0.5).select("id", "activation")),
     ("l10_embeddable", "SELECT id FROM nodes WHERE kind IN ('File', 'Module')", lambda g: EmbeddingSampler().selector().matches(g.nodes).select("id")),
     ("m3_noop_sampler", "SELECT id, '' AS artifact FROM nodes WHERE false", lambda g: NoOpSampler().sample(g).artifacts),
     ("m6_sample_count", "SELECT count(*) AS n FROM nodes WHERE kind = 'File'", lambda g: DegreeSampler().sample(g).artifacts.agg(F.count(F.lit(1)).alias("n"))),
-    ("p22_get_node", f"SELECT id, name FROM nodes WHERE id = {NATION + 1}", lambda g: g.nodes.where(F.col("id") == NATION + 1).select("id", "name")),
-    ("p29_containers", "SELECT id, kind IN ('Directory', 'Module') AS container FROM nodes", lambda g: g.nodes.select("id", F.col("kind").isin("Directory", "Module").alias("container"))),
-    ("p44_edge_count", "SELECT count(*) AS n FROM edges", lambda g: g.edges.agg(F.count(F.lit(1)).alias("n"))),
-    ("p45_node_id", "SELECT id FROM nodes WHERE path = 'region_1'", lambda g: g.nodes.where("path = 'region_1'").select("id")),
+    ("p22_get_node", f"SELECT id, name FROM nodes WHERE id = {NATION + 1}", lambda g: R.get_node(g.nodes, NATION + 1).select("id", "name")),
+    ("p29_containers", "SELECT id, kind IN ('Directory', 'Module') AS container FROM nodes", lambda g: g.nodes.select("id", R.is_container(F.col("kind")).alias("container"))),
+    ("p44_edge_count", "SELECT count(*) AS n FROM edges", lambda g: D.edge_count(g.edges)),
+    ("p45_node_id", "SELECT id FROM nodes WHERE path = 'region_1'", lambda g: R.node_id(g.nodes, "region_1")),
     ("p55_health", "SELECT 'ok' AS status, (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count", None),
     ("p90_state_activations", "SELECT id, 0.0::DOUBLE AS activation FROM nodes", lambda g: A.initial_state(g.nodes).select("id", "activation")),
     ("p93_visuals", "SELECT id, name AS label, kind FROM nodes", lambda g: g.nodes.select("id", S.display_label(F.col("path"), F.col("name"), F.col("id")).alias("label"), "kind")),
-    ("c38_node_radius", "SELECT kind, CASE WHEN count(*) < 1000 THEN 8.0 WHEN count(*) < 3000 THEN 6.0 ELSE 4.0 END::DOUBLE AS radius FROM nodes GROUP BY kind", lambda g: g.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", F.when(F.col("n") < 1000, 8.0).when(F.col("n") < 3000, 6.0).otherwise(4.0).alias("radius"))),
+    ("c38_node_radius", "SELECT kind, CASE WHEN count(*) < 1000 THEN 8.0 WHEN count(*) < 3000 THEN 6.0 ELSE 4.0 END::DOUBLE AS radius FROM nodes GROUP BY kind", lambda g: g.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", S.node_radius(F.col("n")).alias("radius"))),
     ("c49_shortened_prefixes", "SELECT id, CASE WHEN starts_with(path, 'parts/') THEN substr(path, 7) ELSE path END AS short FROM nodes", lambda g: g.nodes.select("id", S.shorten_path(F.col("path"), "parts").alias("short"))),
     ("p91_activation_colours", "SELECT id, round(255 * least(1.0, 2 * t))::INT AS r, round(255 * least(1.0, 2 * (1 - t)))::INT AS g FROM (SELECT id, (id % 11) / 10.0::DOUBLE AS t FROM nodes)", lambda g: g.nodes.select("id", L.colour(F.col("id") % 11 / 10.0).alias("c")).select("id", "c.r", "c.g")),
     ("p25_annotations", "SELECT id, 'x' AS a, kind AS k FROM nodes", lambda g: g.nodes.select("id", S.annotate(S.annotate(F.create_map(F.lit("k"), F.lit("old")), "k", F.col("kind")), "a", F.lit("x")).alias("m")).select("id", F.col("m")["a"].alias("a"), F.col("m")["k"].alias("k"))),
@@ -302,14 +315,18 @@ def _(s, d):
     return degrees(fk_graph(s, d)).select("id", "in_degree", "out_degree", raw.try_cast("long").alias("loc"))
 
 
-@query("c25_role_rules", table_sql(sorted((k,) for k in P.OBJECTIVE), "role"))
+@query("c25_role_rules", f"{FK}{ROLES} SELECT role, rule, count(*) AS n FROM des JOIN (VALUES ('entry_point', 'keep the public surface stable'), ('hub', 'damp changes by stability'), ('directory_container', 'follow the children'), ('utility_propagation', 'pass changes on'), ('identity', 'keep the state'), ('sink', 'absorb changes')) v(role, rule) USING (role) GROUP BY ALL")
 def _(s, d):
-    return values(s, [(k,) for k in P.OBJECTIVE], "role string")
+    return P.describe(fk_graph(s, d)).join(P.default_rules_table(s), "role").groupBy("role", "rule").agg(F.count(F.lit(1)).alias("n"))
+
 
+MARKED = "concat('import a', doc_id, chr(10), '# note', chr(10), 'x = 1', chr(10), 'def f', doc_id, '(): pass', chr(10), 'class C: pass')"
 
-@query("c28_language_markers", table_sql(sorted((k, len(v[2])) for k, v in code.MARKERS.items()), "language, signatures"))
+
+@query("c28_language_markers", "SELECT doc_id, concat('import a', doc_id, chr(10), '# note', chr(10), 'def f', doc_id, '(): pass', chr(10), 'class C: pass') AS excerpt FROM documents")
 def _(s, d):
-    return values(s, [(k, len(v[2])) for k, v in code.MARKERS.items()], "language string, signatures int")
+    """A line of each kind that a language's markers tell apart, and one of none."""
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", code.excerpt(F.expr(MARKED), F.lit("python")).alias("excerpt"))
 
 
 @query("c36_short_languages", table_sql([("Dockerfile", "dockerfile"), ("a.py", "python"), ("x.unknown", "txt")], "name, language"))
@@ -443,19 +460,20 @@ def _(s, d):
     return e.snapshot()[1].select("id", r6("activation"))
 
 
-@query("j29_round_robin", "SELECT event_id, event_id % 3 AS resolver FROM events")
+@query("j29_round_robin", "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) % 3 AS resolver FROM events")
 def _(s, d):
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", F.pmod("event_id", F.lit(3)).alias("resolver"))
+    return resolver_of(s.read.parquet(f"{d}/events.parquet").select("event_id"), "event_id", 3)
 
 
-@query("d17_evolved", "SELECT user_id AS id FROM events GROUP BY user_id HAVING count(*) > 60")
+@query("d17_evolved", "SELECT user_id AS id FROM events GROUP BY user_id HAVING count(*) > 1")
 def _(s, d):
-    return s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 60").select("id")
+    return C.evolved(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id")))
 
 
-@query("d15_stale", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-30' AS stale FROM events GROUP BY user_id")
+@query("d15_stale", "SELECT user_id, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) > 86400000000 AS stale FROM events GROUP BY user_id")
 def _(s, d):
-    return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg((F.max("ts") < F.lit("2024-01-30").cast("timestamp_ntz")).alias("stale"))
+    last = s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("at"))
+    return last.select("user_id", C.is_stale(F.col("at"), F.lit("2024-01-31"), 86400).alias("stale"))
 
 
 @query("g15_transition_rates", "SELECT user_id, round(count(*) FILTER (event_type = 'click') / count(*)::DOUBLE, 6) AS rate FROM events GROUP BY user_id")
@@ -466,7 +484,7 @@ def _(s, d):
 
 @query("g12_ring_buffer", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 200")
 def _(s, d):
-    return s.read.parquet(f"{d}/events.parquet").select("event_id").orderBy(F.desc("event_id")).limit(200)
+    return C.ring(s.read.parquet(f"{d}/events.parquet").select("event_id"), "event_id", 200)
 
 
 @query("h8_changed_sets", "SELECT a.user_id FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1) a JOIN (SELECT user_id, list_sort(list_distinct(list(event_type))) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) b USING (user_id) WHERE a.v <> b.v")
@@ -486,10 +504,11 @@ def _(s, d):
     return P.describe(fk_graph(s, d)).select("id", "name", "role", r6("stability"), "in_degree", "out_degree")
 
 
-@query("k7_effective_stability", f"{FK} SELECT id, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS stability FROM nodes")
+@query("k7_effective_stability", f"{FK} SELECT id, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS stability, CASE WHEN id % 3 = 0 THEN 'own' ELSE 'identity' END AS rule, 'inherit' AS inheritance FROM nodes")
 def _(s, d):
-    own = F.when(F.col("id") % 2 == 0, 0.9)
-    return fk_graph(s, d).nodes.select("id", F.coalesce(own, F.lit(P.DEFAULT_TARGET)).alias("stability"))
+    n = fk_graph(s, d).nodes
+    config = n.select("id", F.when(F.col("id") % 2 == 0, 0.9).alias("stability"), F.when(F.col("id") % 3 == 0, "own").alias("rule"), F.lit(None).cast("string").alias("inheritance"))
+    return P.effective(n, config)
 
 
 @query("k13_task_kinds", f"{PLAN}, a AS (SELECT lower({ACTION}) AS x FROM items) SELECT CASE WHEN contains(x, 'test') THEN 'AddTests' WHEN contains(x, 'document') THEN 'AddDocs' WHEN contains(x, 'coupling') OR contains(x, 'interface') OR contains(x, 'extract') THEN 'ReduceCoupling' ELSE 'Refactor' END AS kind, count(*) AS n FROM a GROUP BY 1")
@@ -523,10 +542,11 @@ def _(s, d):
     return P.repo_summary(g, P.migration_candidates(g), F.split_part("path", F.lit("/"), F.lit(1))).select("repo", "class")
 
 
-@query("k22_inspection")
+@query("k22_inspection", f"{MIG}, one AS (SELECT * FROM fin ORDER BY id LIMIT 1), u AS (SELECT count(DISTINCT path) AS n FROM edges JOIN nodes ON nodes.id = dst WHERE src = (SELECT id FROM one) AND relationship <> 'contains'), b AS (SELECT count(DISTINCT path) AS n FROM edges JOIN nodes ON nodes.id = src WHERE dst = (SELECT id FROM one) AND relationship <> 'contains'), ts AS (SELECT count(DISTINCT t.id) AS n FROM t WHERE t.id IN (SELECT src FROM edges WHERE dst = (SELECT id FROM one)) OR contains(t.path, (SELECT {STEM} FROM one))) SELECT id, path, in_degree, out_degree, has_test, round(impact, 6) AS impact, round(cost, 6) AS cost, round(roi, 6) AS roi, strategy, u.n AS dependencies, b.n AS dependents, ts.n AS tests, CASE WHEN NOT has_test THEN 'port tests first' WHEN cost >= 0.7 THEN 'defer' WHEN b.n > 5 THEN 'shadow behind the old interface' ELSE 'move as a helper' END AS recommendation FROM one, u, b, ts")
 def _(s, d):
-    g = doc_graph(s, d)
-    return api.migration_inspection(g, P.migration_candidates(g).orderBy("id").first()["id"])
+    g = doc_graph(s, d).cut()
+    row = api.migration_inspection(g, P.migration_candidates(g).orderBy("id").first()["id"])
+    return row.drop("reason").withColumns({c: F.round(c, 6) for c in ("impact", "cost", "roi")})
 
 
 @query("p82_unique_names", f"{DOC}, n AS (SELECT id, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS ident FROM nodes) SELECT id, CASE WHEN k > 1 THEN ident || '_' || k ELSE ident END AS ident FROM (SELECT id, ident, row_number() OVER (PARTITION BY ident ORDER BY id) AS k FROM n)")
@@ -594,7 +614,8 @@ def _(s, d):
 
 @query("l5_vector_by_id", "SELECT vec_id AS id, embedding[1]::DOUBLE AS first FROM embeddings WHERE vec_id = 7")
 def _(s, d):
-    return s.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 7").select(F.col("vec_id").alias("id"), F.get("embedding", 0).cast("double").alias("first"))
+    index = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    return V.get(index, 7).select("id", F.get("embedding", 0).cast("double").alias("first"))
 
 
 # Streams and layout in the rest

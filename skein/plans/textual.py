@@ -122,7 +122,9 @@ def _(s, d):
 
 @query("c20_kind_strings", f"{FK} SELECT id, lower(kind) AS kind FROM nodes")
 def _(s, d):
-    return fk_graph(s, d).nodes.select("id", F.lower("kind").alias("kind"))
+    from ..operators.search import kind_string
+
+    return fk_graph(s, d).nodes.select("id", kind_string(F.col("kind")).alias("kind"))
 
 
 @query("c22_display_paths", f"{DOC} SELECT id, CASE WHEN starts_with(path, 'src0') THEN ltrim(substr(path, 5), '/') ELSE path END AS shown FROM nodes")
@@ -256,10 +258,18 @@ def _(s, d):
     return code.risk_signals(sources(s)).select("id", "category")
 
 
-@query("c27_excerpts")
+TEXTS = {"python": ("import a", "x = 1", "# note", "def f(): pass"), "rust": ("use a;", "let x;", "/// doc", "pub fn f() {}"), "typescript": ("import a", "let x", "// c", "export function f() {}")}
+
+
+@query("c27_excerpts", f"SELECT doc_id, replace(CASE doc_id % 4 {' '.join(f"WHEN {k} THEN '{'|'.join(t[:1] + t[2:])}'" for k, t in enumerate(TEXTS.values()))} END, '|', chr(10)) || chr(10) || CASE doc_id % 4 WHEN 1 THEN 'use ' ELSE 'import ' END || doc_id AS excerpt FROM documents WHERE doc_id % 4 < 2 UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN replace('import a|// c|export function f() {{}}', '|', chr(10)) || chr(10) || 'import ' || doc_id END FROM documents WHERE doc_id % 4 >= 2")
 def _(s, d):
-    src = sources(s)
-    return src.select("id", code.excerpt(F.col("content"), S.language("path")).alias("excerpt"))
+    """Four lines of each language, of which one is none of those that count, and an import; a language without marks has none."""
+    docs, k = s.read.parquet(f"{d}/documents.parquet").select("doc_id"), F.col("doc_id") % 4
+    content, language = F.lit("plain"), F.lit("markdown")
+    for i, (name, lines) in enumerate(TEXTS.items()):
+        content = F.when(k == i, F.concat(F.lit("\n".join(lines) + ("\nuse " if name == "rust" else "\nimport ")), "doc_id")).otherwise(content)
+        language = F.when(k == i, F.lit(name)).otherwise(language)
+    return docs.select("doc_id", code.excerpt(content, language).alias("excerpt"))
 
 
 @query("e6_resolved_routes", "SELECT * FROM (VALUES (1, 'parser.rs', 5), (1, 'core/Graph.rs', NULL), (5, 'lib.rs', 1), (5, 'core.rs', 6), (2, '/models.py', 7)) v(source_id, route, target_id) WHERE target_id IS NOT NULL")
@@ -269,7 +279,7 @@ def _(s, d):
     return J.resolve_routes(code.reference_rows(src), nodes).select(F.col("source_id").cast("int").alias("source_id"), "route", F.col("target_id").cast("int").alias("target_id"))
 
 
-@query("i1_source_graph")
+@query("i1_source_graph", "SELECT * FROM (VALUES ('src', 'src/lib.rs', 'contains'), ('src', 'src/app.py', 'contains'), ('src', 'src/parser.rs', 'contains'), ('src', 'src/core.rs', 'contains'), ('src', 'src/models.py', 'contains'), ('web', 'web/index.ts', 'contains'), ('src/lib.rs', 'src/parser.rs', 'uses'), ('src/parser.rs', 'src/lib.rs', 'uses'), ('src/parser.rs', 'src/core.rs', 'uses'), ('src/app.py', 'src/models.py', 'imports')) v(from_path, to_path, relationship)")
 def _(s, d):
     from ..sources.scan import build_graph
 
@@ -406,9 +416,10 @@ def _(s, d):
     return V.remove(_index(s, d), 3).select("id")
 
 
-@query("l9_embedded_nodes")
+@query("l9_embedded_nodes", f"{DOC}, w AS (SELECT id, unnest(regexp_extract_all(lower(kind || ' ' || path), '[\\p{{L}}\\p{{N}}]+')) AS w FROM nodes WHERE kind IN ('File', 'Module')), p AS (SELECT id, ('0x' || md5(w)[1:7])::BIGINT % 64 AS place, sum(CASE WHEN ('0x' || md5(w)[8:14])::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM w GROUP BY ALL) SELECT id, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 5) AS x FROM p WHERE x <> 0")
 def _(s, d):
-    return EmbeddingSampler().vectors(EmbeddingSampler().selector().matches(doc_graph(s, d).nodes))
+    own = EmbeddingSampler().vectors(EmbeddingSampler().selector().matches(doc_graph(s, d).nodes))
+    return own.select("id", F.posexplode("embedding").alias("place", "x")).where("x <> 0").select("id", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 # Samplers

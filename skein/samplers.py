@@ -12,6 +12,7 @@ from .functions.scalars import annotate
 from .graph import Graph
 from .operators.degrees import degrees
 from .operators.search import Selector
+from .operators.traversal import cut
 from .operators.vectors import hashed_embedding
 from .session import ship
 
@@ -127,6 +128,9 @@ class Pipeline:
         return notes
 
 
+UNREADABLE = "unreadable answer"
+
+
 class ModelRule:
     """A rule backed by a model: prompts are rendered as JSON, answered in batches by ``client`` (prompts to texts), and parsed.
 
@@ -138,26 +142,77 @@ class ModelRule:
 
     def prompts(self, g: Graph, state: DataFrame) -> DataFrame:
         """id, prompt: own state and the neighbours' count and mean activation."""
+        return self._prompts(g.adjacency(), state)
+
+    def _prompts(self, adjacency: DataFrame, state: DataFrame) -> DataFrame:
         peers = state.select(F.col("id").alias("peer"), F.col("activation").alias("a"))
-        near = g.adjacency().join(peers, "peer").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 6).alias("mean"))
+        near = adjacency.join(peers, "peer").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 6).alias("mean"))
         doc = F.to_json(F.struct(F.lit(self.instruction).alias("instruction"), F.struct("activation").alias("current"), F.struct("n", "mean").alias("neighbors")))
         return state.join(near, "id", "left").fillna({"n": 0, "mean": 0.0}).select("id", "activation", doc.alias("prompt"))
 
     def tick(self, g: Graph, state: DataFrame, workers: int = 8) -> DataFrame:
         """id, activation, feedback after all nodes were asked, ``workers`` tasks at a time; the answers apply together at the end."""
+        return self._answers(self.prompts(g, state), workers)
+
+    def _answers(self, prompts: DataFrame, workers: int) -> DataFrame:
         from .functions.scalars import scrub_response
 
         client = self.client
-        ship(state.sparkSession)
+        ship(prompts.sparkSession)
 
         def run(batches):
             for b in batches:
                 yield b[["id", "activation"]].assign(answer=client(b["prompt"].tolist()))
 
-        answered = self.prompts(g, state).repartition(workers).mapInPandas(run, "id long, activation double, answer string")
+        answered = prompts.repartition(workers).mapInPandas(run, "id long, activation double, answer string")
         read = F.from_json(scrub_response(F.col("answer")), "activation double, feedback string")
         new = answered.withColumn("r", read)
-        return new.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r.activation", "activation"))).alias("activation"), F.coalesce("r.feedback", F.when(F.col("r.activation").isNull(), F.lit("unreadable answer"))).alias("feedback"))
+        return new.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r.activation", "activation"))).alias("activation"), F.coalesce("r.feedback", F.when(F.col("r.activation").isNull(), F.lit(UNREADABLE))).alias("feedback"))
+
+
+    def tick_in_turn(self, g: Graph, state: DataFrame) -> DataFrame:
+        """As tick(), but node after node by id, each seeing the answers of those before it.
+
+        A node waits only for its neighbours of a lower id, so all nodes that wait for none are asked together; what comes out
+        is what asking one at a time gives. A round for each step of the longest chain of rising ids.
+        """
+        adjacency = cut(g.adjacency())
+        waits = adjacency.where("peer < id").select("id", "peer")
+        current = state.select("id", "activation")
+        waiting, done = cut(current.select("id")), None
+        while not waiting.isEmpty():
+            blocked = waits.join(waiting.select(F.col("id").alias("peer")), "peer", "left_semi").select("id").distinct()
+            free = cut(waiting.join(blocked, "id", "left_anti"))
+            answered = cut(self._asked(adjacency, current, free))
+            done = answered if done is None else done.unionByName(answered)
+            new = answered.select("id", F.col("activation").alias("new"))
+            current = cut(current.join(new, "id", "left").select("id", F.coalesce("new", "activation").alias("activation")))
+            waiting = cut(waiting.join(free, "id", "left_anti"))
+        return done if done is not None else self.tick(g, state)
+
+    def _asked(self, adjacency: DataFrame, state: DataFrame, only: DataFrame) -> DataFrame:
+        return self._answers(self._prompts(adjacency, state).join(only, "id", "left_semi"), 8)
+
+    def run(self, g: Graph, state: DataFrame, most: int = 10, in_turn: bool = False) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """Ticks until one changes nothing and fails nowhere, ``most`` at most: the last answers and (transitions, errors) of each."""
+        history, current, answers = [], state.select("id", "activation"), None
+        for _ in range(most):
+            answers = cut(self.tick_in_turn(g, current) if in_turn else self.tick(g, current))
+            old = current.select("id", F.col("activation").alias("old"))
+            moved = F.count_if(F.col("activation") != F.col("old"))
+            history.append(tuple(answers.join(old, "id").agg(moved, F.count_if(F.col("feedback") == UNREADABLE)).first()))
+            current = answers.select("id", "activation")
+            if history[-1] == (0, 0):
+                break
+        return answers, history
+
+
+def resolver_of(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """rows' ``order`` column with ``resolver``: n of them in turn, by a dense number in that order."""
+    from .operators.layout import dense_ids
+
+    dense = dense_ids(rows.select(F.col(order).alias("id")))
+    return dense.select(F.col("id").alias(order), F.pmod("index", F.lit(n)).alias("resolver"))
 
 
 class Constitution:

@@ -55,7 +55,7 @@ def scan_store(spark: SparkSession, root: str, repo: str, glob: str = "*", optio
     relative = F.regexp_replace(F.expr(f"substring(path, instr(path, '{root.split('://')[-1].strip('/')}') + {len(root.split('://')[-1].strip('/'))})"), "^/+", "")
     rows = files.select(F.lit(repo).alias("repo"), "path", relative.alias("relative_path"), scalars.file_name("path").alias("name"), "size")
     parts = F.split("relative_path", "/")
-    bad = F.exists(parts, lambda p: p.isin(*SKIPPED, *o.exclude) | (p.startswith(".") & (not o.include_hidden)))
+    bad = F.exists(parts, lambda p: is_skipped(p, o.exclude) | (is_hidden(p) & (not o.include_hidden)))
     rows = rows.where(~bad)
     if o.extensions is not None:
         rows = rows.where(scalars.extension("name").isin(*o.extensions))
@@ -97,6 +97,54 @@ def sync(spark: SparkSession, path: str, options: ScanOptions | None = None) ->
     return reduce(DataFrame.unionByName, [scan(spark, os.path.join(path, r), r, options) for r in w["repos"]])
 
 
+class Remote:
+    """What a code host offers; a client of one's own answers list (a page of repository names) and fetch (a folder with one)."""
+
+    def list(self, org: str, page: int, per_page: int) -> list[str]:
+        raise NotImplementedError
+
+    def fetch(self, org: str, repo: str) -> str:
+        raise NotImplementedError
+
+
+PER_PAGE, MOST_PAGES = 100, 10
+
+
+def list_remote(remote: Remote, org: str, ignore: frozenset[str] | set[str] = frozenset()) -> list[str]:
+    """An organisation's repositories, but for ignored ones: pages of PER_PAGE until one is not full, MOST_PAGES at most."""
+    out: list[str] = []
+    for page in range(1, MOST_PAGES + 1):
+        got = remote.list(org, page, PER_PAGE)
+        out += [r for r in got if r not in ignore]
+        if len(got) < PER_PAGE:
+            break
+    return out
+
+
+def sync_remote(spark: SparkSession, remote: Remote, value: str, ignore: frozenset[str] | set[str] = frozenset(), options: ScanOptions | None = None) -> DataFrame:
+    """The sources of a repository, or of all of an organisation's, fetched by ``remote``."""
+    s = sync_source(value)
+    if s["type"] == "local":
+        return sync(spark, s["path"], options)
+    repos = [s["repo"]] if s["type"] == "repo" else list_remote(remote, s["org"], ignore)
+    parts = [scan(spark, remote.fetch(s["org"], r), r, options) for r in repos]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SOURCES)
+
+
+def is_hidden(name: Column) -> Column:
+    return name.startswith(".")
+
+
+def is_skipped(name: Column, exclude: set[str] | frozenset[str] = frozenset()) -> Column:
+    """Whether a folder of this name is never entered."""
+    return name.isin(*SKIPPED, *exclude)
+
+
+def resolve_file_path(absolute: str | None, workspace: str, relative: str) -> str:
+    """The absolute path if there is a file, else the relative one below the workspace."""
+    return absolute if absolute and os.path.exists(absolute) else os.path.join(workspace, relative)
+
+
 def sync_source(value: str) -> dict:
     """local for a path that looks local or exists; one name an organisation; two or more a repository."""
     if value.startswith((".", "/", "~")) or os.path.exists(value):

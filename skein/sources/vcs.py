@@ -90,3 +90,34 @@ def count_repos(files: DataFrame, repos: DataFrame) -> DataFrame:
     from ..operators.joins import longest_prefix
 
     return longest_prefix(files, repos).agg(F.greatest(F.lit(1), F.count_distinct("root")).alias("repos"))
+
+
+def _done(repo: str, *args: str) -> bool:
+    return subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True).returncode == 0
+
+
+def add(repo: str, paths: list[str]) -> bool:
+    """Stages paths; whether that worked."""
+    return _done(repo, "add", "--", *paths)
+
+
+def commit(repo: str, message: str, author: str = "skein <skein@localhost>") -> str | None:
+    """Commits what is staged; the new head, None if there is nothing to commit."""
+    name, _, mail = author.partition(" <")
+    made = _done(repo, "-c", f"user.name={name}", "-c", f"user.email={mail.rstrip('>')}", "commit", "-m", message)
+    return head(repo) if made else None
+
+
+def reset(repo: str, paths: list[str] | None = None) -> bool:
+    """Unstages paths, or all; files stay as they are."""
+    return _done(repo, "reset", "-q", "HEAD", "--", *(paths or ["."]))
+
+
+def checkout(repo: str, branch: str, create: bool = False) -> bool:
+    """Changes to a branch; one that is checked out nowhere and not asked to be made fails."""
+    return _done(repo, "checkout", "-q", *(["-b"] if create else []), branch)
+
+
+def absolute(rows: DataFrame, root: str) -> DataFrame:
+    """rows with ``path`` below the root, absolute ones as they are."""
+    return rows.withColumn("path", F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), "path")))

@@ -111,6 +111,102 @@ def should_restart(policy, code_changed, exit_code):
     return F.when(policy == "always", code_changed | exit_code.isNotNull()).when(policy == "on_code_change", code_changed).when(policy == "on_crash", crash).otherwise(False)
 
 
+#: Process events: start, exit (with a code), kill, change (of the code).
+def process_states(events: DataFrame) -> DataFrame:
+    """process, seq, running, restarts and restarted after each event (process, seq, event, exit_code, policy).
+
+    A start runs a process and a kill ends it; an exit or a change restarts it as its policy says, and an exit that doesn't
+    ends it; a change that doesn't leaves it. Events of a process that doesn't run, but a start, leave it. The state follows
+    from the last event that set it: windows over a process's events, no fold in Python.
+    """
+    from pyspark.sql import Window
+
+    so_far = Window.partitionBy("process").orderBy("seq")
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    again = should_restart(F.col("policy"), F.col("event") == "change", F.when(F.col("event") == "exit", F.col("exit_code")))
+    again = F.col("event").isin("exit", "change") & F.coalesce(again, F.lit(False))
+    sets = F.when(F.col("event") == "start", True).when(F.col("event") == "kill", False).when((F.col("event") == "exit") & ~again, False)
+    marked = events.withColumn("__again", again).withColumn("__sets", sets)
+    was = F.coalesce(F.last("__sets", ignorenulls=True).over(before), F.lit(False))
+    marked = marked.withColumn("restarted", F.col("__again") & was).withColumn("running", F.coalesce(F.last("__sets", ignorenulls=True).over(so_far), F.lit(False)))
+    return marked.withColumn("restarts", F.count_if(F.col("restarted")).over(so_far)).select("process", "seq", "running", "restarted", "restarts")
+
+
+class Broadcast:
+    """One sender, many clients, at most once: a client that lags by more than ``capacity`` loses the oldest, and is told how many."""
+
+    def __init__(self, capacity: int = 256):
+        from collections import deque
+
+        self.capacity, self.make, self.queues, self.lost = capacity, deque, {}, {}
+
+    def subscribe(self, client: str) -> None:
+        self.queues[client], self.lost[client] = self.make(), 0
+
+    def unsubscribe(self, client: str) -> None:
+        self.queues.pop(client, None)
+        self.lost.pop(client, None)
+
+    def send(self, text: str) -> int:
+        """To all clients; how many there are."""
+        for client, queue in self.queues.items():
+            queue.append(text)
+            if len(queue) > self.capacity:
+                queue.popleft()
+                self.lost[client] += 1
+        return len(self.queues)
+
+    def receive(self, client: str) -> list[str]:
+        """What waits for a client, after a warning if some was lost."""
+        queue, n = self.queues[client], self.lost[client]
+        out = ([f"lagged: {n} lost"] if n else []) + list(queue)
+        queue.clear()
+        self.lost[client] = 0
+        return out
+
+    def batch(self, rows: DataFrame, _number: int = 0) -> None:
+        """For foreachBatch: the text column of a micro-batch, streamed row by row."""
+        for r in rows.select("text").toLocalIterator():
+            self.send(r["text"])
+
+
+def heartbeat(beat: Callable[[], bool], cancelled: Callable[[], bool], wait: Callable[[float], None], every: float = 5.0) -> tuple[int, int]:
+    """Beats every ``every`` seconds until cancelled; a failed beat is tried again like any other: (beats, failures)."""
+    beats = failures = 0
+    while not cancelled():
+        try:
+            ok = beat()
+        except OSError:
+            ok = False
+        beats, failures = beats + bool(ok), failures + (not ok)
+        wait(every)
+    return beats, failures
+
+
+def changed_paths(changes: DataFrame) -> DataFrame:
+    """path, distinct."""
+    return changes.select("path").distinct()
+
+
+def change_of(changes: DataFrame, path: str) -> DataFrame:
+    return changes.where(F.col("path") == path)
+
+
+def is_stale(captured: Column, now: Column, seconds: float) -> Column:
+    """Whether a snapshot is older than that many seconds."""
+    return F.unix_micros(now.cast("timestamp")) - F.unix_micros(captured.cast("timestamp")) > int(seconds * 1_000_000)
+
+
+def evolved(transitions: DataFrame) -> DataFrame:
+    """id of what has had a transition after its first; transitions: id, a row each."""
+    return transitions.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+
+
+def ring(rows: DataFrame, order: str, most: int = 200) -> DataFrame:
+    """The last ``most`` rows."""
+    return rows.orderBy(F.desc(order)).limit(most)
+
+
 def playback(snapshots: list[int], seconds: float, speed: float) -> int:
     """The place, in a list of frames, that a replay shows after some seconds; it wraps."""
     return int(seconds * speed) % len(snapshots) if snapshots else 0
