@@ -193,11 +193,11 @@ def _(s, d):
     return values(s, [(c.name, *x) for x in c.scripts.items()], "project string, script string, command string")
 
 
-@query("a29_resolved_configuration", table_sql([("file", "own", "make t"), ("workspace", "app", "make t"), ("inferred", "repo", "npm run test")], "by, name, test"))
+@query("a29_resolved_configuration", table_sql([("file", "own", "make t"), ("workspace", "app", "make t"), ("inferred", "repo", "npm run test")], "found, name, test"))
 def _(s, d):
     plain, at = work_folder(s), _configured(s)
     found = [("file", project.resolve(at)), ("workspace", project.resolve(at + "/app", at)), ("inferred", project.resolve(plain))]
-    return values(s, [(k, c.name, c.scripts["test"]) for k, c in found], "by string, name string, test string")
+    return values(s, [(k, c.name, c.scripts["test"]) for k, c in found], "found string, name string, test string")
 
 
 @query("a31_inferred_scripts", table_sql([("Cargo.toml", "rust", "cargo test"), ("go.mod", "go", "go test ./..."), ("pyproject.toml", "python", "pytest")], "marker, type, test"))
@@ -230,11 +230,11 @@ def _(s, d):
     return values(s, [(k, project.ProjectConfig(k, c, w).has_watch_scripts()) for k, (w, c) in made.items()], "name string, has boolean")
 
 
-@query("p49_file_paths", table_sql([("there", "abs"), ("gone", "rel"), ("none", "rel")], "name, by"))
+@query("p49_file_paths", table_sql([("there", "abs"), ("gone", "rel"), ("none", "rel")], "name, found"))
 def _(s, d):
     at = work_folder(s)
     by = lambda a: "abs" if scan.resolve_file_path(a, "/w", "src/lib.rs") == a else "rel"
-    return values(s, [("there", by(at + "/src/lib.rs")), ("gone", by(at + "/src/gone.rs")), ("none", by(None))], "name string, by string")
+    return values(s, [("there", by(at + "/src/lib.rs")), ("gone", by(at + "/src/gone.rs")), ("none", by(None))], "name string, found string")
 
 
 @query("b17_mutations", table_sql([("staged", True), ("unstaged", False), ("committed", True), ("nothing to commit", False), ("no such branch", False)], "step, holds"))
@@ -583,7 +583,7 @@ def _(s, d):
 
 def _mean(prompts):
     rows = [json.loads(p) for p in prompts]
-    return [json.dumps({"activation": r["neighbors"]["mean"] / 2}) for r in rows]
+    return [json.dumps({"activation": r["neighbors"]["mean"]}) for r in rows]
 
 
 def _quarter(prompts):
@@ -604,7 +604,7 @@ def _(s, d):
     return values(s, [(k + 1, *h) for k, h in enumerate(history)], "tick int, transitions long, errors int")
 
 
-@query("m16_model_rule", f"{SQL} SELECT nodes.id, round(coalesce(avg(CASE WHEN peer % 37 = 0 THEN 1.0 ELSE 0.0 END), 0) / 2, 6) AS activation FROM nodes LEFT JOIN adj ON adj.id = nodes.id GROUP BY nodes.id")
+@query("m16_model_rule", f"{SQL} SELECT nodes.id, round(coalesce(avg(CASE WHEN peer % 37 = 0 THEN 1.0 ELSE 0.0 END), 0), 6) AS activation FROM nodes LEFT JOIN adj ON adj.id = nodes.id GROUP BY nodes.id")
 def _(s, d):
     run = _seeded(s, d, A.Registry())
     return ModelRule(_mean).tick(run.graph, run.state).select("id", r6("activation"))

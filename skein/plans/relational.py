@@ -384,7 +384,7 @@ def _(s, d):
     return T.random_graph(s, 1000).edges.select("src", "dst")
 
 
-@query("a34_scale_free_graph", f"WITH RECURSIVE h AS MATERIALIZED (SELECT pos, u4 % (2 * greatest(pos, 1)) AS h FROM range({999 * 3}) r(pos), {_mixed_sql('pos', 42, 'w')}), t AS MATERIALIZED (SELECT pos, h // 2 AS at, CASE WHEN pos = 0 THEN 0 WHEN h % 2 = 0 THEN least(h // 2 // 3 + 1, pos // 3) END AS dst FROM h), walk(e, pos, dst) AS (SELECT pos, at, dst FROM t UNION ALL SELECT walk.e, t.at, t.dst FROM walk JOIN t ON t.pos = walk.pos WHERE walk.dst IS NULL) SELECT e // 3 + 1 AS src, dst FROM walk WHERE dst IS NOT NULL AND dst <> e // 3 + 1")
+@query("a34_scale_free_graph", f"WITH RECURSIVE h AS MATERIALIZED (SELECT pos, u4 % (2 * greatest(pos, 1)) AS h FROM range({999 * 3}) r(pos), {_mixed_sql('pos', 42, 'w')}), t AS MATERIALIZED (SELECT pos, h // 2 AS ref, CASE WHEN pos = 0 THEN 0 WHEN h % 2 = 0 THEN least(h // 2 // 3 + 1, pos // 3) END AS dst FROM h), walk(e, pos, dst) AS (SELECT pos, ref, dst FROM t UNION ALL SELECT walk.e, t.ref, t.dst FROM walk JOIN t ON t.pos = walk.pos WHERE walk.dst IS NULL) SELECT e // 3 + 1 AS src, dst FROM walk WHERE dst IS NOT NULL AND dst <> e // 3 + 1")
 def _(s, d):
     return T.scale_free_graph(s, 1000, 3).edges.select("src", "dst")
 
