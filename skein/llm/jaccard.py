@@ -23,9 +23,9 @@ SIMILARITY = (4, 5)
 #: Texts that the order of shingles is taken from: one in SAMPLE_SHARE, SAMPLE at least; how many of them make a shingle
 #: common, and the most of those.
 SAMPLE = 8192
-SAMPLE_SHARE = 16
+SAMPLE_SHARE = 8
 COMMON_TEXTS = 3
-COMMON_MOST = 200_000
+COMMON_MOST = 1_000_000
 #: Bits of a set's parities: a power of 2 of at least its size, within these.
 PARITY_BITS = (64, 1 << 16)
 #: Stands for the one shingle of texts without a word.
@@ -105,11 +105,13 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(texts: DataFrame, words: int, token: np.ndarray, held: np.ndarray) -> DataFrame:
     """id, n, parity and tokens (the prefix) of every row of ``texts``."""
     names = ["id", "n", "parity", "tokens"]
+    order = texts.sparkSession.sparkContext.broadcast((token, held))  # COMMON_MOST at most
 
     def run(batches):
         import pyarrow as pa
 
         common.let_go()
+        token, held = order.value
         for b in batches:
             out, sizes, parity = [], [], []
             for t in b.column(1).to_pylist():
