@@ -34,6 +34,8 @@ BLOCK_LINES = 1000
 SHARD_LINES = 100_000
 LEAST_SHARD_LINES = 5000
 PAGE_URN = "urn:x-page:"
+#: Tasks that read archives back, at most; each has some archives whole.
+MOST_TASKS = 20_000
 
 URL = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
 PORTS = {"http": "80", "https": "443"}
@@ -253,7 +255,7 @@ def find_captures(spark: SparkSession, folder: str, manifest: list[dict], urls:
     return asked.mapInArrow(find, "page_id long, url string, file string, offset long, length long")
 
 
-def read_records(folder: str, captures: DataFrame) -> DataFrame:
+def read_records(folder: str, captures: DataFrame, tasks: int = MOST_TASKS) -> DataFrame:
     """The records of captures: page_id, url, payload_bytes, payload_digest, record_type, refers_to; archives are read in order.
 
     A response's bytes and digest are taken from its payload as read; a revisit carries those of the payload it refers to.
@@ -283,13 +285,13 @@ def read_records(folder: str, captures: DataFrame) -> DataFrame:
         if f:
             f.close()
 
-    ordered = captures.repartition("file").sortWithinPartitions("file", "offset")
+    ordered = captures.repartition(tasks, "file").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(get, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def read_back(spark: SparkSession, folder: str, manifest: list[dict], urls: DataFrame) -> DataFrame:
-    """Every record of the urls, looked up in the index and then read from its archive."""
-    return read_records(folder, find_captures(spark, folder, manifest, urls))
+def read_back(spark: SparkSession, folder: str, manifest: list[dict], urls: DataFrame, archives: int = MOST_TASKS) -> DataFrame:
+    """Every record of the urls, looked up in the index and then read from its archive, of which there are so many."""
+    return read_records(folder, find_captures(spark, folder, manifest, urls), max(1, min(MOST_TASKS, archives)))
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -301,8 +303,9 @@ def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     common.bounded_batches(spark)
     folder = common.shared_dir(spark, "warc")
-    manifest = write_index(write_archives(spark, pages, folder), folder)
-    return read_back(spark, folder, manifest, pages.select(F.col("url").cast("string")))
+    captures = write_archives(spark, pages, folder)
+    manifest, archives = write_index(captures, folder), captures.select("file").distinct().count()
+    return read_back(spark, folder, manifest, pages.select(F.col("url").cast("string")), archives)
 
 
 #: DuckDB SQL for the query's digest columns.
