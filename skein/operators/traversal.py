@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the session's shared folder; unlike a checkpoint it also forgets what the planner thought of
+    the rows' number, which long loops need."""
+    path = f"{shared_top(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def layers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """id and the least number of steps (0 for seeds) along edges (src, dst), at most ``depth``; ends early when nothing is new."""
     seen = frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))

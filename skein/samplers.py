@@ -12,7 +12,7 @@ from .functions.scalars import annotate
 from .graph import Graph
 from .operators.degrees import degrees
 from .operators.search import Selector
-from .operators.traversal import cut
+from .operators.traversal import cut, written
 from .operators.vectors import hashed_embedding
 from .session import ship
 
@@ -176,18 +176,18 @@ class ModelRule:
         A node waits only for its neighbours of a lower id, so all nodes that wait for none are asked together; what comes out
         is what asking one at a time gives. A round for each step of the longest chain of rising ids.
         """
-        adjacency = cut(g.adjacency())
+        adjacency = written(g.adjacency())
         waits = adjacency.where("peer < id").select("id", "peer")
         current = state.select("id", "activation")
-        waiting, done = cut(current.select("id")), None
+        waiting, done = written(current.select("id")), None
         while not waiting.isEmpty():
             blocked = waits.join(waiting.select(F.col("id").alias("peer")), "peer", "left_semi").select("id").distinct()
-            free = cut(waiting.join(blocked, "id", "left_anti"))
-            answered = cut(self._asked(adjacency, current, free))
+            free = written(waiting.join(blocked, "id", "left_anti"))
+            answered = written(self._asked(adjacency, current, free))
             done = answered if done is None else done.unionByName(answered)
             new = answered.select("id", F.col("activation").alias("new"))
-            current = cut(current.join(new, "id", "left").select("id", F.coalesce("new", "activation").alias("activation")))
-            waiting = cut(waiting.join(free, "id", "left_anti"))
+            current = written(current.join(new, "id", "left").select("id", F.coalesce("new", "activation").alias("activation")))
+            waiting = written(waiting.join(free, "id", "left_anti"))
         return done if done is not None else self.tick(g, state)
 
     def _asked(self, adjacency: DataFrame, state: DataFrame, only: DataFrame) -> DataFrame:
