@@ -29,7 +29,7 @@ SAMPLE_LEAF = 8
 #: Fingerprints in a shard, about: enough for SHARDS shards a block to begin with, so that few are sent to more than one, but
 #: within these; the task that gets a shard goes on splitting it. Shards of more than HOT_ROWS, or four times as many as
 #: meant, are dealt out by pairs of chunks.
-SHARD_ROWS = (16_384, 4_000_000)
+SHARD_ROWS = (16_384, 5_000_000)
 SHARDS = 24
 HOT_ROWS = 200_000
 #: Fingerprints that are compared directly.
