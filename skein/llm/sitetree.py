@@ -30,6 +30,8 @@ HOST_PAGES = 40
 LEAST_PAGES = 8
 #: Longest texts of a page that make it a copy of another, whatever else differs.
 COPY_BLOCKS = 3
+#: Branches one in another, but for article and main; what is deeper, as in pages that close nothing, belongs to the deepest of these.
+MOST_DEPTH = 64
 #: Shares of the most important branch's importance: below LOW a branch goes anywhere, below GOOD outside of the main branch.
 LOW = 0.3
 GOOD = 0.8
@@ -98,10 +100,12 @@ def _marks(attributes: str) -> tuple[str, int]:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "branch", "drop", "main", "named", "looks")
+    """An open element: chain holds the branches from the root to it, begins the place in these of the first article or main."""
 
-    def __init__(self, tag, path, branch, drop, main, named):
-        self.tag, self.path, self.branch, self.drop, self.main, self.named, self.looks = tag, path, branch, drop, main, named, 0
+    __slots__ = ("tag", "path", "branch", "drop", "named", "article", "chain", "begins", "looks")
+
+    def __init__(self, tag, path, branch, drop, named, article, chain, begins):
+        self.tag, self.path, self.branch, self.drop, self.named, self.article, self.chain, self.begins, self.looks = tag, path, branch, drop, named, article, chain, begins, 0
 
 
 #: Start tags that end an open element of the second kind.
@@ -112,27 +116,30 @@ def parse(page: str, names: bool = True) -> tuple[list[Block], dict[int, list]]:
     """Text blocks in page order, white space made single and character references decoded; and by branch (style path) its
     depth, whether its name declares boilerplate (if ``names`` are heeded), and how each of its elements looks (the row of its
     block-level children)."""
-    stack: list[_Open] = [_Open("", 0, False, False, False, False)]
+    stack: list[_Open] = [_Open("", 0, False, False, False, False, (), -1)]
     blocks: list[Block] = []
     text: list[tuple[str, bool]] = []
     looks: dict[int, list] = {}
+    opened: dict[str, int] = {}
 
     def flush():
         if text:
             whole = " ".join("".join(x for x, _ in text).split())
             if whole:
                 own = " ".join("".join(x for x, dropped in text if not dropped).split()) if any(dropped for _, dropped in text) else whole
-                branches = [o for o in stack if o.branch]
-                blocks.append(Block(own, whole, tuple(o.path for o in branches), next((k for k, o in enumerate(branches) if o.main), -1), stack[-1].named))
+                blocks.append(Block(own, whole, stack[-1].chain, stack[-1].begins, stack[-1].named))
             text.clear()
 
     def pop(k: int) -> None:
         for o in stack[k:]:
+            opened[o.tag] -= 1
             if o.branch:
                 looks[o.path][2].append(o.looks)
         del stack[k:]
 
     def close(tag: str) -> None:
+        if not opened.get(tag):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == tag:
                 if any(o.tag not in INLINE for o in stack[k:]):
@@ -172,16 +179,18 @@ def parse(page: str, names: bool = True) -> tuple[list[Block], dict[int, list]]:
         style, name = _marks(m[4])
         name = name if names else 0
         root, inline = tag in ("html", "body"), tag in INLINE
-        drop = top.drop or tag in DROPPED or tag == "header" and not any(o.tag == "article" for o in stack) or name == 2 and not root
+        drop = top.drop or tag in DROPPED or tag == "header" and not top.article or name == 2 and not root
         main = tag in ("article", "main") and not drop
-        named = not main and (top.named or bool(name) and not root and not inline and not any(o.main for o in stack))
+        named = not main and (top.named or bool(name) and not root and not inline and top.begins < 0)
         path = _hash(top.path, tag, style)
-        branch = not root and not inline and (bool(style) or tag not in CONTENT)
+        branch = not root and not inline and (bool(style) or tag not in CONTENT) and (main or len(top.chain) < MOST_DEPTH)
         if branch and path not in looks:
-            looks[path] = [sum(o.branch for o in stack), bool(name), []]
+            looks[path] = [len(top.chain), bool(name), []]
+        begins = len(top.chain) if main and top.begins < 0 else top.begins
         if not inline:
             top.looks = zlib.crc32(path.to_bytes(8, "little", signed=True), top.looks)
-        stack.append(_Open(tag, path, branch, drop, main, named))
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(_Open(tag, path, branch, drop, named, top.article or tag == "article", (*top.chain, path) if branch else top.chain, begins))
     if at < len(page):
         text.append((entities.unescape(page[at:]), stack[-1].drop))
     flush()

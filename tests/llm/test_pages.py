@@ -52,6 +52,12 @@ def test_names_are_judged_whole(page, text):
     assert sitetree.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ["<div>x " * 20_000, "<b>x<div>" * 20_000, "<article>" + "<section>x " * 20_000, "<i>" * 20_000 + "</b>" * 20_000 + "x " * 20_000])
+def test_pages_that_close_nothing(page):
+    blocks, looks = sitetree.parse(page)
+    assert len(looks) <= sitetree.MOST_DEPTH + 1 and max(len(b.branches) for b in blocks) <= sitetree.MOST_DEPTH + 1 and sitetree.main_text(page).count("x") == 20_000
+
+
 def entropy(values):
     n, counts = len(values), Counter(values).values()
     return 1.0 if n < 2 else -sum(c / n * math.log(c / n) for c in counts) / math.log(n)
