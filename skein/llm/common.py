@@ -109,3 +109,10 @@ def let_go() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the crc32 of a text's UTF-8 bytes."""
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda r, bit: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)"
+    octets = f"list_transform(range(CAST(octet_length(encode({text})) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: {bits}), 4294967295)"

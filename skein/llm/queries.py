@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langcrf, packing, pq, quality, simhash, sitetree, token_store, toolcalls, warc
+from . import byte_bpe, langcrf, merkle, packing, pq, quality, replay, simhash, sitetree, token_store, toolcalls, topk, warc
 from .common import table
 
 
@@ -67,10 +67,22 @@ def op10_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_vectors(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op11_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, table(spark, sf_dir, "documents"), merkle.lowered_fifth())
+
+
+def op13_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_main_text, op2_simhash, op3_token_store, op4_warc, op5_tool_calls, tool_calls_made, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq]
+    own = [op1_main_text, op2_simhash, op3_token_store, op4_warc, op5_tool_calls, tool_calls_made, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq, op11_replay, op12_manifest, op13_top]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "tool_calls_made": toolcalls.MADE_ORACLE, "op6_quality": quality.ORACLE}
+    return {"op11_replay": replay.ORACLE, "op12_manifest": merkle.ORACLE, "op13_top": topk.ORACLE, "op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "tool_calls_made": toolcalls.MADE_ORACLE, "op6_quality": quality.ORACLE}
