@@ -29,6 +29,7 @@ IMPACTS = 32
 LOOKS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0)
 #: Sums of this size and over may not be exact as doubles.
 EXACT = 1 << 53
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 INDEX = "shard int, n int, width int, ids binary, kind string, rows binary, posted binary, starts binary, low binary, high binary"
 QUERIES = "home int, place int, query_id long, vector binary"
@@ -86,13 +87,13 @@ class Shard:
     def sure(self, q: np.ndarray) -> bool:
         return self.most * float(np.abs(q).max(initial=0)) * max(len(q), 1) < EXACT
 
-    def best(self, q: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best, more where the last ties; ``own`` is left out."""
+    def best(self, q: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, list[int]]:
+        """Rows and scores of the k best, ties by id; ``own`` is left out."""
         others = np.arange(self.n) != own
         among = self.members(q, k, others) if self.sure(q) else np.flatnonzero(others)
-        scores = self.exact(q, among)
+        scores = [min(max(int(s), LEAST), MOST) for s in self.exact(q, among)]
         by = sorted(range(len(among)), key=lambda i: (-scores[i], self.ids[among[i]]))[:k]
-        return among[by], scores[by]
+        return among[by], [scores[i] for i in by]
 
     def members(self, q: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
         """A set of rows that holds the k best, ties of the last included."""
@@ -155,7 +156,6 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(pdfs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     for pdf in pdfs:
         for row in pdf.itertuples():
             shard = Shard(row)
@@ -164,7 +164,7 @@ def _search(pdfs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             found: list[tuple] = []
             for home, place, name, q in zip(homes, places, names, vectors):
                 rows, scores = shard.best(q, k, place if home == shard.shard else -1)
-                found += [(home, place, name, shard.ids[r], min(max(int(s), least), most)) for r, s in zip(rows, scores)]
+                found += [(home, place, name, shard.ids[r], s) for r, s in zip(rows, scores)]
                 if len(found) > 20_000:
                     yield pd.DataFrame(found, columns=["home", "place", "query_id", "vec_id", "score"])
                     found = []
@@ -177,7 +177,8 @@ def top(spark: SparkSession, embeddings: DataFrame, every: int = 100, k: int = 1
     Scores are inner products of floor(1024 x), whole numbers; equal scores are ranked by vec_id. Rows whose vec_id or vector is
     null, or whose components are null, not finite or not finite after scaling, take no part. Of vectors of different length the
     longer one's further components count as zero; an empty vector scores 0. A query's own row is no candidate for it; repeated
-    rows are candidates for each other, and each asks for itself. Scores beyond 64 bits are held at the largest number. Other
+    rows are candidates for each other, and each asks for itself. Scores beyond 64 bits are held at the
+    nearest number of 64 bits, and tie there. Other
     columns are not read. Without queries or without other rows the result is empty.
 
     Every shard meets every query, in blocks: the query set is a hundredth of the rows. A shard and a block have a bounded size.

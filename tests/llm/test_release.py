@@ -164,8 +164,8 @@ def ranked(rows, every=100, k=10):
     out = []
     for i, (q, a) in enumerate(fits):
         if q % every == 0:
-            scores = [(-sum(x * y for x, y in zip(a, b)), v) for j, (v, b) in enumerate(fits) if j != i]
-            out += [(q, r, v, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, v) in enumerate(sorted(scores)[:k], 1)]
+            scores = [(-min(max(sum(x * y for x, y in zip(a, b)), -(1 << 63)), (1 << 63) - 1), v) for j, (v, b) in enumerate(fits) if j != i]
+            out += [(q, r, v, -s) for r, (s, v) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out)
 
 
