@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .graph import CONTAINS, Graph
 from .operators import degrees, joins, search, traversal, vectors
-from .operators.automaton import Automaton, Registry, default_rules, initial_state
+from .operators.automaton import Automaton, Registry, default_rules, initial_state, marked
 from .sources import scan, vcs
 from .sources.store import Store
 
@@ -154,11 +154,11 @@ class Engine:
         self.run = Automaton(graph, rules or default_rules(), initial_state(graph.nodes))
         self.log: list[dict] = []
 
-    def apply_intent(self, title: str, targets: list[int]) -> None:
-        """Targets become active and changed."""
-        self.log.append({"type": "intent", "title": title, "targets": targets})
-        mine = F.col("id").isin(targets)
-        self.run.state = self.run.state.withColumn("activation", F.when(mine, F.lit(1.0)).otherwise(F.col("activation"))).withColumn("changed", mine | F.col("changed"))
+    def apply_intent(self, title: str, targets: DataFrame) -> None:
+        """The nodes of ``targets`` (id) become active and changed; the log holds how many there are."""
+        found, mine = marked(self.run.state, targets), F.col("mine")
+        self.log.append({"type": "intent", "title": title, "targets": found.where(mine).count()})
+        self.run.state = found.withColumn("activation", F.when(mine, F.lit(1.0)).otherwise(F.col("activation"))).withColumn("changed", mine | F.col("changed")).drop("mine")
 
     def tick(self):
         t = self.run.step()

@@ -21,8 +21,8 @@ class Graph:
     edges: DataFrame
 
     def cut(self) -> "Graph":
-        """The same graph, its tables checkpointed once for all that follows."""
-        from .operators.traversal import cut
+        """The same graph, its tables written once for all that follows."""
+        from .operators.tables import cut
 
         return replace(self, nodes=cut(self.nodes), edges=cut(self.edges))
 

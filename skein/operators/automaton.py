@@ -3,6 +3,10 @@
 A tick is one join of the adjacency with the neighbours' states, one aggregation wide enough for all rules, one left join
 and one chain of columns. Rules give a struct (activation, payload, changed) or null to skip; the first that gives one in
 priority order wins.
+
+Ticks are semi-naive. A rule reads a node's state and its neighbours', so a node whose state and whose neighbours' states the
+last tick left alone does in this tick what it did in the last: it is carried over, with what it did, and only nodes at or next
+to a change are joined, summed and asked.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import CONTAINS, Graph
-from .traversal import cut
+from .tables import cut, free, in_buckets, laid_out, summed
 
 STATE = ("id", "activation", "payload", "changed", "stability")
 PAYLOAD = "struct<neighbor_count:bigint,import_count:bigint,complexity:double>"
@@ -262,9 +266,17 @@ def converged(history: list[Tick], window: int = 5, variance: float = 0.001) ->
     return sum((x - mean) ** 2 for x in last) / window < variance
 
 
+#: Where more than one node in so many changed, the next tick asks all nodes: finding the neighbours would cost more than it saves.
+DENSE = 8
+
+
 @dataclass
 class Automaton:
-    """Runs ticks over a graph; what a tick leaves is cut, and one small sum a tick reaches the driver."""
+    """Runs ticks over a graph; each tick's states are a table of their own, and one small sum a tick reaches the driver.
+
+    ``state`` is good until the step after the next one: older tables are taken away. A new ``state`` or other rules may be set
+    at any time; the next tick then asks all nodes.
+    """
 
     graph: Graph
     rules: Registry
@@ -277,7 +289,9 @@ class Automaton:
 
     def __post_init__(self):
         if self.adjacency is None:
-            self.adjacency = cut(self.graph.adjacency())
+            self.adjacency = laid_out(self.graph.adjacency(), "peer")
+        # What the last tick left: its table with marks, how many nodes changed, by which rules, and the state it gave.
+        self._table, self._fresh, self._by, self._gave, self._spent = None, 0, [], None, None
 
     @classmethod
     def fast(cls, *a, **k) -> "Automaton":
@@ -288,12 +302,47 @@ class Automaton:
         return cls(*a, **({"max_ticks": 500, "min_ticks": 20} | k))
 
     def step(self, rule: Rule | None = None) -> Tick:
-        done = cut(evaluate(self.state, self.adjacency, [rule] if rule else self.rules.by_priority()))
-        self.state = applied(done)
-        now = F.coalesce("outcome.activation", "activation")
-        n, t, mean = done.agg(F.count(F.lit(1)), F.count_if(F.col("outcome").isNotNull()), F.coalesce(F.avg(now), F.lit(0.0))).first()
-        self.history.append(Tick(len(self.history) + 1, t, n - t, mean))
-        return self.history[-1]
+        rules = [rule] if rule else self.rules.by_priority()
+        known = self._table is not None and self.state is self._gave and len(rules) == len(self._by) and all(a is b for a, b in zip(rules, self._by))
+        if known and not self._fresh:
+            # Nothing changed: every node does the same again.
+            last = self.history[-1] if self.history else self._last
+            self._last = Tick(len(self.history) + 1, last.transitions, last.skipped, last.avg_activation)
+            self.history.append(self._last)
+            return self._last
+        # States lie as the adjacency does, so that both sides of a tick's joins are dealt out alike.
+        by = "id" if in_buckets(self.adjacency) else None
+        before = self._table if known else cut(self.state.select(*STATE).withColumns({"moved": F.lit(False), "fresh": F.lit(True)}), by)
+        done, sums, near = self._ask(before, rules, by, only_near=known and self._fresh * DENSE <= self._last.transitions + self._last.skipped)
+        free(self._spent, near, None if known else self._table)
+        self._spent, self._table, self._fresh, self._by = before, done, sums.fresh, rules
+        self.state = self._gave = done.select(*STATE)
+        self._last = Tick(len(self.history) + 1, sums.moved, sums.n - sums.moved, sums.mean)
+        self.history.append(self._last)
+        return self._last
+
+    def _ask(self, before: DataFrame, rules: list[Rule], by: str | None, only_near: bool):
+        """The table after a tick over ``before``, sums over it, and the table of the nodes asked if those were some only."""
+        adjacency, near = self.adjacency, None
+        if only_near:
+            fresh = before.where("fresh").select("id")
+            reached = self.adjacency.join(fresh.withColumnRenamed("id", "peer"), "peer", "left_semi").select("id")
+            near = cut(fresh.unionByName(reached).distinct())
+            adjacency = adjacency.join(near, "id", "left_semi")
+        joined = before.join(messages(adjacency, before), "id", "left")
+        outcome = F.coalesce(*[F.when(r.guard(), r.apply()) for r in rules]) if rules else F.lit(None).cast(f"struct<activation:double,payload:{PAYLOAD},changed:boolean>")
+        asked = F.lit(True)
+        if near is not None:
+            joined = joined.join(near.withColumn("near", F.lit(True)), "id", "left")
+            asked = F.col("near").isNotNull()
+        joined = joined.withColumn("outcome", F.when(asked, outcome))
+        after = [F.when(F.col("outcome").isNotNull(), F.col("outcome")[c]).otherwise(F.col(c)) for c in STATE[1:4]]
+        differs = ~(after[0].eqNullSafe(F.col("activation")) & after[1].eqNullSafe(F.col("payload")) & after[2].eqNullSafe(F.col("changed")))
+        moved = F.when(asked, F.col("outcome").isNotNull()).otherwise(F.col("moved"))
+        done = joined.select("id", *[c.alias(n) for c, n in zip(after, STATE[1:4])], "stability", moved.alias("moved"), differs.alias("fresh"))
+        n, mean = F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("activation"), F.lit(0.0)).alias("mean")
+        table, sums = summed(done, n, F.count_if("moved").alias("moved"), F.count_if("fresh").alias("fresh"), mean, by=by)
+        return table, sums, near
 
     def run(self) -> "Automaton":
         """Until stable after min_ticks, max_ticks at most."""
@@ -325,21 +374,28 @@ class Automaton:
         return self.state.sparkSession.createDataFrame(rows, "tick int, transitions long, skipped long, errors long, avg_activation double")
 
 
-def change_explorer(g: Graph, changed: list[int]) -> Automaton:
-    mine = F.col("id").isin(changed)
-    return Automaton(g, default_rules(), initial_state(g.nodes, F.when(mine, 1.0).otherwise(0.0), mine), max_ticks=20)
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``mine``: whether their id is among ``ids`` (id)."""
+    mark = ids.select("id", F.lit(True).alias("mine")).distinct()
+    return rows.join(mark, "id", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+
+
+def change_explorer(g: Graph, changed: DataFrame) -> Automaton:
+    """Seeds: the nodes of ``changed`` (id), active and changed."""
+    nodes, mine = marked(g.nodes.select("id"), changed), F.col("mine")
+    return Automaton(g, default_rules(), initial_state(nodes, F.when(mine, 1.0).otherwise(0.0), mine), max_ticks=20)
 
 
-def impact_analyzer(g: Graph, start: list[int]) -> Automaton:
-    mine = F.col("id").isin(start)
-    return Automaton(g, Registry(ImportPropagation(0.5, 0.05, 0.9), ModuleActivation()), initial_state(g.nodes, F.when(mine, 1.0).otherwise(0.0)), max_ticks=50)
+def impact_analyzer(g: Graph, start: DataFrame) -> Automaton:
+    """Seeds: the nodes of ``start`` (id), active."""
+    nodes = marked(g.nodes.select("id"), start)
+    return Automaton(g, Registry(ImportPropagation(0.5, 0.05, 0.9), ModuleActivation()), initial_state(nodes, F.when(F.col("mine"), 1.0).otherwise(0.0)), max_ticks=50)
 
 
 def with_description(g: Graph, config: DataFrame, changed: DataFrame, damping: float = 0.5) -> Automaton:
     """Seeds: changed ids 1, others a twentieth of their stability; config: id, stability."""
-    mark = changed.select("id", F.lit(True).alias("m")).distinct()
-    nodes = g.nodes.select("id").join(config.select("id", "stability"), "id", "left").join(mark, "id", "left").select("id", F.coalesce("stability", F.lit(0.0)).alias("stability"), F.coalesce("m", F.lit(False)).alias("m"))
-    return Automaton(g, description_rules(damping), initial_state(nodes, F.when(F.col("m"), 1.0).otherwise(F.col("stability") * 0.05), F.col("m"), F.col("stability")))
+    nodes = marked(g.nodes.select("id").join(config.select("id", "stability"), "id", "left"), changed).withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+    return Automaton(g, description_rules(damping), initial_state(nodes, F.when(F.col("mine"), 1.0).otherwise(F.col("stability") * 0.05), F.col("mine"), F.col("stability")))
 
 
 def transition_rate() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..session import ship
-from .traversal import cut
+from .tables import cut, free
 
 
 class CellSystem:
@@ -31,8 +31,10 @@ class CellSystem:
         peers = self.state.select(F.col("id").alias("peer"), F.col("activation").alias("a"))
         near = self.graph.both_ways().join(peers, "peer").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("total"), F.max("a").alias("top"))
         seen = self.state.join(near, "id", "left").fillna({"n": 0, "total": 0.0, "top": 0.0})
-        self.history = [*self.history, self.state][-self.window :]
+        kept = [*self.history, self.state]
+        self.history = kept[-self.window :]
         self.state = cut(seen.select("id", "activation", "n", "total", "top").mapInPandas(run, "id long, activation double"))
+        free(*kept[: -self.window])
         return self.state
 
     def run(self, ticks: int) -> DataFrame:

@@ -12,7 +12,7 @@ from ..graph import Graph
 from ..session import ship
 from . import cell_tree
 from .cell_tree import SOFT
-from .traversal import cut
+from .tables import cut, free
 
 AXES = ("x", "y")
 #: Places and edges of a layout that one task runs by itself, for many steps a job.
@@ -129,7 +129,8 @@ def run(at: DataFrame, edges: DataFrame, config: Config = Config(), steps: int =
     a step; larger ones take a distributed step() at a time. Both compute the same forces."""
     if at.count() + edges.count() > ONE_TASK:
         for _ in range(steps):
-            at = cut(step(at, edges, config))
+            before, at = at, cut(step(at, edges, config))
+            free(before)
         return at
     ship(at.sparkSession)
     places = at.select(F.lit(0).alias("one"), "id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")]).groupBy("one")
@@ -202,9 +203,10 @@ class Layout:
         return self
 
     def step(self, still: float = 0.0) -> DataFrame:
-        """One step if running; converged once no velocity exceeds ``still``."""
+        """One step if running; converged once no velocity exceeds ``still``. The places of the step before are taken away."""
         if self.state == "running":
-            self.at = cut(step(self.at, self.edges, self.config))
+            before, self.at = self.at, cut(step(self.at, self.edges, self.config))
+            free(before)
             self.steps += 1
             if still and (self.at.agg(F.max(F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2))).first()[0] or 0.0) <= still:
                 self.state = "converged"

@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import CONTAINS, Graph
-from ..session import shared_top
 from .degrees import degrees
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the session's shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_top(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the session's shared folder; unlike a checkpoint it also forgets what the planner thought of
-    the rows' number, which long loops need."""
-    path = f"{shared_top(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .tables import cut, free, in_buckets, laid_out, summed
 
 
 def layers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """id and the least number of steps (0 for seeds) along edges (src, dst), at most ``depth``; ends early when nothing is new."""
+    """id and the least number of steps (0 for seeds) along edges (src, dst), at most ``depth``; ends early when nothing is new.
+
+    Hops run as a driver loop of semi-joins: a recursive query would carry every path to a node, this carries each node once.
+    """
     seen = frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
-        if frontier.isEmpty():
+        frontier, found = summed(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), F.count(F.lit(1)).alias("n"))
+        if not found.n:
+            free(frontier)
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -73,21 +60,44 @@ def invert(nodes: DataFrame, selection: DataFrame) -> DataFrame:
     return nodes.select("id").join(selection.select("id"), "id", "left_anti")
 
 
+#: A node's share of what one node gave is not passed on below this: over all rounds that is less than 1e-10 of a node's rank.
+LEAST_GIVEN = 1e-12
+
+
 def pagerank(g: Graph, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """id, rank: textbook PageRank; parallel edges count each, the rank of nodes without an edge out goes to all alike.
 
-    The edges with their shares are cut once, and partitioned as the rounds join them; a round is one join and one sum.
+    With A for one round along the edges and 1 for one unit at each node, the ranks after any round are a sum of c_j A^j 1: what
+    dead ends give back to all alike only changes the numbers c_j, and these follow from the mass that A^j 1 has at dead ends.
+    So one unit is pushed along the edges, only nodes that still get some are in the next round, and a graph without cycles is
+    done after its longest path. A round is a join with the shares, which lie by their source if they are large, and one sum, its
+    partial sums made before the shuffle, so that a node that many link to is no hot key. Two sums a round reach the driver.
     """
-    out = g.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    shares = cut(g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).join(out, "src").select("src", "dst", (F.col("c") / F.col("n")).alias("share")))
     n = g.nodes.count()
-    ends = cut(g.nodes.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti"))
-    rank = g.nodes.select("id", F.lit(1.0 / max(1, n)).alias("rank"))
-    for k in range(rounds):
-        lost = rank.join(ends, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = rank.join(shares, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        rank = g.nodes.select("id").join(given, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        rank = cut(rank)
+    out = g.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    inside = g.nodes.select(F.col("id").alias("dst"), F.lit(True).alias("inside"))
+    shares = g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).join(out, "src").join(inside, "dst", "left")
+    shares = laid_out(shares.select("src", "dst", (F.col("c") / F.col("n")).alias("share"), F.coalesce("inside", F.lit(False)).alias("inside")), "src")
+    by = "id" if in_buckets(shares) else None
+    total, inner = F.coalesce(F.sum("given"), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.when(F.col("inside"), F.col("given"))), F.lit(0.0)).alias("inner")
+    given, held, ended = [cut(g.nodes.select("id", F.lit(1.0).alias("given"), F.lit(True).alias("inside")), by)], float(n), []
+    for _ in range(rounds):
+        step = given[-1].where(F.col("inside") & (F.col("given") >= LEAST_GIVEN)).join(shares, F.col("id") == F.col("src"))
+        step = step.groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("given") * F.col("share"))).alias("given"), F.bool_or(shares["inside"]).alias("inside"))
+        table, sums = summed(step, total, inner, F.count(F.lit(1)).alias("n"), by=by)
+        # What did not go on was at dead ends.
+        ended.append(max(0.0, held - sums.total / damping))
+        held = sums.inner
+        if not sums.n:
+            free(table)
+            break
+        given.append(table)
+    weights = [1.0 / max(1, n)]
+    for _ in range(rounds):
+        weights = [(1 - damping) / max(1, n) + damping / max(1, n) * sum(c * m for c, m in zip(weights, ended)), *weights]
+    parts = [t.where("inside").select("id", (F.col("given") * c).alias("rank")) for t, c in zip(given, weights)]
+    rank = cut(reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("rank").alias("rank")))
+    free(shares, *given)
     return rank
 
 

@@ -455,7 +455,7 @@ def _(s, d):
 def _(s, d):
     g = fk_graph(s, d)
     e = api.Engine(g)
-    e.apply_intent("touch", [r[0] for r in g.nodes.where(seeded_ids()).select("id").collect()])
+    e.apply_intent("touch", g.nodes.where(seeded_ids()))
     e.tick()
     return e.snapshot()[1].select("id", r6("activation"))
 

@@ -12,7 +12,7 @@ from .functions.scalars import annotate
 from .graph import Graph
 from .operators.degrees import degrees
 from .operators.search import Selector
-from .operators.traversal import cut, written
+from .operators.tables import cut, free
 from .operators.vectors import hashed_embedding
 from .session import ship
 
@@ -176,18 +176,21 @@ class ModelRule:
         A node waits only for its neighbours of a lower id, so all nodes that wait for none are asked together; what comes out
         is what asking one at a time gives. A round for each step of the longest chain of rising ids.
         """
-        adjacency = written(g.adjacency())
+        adjacency = cut(g.adjacency())
         waits = adjacency.where("peer < id").select("id", "peer")
         current = state.select("id", "activation")
-        waiting, done = written(current.select("id")), None
+        waiting, done = cut(current.select("id")), None
         while not waiting.isEmpty():
             blocked = waits.join(waiting.select(F.col("id").alias("peer")), "peer", "left_semi").select("id").distinct()
-            free = written(waiting.join(blocked, "id", "left_anti"))
-            answered = written(self._asked(adjacency, current, free))
+            ready = cut(waiting.join(blocked, "id", "left_anti"))
+            answered = cut(self._asked(adjacency, current, ready))
             done = answered if done is None else done.unionByName(answered)
             new = answered.select("id", F.col("activation").alias("new"))
-            current = written(current.join(new, "id", "left").select("id", F.coalesce("new", "activation").alias("activation")))
-            waiting = written(waiting.join(free, "id", "left_anti"))
+            spent = (current, waiting, ready)
+            current = cut(current.join(new, "id", "left").select("id", F.coalesce("new", "activation").alias("activation")))
+            waiting = cut(waiting.join(ready, "id", "left_anti"))
+            free(*spent)
+        free(adjacency, current, waiting)
         return done if done is not None else self.tick(g, state)
 
     def _asked(self, adjacency: DataFrame, state: DataFrame, only: DataFrame) -> DataFrame:
@@ -197,11 +200,13 @@ class ModelRule:
         """Ticks until one changes nothing and fails nowhere, ``most`` at most: the last answers and (transitions, errors) of each."""
         history, current, answers = [], state.select("id", "activation"), None
         for _ in range(most):
+            spent = answers
             answers = cut(self.tick_in_turn(g, current) if in_turn else self.tick(g, current))
             old = current.select("id", F.col("activation").alias("old"))
             moved = F.count_if(F.col("activation") != F.col("old"))
             history.append(tuple(answers.join(old, "id").agg(moved, F.count_if(F.col("feedback") == UNREADABLE)).first()))
             current = answers.select("id", "activation")
+            free(spent)
             if history[-1] == (0, 0):
                 break
         return answers, history

@@ -100,10 +100,11 @@ def test_rules_and_runs(small):
         A.Registry().get("x")
     both = A.Composite([A.ModuleActivation(), A.ImportPropagation()])
     assert A.tick(state, adjacency, [both, A.Delegate(F.lit(False), A.NoOp())]).count() == 5
-    run = A.change_explorer(small, [2])
+    seeds = small.nodes.where("id = 2")
+    run = A.change_explorer(small, seeds)
     run.max_ticks = 4
     assert len(run.run().history) == 4 and run.ticks().count() == 4 and run.reset().history == []
-    assert A.impact_analyzer(small, [2]).run_until_still(3) in (True, False)
+    assert A.impact_analyzer(small, seeds).run_until_still(3) in (True, False)
     ticks = [A.Tick(k, 0, 5, 0.5) for k in range(5)]
     assert A.quiet(ticks) and A.converged(ticks) and not A.quiet(ticks[:2]) and not A.converged(ticks[:4])
     assert A.Tick(1, 0, 0, 0.0).rate == 0
