@@ -289,7 +289,7 @@ class Automaton:
 
     def __post_init__(self):
         if self.adjacency is None:
-            self.adjacency = laid_out(self.graph.adjacency(), "peer")
+            self.adjacency = laid_out(self.graph.adjacency(), "peer", near="id")
         # What the last tick left: its table with marks, how many nodes changed, by which rules, and the state it gave.
         self._table, self._fresh, self._by, self._gave, self._spent = None, 0, [], None, None
 

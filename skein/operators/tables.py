@@ -44,9 +44,10 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
 LARGE = 64 << 20
 
 
-def laid_out(df: DataFrame, by: str) -> DataFrame:
-    """``cut``, in buckets of ``by`` where the table is large (see ``in_buckets``)."""
-    plain = cut(df)
+def laid_out(df: DataFrame, by: str, near: str | None = None) -> DataFrame:
+    """``cut``, in buckets of ``by`` where the table is large (see ``in_buckets``); else rows of one ``near`` lie together, so
+    that what is summed by it is summed before the shuffle."""
+    plain = cut(df.repartition(near) if near else df)
     spark = df.sparkSession
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(plain.cut_folder)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength() < LARGE:

@@ -9,8 +9,10 @@ from ..functions.scalars import cosine, l2_norm, let
 
 
 def upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows (id, embedding) replace those of the same id."""
-    return index.join(rows.select("id"), "id", "left_anti").unionByName(rows.groupBy("id").agg(F.last("embedding").alias("embedding")))
+    """Rows (id, embedding and, if there is one, seq) replace those of the same id; of several of one id that of the largest seq,
+    and among rows without an order the one whose embedding sorts last."""
+    order = F.struct("seq", "embedding") if "seq" in rows.columns else F.col("embedding")
+    return index.join(rows.select("id"), "id", "left_anti").unionByName(rows.groupBy("id").agg(F.max_by("embedding", order).alias("embedding")))
 
 
 def remove(index: DataFrame, id: int) -> DataFrame:

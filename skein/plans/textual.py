@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import code, logs, scalars as S
 from ..operators import automaton as A
 from ..operators import joins as J
+from ..operators import neighbours as N
 from ..operators import vectors as V
 from ..samplers import DegreeSampler, EmbeddingSampler, MetadataSampler, Pipeline
 from ..sources import vcs
@@ -400,6 +401,16 @@ def _(s, d):
     return V.neighbors_of(_index(s, d), 0).select("id", r6("score"), "label")
 
 
+NEAR = """WITH u AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.id, b.id AS peer, list_cosine_similarity(a.e, b.e) AS score FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, peer) AS n FROM s WHERE score > 0.1)"""
+
+
+@query("l8_neighbors_of_all", f"{NEAR} SELECT id, peer, round(score, 6) AS score, printf('semantic(%.2f)', score) AS label FROM r WHERE n <= 5")
+def _(s, d):
+    return N.all_neighbours(_index(s, d)).select("id", "peer", r6("score"), "label")
+
+
 @query("c44_norms", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def _(s, d):
     return s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", r6(S.l2_norm(F.col("embedding")), "norm"))
