@@ -153,7 +153,7 @@ def _(s, d):
     for name in ("empty", "no meta", "both"):
         st = Store(s, shared(s, "store"))
         if name == "no meta":
-            st.save("vectors/index", index)
+            st.vectors().replace(index)
         if name == "both":
             st.save_vectors(index, "zero", 4)
         rows.append((name, st.load_vectors() is not None))

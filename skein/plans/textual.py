@@ -422,6 +422,33 @@ def _(s, d):
     return V.upsert(_index(s, d), new).select("id", F.get("embedding", 0).cast("double").alias("x"))
 
 
+LOGGED = """WITH changes AS (
+  SELECT vec_id AS id, 1 AS v, 0 AS seq, false AS gone, embedding[1]::DOUBLE AS x FROM embeddings
+  UNION ALL SELECT vec_id, 2, k, false, embedding[1 + k]::DOUBLE FROM embeddings, range(4) r(k) WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id, 3, 0, true, NULL FROM embeddings WHERE vec_id % 5 = 0
+  UNION ALL SELECT -1 - vec_id, 4, 0, false, embedding[2]::DOUBLE FROM embeddings
+  UNION ALL SELECT vec_id, 5, 0, false, embedding[9]::DOUBLE FROM embeddings WHERE vec_id % 10 = 0)
+SELECT id, arg_max(x, (v, seq)) AS x FROM (SELECT *, arg_max(gone, (v, seq)) OVER (PARTITION BY id) AS last_gone FROM changes) WHERE NOT last_gone AND NOT gone GROUP BY id"""
+
+
+@query("l1_logged_upserts", LOGGED)
+def _(s, d):
+    """Every vector, then new versions of some in order, removals, more vectors, a compaction, and removed ones again."""
+    from ..sources.vector_log import VectorLog
+    from .surface import shared
+
+    log, index = VectorLog(s, shared(s, "vectors")), _index(s, d)
+    only = lambda at: F.array(F.get("embedding", at))
+    log.upsert(index.select("id", only(F.lit(0)).alias("embedding")))
+    versions = index.where("id % 3 = 0").withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    log.upsert(versions.select("id", "seq", only(F.col("seq")).alias("embedding")))
+    log.remove(index.where("id % 5 = 0"))
+    log.upsert(index.select((-1 - F.col("id")).alias("id"), only(F.lit(1)).alias("embedding")))
+    log.compact()
+    log.upsert(index.where("id % 10 = 0").select("id", only(F.lit(8)).alias("embedding")))
+    return log.read().select("id", F.get("embedding", 0).cast("double").alias("x"))
+
+
 @query("l2_remove", "SELECT vec_id AS id FROM embeddings WHERE vec_id <> 3")
 def _(s, d):
     return V.remove(_index(s, d), 3).select("id")

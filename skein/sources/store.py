@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from .vector_log import VectorLog
 
 
 class Store:
@@ -58,14 +59,18 @@ class Store:
     def load_json(self, name: str) -> dict | None:
         return json.loads(self.spark.read.text(self._at(name)).first()[0]) if self.exists(name) else None
 
+    def vectors(self) -> VectorLog:
+        """The log behind the stored index, for upserts, removals and compaction."""
+        return VectorLog(self.spark, self._at("vectors/log"))
+
     def save_vectors(self, index: DataFrame, model: str, dim: int, extra: dict | None = None) -> None:
-        self.save("vectors/index", index)
+        self.vectors().replace(index)
         self.save_json("vectors/meta", {"model": model, "dim": dim, **(extra or {})})
 
     def load_vectors(self) -> tuple[DataFrame, dict] | None:
         """The index and what describes it; none if either is missing."""
-        index, meta = self.load("vectors/index"), self.load_json("vectors/meta")
-        return (index, meta) if index is not None and meta is not None else None
+        log, meta = self.vectors(), self.load_json("vectors/meta")
+        return (log.read(), meta) if meta is not None and log.exists() else None
 
     def snapshot(self, name: str, df: DataFrame, at_ms: int | None = None) -> int:
         at = int(time.time() * 1000) if at_ms is None else at_ms
