@@ -23,7 +23,8 @@ from ..session import shared_top
 from ..samplers import Constitution, DegreeSampler, EmbeddingSampler, ModelRule, NoOpSampler, resolver_of
 from ..sources import project, render, scan, vcs
 from ..sources.store import Store, read_graph_json, write_graph_json
-from ..streaming import changes as C
+from ..streaming import changes as C, liveness
+from ..streaming.loop import WatchLoop
 from .iterative import ACTION, DESCRIBED, FULL, ITEMS, MIG, ROLES, SEED, SQL, TASK, TOP, _structural_items, seeded_ids, ticks_sql
 from .projections import doc_graph, fk_graph, fk_sql
 from .registry import ORACLES, query, r6
@@ -654,6 +655,77 @@ def _(s, d):
     return s.table(name).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "fingerprint")
 
 
+CUSTOMER = 3_000_000_000
+
+WATCHED = f"""WITH {fk_sql()}, c AS (SELECT {CUSTOMER} + user_id AS id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+n AS (SELECT id, count(*) AS n FROM c WHERE event_type IS DISTINCT FROM b GROUP BY id),
+r AS (SELECT dst, src FROM edges WHERE relationship <> 'contains'),
+one AS (SELECT DISTINCT src AS id FROM r WHERE dst IN (SELECT id FROM n JOIN nodes USING (id))), two AS (SELECT DISTINCT src AS id FROM r WHERE dst IN (SELECT id FROM one))"""
+
+
+@query("n5_watch_loop", f"{WATCHED} SELECT 'changed' AS what, id, n FROM n UNION ALL SELECT 'impacted', id, min(k) FROM (SELECT id, 1 AS k FROM one UNION ALL SELECT id, 2 FROM two) WHERE id NOT IN (SELECT id FROM n JOIN nodes USING (id)) GROUP BY id")
+def _(s, d):
+    """Events as fingerprints of customers: the loop is stopped half way and started again from its checkpoint."""
+    e, files = s.read.parquet(f"{d}/events.parquet"), shared(s, "arrived")
+    loop, checkpoint = WatchLoop(fk_graph(s, d).cut(), shared(s, "watched")), shared(s, "cp")
+    first, last = (F.unix_micros(x) for x in (F.min("ts"), F.max("ts")))
+    low, high = e.agg(first, last).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("ts") - low) * 4 / max(1, high - low)).cast("int"))
+    keyed = e.select((F.col("user_id") + CUSTOMER).cast("string").alias("key"), "ts", F.col("event_type").alias("fingerprint"), quarter.alias("quarter"))
+    for half in ((0, 1), (2, 3)):
+        for k in half:
+            keyed.where(F.col("quarter") == k).drop("quarter").coalesce(1).write.parquet(f"{files}/{k}")
+        stream = s.readStream.schema("key string, ts timestamp, fingerprint string").option("maxFilesPerTrigger", 1).parquet(f"{files}/*")
+        running = loop.start(stream, checkpoint, availableNow=True)
+        running.awaitTermination()
+        running.stop()
+    changed = loop.read("changes").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("changed").alias("what"), "id", "n")
+    mine = loop.graph.nodes.join(changed, "id", "left_semi").select("id")
+    impacted = loop.read("impact").groupBy("id").agg(F.min("depth").cast("long").alias("n")).join(mine, "id", "left_anti")
+    return changed.unionByName(impacted.select(F.lit("impacted").alias("what"), "id", "n"))
+
+
+LIVES = """WITH e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER w < 21600000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY key ORDER BY us)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY us ROWS UNBOUNDED PRECEDING) AS life FROM g), l AS (SELECT key, life, min(us) AS since, max(us) AS last, count(*) AS beats FROM n GROUP BY ALL),
+o AS (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS next FROM l)
+SELECT key, since, last, last + 21600000000 AS until, beats FROM o WHERE next IS NOT NULL OR last + 21600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM e)"""
+
+
+def _streamed(s, d, df):
+    """What a finished stream gave."""
+    name = f"given_{uuid.uuid4().hex[:8]}"
+    df.writeStream.format("memory").queryName(name).option("checkpointLocation", shared(s, "cp")).trigger(availableNow=True).start().awaitTermination()
+    return s.table(name)
+
+
+def _as_stream(s, d):
+    return C.events_stream(s, d, s.read.parquet(f"{d}/events.parquet").schema, "events.parquet")
+
+
+def _in_micros(df):
+    return df.select("key", *[F.unix_micros(c).alias(c) for c in ("since", "last", "until")], "beats")
+
+
+@query("n7_disconnects", LIVES)
+def _(s, d):
+    """Heartbeats as a stream: users silent for six hours, an hour of lateness."""
+    beats = _as_stream(s, d).select(F.col("user_id").alias("key"), "ts")
+    return _in_micros(_streamed(s, d, liveness.disconnects(beats, 6 * 3600, "1 hour")))
+
+
+@query("n7_disconnects_of_a_table", LIVES)
+def _(s, d):
+    beats = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return _in_micros(liveness.disconnects_batch(beats, 6 * 3600, 3600))
+
+
+@query("n8_registry", "SELECT user_id::VARCHAR AS key, event_id::VARCHAR AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type <> 'error' DESC, event_id::VARCHAR DESC) = 1 AND event_type <> 'error'")
+def _(s, d):
+    """Events as registrations, errors as unregistrations: who is registered in the end."""
+    entries = _as_stream(s, d).select(F.col("user_id").alias("key"), "ts", F.col("event_id").cast("string").alias("value"), (F.col("event_type") != "error").alias("live"))
+    return liveness.names(_streamed(s, d, liveness.registry(entries, 3600, "1 hour")))
+
+
 @query("o8_iterations", table_sql([(10, 10), (1000, 5), (9000, 2)], "nodes, steps"))
 def _(s, d):
     return values(s, [(n, L.iterations(n)) for n in (10, 1000, 9000)], "nodes int, steps int")

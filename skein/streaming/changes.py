@@ -21,15 +21,14 @@ class _Changed(StatefulProcessor):
         self.last = handle.getValueState("last", "fingerprint string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        kept = []
-        current = self.last.get()[0] if self.last.exists() else None
-        for r in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
-            if r.fingerprint != current:
-                current = r.fingerprint
-                kept.append((key[0], r.ts, r.fingerprint))
-        if current is not None:
-            self.last.update((current,))
-        yield pd.DataFrame(kept, columns=["key", "ts", "fingerprint"])
+        of_key = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
+        prints = of_key["fingerprint"].astype(object)
+        before = prints.shift(1)
+        before.iloc[0] = self.last.get()[0] if self.last.exists() else None
+        self.last.update((prints.iloc[-1],))
+        same = (prints == before) | (prints.isna() & before.isna())
+        kept = of_key[~same.to_numpy()]
+        yield pd.DataFrame({"key": key[0], "ts": kept["ts"], "fingerprint": kept["fingerprint"]})
 
     def close(self) -> None:
         pass
@@ -76,12 +75,6 @@ def message(kind: str, workspace: Column, payload: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), workspace.alias("workspace"), payload.alias("payload"))
 
 
-def watch(stream: DataFrame, on_change: Callable[[DataFrame, int], None], interval: str = "2 seconds", checkpoint: str | None = None):
-    """Calls ``on_change`` with each micro-batch of changed fingerprints; returns the running query."""
-    writer = only_changes(stream).writeStream.outputMode("append").foreachBatch(lambda df, n: on_change(df, n) if not df.isEmpty() else None).trigger(processingTime=interval)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-
-
 class Poller:
     """A rate-limited read: within ``every`` seconds the last value is given again."""
 
