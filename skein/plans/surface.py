@@ -666,7 +666,7 @@ one AS (SELECT DISTINCT src AS id FROM r WHERE dst IN (SELECT id FROM n JOIN nod
 @query("n5_watch_loop", f"{WATCHED} SELECT 'changed' AS what, id, n FROM n UNION ALL SELECT 'impacted', id, min(k) FROM (SELECT id, 1 AS k FROM one UNION ALL SELECT id, 2 FROM two) WHERE id NOT IN (SELECT id FROM n JOIN nodes USING (id)) GROUP BY id")
 def _(s, d):
     """Events as fingerprints of customers: the loop is stopped half way and started again from its checkpoint."""
-    e, files = s.read.parquet(f"{d}/events.parquet"), shared(s, "arrived")
+    e, files = s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), shared(s, "arrived")
     loop, checkpoint = WatchLoop(fk_graph(s, d).cut(), shared(s, "watched")), shared(s, "cp")
     first, last = (F.unix_micros(x) for x in (F.min("ts"), F.max("ts")))
     low, high = e.agg(first, last).first()

@@ -94,7 +94,7 @@ def disconnects_batch(beats: DataFrame, gap_seconds: float = 30, late_seconds: f
     """The same over a finished table: lives that were over by its last time less what may come late."""
     gap = int(gap_seconds * 1e6)
     own = Window.partitionBy("key").orderBy("us")
-    rows = beats.where("key IS NOT NULL AND ts IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.unix_micros("ts").alias("us"))
+    rows = beats.where("key IS NOT NULL AND ts IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     rows = rows.withColumn("life", F.sum(F.when(F.col("us") - F.lag("us").over(own) < gap, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     lives = rows.groupBy("key", "life").agg(F.min("us").alias("since"), F.max("us").alias("last"), F.count(F.lit(1)).alias("beats")).withColumn("until", F.col("last") + gap)
     # A watermark counts in whole milliseconds; a life is over by a later beat of its key or by the watermark.
