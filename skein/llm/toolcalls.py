@@ -8,13 +8,18 @@ topological order; no conversation is ever gathered in one place.
 
 A conversation declares its tools in any turn by ``<tools>[{"name": ..., "parameters": {JSON schema}}]</tools>``; its calls are
 checked against these, a tool that it doesn't declare being an error. Conversations that declare none are checked against the
-schemas given to the operator, if there are any.
+schemas given to the operator, if there are any. Schemas are JSON Schema's of 2020-12 but for unevaluated parts, dynamic
+references and references out of the schema; a keyword that isn't known makes a call an error, never valid.
+
+JSON that lies deeper than DEPTH is malformed. Lone surrogates, which JSON can write and no text can hold, stay escaped in
+arguments and contents; an identifier or name that holds one is malformed.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +36,33 @@ RESULTS = "conv_id long, turn long, k int, id string, content string"
 DECLARED = "conv_id long, turn long, k int, name string, schema string"
 
 
+#: Objects and arrays one in another that a value may have at most.
+DEPTH = 200
+
+LONE = re.compile("[\ud800-\udfff]")
+#: Keywords that say something about a schema and nothing about values.
+NOTES = frozenset("$schema $id $anchor $comment $defs definitions title description default examples deprecated readOnly writeOnly format contentEncoding contentMediaType".split())
+#: Keywords that another one, or this module's check of its kind, reads.
+READ = frozenset("minContains maxContains then else".split())
+
+
+def load(raw: str):
+    """JSON, not deeper than DEPTH; ValueError or RecursionError if it is none."""
+    value = json.loads(raw)
+    level, depth = [value], 0
+    while level := [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]:
+        depth += 1
+        if depth > DEPTH:
+            raise ValueError("too deep")
+    return value
+
+
+def _text(value: str) -> str:
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no white space, no escapes but those that JSON demands; whole floats as integers."""
+    """JSON with sorted keys, no white space, no escapes but those that JSON or a lone surrogate demands; whole floats as integers."""
     if isinstance(value, float):
         if value != value or value in (float("inf"), float("-inf")):
             raise ValueError("JSON has no such number")
@@ -40,50 +70,167 @@ def canonical(value) -> str:
             value = int(value)
         return json.dumps(value)
     if isinstance(value, dict):
-        return "{" + ",".join(json.dumps(str(k), ensure_ascii=False) + ":" + canonical(v) for k, v in sorted(value.items())) + "}"
+        return "{" + ",".join(_text(str(k)) + ":" + canonical(v) for k, v in sorted(value.items())) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
-
-
-def check(schema: dict, value, at: str = "$") -> str | None:
-    """The first violation of type, enum, required, properties, additionalProperties, items, minimum, maximum or pattern."""
-    kind = schema.get("type")
-    if kind:
-        kinds = kind if isinstance(kind, list) else [kind]
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        fits = lambda k: number and (k == "number" or value == int(value)) if k in ("number", "integer") else isinstance(value, KINDS.get(k, ()))
-        if not any(fits(k) for k in kinds):
-            return f"{at}: not {'/'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
-        return f"{at}: not in enum"
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if "minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]:
-            return f"{at}: out of range"
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
-        return f"{at}: no match"
-    if isinstance(value, dict):
-        own = schema.get("properties", {})
-        for k in schema.get("required", ()):
-            if k not in value:
-                return f"{at}.{k}: missing"
-        for k in sorted(value):
-            inner = own.get(k, schema.get("additionalProperties", {}))
-            if inner is False:
-                return f"{at}.{k}: not allowed"
-            if isinstance(inner, dict) and (error := check(inner, value[k], f"{at}.{k}")):
-                return error
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
-        for k, x in enumerate(value):
-            if error := check(schema["items"], x, f"{at}[{k}]"):
+    return _text(value) if isinstance(value, str) else json.dumps(value)
+
+
+def is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def same(a, b) -> bool:
+    """Equal as JSON: numbers by value, true and false are no numbers."""
+    if isinstance(a, bool) or isinstance(b, bool) or not (is_number(a) and is_number(b)):
+        if type(a) is not type(b):
+            return False
+        if isinstance(a, dict):
+            return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+        if isinstance(a, list):
+            return len(a) == len(b) and all(map(same, a, b))
+    return a == b
+
+
+def _is(kind: str, value) -> bool:
+    if kind in ("number", "integer"):
+        return is_number(value) and (kind == "number" or value == int(value))
+    return isinstance(value, KINDS[kind])
+
+
+class Checker:
+    """Checks values against one schema, references resolved within it: each keyword's method gives a violation or nothing."""
+
+    def __init__(self, root):
+        self.root = root
+
+    def referred(self, to: str):
+        if not to.startswith("#"):
+            raise ValueError(f"reference to {to}")
+        at = self.root
+        for part in to[1:].split("/")[1:]:
+            part = part.replace("~1", "/").replace("~0", "~")
+            at = at[int(part)] if isinstance(at, list) else at[part]
+        return at
+
+    def check(self, schema, value, at: str = "$") -> str | None:
+        """The first violation, keywords in the order of SIMPLE, then of those about parts."""
+        if isinstance(schema, bool):
+            return None if schema else f"{at}: not allowed"
+        unknown = sorted(k for k in schema if k not in NOTES and k not in READ and k not in SIMPLE and k not in INNER)
+        if unknown:
+            raise ValueError(f"unknown keyword {unknown[0]}")
+        for keyword, (applies, holds, said) in SIMPLE.items():
+            if keyword in schema and applies(value) and not holds(value, schema[keyword]):
+                return f"{at}: {said(schema[keyword]) if callable(said) else said}"
+        for keyword, method in INNER.items():
+            if keyword in schema and (error := method(self, schema, schema[keyword], value, at)):
                 return error
-    return None
+        return None
+
+    def fits(self, schema, value) -> bool:
+        return self.check(schema, value) is None
+
+    def _ref(self, schema, to, value, at):
+        return self.check(self.referred(to), value, at)
+
+    def _all(self, schema, parts, value, at):
+        return next((error for part in parts if (error := self.check(part, value, at))), None)
+
+    def _any(self, schema, parts, value, at):
+        return None if any(self.fits(part, value) for part in parts) else f"{at}: none of anyOf"
+
+    def _one(self, schema, parts, value, at):
+        n = sum(self.fits(part, value) for part in parts)
+        return None if n == 1 else f"{at}: {n} of oneOf"
+
+    def _not(self, schema, part, value, at):
+        return f"{at}: what not forbids" if self.fits(part, value) else None
+
+    def _if(self, schema, part, value, at):
+        return self.check(schema.get("then" if self.fits(part, value) else "else", True), value, at)
+
+    def _required(self, schema, keys, value, at):
+        return next((f"{at}.{k}: missing" for k in keys if k not in value), None) if isinstance(value, dict) else None
+
+    def _properties(self, schema, _, value, at):
+        """properties, patternProperties and additionalProperties, key by key."""
+        if not isinstance(value, dict):
+            return None
+        own, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
+        for k in sorted(value):
+            parts = ([own[k]] if k in own else []) + [part for pattern, part in patterns.items() if re.search(pattern, k)]
+            for part in parts or [schema.get("additionalProperties", True)]:
+                if part is False:
+                    return f"{at}.{k}: not allowed"
+                if error := self.check(part, value[k], f"{at}.{k}"):
+                    return error
+        return None
+
+    def _names(self, schema, part, value, at):
+        return next((f"{at}.{k}: bad name" for k in sorted(value) if not self.fits(part, k)), None) if isinstance(value, dict) else None
+
+    def _needed(self, schema, parts, value, at):
+        return next((f"{at}.{k}: missing" for have in parts if have in value for k in parts[have] if k not in value), None) if isinstance(value, dict) else None
+
+    def _dependent(self, schema, parts, value, at):
+        return self._all(schema, [part for have, part in parts.items() if have in value], value, at) if isinstance(value, dict) else None
+
+    def _items(self, schema, _, value, at):
+        """prefixItems, then items for the rest."""
+        if not isinstance(value, list):
+            return None
+        first = schema.get("prefixItems", [])
+        parts = [*first[: len(value)], *[schema.get("items", True)] * (len(value) - len(first))]
+        return next((error for k, (part, x) in enumerate(zip(parts, value)) if (error := self.check(part, x, f"{at}[{k}]"))), None)
+
+    def _contains(self, schema, part, value, at):
+        if not isinstance(value, list):
+            return None
+        n = sum(self.fits(part, x) for x in value)
+        return None if schema.get("minContains", 1) <= n <= schema.get("maxContains", n) else f"{at}: {n} that fit contains"
+
+
+_anything, _string = (lambda v: True), (lambda v: isinstance(v, str))
+_array, _object = (lambda v: isinstance(v, list)), (lambda v: isinstance(v, dict))
+#: Keyword: which values it is about, whether one holds, what to say of one that doesn't.
+SIMPLE = {
+    "type": (_anything, lambda v, x: any(_is(k, v) for k in (x if isinstance(x, list) else [x])), lambda x: f"not {'/'.join(x if isinstance(x, list) else [x])}"),
+    "enum": (_anything, lambda v, x: any(same(v, y) for y in x), "not in enum"),
+    "const": (_anything, same, "not the constant"),
+    "minimum": (is_number, lambda v, x: v >= x, "out of range"),
+    "maximum": (is_number, lambda v, x: v <= x, "out of range"),
+    "exclusiveMinimum": (is_number, lambda v, x: v > x, "out of range"),
+    "exclusiveMaximum": (is_number, lambda v, x: v < x, "out of range"),
+    "multipleOf": (is_number, lambda v, x: Decimal(str(v)) % Decimal(str(x)) == 0, "no multiple"),
+    "pattern": (_string, lambda v, x: re.search(x, v) is not None, "no match"),
+    "minLength": (_string, lambda v, x: len(v) >= x, "too short"),
+    "maxLength": (_string, lambda v, x: len(v) <= x, "too long"),
+    "minItems": (_array, lambda v, x: len(v) >= x, "too few items"),
+    "maxItems": (_array, lambda v, x: len(v) <= x, "too many items"),
+    "uniqueItems": (_array, lambda v, x: not x or len({canonical(y) for y in v}) == len(v), "repeated items"),
+    "minProperties": (_object, lambda v, x: len(v) >= x, "too few properties"),
+    "maxProperties": (_object, lambda v, x: len(v) <= x, "too many properties"),
+}
+INNER = {
+    "$ref": Checker._ref, "allOf": Checker._all, "anyOf": Checker._any, "oneOf": Checker._one, "not": Checker._not, "if": Checker._if, "required": Checker._required, "properties": Checker._properties, "patternProperties": Checker._properties,
+    "additionalProperties": Checker._properties, "propertyNames": Checker._names, "dependentRequired": Checker._needed, "dependentSchemas": Checker._dependent, "prefixItems": Checker._items, "items": Checker._items, "contains": Checker._contains,
+}
+
+
+def check(schema, value) -> str | None:
+    """The first violation of a schema; ValueError and the like for a schema that isn't one."""
+    return Checker(schema).check(schema, value)
+
+
+def _sound(name) -> bool:
+    return isinstance(name, str) and not LONE.search(name)
 
 
 def needs(value) -> set[str]:
-    """Identifiers of the results that a value refers to."""
+    """Identifiers of the results that a value refers to; one that no call can have is none."""
     if isinstance(value, dict):
-        own = {value["$result"]} if isinstance(value.get("$result"), str) else set()
+        own = {value["$result"]} if _sound(value.get("$result")) else set()
         return own.union(*map(needs, value.values()))
     return set().union(*map(needs, value)) if isinstance(value, list) else set()
 
@@ -93,9 +240,9 @@ def read_calls(text: str | None) -> list[tuple]:
     out = []
     for k, m in enumerate(CALL.finditer(text or "")):
         try:
-            x = json.loads(m[1])
+            x = load(m[1])
             arguments = x.get("arguments", {}) if isinstance(x, dict) else None
-            if not isinstance(x, dict) or not isinstance(x.get("id"), str) or not isinstance(x.get("name"), str):
+            if not isinstance(x, dict) or not _sound(x.get("id")) or not _sound(x.get("name")):
                 raise ValueError("no id or name")
             out.append((k, x["id"], x["name"], canonical(arguments), None if isinstance(arguments, dict) else "$: not object", sorted(needs(arguments))))
         except (ValueError, RecursionError) as e:
@@ -108,11 +255,11 @@ def read_tools(text: str | None) -> list[tuple]:
     out = []
     for m in TOOLS.finditer(text or ""):
         try:
-            found = json.loads(m[1])
+            found = load(m[1])
         except (ValueError, RecursionError):
             continue
         for x in found if isinstance(found, list) else [found]:
-            if isinstance(x, dict) and isinstance(x.get("name"), str) and isinstance(x.get("parameters", {}), dict):
+            if isinstance(x, dict) and _sound(x.get("name")) and isinstance(x.get("parameters", {}), (dict, bool)):
                 out.append((len(out), x["name"], json.dumps(x.get("parameters", {}))))
     return out
 
@@ -125,8 +272,8 @@ def violation(arguments: str, schema: str | None, known: bool) -> str | None:
         return "unknown tool"
     try:
         return check(json.loads(schema), json.loads(arguments))
-    except (re.error, RecursionError, TypeError, AttributeError) as e:
-        return f"bad schema: {type(e).__name__}"
+    except (re.error, RecursionError, TypeError, AttributeError, ValueError, ArithmeticError, LookupError) as e:
+        return f"bad schema: {e}" if type(e) is ValueError else f"bad schema: {type(e).__name__}"
 
 
 def read_results(role: str | None, text: str | None) -> list[tuple]:
@@ -137,9 +284,9 @@ def read_results(role: str | None, text: str | None) -> list[tuple]:
     out = []
     for k, raw in enumerate(found):
         try:
-            x = json.loads(raw)
+            x = load(raw)
             key = (x.get("id") or x.get("tool_call_id")) if isinstance(x, dict) else None
-            if isinstance(key, str):
+            if _sound(key):
                 out.append((k, key, canonical(x.get("content"))))
         except (ValueError, RecursionError):
             continue
@@ -149,7 +296,8 @@ def read_results(role: str | None, text: str | None) -> list[tuple]:
 def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
     """conv_id, id, level: 0 unless a call of the conversation needs a later one's result; null in or behind a cycle.
 
-    Only conversations with such a call are layered, a round for each layer, written to the shared folder.
+    Only conversations with such a call are layered, a round for each layer, written to the shared folder: as many rounds as the
+    longest chain of calls in such a conversation has, each over what still waits.
     """
     key = ["conv_id", "id"]
     edges = calls.select("conv_id", "id", F.struct("turn", "k").alias("at"), F.explode("needs").alias("other"))
@@ -178,7 +326,9 @@ def format_turns(spark: SparkSession, turns: DataFrame, schemas: dict[str, dict]
     message is canonical JSON: content (the text less its calls), role, and tool_calls in topological order if there are any,
     each with arguments, error, id, level, name and result. Of calls or results that share conversation and identifier the
     first by (turn, position) counts. Null text or role is JSON null; equal rows each have their row; a null conv_id or turn
-    links with nothing. Of a tool declared more than once the first schema counts. More columns are not read. No rows: no rows.
+    links with nothing. Of a tool declared more than once the first schema counts. A call that is no JSON object with an id and a
+    name, or is deeper than DEPTH, is malformed: an invalid call without a name. A schema that is none or holds an unknown keyword
+    makes its calls invalid. More columns are not read. No rows: no rows.
     """
     common.bounded_batches(spark)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("row", F.xxhash64("role", "text"))
