@@ -25,7 +25,11 @@ def test_main_text_of_a_page():
     [
         ("", ""), ("just text", "just text"), ("<p>a<br>b<p>c", "a b c"), ("<p>x <i>y</i>z</p><nav>m", "x yz"), ("<div>a<div>b</div>c</div>", "a b c"), ("<script>never", ""), ("<!-- open", ""), ("a &lt;p&gt; b", "a <p> b"),
         ("<article><p>only this</article><p>not this", "only this"), ("<p>" + "w " * 50_000, ("w " * 50_000).strip()), ("<a href='x>y'>in</a> out", "in out"),
-        ("<div class='layout has-sidebar'>lost<article class='post'>kept <em class='notice'>too</em></article></div>", "kept too"), ("<aside><article>teaser</article></aside><p>text", "text"), ("<article class='comment'>no</article><article>yes</article>", "yes"), ("<p>a <span class='ad'>buy</span>b", "a b"),
+        ("<div class='layout has-sidebar'>lost<article class='post'>kept <em class='notice'>too</em></article></div>", "kept too"), ("<aside><article>teaser</article></aside><p>text", "text"), ("<article class='comment'>no</article><article>yes</article>", "yes"), ("<p>a <span class='ad'>buy</span>b", "a buyb"),
+        ("<article><pre><code>x = 1 <span class='token comment'># set x</span></code></pre></article>", "x = 1 # set x"), ("<article><section class='related'><p>Related work in physics</p></section><p>More</article>", "Related work in physics More"),
+        ("<article><p>So <span class='reply'>we</span> say <b class='promo'>now</b> <em class='comment'>this</em></article>", "So we say now this"), ("<article><p>Text<div class='promo'>of ours</div></article><div class='promo'>Buy</div>", "Text of ours"),
+        ("<article><p>Text</p><ol class='comments'><li class='comment'>a</li><li class='comment'>b</li></ol></article>", "Text"), ("<article><p>Text</p><section id='discussion'><ol><li class='x'>a<li class='x'>b</ol></section></article>", "Text"), ("<article><p>Text</p><div><div class='comment'>a</div><div class='comment'>b</div></div></article>", "Text"),
+        ("<article><p>Text</p><div class='comments'>no list</div></article>", "Text no list"), ("<article><div class='step'>one</div><div class='step'>two</div></article>", "one two"),
     ],
 )
 def test_pieces(page, text):
@@ -45,7 +49,7 @@ def test_low_importance_branches_go(spark):
     ("page", "text"),
     [
         ("<article><section class='discussion'>We discuss.</section><div class='share-price table'>Up 3</div></article>", "We discuss. Up 3"), ("<main><section class='social-history'>Long ago</section><div class='header-image-wrap'><p>Text</div></main>", "Long ago Text"),
-        ("<article><p>Text</p><div class='comments'>Nice</div><div id='related-posts'>More</div></article>", "Text"), ("<div class='widget'>Links</div><p>Text</p>", "Text"),
+        ("<article><p>Text</p></article><div class='comments'>Nice</div><div id='related-posts'>More</div>", "Text"), ("<div class='widget'>Links</div><p>Text</p>", "Text"),
     ],
 )
 def test_names_are_judged_whole(page, text):
@@ -63,20 +67,51 @@ def entropy(values):
     return 1.0 if n < 2 else -sum(c / n * math.log(c / n) for c in counts) / math.log(n)
 
 
-def test_importance_by_brute_force(spark, sf):
-    """Importance over the given pages, computed from the parsed pages alone, in the tree of all hosts' paths by host."""
-    seen = {}
-    for r in common.table(spark, sf, "pages").collect():
-        blocks, looks = sitetree.parse(r.html)
-        copy = tuple(sorted((b.whole for b in blocks), key=lambda x: (-len(x), x))[:3])
-        for path, (_, named, rows) in looks.items():
-            own = seen.setdefault((sitetree.host_of(r.url), path), ({}, {}, named))
-            own[0].update({(b.whole, copy): b.whole for b in blocks if path in b.branches})
-            own[1][tuple(sorted(rows)), copy] = tuple(sorted(rows))
-    want = {key: ((1 - sitetree.LOOKS) * entropy(list(held.values())) + sitetree.LOOKS * entropy(list(looks.values()))) * (sitetree.PRIOR if named else 1) for key, (held, looks, named) in seen.items() if held}
-    counts = sitetree.cells(common.table(spark, sf, "pages")).groupBy("host", "path", "kind", "value").count().withColumnRenamed("count", "c")
-    got = {(r.host, r.path): r.importance for r in sitetree.importance(counts, "host", "path").collect()}
-    assert len(want) > 50 and got == pytest.approx(want)
+def verdicts(pages, names=True):
+    """The trees by brute force: host to shares of the best importance, and main branches of hosts and of all."""
+    seen, every = {}, {}
+    for url, page in pages:
+        blocks, looks = sitetree.parse(page, names)
+        copy = tuple(sorted({b.text for b in blocks if b.text}))
+        for path, (depth, kind, rows) in looks.items():
+            for key, table in (((sitetree.host_of(url), path), seen), (path, every)):
+                own = table.setdefault(key, [{}, {}, 0])
+                own[2] = max(own[2], depth * 8 + kind)
+                where = (sitetree.host_of(url), copy)
+                own[0].update({(b.whole, where): b.whole for b in blocks if path in b.branches})
+                own[1][tuple(sorted(rows)), where] = tuple(sorted(rows))
+
+    def importance(held, looks, about):
+        return ((1 - sitetree.LOOKS) * entropy(list(held.values())) + sitetree.LOOKS * entropy(list(looks.values()))) * (sitetree.COMMENTS if about % 8 == sitetree.TALKS else 1)
+
+    def weighed(held, looks, about, before):
+        return (len(looks) * importance(held, looks, about) + sitetree.EVIDENCE * before) / (len(looks) + sitetree.EVIDENCE)
+
+    def judged(values, texts, depths):
+        best, most = max([sitetree.SURE, *values.values()]), max(texts.values())
+        shares = {p: v / best for p, v in values.items()}
+        return shares, max([(depths[p], texts[p], p) for p, x in shares.items() if x >= sitetree.GOOD and values[p] >= sitetree.SURE and 2 * texts[p] >= most], default=(None,) * 3)[2]
+
+    anywhere = {p: weighed(*x, sitetree.LIKELY[x[2] % 8]) for p, x in every.items() if x[0]}
+    usual = judged(anywhere, {p: len(set(every[p][0].values())) for p in anywhere}, {p: every[p][2] // 8 for p in anywhere})[1]
+    hosts = {}
+    for (host, path), x in seen.items():
+        if x[0]:
+            hosts.setdefault(host, {})[path] = x
+    own = {h: judged({p: weighed(*x, anywhere[p]) for p, x in of.items()}, {p: len(set(x[0].values())) for p, x in of.items()}, {p: x[2] // 8 for p, x in of.items()}) for h, of in hosts.items()}
+    return own, usual
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_trees_by_brute_force(spark, sf, names):
+    """Verdicts and main branches of every host of the given pages, computed from the parsed pages alone."""
+    table = common.table(spark, sf, "pages")
+    own, usual = verdicts([(r.url, r.html) for r in table.collect()], names)
+    got = {r.host: r for r in sitetree.site_trees(table, names).collect()}
+    assert got.keys() == own.keys() and len(got) > 20 and {r.usual for r in got.values()} == {usual}
+    for host, (shares, main) in own.items():
+        edge = {p for p, x in shares.items() if min(abs(x - sitetree.LOW), abs(x - sitetree.GOOD)) < 1e-9}
+        assert set(got[host].low) - edge == {p for p, x in shares.items() if x < sitetree.LOW} - edge and set(got[host].good) - edge == {p for p, x in shares.items() if x >= sitetree.GOOD} - edge and got[host].own == main
 
 
 def article_of(page):
@@ -85,12 +120,26 @@ def article_of(page):
 
 
 def test_the_trees_alone_find_the_articles(spark, sf):
-    """Without heeding names or article elements; without the trees' verdicts the adverts stay."""
+    """Without heeding names or article elements."""
     table = common.table(spark, sf.replace("sf0.001", "sf0.01"), "pages")
-    pages = {r.page_id: r.html for r in table.collect()}
-    got = {r.page_id: r.text for r in sitetree.extract(spark, table, elements=False, names=False).collect()}
-    assert got == {k: article_of(page) for k, page in pages.items()}
-    assert all(sitetree.main_text(page, elements=False, names=False) != got[k] for k, page in pages.items())
+    got = {r.page_id: r.text for r in sitetree.extract(spark, table, names=False).collect()}
+    assert got == {r.page_id: article_of(r.html) for r in table.collect()}
+
+
+def test_without_the_trees_the_result_is_another(spark, sf):
+    """The registered query's texts come from the trees: with empty ones every page keeps its adverts."""
+    got = {r.page_id: r.text for r in queries.op1_main_text(spark, sf).collect()}
+    pages = {r.page_id: r.html for r in common.table(spark, sf, "pages").collect()}
+    assert all(sitetree.main_text(page, sitetree.Tree()) != got[k] == sitetree.main_text(page, sitetree.Tree.alone(page)) for k, page in pages.items())
+
+
+def test_evidence_outweighs_names(spark):
+    """A block that a name calls an advert stays where every page has its own text in it and it lies in the main branch; with no
+    pages to go by it goes. Comments go with any number of pages."""
+    page = lambda k: f"<body><article><p>Story {k} of the day.</p><p>Line {k}.</p><div class='banner'>Fact {k}</div><ul class='comments'><li>Mine {k}</li><li>Yours {k}</li></ul></article><div class='legal'>All rights.</div></body>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(200)] + [(900, "http://b.example/", page(900).replace("banner", "adbox"))]
+    got = {r.page_id: r.text for r in sitetree.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 of the day. Line 3. Fact 3" and got[900] == "Story 900 of the day. Line 900."
 
 
 def test_extract_over_the_table(spark, sf):
