@@ -51,30 +51,55 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("dst"), parent_path("path").alias("parent")).join(folders, "parent").where("src <> dst").select("src", "dst", F.lit(CONTAINS).alias("relationship"))
 
 
+def _split(route: Column) -> Column:
+    """A route as the file name or rest after its first slash, and what stands before it."""
+    slash = F.instr(route, "/")
+    rest = F.when(slash > 0, F.substring(route, slash + 1, F.length(route))).otherwise("")
+    return F.struct(rest.alias("rest"), F.when(slash > 0, F.substring(route, F.lit(1), slash - 1)).otherwise(route).alias("first"))
+
+
+def _first_by_suffix(paths: DataFrame, text: str, routes: DataFrame, route: str) -> DataFrame:
+    """routes (route, ..) whose ``route`` column ends some path's ``text``, with the first of these by pos: route, b.
+
+    The index has a row for each component of a path: the component and what follows it. A route must equal what follows, and its
+    own first part, which may begin inside a component, that component's end. Only the first path of each key is kept, before
+    routes are joined, so a file name that all paths share gives a route one row.
+    """
+    parts = F.split(text, "/")
+    places = F.sequence(F.lit(1), F.size(parts))
+    suffixes = F.transform(places, lambda i: F.struct(F.element_at(parts, i).alias("own"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("rest")))
+    index = paths.select("pos", "id", F.explode(suffixes).alias("s")).select("pos", "id", "s.own", "s.rest")
+    asked = routes.select("route", _split(F.col(route)).alias("s")).select("route", "s.rest", "s.first")
+    wanted = asked.select("rest", F.length("first").alias("n")).distinct()
+    ends = index.join(wanted, "rest").where(F.length("own") >= F.col("n")).withColumn("first", F.expr("right(own, n)"))
+    best = ends.groupBy("rest", "first").agg(F.min(F.struct("pos", "id")).alias("b"))
+    return asked.join(best, ["rest", "first"]).select("route", "b")
+
+
 def resolve_routes(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """refs (source_id, route, kind) with the node each route means: source_id, route, kind, target_id, strategy.
 
     1: the path ends with the route; 2: so after "./" is cut off both; 3: the route's components stand in the path in a row;
-    4: the file names are equal. The least strategy, then the least pos. All but mid-component suffixes meet on an equal
-    component: paths are unfolded to their components, routes join on their last one; suffixes that begin inside a component
-    join on the file name's own suffix of the route's length. Unresolved and self references are dropped.
+    4: the file names are equal. The least strategy, then the least pos. Each strategy is an equi-join of the distinct routes on
+    an index that has one path, the first, for each key: suffixes for 1 and 2, runs of as many components as routes have for 3,
+    file names for 4. Unresolved and self references are dropped.
     """
     r = refs.withColumn("norm", F.regexp_replace("route", r"^(\./)+", "")).withColumn("last", F.element_at(F.split("norm", "/"), -1)).where("last <> ''")
     routes = r.select("route", "norm", "last").distinct()
     paths = nodes.select("id", "pos", "path").withColumn("npath", F.regexp_replace("path", r"^(\./)+", ""))
-    parts = F.split("npath", "/")
-    by_component = routes.join(paths.select("id", "pos", "path", "npath", F.explode(F.array_distinct(parts)).alias("last")), "last")
-    window = F.contains(F.concat(F.lit("/"), "npath", F.lit("/")), F.concat(F.lit("/"), "norm", F.lit("/")))
-    strategy = F.when(F.endswith("path", F.col("route")), 1).when(F.endswith("npath", F.col("norm")), 2).when(window, 3).when(F.element_at(F.split("npath", "/"), -1) == F.col("last"), 4)
-    # a route without a slash can begin inside the file name: suffixes of file names, of the lengths that occur among the routes
-    single = routes.where(~F.contains("norm", F.lit("/")))
-    lengths = single.select(F.length("norm").alias("n")).distinct()
-    name = F.element_at(parts, -1)
-    suffix = paths.join(F.broadcast(lengths), F.length(name) > F.col("n")).withColumn("last", F.expr("right(element_at(split(npath, '/'), -1), n)"))
-    inside = single.join(suffix, "last").where(F.endswith("path", F.col("route")) | F.endswith("npath", F.col("norm")))
-    found = by_component.withColumn("strategy", strategy).where("strategy is not null").select("route", "id", "pos", "strategy")
-    found = found.unionByName(inside.select("route", "id", "pos", F.when(F.endswith("path", F.col("route")), 1).otherwise(2).alias("strategy")))
-    best = found.groupBy("route").agg(F.min(F.struct("strategy", "pos", "id")).alias("b"))
+    parts, first = F.split("npath", "/"), F.min(F.struct("pos", "id")).alias("b")
+    counts = routes.select(F.size(F.split("norm", "/")).alias("m")).distinct()
+    runs = paths.join(F.broadcast(counts), F.size(parts) >= F.col("m")).select("pos", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - F.col("m") + 1), lambda i: F.array_join(F.slice(parts, i, F.col("m")), "/"))).alias("norm"))
+    names = paths.select("pos", "id", F.element_at(parts, -1).alias("last"))
+    found = [
+        _first_by_suffix(paths, "path", routes, "route"), _first_by_suffix(paths, "npath", routes, "norm"),
+        routes.join(runs.groupBy("norm").agg(first), "norm").select("route", "b"), routes.join(names.groupBy("last").agg(first), "last").select("route", "b"),
+    ]
+    every = None
+    for strategy, rows in enumerate(found, 1):
+        rows = rows.select("route", F.struct(F.lit(strategy).alias("strategy"), "b.pos", "b.id").alias("b"))
+        every = rows if every is None else every.unionByName(rows)
+    best = every.groupBy("route").agg(F.min("b").alias("b"))
     return refs.join(best, "route").select("source_id", "route", "kind", F.col("b.id").alias("target_id"), F.col("b.strategy").alias("strategy")).where("source_id <> target_id")
 
 
@@ -83,9 +108,11 @@ def match_changed(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     exact = nodes.join(changed, nodes.path == changed.changed, "left_semi").select("id").unionByName(nodes.join(changed, nodes.name == changed.changed, "left_semi").select("id")).distinct()
     known = nodes.select(F.explode(F.array("path", "name")).alias("changed"))
     left = changed.join(known, "changed", "left_anti")
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    ends = F.endswith(F.concat(F.lit("/"), "path"), F.concat(F.lit("/"), "changed")) | F.endswith(F.concat(F.lit("/"), "changed"), F.concat(F.lit("/"), "path"))
-    suffix = nodes.withColumn("last", last("path")).join(left.withColumn("last", last("changed")), "last").where(ends).select("id")
+    # Whole-component suffixes of either side, unfolded, meet the other side whole: no row for a shared file name alone.
+    tails = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/")))
+    longer = nodes.select("id", tails(F.col("path")).alias("changed")).join(left, "changed", "left_semi").select("id")
+    shorter = nodes.select("id", "path").join(left.select(tails(F.col("changed")).alias("path")).distinct(), "path", "left_semi").select("id")
+    suffix = longer.unionByName(shorter)
     return exact.unionByName(suffix).distinct()
 
 
@@ -110,25 +137,41 @@ def _grams(c: Column, n: Column | int = GRAM) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Tests of a block of a posting list, on average.
+POSTINGS = 1024
+
+
 def stem_matches(tests: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, stem, test, test_path candidates: rows whose test path may hold the node's stem anywhere, even inside a word.
+    """stem, test: the distinct stems of the nodes' paths and the tests whose path holds one anywhere, even inside a word.
 
-    An equi-join on grams: test paths are unfolded to their runs of 1 to GRAM characters, of the lengths that stems need, and
-    each stem meets them at the rarest of its own runs. Stems that have a run that no test path has are out at once.
+    Test paths are unfolded to their runs of 1 to GRAM characters, of the lengths that stems need; each run has a posting list, in
+    blocks of tests. A stem's lists are intersected block by block, all of its runs at once, and what is left is looked at. So no
+    row is made for a test that shares some of a stem's runs only, nor any for each node of a stem.
     """
-    stems = nodes.select("id", stem("path").alias("stem")).where("stem <> ''")
-    distinct = stems.select("stem").distinct().withColumn("n", F.least(F.lit(GRAM), F.length("stem")))
+    distinct = nodes.select(stem("path").alias("stem")).where("stem <> ''").distinct().withColumn("n", F.least(F.lit(GRAM), F.length("stem")))
     lengths = F.broadcast(distinct.select("n").distinct())  # GRAM rows at most
-    held = tests.select(F.col("id").alias("test"), F.col("path").alias("test_path")).join(lengths).select("test", "test_path", F.explode(_grams(F.col("test_path"), F.col("n"))).alias("gram"))
-    frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
-    rarest = distinct.select("stem", F.explode(_grams(F.col("stem"), F.col("n"))).alias("gram")).join(frequency, "gram", "left").groupBy("stem")
-    rarest = rarest.agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("r")).where("r.c > 0").select("stem", F.col("r.gram").alias("gram"))
-    return stems.join(rarest, "stem").join(held, "gram").select("id", "stem", "test", "test_path")
+    own = tests.select(F.col("id").alias("test"), F.col("path").alias("test_path"))
+    blocks = F.lit(max(1, -(-tests.count() // POSTINGS)))
+    held = own.join(lengths).select("test", F.pmod(F.xxhash64("test"), blocks).alias("block"), F.explode(_grams(F.col("test_path"), F.col("n"))).alias("gram"))
+    lists = held.groupBy("gram", "block").agg(F.collect_list("test").alias("tests"))
+    asked = distinct.select("stem", F.explode(_grams(F.col("stem"), F.col("n"))).alias("gram"))
+    runs = F.size(_grams(F.col("stem"), F.least(F.lit(GRAM), F.length("stem"))))
+    met = asked.join(lists, "gram").groupBy("stem", "block").agg(F.collect_list("tests").alias("lists")).where(F.size("lists") == runs)
+    left = F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
+    return met.select("stem", F.explode(left).alias("test")).join(own, "test").where(F.contains("test_path", F.col("stem"))).select("stem", "test")
 
 
 def tests_by_stem(g: Graph, nodes: DataFrame) -> DataFrame:
     """id, test: tests whose path holds a node's stem."""
-    return stem_matches(g.nodes.where("kind = 'Test'"), nodes).where(F.contains("test_path", F.col("stem"))).select("id", "test").distinct()
+    return nodes.select("id", stem("path").alias("stem")).join(stem_matches(g.nodes.where("kind = 'Test'"), nodes), "stem").select("id", "test").distinct()
+
+
+def with_tests(g: Graph, nodes: DataFrame) -> DataFrame:
+    """Ids of ``nodes`` that have a test nearby (see nearby_tests): stems are resolved once, whatever nodes share them."""
+    tests = g.nodes.where("kind = 'Test'")
+    direct = g.edges.join(tests.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).join(nodes.select("id"), "id", "left_semi")
+    known = stem_matches(tests, nodes).select("stem").distinct()
+    return direct.unionByName(nodes.select("id", stem("path").alias("stem")).join(known, "stem", "left_semi").select("id")).distinct()
 
 
 def nearby_tests(g: Graph, nodes: DataFrame | None = None) -> DataFrame:

@@ -198,9 +198,9 @@ def migration_reason(path: Column, in_degree: Column, has_test: Column, strategy
 
 def test_signal(g: Graph, nodes: DataFrame) -> DataFrame:
     """Ids of nodes whose metadata says has_tests, with an edge from a test, or whose stem a test's path holds."""
-    from .joins import nearby_tests
+    from .joins import with_tests
 
-    found = nearby_tests(g, nodes).select("id")
+    found = with_tests(g, nodes)
     if "metadata" in g.nodes.columns:
         found = found.unionByName(g.nodes.where(F.col("metadata")["has_tests"] == "true").select("id"))
     if "has_tests" in g.nodes.columns:
