@@ -61,11 +61,12 @@ def errored_files(errors: DataFrame) -> DataFrame:
     return errors.select("file").distinct().orderBy("file")
 
 
-def summary_line(logs: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row: ``name: ok`` or ``name: n errors`` of each script in order; scripts of one run are few."""
+def summary_line(logs: DataFrame, errors: DataFrame, *run: str) -> DataFrame:
+    """``name: ok`` or ``name: n errors`` of each script in order, a row for each run (columns of ``logs``; none: one run); the
+    scripts of one run are few."""
     n = errors.groupBy("script").agg(F.count(F.lit(1)).alias("n"))
-    own = logs.join(n, logs.name == n.script, "left").select("pos", F.concat("name", F.lit(": "), F.when(success(F.col("exit_code")), F.lit("ok")).otherwise(F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" errors")))).alias("x"))
-    return own.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]), " | ").alias("summary"))
+    own = logs.join(n, logs.name == n.script, "left").select(*run, "pos", F.concat("name", F.lit(": "), F.when(success(F.col("exit_code")), F.lit("ok")).otherwise(F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" errors")))).alias("x"))
+    return own.groupBy(*run).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]), " | ").alias("summary"))
 
 
 def merge_crash(errors: DataFrame, crashes: DataFrame) -> DataFrame:

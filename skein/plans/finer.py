@@ -32,7 +32,7 @@ from .projections import doc_graph, fk_graph
 from .registry import ORACLES, query, r6
 from .relational import BOTH, DOC, FK, NATION
 from .surface import FILES, SEEN, shared, table_sql, values, work_folder
-from .textual import LOG_SQL, SRC_SQL, sources
+from .textual import SRC_SQL, sources
 
 # Scans, projects, version control
 
@@ -841,12 +841,12 @@ def _(s, d):
 
 @query("p81_risk_rows", f"WITH {SRC_SQL} SELECT id, count(*) AS n FROM (SELECT id, 'async' AS c FROM src WHERE contains(lower(content), 'await ') OR contains(lower(content), 'async def ') UNION ALL SELECT id, 'io' FROM src WHERE contains(lower(content), 'open(') UNION ALL SELECT id, 'dynamic_python' FROM src WHERE contains(lower(content), 'eval(')) GROUP BY id")
 def _(s, d):
-    return code.risk_signals(sources(s)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return code.risk_signals(sources(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p83_symbol_names", table_sql([("go",), ("Big",), ("run",), ("test_it",)], "name"))
+@query("p83_symbol_names", f"WITH {SRC_SQL} SELECT id, unnest([concat('go', id), concat('Big', id), 'run', 'test_it']) AS name FROM src WHERE id % 4 = 1")
 def _(s, d):
-    return code.python_contract(sources(s).where("id = 2")).where("kind <> 'import'").select("name")
+    return code.python_contract(sources(s, d).where("id % 4 = 1")).where("kind <> 'import'").select("id", "name")
 
 
 @query("p7_crashed", "SELECT event_id, event_id % 3 > 0 AS crashed FROM events")
@@ -854,12 +854,15 @@ def _(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", logs.crashed((F.col("event_id") % 3).cast("int")).alias("crashed"))
 
 
-@query("h5_distinct_errors", f"WITH {LOG_SQL} SELECT 'a.c' AS file, 3 AS line, 2 AS scripts")
+@query("h5_distinct_errors", "SELECT concat('a', user_id, '.c') AS file, event_id % 100 AS line, count(*) AS scripts FROM events GROUP BY ALL")
 def _(s, d):
     """The same error twice in one log counts once, in two logs twice."""
-    text = "a.c:3:1: error: x\na.c:3:9: error: x\n"
-    made = values(s, [("one", text, ""), ("two", "", text)], "name string, stdout string, stderr string")
-    return logs.parse_errors(made).groupBy("file", "line").agg(F.count(F.lit(1)).cast("int").alias("scripts"))
+    e = s.read.parquet(f"{d}/events.parquet")
+    line = F.concat(F.lit("a"), "user_id", F.lit(".c:"), F.col("event_id") % 100)
+    text = F.concat(line, F.lit(":1: error: x\n"), line, F.lit(":9: error: x\n"))
+    odd = F.col("event_id") % 2 == 1
+    made = e.select(F.col("event_id").cast("string").alias("name"), F.when(odd, text).otherwise("").alias("stdout"), F.when(odd, "").otherwise(text).alias("stderr"))
+    return logs.parse_errors(made).groupBy("file", "line").agg(F.count(F.lit(1)).alias("scripts")).withColumn("line", F.col("line").cast("long"))
 
 
 @query("p84_quality_scripts", table_sql([(1, 2, 1)], "passed, failed, errors"))

@@ -29,7 +29,7 @@ from .iterative import ACTION, DESCRIBED, FULL, ITEMS, MIG, ROLES, SEED, SQL, TA
 from .projections import doc_graph, fk_graph, fk_sql
 from .registry import ORACLES, query, r6
 from .relational import BOTH, DEG, DOC, FK, NATION, PART, REGION, STEM
-from .textual import LOG_SQL, SRC_SQL, log_rows, sources
+from .textual import LOG_SQL, MEANT, SRC_SQL, log_rows, sources
 
 
 def shared(s, name: str) -> str:
@@ -340,32 +340,36 @@ def _(s, d):
     return values(s, rows, "name string, language string")
 
 
-@query("c48_repo_count", table_sql([(2,)], "repos"))
+@query("c48_repo_count", "SELECT count(DISTINCT source) AS repos FROM documents")
 def _(s, d):
-    return vcs.count_repos(values(s, [("w/a/x.rs",), ("w/b/y.rs",), ("w/a/z.rs",)], "path string"), values(s, [("w/a",), ("w/b",), ("w/c",)], "root string")).select(F.col("repos").cast("int").alias("repos"))
+    """Files of the documents, each source a repository, and a repository that has no file."""
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    paths = docs.select(F.concat(F.lit("w/"), "source", F.lit("/"), "doc_id", F.lit(".rs")).alias("path"))
+    roots = docs.select(F.concat(F.lit("w/"), "source").alias("root")).distinct().unionByName(docs.limit(1).select(F.lit("w/none").alias("root")))
+    return vcs.count_repos(paths, roots).select(F.col("repos").cast("long").alias("repos"))
 
 
 @query("c30_python_names", f"WITH {SRC_SQL}, l AS (SELECT trim(unnest(string_split(content, chr(10)))) AS x FROM src WHERE path LIKE '%.py') SELECT trim(regexp_extract(x, '^(?:async def|def|class) ([^(:]*)', 1)) AS name FROM l WHERE regexp_matches(x, '^(async def|def|class) ')")
 def _(s, d):
-    return code.python_contract(sources(s).where("path like '%.py'")).where("kind <> 'import'").select("name")
+    return code.python_contract(sources(s, d).where("path like '%.py'")).where("kind <> 'import'").select("name")
 
 
-@query("c8_all_references", table_sql([("imports", 7), ("uses", 12)], "kind, n"))
+@query("c8_all_references", f"WITH {SRC_SQL} SELECT 'imports' AS kind, 2 * count(*) FILTER (id % 4 > 0) AS n FROM src UNION ALL SELECT 'uses', count(*) FILTER (id % 4 = 0) * 4 + count(*) FILTER (id % 4 = 3) * 3 FROM src")
 def _(s, d):
-    return code.reference_rows(sources(s)).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return code.reference_rows(sources(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e7_reference_edges", table_sql([(1, 5), (5, 1), (5, 6), (2, 7)], "src, dst"))
+@query("e7_reference_edges", f"WITH {SRC_SQL}, {MEANT} SELECT DISTINCT source_id AS src, target_id AS dst FROM meant")
 def _(s, d):
-    src = sources(s)
-    return J.resolve_routes(code.reference_rows(src), src.select("id", F.col("id").alias("pos"), "path")).select(F.col("source_id").cast("int").alias("src"), F.col("target_id").cast("int").alias("dst")).distinct()
+    src = sources(s, d)
+    return J.resolve_routes(code.reference_rows(src), src.select("id", F.col("id").alias("pos"), "path")).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
 
 
 @query("c51_merged_feedback", f"WITH {LOG_SQL} SELECT name FROM log UNION ALL SELECT 'crash'")
 def _(s, d):
     from ..functions.logs import merge_crash
 
-    return merge_crash(log_rows(s).select("name"), values(s, [("crash",)], "name string"))
+    return merge_crash(log_rows(s, d).select("name"), values(s, [("crash",)], "name string"))
 
 
 # Automaton details

@@ -14,46 +14,48 @@ from ..operators import vectors as V
 from ..samplers import DegreeSampler, EmbeddingSampler, MetadataSampler, Pipeline
 from ..sources import vcs
 from ..streaming import changes as C
-from .projections import doc_graph, doc_sql, fk_graph, fk_sql
+from .projections import doc_graph, doc_sql, fk_graph, fk_sql, twin
 from .registry import query, r6
 from .relational import DEG, FK
 
 DOC = f"WITH {doc_sql()}"
-SOURCES = [
-    (1, "src/lib.rs", "mod parser;\npub mod a { }\npub mod util;\nuse crate::core::Graph;\nuse std::{fmt, io};\n  use self::x::y;\n#[test]\nfn t() {}"),
-    (2, "src/app.py", "import os.path, sys\nfrom .models import User\nfrom . import x\nfrom ..up import y\nimport numpy as np\nasync def go(a):\n    await b\nclass Big(Base):\n  def run(self): eval('1')\ndef test_it(): pass"),
-    (3, "web/index.ts", "import x from './x'\nimport \"../y\"\nimport z from 'zod'\nconst a = 1\ndescribe('a')"),
-    (4, "Proof.lean", "import Mathlib.Topology.Basic\npublic import Foo.Bar\n-- import No\nopen Topology Filter in\nopen scoped BigOperators"),
-    (5, "src/parser.rs", "use crate::lib;\nuse super::core;"),
-    (6, "src/core.rs", "// nothing"),
-    (7, "src/models.py", "x = open('f')"),
-]
-LOGS = [
-    (0, "check", 101, "error[E0308]: mismatched types\n  --> src/lib.rs:10:5\nwarning: unused\n --> src/core.rs:3:1\n", "", True),
-    (1, "cc", 1, "", "src/a.c:7:3: error: expected ';'\nsrc/a.c:9:1: warning: unused variable", True),
-    (2, "pytest", 1, 'Traceback\n  File "src/app.py", line 12\nValueError', "", True),
-    (3, "go", 2, "cmd/main.go:5:2: undefined: x", "", True),
-    (4, "tsc", 2, "", "web/index.ts(4,9): error TS2304: Cannot find name 'q'.", True),
-    (5, "lint", 3, "step timed out after 5s\nmore", "", True),
-    (6, "fmt", 0, "", "ok", True),
-]
-
-
-def sources(s):
-    return s.createDataFrame(SOURCES, "id long, path string, content string")
-
-
-def log_rows(s):
-    return s.createDataFrame(LOGS, "pos int, name string, exit_code int, stderr string, stdout string, ran boolean")
-
-
-def values(rows) -> str:
-    q = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
-
-
-SRC_SQL = f"src AS (SELECT id::BIGINT AS id, path, content FROM (VALUES {values(SOURCES)}) v(id, path, content))"
-LOG_SQL = f"log(pos, name, exit_code, stderr, stdout, ran) AS (VALUES {values(LOGS)})"
+#: A source file for each document, in one of four languages by its id, that refers to the files of later documents of its
+#: language; one text for both engines.
+SRC_TEXT = """
+SELECT CAST(doc_id AS BIGINT) AS id, concat(source, CASE doc_id % 4 WHEN 3 THEN '/M' ELSE '/m' END, doc_id, CASE doc_id % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.lean' END) AS path,
+ CASE doc_id % 4
+  WHEN 0 THEN concat('mod m', doc_id + 4, ';', chr(10), 'pub mod a ', chr(123), ' ', chr(125), chr(10), 'use crate::core::m', doc_id + 8, ';', chr(10), 'use std::', chr(123), 'fmt, io', chr(125), ';', chr(10), CASE WHEN doc_id % 8 = 0 THEN '#[test]' ELSE '// none' END, chr(10), '// ', n_chars)
+  WHEN 1 THEN concat('import m', doc_id + 4, ', sys', chr(10), 'from .m', doc_id + 8, ' import User', chr(10), 'from . import x', chr(10), 'async def go', doc_id, '(a):', chr(10), '    await b', chr(10), 'class Big', doc_id, '(Base):', chr(10), '  def run(self): ', CASE WHEN doc_id % 8 = 1 THEN 'eval(1)' ELSE 'open(f)' END, chr(10), 'def test_it(): pass')
+  WHEN 2 THEN concat('import x from "./m', doc_id + 4, '"', chr(10), 'import "../y"', chr(10), 'import z from "zod"', chr(10), 'describe(', n_chars, ')')
+  ELSE concat('import Mathlib.M', doc_id, chr(10), 'public import Foo.M', doc_id + 4, chr(10), '-- import No', chr(10), 'open Topology Filter in', chr(10), 'open scoped Big', doc_id) END AS content
+FROM {documents}
+"""
+#: A script's run for each event, its log of one of seven kinds by the event's id; rust, python and ts name files of SRC_TEXT.
+LOG_TEXT = """
+SELECT CAST(event_id AS BIGINT) AS pos, concat('run_', event_id) AS name, CAST(user_id AS BIGINT) AS user_id, CAST(CASE WHEN event_id % 7 = 6 THEN 0 ELSE event_id % 3 + 1 END AS INT) AS exit_code,
+ CASE event_id % 7 WHEN 0 THEN concat('error[E0308]: mismatched m', 4 * (event_id % 50), chr(10), '  --> m', 4 * (event_id % 50), '.rs:', event_id % 1000, ':5', chr(10), 'warning: unused', chr(10), ' --> src/core.rs:3:1', chr(10))
+  WHEN 2 THEN concat('Traceback', chr(10), '  File "m', 4 * (event_id % 50) + 1, '.py", line ', event_id % 1000, chr(10), 'ValueError') WHEN 3 THEN concat('cmd/f', user_id, '.go:', event_id % 1000, ':2: undefined: ', event_type) WHEN 5 THEN concat('step timed out after 5s', chr(10), 'more') ELSE '' END AS stderr,
+ CASE event_id % 7 WHEN 1 THEN concat('src/a', user_id, '.c:7:3: error: expected ', event_type, chr(10), 'src/a', user_id, '.c:9:1: warning: unused variable') WHEN 4 THEN concat('m', 4 * (event_id % 50) + 2, '.ts(', event_id % 1000, ',9): error TS2304: Cannot find m', 4 * (event_id % 50) + 2) WHEN 6 THEN 'ok' ELSE '' END AS stdout,
+ true AS ran
+FROM {events}
+"""
+
+
+def sources(s, d):
+    return s.sql(SRC_TEXT, documents=s.read.parquet(f"{d}/documents.parquet"))
+
+
+def log_rows(s, d):
+    return s.sql(LOG_TEXT, events=s.read.parquet(f"{d}/events.parquet"))
+
+
+SRC_SQL = f"src AS MATERIALIZED ({twin(SRC_TEXT)})"
+LOG_SQL = f"log AS MATERIALIZED ({twin(LOG_TEXT)})"
+#: The files that the references of SRC_TEXT mean, where they exist.
+MEANT = """meant AS (SELECT s.id AS source_id, s.kind, s.route, t.id AS target_id FROM (
+  SELECT id, 'uses' AS kind, concat('m', id + 4, '.rs') AS route, id + 4 AS other FROM src WHERE id % 4 = 0 UNION ALL SELECT id, 'uses', concat('core/m', id + 8, '.rs'), id + 8 FROM src WHERE id % 4 = 0
+  UNION ALL SELECT id, 'imports', concat('m', id + 4, '.py'), id + 4 FROM src WHERE id % 4 = 1 UNION ALL SELECT id, 'imports', concat('/m', id + 8, '.py'), id + 8 FROM src WHERE id % 4 = 1
+  UNION ALL SELECT id, 'imports', concat('Foo/M', id + 4, '.lean'), id + 4 FROM src WHERE id % 4 = 3) s JOIN src t ON t.id = s.other)"""
 
 # Paths and names
 
@@ -224,39 +226,39 @@ def _(s, d):
 # Source text
 
 
-@query("c4_rust_references", "SELECT * FROM (VALUES ('uses', 'parser.rs'), ('uses', 'parser/mod.rs'), ('uses', 'util.rs'), ('uses', 'util/mod.rs'), ('uses', 'core/Graph.rs'), ('uses', 'std.rs'), ('uses', 'x/y.rs')) v(kind, route)")
+@query("c4_rust_references", f"WITH {SRC_SQL} SELECT id AS source_id, 'uses' AS kind, concat('m', id + 4, '.rs') AS route FROM src WHERE id % 4 = 0 UNION ALL SELECT id AS source_id, 'uses' AS kind, concat('m', id + 4, '/mod.rs') AS route FROM src WHERE id % 4 = 0 UNION ALL SELECT id AS source_id, 'uses' AS kind, concat('core/m', id + 8, '.rs') AS route FROM src WHERE id % 4 = 0 UNION ALL SELECT id AS source_id, 'uses' AS kind, 'std.rs' AS route FROM src WHERE id % 4 = 0")
 def _(s, d):
-    return code.reference_rows(sources(s).where("id = 1")).select("kind", "route")
+    return code.reference_rows(sources(s, d).where("id % 4 = 0"))
 
 
-@query("c5_python_references", "SELECT * FROM (VALUES ('imports', 'os/path.py'), ('imports', '/models.py'), ('imports', 'numpy.py')) v(kind, route)")
+@query("c5_python_references", f"WITH {SRC_SQL} SELECT id AS source_id, 'imports' AS kind, concat('m', id + 4, '.py') AS route FROM src WHERE id % 4 = 1 UNION ALL SELECT id AS source_id, 'imports' AS kind, concat('/m', id + 8, '.py') AS route FROM src WHERE id % 4 = 1")
 def _(s, d):
-    return code.reference_rows(sources(s).where("id = 2")).select("kind", "route")
+    return code.reference_rows(sources(s, d).where("id % 4 = 1"))
 
 
-@query("c6_ts_references", "SELECT * FROM (VALUES ('imports', './x'), ('imports', '../y')) v(kind, route)")
+@query("c6_ts_references", f"WITH {SRC_SQL} SELECT id AS source_id, 'imports' AS kind, concat('./m', id + 4) AS route FROM src WHERE id % 4 = 2 UNION ALL SELECT id AS source_id, 'imports' AS kind, '../y' AS route FROM src WHERE id % 4 = 2")
 def _(s, d):
-    return code.reference_rows(sources(s).where("id = 3")).select("kind", "route")
+    return code.reference_rows(sources(s, d).where("id % 4 = 2"))
 
 
-@query("c7_lean_references", "SELECT * FROM (VALUES ('imports', 'Mathlib/Topology/Basic.lean'), ('imports', 'Foo/Bar.lean'), ('uses', 'Topology.lean'), ('uses', 'Filter.lean'), ('uses', 'BigOperators.lean')) v(kind, route)")
+@query("c7_lean_references", f"WITH {SRC_SQL} SELECT id AS source_id, 'imports' AS kind, concat('Mathlib/M', id, '.lean') AS route FROM src WHERE id % 4 = 3 UNION ALL SELECT id AS source_id, 'imports' AS kind, concat('Foo/M', id + 4, '.lean') AS route FROM src WHERE id % 4 = 3 UNION ALL SELECT id AS source_id, 'uses' AS kind, 'Topology.lean' AS route FROM src WHERE id % 4 = 3 UNION ALL SELECT id AS source_id, 'uses' AS kind, 'Filter.lean' AS route FROM src WHERE id % 4 = 3 UNION ALL SELECT id AS source_id, 'uses' AS kind, concat('Big', id, '.lean') AS route FROM src WHERE id % 4 = 3")
 def _(s, d):
-    return code.reference_rows(sources(s).where("id = 4")).select("kind", "route")
+    return code.reference_rows(sources(s, d).where("id % 4 = 3"))
 
 
 @query("c9_inline_tests", f"WITH {SRC_SQL} SELECT id, CASE WHEN path LIKE '%.rs' THEN contains(content, '#[test]') OR contains(content, '#[cfg(test)]') WHEN path LIKE '%.py' THEN contains(content, 'def test_') OR contains(content, 'class Test') WHEN path LIKE '%.ts' THEN contains(content, 'describe(') ELSE false END AS has_tests FROM src")
 def _(s, d):
-    return sources(s).select("id", S.has_inline_tests(F.col("content"), F.col("path")).alias("has_tests"))
+    return sources(s, d).select("id", S.has_inline_tests(F.col("content"), F.col("path")).alias("has_tests"))
 
 
 @query("c31_python_contract", f"WITH {SRC_SQL}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM src WHERE path LIKE '%.py'), k AS (SELECT id, line, trim(raw) AS x FROM l) SELECT id, line::INT AS line, CASE WHEN starts_with(x, 'async def ') THEN 'async' WHEN starts_with(x, 'def ') THEN 'function' WHEN starts_with(x, 'class ') THEN 'class' ELSE 'import' END AS kind, CASE WHEN regexp_matches(x, '^(import|from) ') THEN x ELSE trim(regexp_extract(x, '^(?:async def|def|class) ([^(:]*)', 1)) END AS name FROM k WHERE regexp_matches(x, '^(async def|def|class|import|from) ')")
 def _(s, d):
-    return code.python_contract(sources(s).where("path like '%.py'"))
+    return code.python_contract(sources(s, d).where("path like '%.py'"))
 
 
 @query("c32_risk_signals", f"WITH {SRC_SQL} SELECT id, 'async' AS category FROM src WHERE contains(lower(content), 'await ') OR contains(lower(content), 'async def ') UNION ALL SELECT id, 'io' FROM src WHERE contains(lower(content), 'open(') UNION ALL SELECT id, 'dynamic_python' FROM src WHERE contains(lower(content), 'eval(')")
 def _(s, d):
-    return code.risk_signals(sources(s)).select("id", "category")
+    return code.risk_signals(sources(s, d)).select("id", "category")
 
 
 TEXTS = {"python": ("import a", "x = 1", "# note", "def f(): pass"), "rust": ("use a;", "let x;", "/// doc", "pub fn f() {}"), "typescript": ("import a", "let x", "// c", "export function f() {}")}
@@ -273,18 +275,17 @@ def _(s, d):
     return docs.select("doc_id", code.excerpt(content, language).alias("excerpt"))
 
 
-@query("e6_resolved_routes", "SELECT * FROM (VALUES (1, 'parser.rs', 5), (1, 'core/Graph.rs', NULL), (5, 'lib.rs', 1), (5, 'core.rs', 6), (2, '/models.py', 7)) v(source_id, route, target_id) WHERE target_id IS NOT NULL")
+@query("e6_resolved_routes", f"WITH {SRC_SQL}, {MEANT} SELECT source_id, route, target_id FROM meant")
 def _(s, d):
-    src = sources(s)
-    nodes = src.select("id", F.col("id").alias("pos"), "path")
-    return J.resolve_routes(code.reference_rows(src), nodes).select(F.col("source_id").cast("int").alias("source_id"), "route", F.col("target_id").cast("int").alias("target_id"))
+    src = sources(s, d)
+    return J.resolve_routes(code.reference_rows(src), src.select("id", F.col("id").alias("pos"), "path")).select("source_id", "route", "target_id")
 
 
-@query("i1_source_graph", "SELECT * FROM (VALUES ('src', 'src/lib.rs', 'contains'), ('src', 'src/app.py', 'contains'), ('src', 'src/parser.rs', 'contains'), ('src', 'src/core.rs', 'contains'), ('src', 'src/models.py', 'contains'), ('web', 'web/index.ts', 'contains'), ('src/lib.rs', 'src/parser.rs', 'uses'), ('src/parser.rs', 'src/lib.rs', 'uses'), ('src/parser.rs', 'src/core.rs', 'uses'), ('src/app.py', 'src/models.py', 'imports')) v(from_path, to_path, relationship)")
+@query("i1_source_graph", f"WITH {SRC_SQL}, {MEANT} SELECT split_part(path, '/', 1) AS from_path, path AS to_path, 'contains' AS relationship FROM src UNION ALL SELECT DISTINCT a.path, b.path, kind FROM meant JOIN src a ON a.id = source_id JOIN src b ON b.id = target_id")
 def _(s, d):
     from ..sources.scan import build_graph
 
-    g = build_graph(sources(s).select(F.col("path").alias("relative_path"), S.file_name("path").alias("name"), "content"))
+    g = build_graph(sources(s, d).select(F.col("path").alias("relative_path"), S.file_name("path").alias("name"), "content"))
     named = g.nodes.select("id", "path")
     return g.edges.join(named.withColumnsRenamed({"id": "src", "path": "from_path"}), "src").join(named.withColumnsRenamed({"id": "dst", "path": "to_path"}), "dst").select("from_path", "to_path", "relationship")
 
@@ -312,59 +313,63 @@ ERR_SQL = ERR_SQL.replace("GROUP BY ALL", "GROUP BY name, file, line, trim(messa
 
 @query("k24_parsed_errors", f"{ERR_SQL} SELECT script, file, line, message, severity FROM err")
 def _(s, d):
-    return logs.parse_errors(log_rows(s)).drop("pos")
+    return logs.parse_errors(log_rows(s, d)).drop("pos")
 
 
 for _k, _name in enumerate(("rust", "generic", "python", "go", "typescript")):
 
     def _one(s, d, k=_k):
         t = F.concat_ws("\n", "stderr", "stdout")
-        return log_rows(s).select("name", F.explode(logs.errors_of(t, k)).alias("e")).select("name", "e.file", "e.line", "e.message", "e.severity")
+        return log_rows(s, d).select("name", F.explode(logs.errors_of(t, k)).alias("e")).select("name", "e.file", "e.line", "e.message", "e.severity")
 
     query(f"p{_k + 1}_{_name}_errors", f"{ERR_SQL} SELECT name, file, line::INT AS line, trim(message) AS message, CASE WHEN sev = 'warning' THEN 'Warning' ELSE 'Error' END AS severity FROM m WHERE p = {_k}")(_one)
 
 
 @query("k26_failures", f"{ERR_SQL} SELECT script, file, line, message, severity FROM err UNION ALL SELECT name, '<script:' || name || '>', 0, 'step timed out after 5s', 'Error' FROM log WHERE exit_code <> 0 AND name NOT IN (SELECT script FROM err)")
 def _(s, d):
-    return logs.with_failures(log_rows(s), logs.parse_errors(log_rows(s))).drop("pos")
+    return logs.with_failures(log_rows(s, d), logs.parse_errors(log_rows(s, d))).drop("pos")
 
 
 @query("f20_feedback", f"{ERR_SQL} SELECT count(*) FILTER (exit_code = 0) AS passed, count(*) FILTER (exit_code <> 0) AS failed, (SELECT count(*) FROM err) AS errors FROM log")
 def _(s, d):
-    return logs.feedback(log_rows(s), logs.parse_errors(log_rows(s)))
+    return logs.feedback(log_rows(s, d), logs.parse_errors(log_rows(s, d)))
 
 
 @query("f21_errored_files", f"{ERR_SQL} SELECT DISTINCT file FROM err")
 def _(s, d):
-    return logs.errored_files(logs.parse_errors(log_rows(s)))
+    return logs.errored_files(logs.parse_errors(log_rows(s, d)))
 
 
-@query("f22_summary_line", f"{ERR_SQL} SELECT string_agg(x, ' | ' ORDER BY pos) AS summary FROM (SELECT pos, name || ': ' || CASE WHEN exit_code = 0 THEN 'ok' ELSE coalesce(n, 0) || ' errors' END AS x FROM log LEFT JOIN (SELECT script, count(*) AS n FROM err GROUP BY script) e ON script = name)")
+@query("f22_summary_line", f"{ERR_SQL} SELECT user_id, string_agg(x, ' | ' ORDER BY pos) AS summary FROM (SELECT user_id, pos, name || ': ' || CASE WHEN exit_code = 0 THEN 'ok' ELSE coalesce(n, 0) || ' errors' END AS x FROM log LEFT JOIN (SELECT script, count(*) AS n FROM err GROUP BY script) e ON script = name) GROUP BY user_id")
 def _(s, d):
-    return logs.summary_line(log_rows(s), logs.parse_errors(log_rows(s)))
+    """A line for each user's runs."""
+    return logs.summary_line(log_rows(s, d), logs.parse_errors(log_rows(s, d)), "user_id")
 
 
 @query("p6_script_outcomes", f"WITH {LOG_SQL} SELECT name, exit_code = 0 AS success, exit_code <> 0 AS crashed FROM log")
 def _(s, d):
-    return log_rows(s).select("name", logs.success(F.col("exit_code")).alias("success"), logs.crashed(F.col("exit_code")).alias("crashed"))
+    return log_rows(s, d).select("name", logs.success(F.col("exit_code")).alias("success"), logs.crashed(F.col("exit_code")).alias("crashed"))
 
 
-@query("c45_diagnostic_lines", f"WITH {LOG_SQL} SELECT name, CASE name WHEN 'check' THEN 'error[E0308]: mismatched types' WHEN 'pytest' THEN 'Traceback' WHEN 'go' THEN 'cmd/main.go:5:2: undefined: x' WHEN 'lint' THEN 'step timed out after 5s' END AS line FROM log")
+@query("c45_diagnostic_lines", f"WITH {LOG_SQL} SELECT name, CASE WHEN stderr <> '' THEN CASE WHEN contains(stderr, 'timed out') THEN 'step timed out after 5s' ELSE string_split(stderr, chr(10))[1] END END AS line FROM log")
 def _(s, d):
-    return log_rows(s).select("name", S.diagnostic_line(F.col("stderr")).alias("line"))
+    return log_rows(s, d).select("name", S.diagnostic_line(F.col("stderr")).alias("line"))
 
 
-@query("c46_scrubbed_responses", "SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, '{\"b\": 2}'), (3, '{}')) v(id, answer)")
+@query("c46_scrubbed_responses", "SELECT doc_id, concat('{\"a\": ', n_chars, '}') AS answer FROM documents")
 def _(s, d):
-    rows = [(1, '```json\n{"a": 1}\n```'), (2, '{"b": 2}'), (3, "```\n{}\n```")]
-    return s.createDataFrame(rows, "id int, answer string").select("id", S.scrub_response(F.col("answer")).alias("answer"))
+    """Answers between fences of a language, bare, and between plain fences, by the document's id."""
+    k, bare = F.col("doc_id") % 3, F.concat(F.lit('{"a": '), "n_chars", F.lit("}"))
+    fenced = F.when(k == 0, F.concat(F.lit("```json\n"), bare, F.lit("\n```"))).when(k == 1, bare).otherwise(F.concat(F.lit("```\n"), bare, F.lit("\n```")))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.scrub_response(fenced).alias("answer"))
 
 
-@query("d16_first_errors", f"{ERR_SQL}, {SRC_SQL} SELECT id, 'mismatched types' AS error FROM src WHERE path = 'src/lib.rs' UNION ALL SELECT id, 'unused' FROM src WHERE path = 'src/core.rs' UNION ALL SELECT id, 'Python error' FROM src WHERE path = 'src/app.py' UNION ALL SELECT id, 'Cannot find name ''q''.' FROM src WHERE path = 'web/index.ts'")
+@query("d16_first_errors", f"""WITH {SRC_SQL}, e AS (SELECT DISTINCT 4 * (event_id % 50) AS k, event_id % 7 AS log FROM events)
+SELECT id, CASE log WHEN 2 THEN 'Python error' WHEN 0 THEN concat('mismatched m', id) ELSE concat('Cannot find m', id) END AS error FROM src JOIN e ON (log = 0 AND id = k) OR (log = 2 AND id = k + 1) OR (log = 4 AND id = k + 2)""")
 def _(s, d):
     from ..operators.planning import first_errors
 
-    return first_errors(sources(s).select("id", "path"), logs.parse_errors(log_rows(s)))
+    return first_errors(sources(s, d).select("id", "path"), logs.parse_errors(log_rows(s, d)))
 
 
 # Vectors
