@@ -30,7 +30,7 @@ from .extras import _half_up
 from .iterative import ACTION, ITEMS, MIG, OUT, PLACES, RAN, ROLES, SEED, SQL, _places, _seeded, _structural_items, seeded_ids, ticks_sql
 from .projections import doc_graph, fk_graph
 from .registry import ORACLES, query, r6
-from .relational import BOTH, DOC, FK, NATION
+from .relational import BOTH, CELLS, DOC, FK, NATION, torus
 from .surface import FILES, SEEN, shared, table_sql, values, work_folder
 from .textual import SRC_SQL, sources
 
@@ -684,22 +684,27 @@ def _(s, d):
     return _seeded(s, d, A.Registry(_Halve())).run_ticks(2).state.select("id", "activation")
 
 
-@query("m8_replaced_rule", table_sql([(1, 0.5)], "rules, factor"))
+@query("m8_replaced_rule", f"{SQL}{ticks_sql(SEED, ['import'], 1, 0.5)} SELECT id, round(a, 6) AS activation FROM s1")
 def _(s, d):
+    """A rule registered again replaces the old one: its factor holds."""
     r = A.Registry(A.ImportPropagation(0.3)).register(A.ImportPropagation(0.5))
-    return values(s, [(len(r.rules), r.get("import_propagation").factor)], "rules int, factor double")
+    return _seeded(s, d, r).run_ticks(1).state.select("id", r6("activation"))
 
 
-@query("m9_own_heuristic", table_sql([(4,)], "ticks"))
+@query("m9_own_heuristic", f"{FK} SELECT 4 AS ticks, count(*) AS transitions FROM nodes")
 def _(s, d):
+    """A rule that moves every node each tick, until a heuristic of one's own says stop."""
     run = _seeded(s, d, A.Registry(A.NoOp()), stable=lambda history: len(history) == 4, min_ticks=1).run()
-    return values(s, [(len(run.history),)], "ticks int")
+    return values(s, [(len(run.history), run.history[-1].transitions)], "ticks int, transitions long")
 
 
-@query("g14_converged", "WITH t AS (SELECT k AS tick, CASE WHEN k < 6 THEN k / 10.0::DOUBLE ELSE 0.6 END AS a FROM range(1, 13) r(k)) SELECT tick, count(*) OVER w = 5 AND var_pop(a) OVER w < 0.001 AS converged FROM t WINDOW w AS (ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+@query("g14_converged", "WITH t AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS tick, round(avg(value) / 100, 6) AS a FROM events GROUP BY ALL) SELECT tick, count(*) OVER w = 5 AND var_pop(a) OVER w < 0.001 AS converged FROM t WINDOW w AS (ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def _(s, d):
-    ticks = [A.Tick(k, 1, 1, k / 10 if k < 6 else 0.6) for k in range(1, 13)]
-    return values(s, [(k + 1, A.converged(ticks[: k + 1])) for k in range(len(ticks))], "tick long, converged boolean")
+    """Days of events as ticks, their mean value as mean activation."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    day = (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).cast("long").alias("tick")
+    ticks = e.groupBy(day).agg(F.round(F.avg("value") / 100, 6).alias("avg_activation")).withColumns({"transitions": F.lit(1), "skipped": F.lit(1)})
+    return A.stability_marks(ticks).select("tick", "converged")
 
 
 @query("p12_node_stability", f"{FK}{ROLES} SELECT id, CASE WHEN kind = 'Directory' THEN round(stability, 6) ELSE 0.0 END AS stability FROM des")
@@ -716,16 +721,20 @@ def _(s, d):
     return A.seeded(st, F.col("kind") == "Test", 0.9).select("id", "activation")
 
 
-@query("p17_fast", table_sql([(3, 10)], "min_ticks, max_ticks"))
+@query("p17_fast", f"{FK} SELECT 10 AS ticks, 10 * count(*) AS transitions FROM nodes")
 def _(s, d):
-    run = A.Automaton.fast(T.sample_graph(s), A.default_rules(), A.initial_state(T.sample_graph(s).nodes))
-    return values(s, [(run.min_ticks, run.max_ticks)], "min_ticks int, max_ticks int")
+    """The most ticks of this preset, with a rule that never rests; where no state changes a tick costs nothing."""
+    g = fk_graph(s, d).cut()
+    run = A.Automaton.fast(g, A.Registry(A.NoOp()), A.initial_state(g.nodes)).run()
+    return values(s, [(len(run.history), sum(t.transitions for t in run.history))], "ticks int, transitions long")
 
 
-@query("p18_thorough", table_sql([(20, 500)], "min_ticks, max_ticks"))
+@query("p18_thorough", f"{FK} SELECT 500 AS ticks, 500 * count(*) AS transitions FROM nodes")
 def _(s, d):
-    run = A.Automaton.thorough(T.sample_graph(s), A.default_rules(), A.initial_state(T.sample_graph(s).nodes))
-    return values(s, [(run.min_ticks, run.max_ticks)], "min_ticks int, max_ticks int")
+    """The most ticks of this preset, with a rule that never rests; where no state changes a tick costs nothing."""
+    g = fk_graph(s, d).cut()
+    run = A.Automaton.thorough(g, A.Registry(A.NoOp()), A.initial_state(g.nodes)).run()
+    return values(s, [(len(run.history), sum(t.transitions for t in run.history))], "ticks int, transitions long")
 
 
 @query("p19_had_transitions", f"{SQL}{ticks_sql(SEED, ['import'], 1)} SELECT count(*) FILTER (moved) > 0 AS had FROM s1")
@@ -769,9 +778,9 @@ def _(s, d):
     return t.select("id", r6(F.col("max") - F.col("min"), "spread"))
 
 
-@query("p105_initial_cells", "SELECT y * 16 + x AS id, 0.0::DOUBLE AS activation, false AS changed FROM range(16) a(x), range(16) b(y)")
+@query("p105_initial_cells", f"WITH {CELLS} SELECT id, 0.0::DOUBLE AS activation, false AS changed FROM cells")
 def _(s, d):
-    return A.initial_state(T.lattice(s, 16, 16).nodes).select("id", "activation", "changed")
+    return A.initial_state(torus(s, d).nodes).select("id", "activation", "changed")
 
 
 # Planning

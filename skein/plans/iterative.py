@@ -12,7 +12,7 @@ from ..operators import traversal as T
 from ..operators.joins import tested
 from .projections import doc_graph, doc_sql, fk_graph, fk_sql
 from .registry import query, r6
-from .relational import BOTH, DEG, DOC, FK, NORM, STEM
+from .relational import BESIDE, BOTH, CELLS, DEG, DOC, FK, NORM, STEM, torus
 
 SQL = f"WITH {fk_sql()}{BOTH}, adj AS MATERIALIZED (SELECT id, peer, arg_min(relationship, pos) AS rel FROM both_ways GROUP BY id, peer)"
 
@@ -290,32 +290,35 @@ def _(s, d):
     return P.repo_summary(g, P.migration_candidates(g), F.split_part("path", F.lit("/"), F.lit(1))).drop("top")
 
 
-# Life on a torus
+# Life on a torus of the suppliers, its cells alive where an error of the events falls
 
-W = H = 16
-BLINKER, BLOCK, GLIDER = [(2, 3), (3, 3), (4, 3)], [(8, 8), (9, 8), (8, 9), (9, 9)], [(12, 2), (13, 3), (11, 4), (12, 4), (13, 4)]
-ALIVE = sorted(y * W + x for x, y in BLINKER + BLOCK + GLIDER)
+ALIVE = f"{CELLS}, {BESIDE}, hit AS MATERIALIZED (SELECT DISTINCT (event_id * 7 + user_id) % (SELECT count(*) FROM cells) AS id FROM events WHERE event_type = 'error'), s0 AS MATERIALIZED (SELECT id, id IN (SELECT id FROM hit) AS alive FROM cells)"
+
+
+def living(s, d, g):
+    """The torus' state with those cells alive."""
+    errors = s.read.parquet(f"{d}/events.parquet").where("event_type = 'error'")
+    hit = errors.select(F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(g.nodes.count())).alias("id"))
+    return A.seeded(A.marked(A.initial_state(g.nodes), hit), F.col("mine"), 1.0).drop("mine")
 
 
 def _life_sql(n: int) -> str:
-    out = f"WITH adj AS MATERIALIZED (SELECT y * {W} + x AS id, ((y + j + {H}) % {H}) * {W} + (x + i + {W}) % {W} AS peer FROM range({W}) a(x), range({H}) b(y), range(-1, 2) c(i), range(-1, 2) d(j) WHERE i <> 0 OR j <> 0), s0 AS (SELECT id, id IN {tuple(ALIVE)} AS alive FROM range({W * H}) r(id))"
+    out = f"WITH {ALIVE}"
     for k in range(n):
-        out += f", s{k + 1} AS MATERIALIZED (SELECT s{k}.id, n = 3 OR (s{k}.alive AND n = 2) AS alive FROM s{k} JOIN (SELECT adj.id, count(*) FILTER (alive) AS n FROM adj JOIN s{k} ON s{k}.id = peer GROUP BY adj.id) USING (id))"
+        out += f", s{k + 1} AS MATERIALIZED (SELECT s{k}.id, n = 3 OR (s{k}.alive AND n = 2) AS alive FROM s{k} JOIN (SELECT beside.id, count(*) FILTER (alive) AS n FROM beside JOIN s{k} ON s{k}.id = peer GROUP BY beside.id) USING (id))"
     return out + f" SELECT id, alive FROM s{n}"
 
 
 @query("j16_life", _life_sql(4))
 def _(s, d):
-    g = T.lattice(s, W, H)
-    st = A.seeded(A.initial_state(g.nodes), F.col("id").isin(ALIVE), 1.0)
-    run = A.Automaton(g, A.Registry(A.Life()), st).run_ticks(4)
+    g = torus(s, d)
+    run = A.Automaton(g, A.Registry(A.Life()), living(s, d, g)).run_ticks(4)
     return run.state.select("id", (F.col("activation") >= 0.5).alias("alive"))
 
 
-@query("f27_alive_stats", f"SELECT {len(ALIVE)}::BIGINT AS alive, {W * H - len(ALIVE)}::BIGINT AS dead, round({len(ALIVE)} / {W * H}.0::DOUBLE, 6) AS avg_activation")
+@query("f27_alive_stats", f"WITH {ALIVE} SELECT count(*) FILTER (alive) AS alive, count(*) FILTER (NOT alive) AS dead, round(avg(alive::INT), 6) AS avg_activation FROM s0")
 def _(s, d):
-    g = T.lattice(s, W, H)
-    st = A.seeded(A.initial_state(g.nodes), F.col("id").isin(ALIVE), 1.0)
+    st = living(s, d, torus(s, d))
     return st.agg(F.count_if(F.col("activation") >= 0.5).alias("alive"), F.count_if(F.col("activation") < 0.5).alias("dead"), r6(F.avg("activation"), "avg_activation"))
 
 

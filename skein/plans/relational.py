@@ -363,9 +363,19 @@ def _(s, d):
     return T.pagerank(fk_graph(s, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("a35_lattice_edges", "WITH c AS (SELECT x, y FROM range(12) AS a(x), range(9) AS b(y)), o AS (SELECT i, j FROM range(-1, 2) AS a(i), range(-1, 2) AS b(j) WHERE i <> 0 OR j <> 0) SELECT DISTINCT y * 12 + x AS src, ((y + j + 9) % 9) * 12 + (x + i + 12) % 12 AS dst FROM c, o WHERE y * 12 + x < ((y + j + 9) % 9) * 12 + (x + i + 12) % 12")
+#: A torus of sixteen cells a row and a row for each supplier.
+WIDE = 16
+CELLS = f"cells AS MATERIALIZED (SELECT y * {WIDE} + x AS id, x, y, h FROM (SELECT x, unnest(range(h)) AS y, h FROM range({WIDE}) a(x), (SELECT count(*) AS h FROM supplier)))"
+BESIDE = f"beside AS MATERIALIZED (SELECT id, ((y + j + h) % h) * {WIDE} + (x + i + {WIDE}) % {WIDE} AS peer FROM cells, range(-1, 2) c(i), range(-1, 2) e(j) WHERE i <> 0 OR j <> 0)"
+
+
+def torus(s, d):
+    return T.lattice(s, WIDE, s.read.parquet(f"{d}/supplier.parquet").count())
+
+
+@query("a35_lattice_edges", f"WITH {CELLS}, {BESIDE} SELECT DISTINCT id AS src, peer AS dst FROM beside WHERE id < peer")
 def _(s, d):
-    return T.lattice(s, 12, 9).edges.select("src", "dst")
+    return torus(s, d).edges.select("src", "dst")
 
 
 def _mixed_sql(x: str, seed: int, name: str) -> str:
@@ -375,18 +385,22 @@ def _mixed_sql(x: str, seed: int, name: str) -> str:
     return f"LATERAL (SELECT {u1} AS u1) {name}1, LATERAL (SELECT (u1 * (u1 % 9973 + 1) + {x} % {m}) % {m} AS u2) {name}2, LATERAL (SELECT (u2 * 69621) % {m} AS u3) {name}3, LATERAL (SELECT (u3 * (u3 % 7919 + 1) + {seed}) % {m} AS u4) {name}4"
 
 
-def _drawn(n: int, most: int, seed: int) -> str:
-    return f"(SELECT pos, u4 % {most} AS v FROM range({n}) r(pos), {_mixed_sql('pos', seed, 'w')})"
+#: As many nodes as there are customers.
+SIZE = "size AS (SELECT count(*) AS n FROM customer)"
+
+
+def _drawn(most: str, seed: int) -> str:
+    return f"(SELECT pos, u4 % {most} AS v FROM (SELECT unnest(range(3 * n)) AS pos, n FROM size) r, {_mixed_sql('pos', seed, 'w')})"
 
 
-@query("a33_random_graph", f"SELECT src, CASE WHEN skip >= src THEN skip + 1 ELSE skip END AS dst FROM (SELECT a.v AS src, b.v AS skip FROM {_drawn(3000, 1000, 42)} a JOIN {_drawn(3000, 999, 43)} b USING (pos))")
+@query("a33_random_graph", f"WITH {SIZE} SELECT src, CASE WHEN skip >= src THEN skip + 1 ELSE skip END AS dst FROM (SELECT a.v AS src, b.v AS skip FROM {_drawn('n', 42)} a JOIN {_drawn('(n - 1)', 43)} b USING (pos))")
 def _(s, d):
-    return T.random_graph(s, 1000).edges.select("src", "dst")
+    return T.random_graph(s, s.read.parquet(f"{d}/customer.parquet").count()).edges.select("src", "dst")
 
 
-@query("a34_scale_free_graph", f"WITH RECURSIVE h AS MATERIALIZED (SELECT pos, u4 % (2 * greatest(pos, 1)) AS h FROM range({999 * 3}) r(pos), {_mixed_sql('pos', 42, 'w')}), t AS MATERIALIZED (SELECT pos, h // 2 AS ref, CASE WHEN pos = 0 THEN 0 WHEN h % 2 = 0 THEN least(h // 2 // 3 + 1, pos // 3) END AS dst FROM h), walk(e, pos, dst) AS (SELECT pos, ref, dst FROM t UNION ALL SELECT walk.e, t.ref, t.dst FROM walk JOIN t ON t.pos = walk.pos WHERE walk.dst IS NULL) SELECT e // 3 + 1 AS src, dst FROM walk WHERE dst IS NOT NULL AND dst <> e // 3 + 1")
+@query("a34_scale_free_graph", f"WITH RECURSIVE {SIZE}, h AS MATERIALIZED (SELECT pos, u4 % (2 * greatest(pos, 1)) AS h FROM (SELECT unnest(range(3 * (n - 1))) AS pos FROM size) r, {_mixed_sql('pos', 42, 'w')}), t AS MATERIALIZED (SELECT pos, h // 2 AS ref, CASE WHEN pos = 0 THEN 0 WHEN h % 2 = 0 THEN least(h // 2 // 3 + 1, pos // 3) END AS dst FROM h), walk(e, pos, dst) AS (SELECT pos, ref, dst FROM t UNION ALL SELECT walk.e, t.ref, t.dst FROM walk JOIN t ON t.pos = walk.pos WHERE walk.dst IS NULL) SELECT e // 3 + 1 AS src, dst FROM walk WHERE dst IS NOT NULL AND dst <> e // 3 + 1")
 def _(s, d):
-    return T.scale_free_graph(s, 1000, 3).edges.select("src", "dst")
+    return T.scale_free_graph(s, s.read.parquet(f"{d}/customer.parquet").count(), 3).edges.select("src", "dst")
 
 
 @query("i8_architect_preserve", f"{FK} SELECT id, 'new/' || path AS path FROM nodes")

@@ -25,10 +25,10 @@ from ..sources import project, render, scan, vcs
 from ..sources.store import Store, read_graph_json, write_graph_json
 from ..streaming import changes as C, liveness
 from ..streaming.loop import WatchLoop
-from .iterative import ACTION, DESCRIBED, FULL, ITEMS, MIG, ROLES, SEED, SQL, TASK, TOP, _structural_items, seeded_ids, ticks_sql
+from .iterative import ACTION, ALIVE, DESCRIBED, FULL, ITEMS, MIG, ROLES, SEED, SQL, TASK, TOP, _structural_items, living, seeded_ids, ticks_sql
 from .projections import doc_graph, fk_graph, fk_sql
 from .registry import ORACLES, query, r6
-from .relational import BOTH, DEG, DOC, FK, NATION, PART, REGION, STEM
+from .relational import BOTH, DEG, DOC, FK, NATION, PART, REGION, STEM, torus
 from .textual import LOG_SQL, MEANT, SRC_SQL, log_rows, sources
 
 
@@ -735,10 +735,9 @@ def _(s, d):
     return values(s, [(n, L.iterations(n)) for n in (10, 1000, 9000)], "nodes int, steps int")
 
 
-@query("j17_seed_patterns", table_sql([(26,), (27,), (28,)], "id"))
+@query("j17_seed_patterns", f"WITH {ALIVE} SELECT id FROM s0 WHERE alive")
 def _(s, d):
-    g = T.lattice(s, 8, 8)
-    return A.hot(A.seeded(A.initial_state(g.nodes), F.col("id").isin(26, 27, 28), 1.0), 0.5).select(F.col("id").cast("int").alias("id"))
+    return A.hot(living(s, d, torus(s, d)), 0.5).select("id")
 
 
 @query("j13_damped_description", f"{SQL}{ROLES}{ticks_sql(DESCRIBED, [r for r in FULL if r == 'damped'], 2)} SELECT id, round(a, 6) AS activation FROM s2")

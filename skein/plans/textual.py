@@ -16,7 +16,7 @@ from ..sources import vcs
 from ..streaming import changes as C
 from .projections import doc_graph, doc_sql, fk_graph, fk_sql, twin
 from .registry import query, r6
-from .relational import DEG, FK
+from .relational import CELLS, DEG, FK, torus
 
 DOC = f"WITH {doc_sql()}"
 #: A source file for each document, in one of four languages by its id, that refers to the files of later documents of its
@@ -474,11 +474,9 @@ def _(s, d):
     return notes.select("id", F.col("annotations")["degree"].alias("degree"), F.col("annotations")["embedding"].alias("embedding"))
 
 
-@query("m5_metadata_sampler", "SELECT y * 8 + x AS id, '{\"x\":\"' || x || '\"}' AS artifact FROM range(8) a(x), range(8) b(y)")
+@query("m5_metadata_sampler", f"WITH {CELLS} SELECT id, '{{\"x\":\"' || x || '\"}}' AS artifact FROM cells")
 def _(s, d):
-    from ..operators.traversal import lattice
-
-    return MetadataSampler(["x"]).sample(lattice(s, 8, 8)).artifacts
+    return MetadataSampler(["x"]).sample(torus(s, d)).artifacts
 
 
 # Events as histories and streams
