@@ -9,7 +9,7 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import api
+from .. import api, table_functions
 from ..functions import code, logs, scalars as S
 from ..operators import automaton as A
 from ..operators import joins as J
@@ -948,6 +948,20 @@ def _(s, d):
     return FolderRegions().extract_regions(fk_graph(s, d)).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m12_regions_in_sql", f"{FK} SELECT kind, array_to_string(string_split(path, '/')[1:2], '/') AS region, count(*) AS n, min(id) AS first_id FROM nodes GROUP BY ALL")
+def _(s, d):
+    """The mapper as a table function of SQL, a partition for each kind."""
+    table_functions.register(s)
+    return s.sql("SELECT kind, region, n, first_id FROM regions(TABLE({nodes}) PARTITION BY kind, depth => 2, by => 'kind')", nodes=fk_graph(s, d).nodes)
+
+
+@query("n1_changes_in_sql", "SELECT user_id, event_id, event_type AS fingerprint FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
+def _(s, d):
+    table_functions.register(s)
+    events = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "ts", F.col("event_type").alias("fingerprint"))
+    return s.sql("SELECT user_id, event_id, fingerprint FROM only_changes(TABLE({e}) PARTITION BY user_id ORDER BY (ts, event_id))", e=events)
+
+
 @query("p101_no_regions", f"{FK} SELECT '' AS region, id FROM nodes WHERE false")
 def _(s, d):
     return NoRegions().extract_regions(fk_graph(s, d))

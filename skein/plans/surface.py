@@ -176,11 +176,13 @@ def _(s, d):
     return st.load_graph().edges.select("src", "dst", "relationship")
 
 
-@query("a18_graph_json", f"{FK}, n AS (SELECT * FROM nodes WHERE kind = 'Directory') SELECT id, name, kind, path FROM n")
+@query("a18_graph_json", f"{FK} SELECT 'node' AS what, id AS a, NULL::BIGINT AS b, path AS text FROM nodes UNION ALL SELECT 'edge', src, dst, relationship FROM edges")
 def _(s, d):
-    g, at = fk_graph(s, d).where(F.col("kind") == "Directory"), shared(s, "graph")
-    write_graph_json(g, at)
-    return read_graph_json(s, at).nodes.select("id", "name", "kind", "path")
+    """The whole graph as one document, written in pieces and read in splits."""
+    at = shared(s, "graph")
+    write_graph_json(fk_graph(s, d), at)
+    g = read_graph_json(s, at)
+    return g.nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("path").alias("text")).unionByName(g.edges.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relationship").alias("text")))
 
 
 @query("b2_stripped_sources", "SELECT doc_id, source FROM documents")

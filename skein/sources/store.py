@@ -6,6 +6,7 @@ Snapshots are partitions of one table by their time, so keeping the newest k del
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
 
@@ -118,20 +119,88 @@ class Store:
 GRAPH_JSON = "nodes array<struct<id:bigint,name:string,kind:string,metadata:map<string,string>>>, edges array<struct<id:bigint,from:bigint,to:bigint,relationship:string,metadata:map<string,string>>>, metadata map<string,string>"
 
 
+#: How a document begins that ``write_graph_json`` made: an element a line, so that it can be split anywhere.
+BEGINS, BETWEEN, ENDS = '{"nodes":[', '],"edges":[', '],"metadata":{}}'
+
+
 def read_graph_json(spark: SparkSession, path: str) -> Graph:
-    """A graph document; list places become pos, path and language come from metadata."""
-    doc = spark.read.schema(GRAPH_JSON).option("multiLine", True).json(path)
-    n = doc.select(F.posexplode("nodes").alias("pos", "n")).select("pos", "n.*")
+    """A graph document; list places become pos, path and language come from metadata.
+
+    A document with an element a line is split by byte ranges; in one of any other layout one task reads it.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs, lines = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), False
+    if fs.getFileStatus(at).isFile():
+        stream = fs.open(at)
+        lines = all(stream.read() == ord(c) for c in BEGINS + "\n")
+        stream.close()
+    if lines:
+        n, e = _split_document(spark, path)
+    else:
+        doc = spark.read.schema(GRAPH_JSON).option("multiLine", True).json(path)
+        n = doc.select(F.posexplode("nodes").alias("pos", "n")).select("pos", "n.*")
+        e = doc.select(F.posexplode("edges").alias("pos", "e")).select("pos", "e.*")
     nodes = n.select("id", F.col("pos").cast("long").alias("pos"), "name", "kind", F.coalesce(F.col("metadata")["path"], F.col("metadata")["relative_path"], "name").alias("path"), "metadata")
-    e = doc.select(F.posexplode("edges").alias("pos", "e")).select("pos", "e.*")
     return Graph(nodes, e.select(F.col("from").alias("src"), F.col("to").alias("dst"), "relationship", F.col("pos").cast("long").alias("pos")))
 
 
+def _split_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a document with an element a line; pos grows as the document goes on.
+
+    A line's place is where its split begins plus its number in its task: no task has as many lines as a split has bytes.
+    """
+    inner = re.fullmatch(r"nodes array<(.*?)>, edges array<(.*?)>, metadata map<string,string>", GRAPH_JSON)
+    rows = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("pos"))
+    rows = rows.where(~F.col("value").isin(BEGINS, BETWEEN, ENDS)).withColumn("value", F.regexp_replace("value", "^[, ]", ""))
+    is_edge = F.get_json_object("value", "$.from").isNotNull()
+    read = lambda part, schema: part.select("pos", F.from_json("value", schema).alias("x")).select("pos", "x.*")
+    return read(rows.where(~is_edge), inner[1]), read(rows.where(is_edge), inner[2])
+
+
 def write_graph_json(g: Graph, path: str) -> None:
-    """One document; for graphs that one task can hold, as the format is a single file."""
+    """One document, in the order of pos, an element a line, in place of what was there.
+
+    Tasks write its pieces, by ranges of pos; a commit then strings the pieces together, by the file system's own concatenation
+    of files where it has one, else by copying bytes a buffer at a time. No task or object holds the document.
+    """
+    spark, pieces = g.nodes.sparkSession, f"{path}_pieces"
     node = F.struct("id", "name", "kind", F.create_map(F.lit("path"), F.col("path")).alias("metadata"))
-    nodes = g.nodes.select("pos", node.alias("n")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.to_json("n").alias("n")))), lambda x: x["n"]).alias("nodes"))
-    edge = F.to_json(F.struct(F.col("pos").alias("id"), F.col("src").alias("from"), F.col("dst").alias("to"), "relationship"))
-    edges = g.edges.select("pos", edge.alias("e")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("edges"))
-    text = F.concat(F.lit('{"nodes":['), F.array_join("nodes", ","), F.lit('],"edges":['), F.array_join("edges", ","), F.lit('],"metadata":{}}'))
-    nodes.join(F.broadcast(edges)).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    edge = F.struct(F.col("pos").alias("id"), F.col("src").alias("from"), F.col("dst").alias("to"), "relationship")
+    # All elements but the first of their list begin with a comma.
+    start = F.when(F.monotonically_increasing_id() == 0, " ").otherwise(",")
+    for name, rows, element, order in (("nodes", g.nodes, node, ["pos", "id"]), ("edges", g.edges, edge, ["pos", "src", "dst"])):
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        placed.select(F.concat(start, F.to_json(element)).alias("value")).write.mode("overwrite").text(f"{pieces}/{name}")
+    _concatenated(spark, pieces, path)
+
+
+def _concatenated(spark: SparkSession, pieces: str, path: str) -> None:
+    """The pieces below a folder, by name, between the lines that make them a document; the pieces go."""
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    target = at(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def line(name: str, text: str):
+        out = fs.create(at(f"{pieces}/{name}"), True)
+        out.write(bytearray((text + "\n").encode()))
+        out.close()
+        return at(f"{pieces}/{name}")
+
+    parts = lambda name: sorted((s.getPath() for s in fs.listStatus(at(f"{pieces}/{name}")) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda p: p.getName())
+    files = [line("begins", BEGINS), *parts("nodes"), line("between", BETWEEN), *parts("edges"), line("ends", ENDS)]
+    fs.delete(target, True)
+    if fs.getUri().getScheme() == "hdfs":
+        fs.rename(files[0], target)
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(files) - 1)
+        for k, f in enumerate(files[1:]):
+            rest[k] = f
+        fs.concat(target, rest)
+    else:
+        out = fs.create(target, True)
+        for f in files:
+            source = fs.open(f)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 4 << 20, False)
+            source.close()
+        out.close()
+    fs.delete(at(pieces), True)
