@@ -286,3 +286,20 @@ def _found(spark: SparkSession, nodes: DataFrame, dim: int, total: int, cosine:
             yield from rows_of(*own.rest())
 
     return resident.unionByName(asking).repartition("task").sortWithinPartitions("task", "kind").mapInArrow(compare, "u long, v long, links long")
+
+
+#: Vectors with made neighbours, the same text for both engines: of every vector up to three more, each turned further away.
+MADE = """
+SELECT CAST(vec_id * 4 + k AS BIGINT) AS vec_id, {turned} AS embedding
+FROM (SELECT vec_id, {doubles} AS e, {ks} AS k FROM {embeddings}) AS v WHERE k <= vec_id % 4
+"""
+MADE_SPARK = MADE.replace("{turned}", "transform(e, (x, i) -> x + 0.12D * k * e[(i + 1) % size(e)])").replace("{doubles}", "transform(embedding, x -> CAST(x AS DOUBLE))").replace("{ks}", "explode(sequence(0, 3))")
+MADE_DUCK = MADE.replace("{turned}", "list_transform(e, lambda x, i: x + 0.12::DOUBLE * k * e[i % len(e) + 1])").replace("{doubles}", "embedding::DOUBLE[]").replace("{ks}", "unnest(range(4))").replace("{embeddings}", "embeddings")
+
+MADE_ORACLE = f"""
+WITH RECURSIVE made AS MATERIALIZED ({MADE_DUCK}),
+links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM made a JOIN made b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= {COSINE}),
+walk(id, other) AS (SELECT vec_id, vec_id FROM made UNION SELECT walk.id, v FROM walk JOIN links ON u = other)
+SELECT id AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(other) AS component_id, id = min(other) AS kept
+FROM walk LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) l ON u = id GROUP BY id
+"""

@@ -67,6 +67,11 @@ def op10_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_vectors(spark, table(spark, sf_dir, "embeddings"))
 
 
+def near_vectors_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op10 over the embeddings with near neighbours put beside them: theirs hold no pair so near."""
+    return pq.near_vectors(spark, spark.sql(pq.MADE_SPARK, embeddings=table(spark, sf_dir, "embeddings")))
+
+
 def op11_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(spark, table(spark, sf_dir, "conversations"))
 
@@ -80,9 +85,9 @@ def op13_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_main_text, op2_simhash, op3_token_store, op4_warc, op5_tool_calls, tool_calls_made, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq, op11_replay, op12_manifest, op13_top]
+    own = [op1_main_text, op2_simhash, op3_token_store, op4_warc, op5_tool_calls, tool_calls_made, op6_quality, op7_language, op8_packing, op9_byte_bpe, op10_pq, near_vectors_made, op11_replay, op12_manifest, op13_top]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_replay": replay.ORACLE, "op12_manifest": merkle.ORACLE, "op13_top": topk.ORACLE, "op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "tool_calls_made": toolcalls.MADE_ORACLE, "op6_quality": quality.ORACLE}
+    return {"op11_replay": replay.ORACLE, "op12_manifest": merkle.ORACLE, "op13_top": topk.ORACLE, "near_vectors_made": pq.MADE_ORACLE, "op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "tool_calls_made": toolcalls.MADE_ORACLE, "op6_quality": quality.ORACLE}

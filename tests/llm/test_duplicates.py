@@ -148,3 +148,14 @@ def test_vectors_bear_odd_rows(spark):
     assert sorted(map(tuple, pq.near_vectors(spark, frame).collect())) == brute_vectors(frame.collect())
     assert pq.near_vectors(spark, frame.limit(0)).count() == 0
     assert pq.near_vectors(spark, frame.where("embedding is null")).collect()[0].n_links == 0
+
+
+def test_made_neighbours_against_sql(spark, sf):
+    """Links, components and what is kept, where there are some."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    got = [tuple(r) for r in queries.near_vectors_made(spark, sf).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({pq.MADE_ORACLE})").fetchall())
+    assert sum(r[1] > 0 for r in got) > len(got) / 2 and any(not r[3] for r in got)
