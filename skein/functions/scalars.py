@@ -16,8 +16,8 @@ MODULE_NAMES = ("mod.rs", "__init__.py", "index.ts", "index.js")
 ENTRY_NAMES = ("main.rs", "lib.rs", "mod.rs", "index.ts", "index.tsx", "index.js", "index.jsx", "__init__.py", "main.py", "main.go", "main.c", "main.cpp", "app.rs", "app.ts", "app.tsx", "app.js", "app.jsx")
 UTILITY_PARTS = ("/utils/", "/util/", "/helpers/", "/helper/", "/common/", "/shared/", "_utils", "_helpers")
 STOP_WORDS = (
-    "a an the to for of in on at by is it and or but not with from that this add implement create make build fix update remove delete change improve new all each every some any".split()
-)
+    "a", "an", "the", "to", "for", "of", "in", "on", "at", "by", "is", "it", "and", "or", "but", "not", "with", "from", "that", "this", "add", "implement", "create", "make", "build", "fix", "update", "remove", "delete", "change", "improve", "new", "all", "each", "every", "some", "any",
+)
 CPU_HINTS = ("parse", "parser", "transform", "encode", "decode", "normalize", "compute", "score", "scoring", "math", "algo", "hash", "token")
 IO_HINTS = ("api", "route", "routes", "db", "database", "client", "server", "http", "orm", "model", "settings")
 DYNAMIC_HINTS = ("plugin", "dynamic", "reflect", "eval", "monkey", "meta")
