@@ -22,6 +22,8 @@ from .tables import cut, free
 MOST_PIVOTS = 1024
 #: Members of a piece of a cell and vectors asking in a group, on average: what one task holds at once.
 PIECE = 4096
+#: Vectors that are compared, or sent on, at once.
+ROWS = 128
 #: Rounding of distances, which are roots of differences and so are off by up to 1e-8: bounds are wider by this.
 SLACK = 1e-7
 
@@ -53,17 +55,25 @@ def _best(asking: pd.DataFrame, members: pd.DataFrame, width: int, k: int, least
     empty = pd.DataFrame({"id": np.zeros(0, "int64"), "peer": np.zeros(0, "int64"), "score": np.zeros(0)})
     if asking.empty or members.empty:
         return empty
-    members = members.sort_values("far", kind="stable", ignore_index=True)
-    held, far, peers, dims, found = _units(members, width), members["far"].to_numpy(), members["id"].to_numpy(), members["dim"].to_numpy(), []
-    for row in asking.itertuples():
+    held, far, peers, dims = _units(members, width), members["far"].to_numpy(), members["id"].to_numpy(), members["dim"].to_numpy()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, len(asking), ROWS):
+        part = asking.iloc[start : start + ROWS]
+        ids, apart, reach = part["id"].to_numpy(), part["apart"].to_numpy()[:, None], part["reach"].to_numpy()[:, None] + SLACK
+        scores = _units(part, width) @ held.T
         # A member at another distance from the pivot than this is farther away than the k-th neighbour so far.
-        first, last = np.searchsorted(far, row.apart - row.reach - SLACK), np.searchsorted(far, row.apart + row.reach + SLACK, "right")
-        scores = held[first:last] @ np.frombuffer(row.unit, "<f8")
-        fits = (scores > least) & (peers[first:last] != row.id) & (dims[first:last] == row.dim)
-        scores, ids = scores[fits], peers[first:last][fits]
-        order = np.lexsort((ids, -np.round(scores, 12)))[:k]
-        found.append(pd.DataFrame({"id": row.id, "peer": ids[order], "score": scores[order]}))
-    return pd.concat(found) if found else empty
+        fits = (scores > least) & (np.abs(far - apart) <= reach) & (peers != ids[:, None]) & (dims == part["dim"].to_numpy()[:, None])
+        ranked = np.where(fits, np.round(scores, 12), -np.inf)
+        if k < ranked.shape[1]:
+            fits &= ranked >= np.partition(ranked, -k, axis=1)[:, [-k]]
+        at, of = np.nonzero(fits)
+        # Where more than k are left the last of them tie: the least ids stay.
+        order = np.lexsort((peers[of], -ranked[at, of], at))
+        at, of = at[order], of[order]
+        first = np.searchsorted(at, at)
+        keep = np.arange(len(at)) - first < k
+        found.append((ids[at[keep]], peers[of[keep]], scores[at[keep], of[keep]]))
+    return pd.DataFrame({"id": np.concatenate([f[0] for f in found]), "peer": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
 
 def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFrame:
@@ -125,16 +135,17 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
         """Each vector to the other cells that its bound reaches: their ball, and their side of the plane between the pivots."""
         numbers = np.array(sorted(cells))
         radius = np.array([cells[c][0] for c in numbers])
-        for frame in frames:
-            to_pivots, home, out = _distances(_units(frame, width), pivots), frame["cell"].to_numpy(), []
-            for i, row in enumerate(frame.itertuples()):
-                away = to_pivots[i, numbers]
+        for whole in frames:
+            for start in range(0, len(whole), ROWS):
+                frame = whole.iloc[start : start + ROWS]
+                to_pivots, home = _distances(_units(frame, width), pivots), frame["cell"].to_numpy()
+                away, apart = to_pivots[:, numbers], between[home][:, numbers]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (away**2 - to_pivots[i, home[i]] ** 2) / (2 * between[home[i], numbers])
-                plane = np.where(between[home[i], numbers] > 1e-6, plane, -np.inf)
-                reached = numbers[(np.maximum(away - radius, plane) <= row.reach + SLACK) & (numbers != home[i])]
-                out.append(pd.DataFrame({"id": row.id, "dim": row.dim, "unit": row.unit, "to": reached.astype("int32"), "apart": to_pivots[i, reached], "reach": row.reach}))
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "dim": [], "unit": [], "to": [], "apart": [], "reach": []})
+                    plane = (away**2 - to_pivots[np.arange(len(frame)), home][:, None] ** 2) / (2 * apart)
+                plane = np.where(apart > 1e-6, plane, -np.inf)
+                row, cell = np.nonzero((np.maximum(away - radius, plane) <= frame["reach"].to_numpy()[:, None] + SLACK) & (numbers != home[:, None]))
+                sent_on = frame.iloc[row]
+                yield pd.DataFrame({"id": sent_on["id"].to_numpy(), "dim": sent_on["dim"].to_numpy(), "unit": sent_on["unit"].to_numpy(), "to": numbers[cell].astype("int32"), "apart": away[row, cell], "reach": sent_on["reach"].to_numpy()})
 
     further = asking.mapInPandas(sent, "id long, dim int, unit binary, to int, apart double, reach double")
     # Through representatives: one vector of each kind asks, and its answers name one vector of each kind.
