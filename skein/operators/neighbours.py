@@ -113,9 +113,9 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
         """Every row of ``asking`` (to: the cell it goes to, apart: its distance to that pivot, reach) with each piece of the cell."""
         asks = asking.join(sizes, "to").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
         asks = asks.toDF(*asks.columns)
-        # Pieces go to each group that asks; a group of a cell is a share of the vectors, so it is bounded too.
-        those = asks.select("to", "part").distinct()
-        held = members.withColumnRenamed("cell", "to").join(sizes, "to").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces").cast("long")).cast("int")).join(those.toDF(*those.columns), "to")
+        # Each piece goes to every group that may ask; a group of a cell is a share of the vectors, so it is bounded too.
+        held = members.withColumnRenamed("cell", "to").join(sizes, "to").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces").cast("long")).cast("int"))
+        held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         held = held.toDF(*held.columns)
         keys = ["to", "piece", "part"]
         run = lambda left, right: _best(left, right, width, k, least)
@@ -149,7 +149,7 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
 
     further = asking.mapInPandas(sent, "id long, dim int, unit binary, to int, apart double, reach double")
     # Through representatives: one vector of each kind asks, and its answers name one vector of each kind.
-    pairs = cut(best(first.unionByName(joined(cut(further)))))
+    pairs = cut(best(first.unionByName(joined(further))))
     by_rep = few.groupBy("copy", "embedding").agg(F.min("id").alias("rep"))
     kinds = few.join(by_rep, ["copy", "embedding"]).select("id", "rep")
     askers = named.join(by_rep, ["copy", "embedding"]).select("id", "rep")
