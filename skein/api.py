@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .graph import CONTAINS, Graph
 from .operators import degrees, joins, search, traversal, vectors
 from .operators.automaton import Automaton, Registry, default_rules, initial_state, marked
+from .operators.text_index import TextIndex
 from .sources import scan, vcs
 from .sources.store import Store
 
@@ -19,8 +20,10 @@ DEFAULTS = {"search_limit": 20, "impact_depth": 2, "context_depth": 1, "semantic
 
 
 class Project:
-    def __init__(self, name: str, graph: Graph, folder: str | None = None, index: DataFrame | None = None):
-        self.name, self.graph, self.folder, self.index, self.synced = name, graph, folder, index, time.time()
+    """A graph, where its files are, the vectors of its nodes (id, embedding) and an index of their texts, as far as there are any."""
+
+    def __init__(self, name: str, graph: Graph, folder: str | None = None, index: DataFrame | None = None, texts: TextIndex | None = None):
+        self.name, self.graph, self.folder, self.index, self.texts, self.synced = name, graph, folder, index, texts, time.time()
 
     def since_sync(self) -> float:
         return time.time() - self.synced
@@ -77,6 +80,8 @@ class Tools:
         return self.spark.createDataFrame([(n,) for n in self.projects.names()], "name string")
 
     def search_nodes(self, p, query, kind=None, extension=None, limit=DEFAULTS["search_limit"]):
+        if p.texts is not None:
+            return p.texts.search_nodes(query, kind, extension, limit)
         return search.search_nodes(p.graph.nodes, query, kind, extension, limit)
 
     def list_files(self, p, path="", extension=None, kind=None, limit=DEFAULTS["search_limit"]):
@@ -104,7 +109,7 @@ class Tools:
     def semantic_search(self, p, query, k=DEFAULTS["semantic_k"], least=None):
         """By the index; by text where there is no index or no embedder."""
         if p.index is None or self.embed is None:
-            return search.run_search(p.graph.nodes, query, k)
+            return p.texts.run_search(query, k) if p.texts is not None else search.run_search(p.graph.nodes, query, k)
         return vectors.enrich(vectors.search(p.index, self.embed(query), k, least), p.graph.nodes)
 
     def resource(self, uri: str, project: str | None = None) -> DataFrame:

@@ -27,9 +27,9 @@ def scores(index: DataFrame, query: list[float]) -> DataFrame:
 
 
 def search(index: DataFrame, query: list[float], k: int = 10, least: float | None = None) -> DataFrame:
-    """The k best of at least ``least``; the filter lies below the top-k."""
+    """The k best of at least ``least``, scores alike to twelve places by id; the filter lies below the top-k."""
     s = scores(index, query)
-    return (s.where(F.col("score") >= least) if least is not None and least > 0 else s).orderBy(F.desc("score"), "id").limit(k)
+    return (s.where(F.col("score") >= least) if least is not None and least > 0 else s).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
 def enrich(hits: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ..operators import search as R
 from ..operators import selection
 from ..operators import traversal as T
 from ..operators import vectors as V
+from ..operators.text_index import TextIndex
 from ..operators.cells import CellSystem
 from ..protocols import EmptyScanner, FileMaterializer, FolderRegions, FolderScanner, NoRegions, ScriptRunner
 from ..samplers import Constitution, DegreeSampler, EmbeddingSampler, ModelRule, Sampler
@@ -913,6 +914,38 @@ def _(s, d):
     return _ops_tools(s, d).call("semantic_search", query="Nation_1", k=30).select("id", "score")
 
 
+def _indexed_tools(s, d) -> api.Tools:
+    """Tools over the graph of the tables, its texts indexed in the shared folder."""
+    g, p = fk_graph(s, d), api.Projects()
+    p.register(api.Project("fk", g, texts=TextIndex.build(g.nodes, shared(s, "texts"))))
+    return api.Tools(s, p)
+
+
+@query("d5_indexed_search", ORACLES["d5_search_nodes"])
+def _(s, d):
+    return _indexed_tools(s, d).call("search_nodes", query="Part_1", kind="file", extension="rs").select("id", "name", "path", "total")
+
+
+@query("d8_indexed_text", ORACLES["d8_find_by_text"])
+def _(s, d):
+    return _indexed_tools(s, d).call("semantic_search", query="Nation_1", k=30).select("id", "score")
+
+
+ASKED = "python parser of src1: a file that parses"
+
+
+@query("l14_ranked_by_meaning", f"""{DOC}, w AS (SELECT id, unnest(regexp_extract_all(lower(kind || ' ' || path), '[\\p{{L}}\\p{{N}}]+')) AS w FROM nodes WHERE kind IN ('File', 'Module') UNION ALL SELECT NULL, unnest(regexp_extract_all(lower('{ASKED}'), '[\\p{{L}}\\p{{N}}]+'))),
+p AS (SELECT id, ('0x' || md5(w)[1:7])::BIGINT % 64 AS place, sum(CASE WHEN ('0x' || md5(w)[8:14])::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM w GROUP BY ALL),
+v AS MATERIALIZED (SELECT id, place, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM p WHERE x <> 0),
+c AS (SELECT a.id, sum(a.x * q.x) / any_value(n) / (SELECT sqrt(sum(x * x)) FROM v WHERE id IS NULL) AS score FROM v a JOIN v q ON q.id IS NULL AND q.place = a.place JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY id) l ON l.id = a.id GROUP BY a.id)
+SELECT id, path, round(score, 6) AS score FROM c JOIN nodes USING (id) WHERE score >= 0.1 ORDER BY round(c.score, 12) DESC, id LIMIT 25""")
+def _(s, d):
+    g, p = doc_graph(s, d), api.Projects()
+    p.register(api.Project("docs", g, index=V.index_nodes(g.nodes, F.concat_ws(" ", "kind", "path"))))
+    embed = lambda text: list(s.range(1).select(V.hashed_embedding(F.lit(text)).alias("e")).first()["e"])
+    return api.Tools(s, p, embed).call("semantic_search", query=ASKED, k=25, least=0.1).select("id", "path", r6("score"))
+
+
 @query("p85_run_search", f"{FK} SELECT id FROM nodes WHERE false")
 def _(s, d):
     return R.run_search(fk_graph(s, d).nodes, "p").select("id")
