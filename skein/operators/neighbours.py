@@ -20,7 +20,8 @@ from .tables import cut, free
 
 #: Pivots at most: they and their cells' radii go to all tasks, the numbers of pivots being a bounded sample.
 MOST_PIVOTS = 1024
-#: Members of a piece of a cell and vectors asking in a group, on average: what one task holds at once.
+#: Members of a piece of a cell and vectors asking in a group, on average: what one task holds at once. Cells are about as large, so
+#: that a vector goes to n / PIECE cells at most, whether or not bounds rule any out.
 PIECE = 4096
 #: Vectors that are compared, or sent on, at once.
 ROWS = 128
@@ -98,7 +99,7 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
     if not n:
         free(named, few)
         return spark.createDataFrame([], empty + ", label string")
-    wanted = int(min(MOST_PIVOTS, max(1, n**0.5)))
+    wanted = min(MOST_PIVOTS, -(-n // PIECE))
     chosen = [r[0] for r in distinct.orderBy(F.xxhash64(F.col("id") + 1), "id").limit(wanted).select("embedding").collect()]
     pivots = np.zeros((len(chosen), width))
     for row, v in zip(pivots, chosen):
@@ -106,16 +107,15 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
     members = cut(distinct.mapInPandas(lambda frames: _placed(frames, pivots), ROW))
     cells = {r.cell: (r.radius, r.n) for r in members.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     widest = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    sizes = F.broadcast(spark.createDataFrame([(c, -(-m // PIECE)) for c, (_, m) in cells.items()], "to int, pieces int"))
-    groups = -(-n // PIECE)
 
-    def joined(asking: DataFrame) -> DataFrame:
-        """Every row of ``asking`` (to: the cell it goes to, apart: its distance to that pivot, reach) with each piece of the cell."""
-        asks = asking.join(sizes, "to").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    def joined(asking: DataFrame, numbers: dict[int, int]) -> DataFrame:
+        """Every row of ``asking`` (to: the cell it goes to, apart: its distance to that pivot, reach) with each piece of the cell;
+        ``numbers``: how many rows go to a cell. Neither a piece nor a group of those that ask grows with the cell."""
+        sizes = F.broadcast(spark.createDataFrame([(c, -(-cells[c][1] // PIECE), -(-asks // PIECE)) for c, asks in numbers.items()], "to int, pieces int, parts int"))
+        asks = asking.join(sizes, "to").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("part", F.pmod(F.xxhash64("id", F.lit("ask")), F.col("parts").cast("long")).cast("int"))
         asks = asks.toDF(*asks.columns)
-        # Each piece goes to every group that may ask; a group of a cell is a share of the vectors, so it is bounded too.
         held = members.withColumnRenamed("cell", "to").join(sizes, "to").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces").cast("long")).cast("int"))
-        held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         held = held.toDF(*held.columns)
         keys = ["to", "piece", "part"]
         run = lambda left, right: _best(left, right, width, k, least)
@@ -124,17 +124,19 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
     by_score = Window.partitionBy("id").orderBy(F.desc(F.round("score", 12)), "peer")
     best = lambda df: df.withColumn("__n", F.row_number().over(by_score)).where(F.col("__n") <= k).drop("__n")
     own = members.select("id", "dim", "unit", F.col("cell").alias("to"), F.col("far").alias("apart"), F.lit(widest).alias("reach"))
-    first = cut(best(joined(own)))
+    first = cut(best(joined(own, {c: m for c, (_, m) in cells.items()})))
     # Once a vector has k neighbours, nothing farther than the last of them matters.
     kth = first.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
     reach = F.when(F.col("least").isNull(), F.lit(widest)).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))))
     asking = members.join(kth, "id", "left").select("id", "cell", "dim", "unit", reach.alias("reach"))
     between = _distances(pivots, pivots)
 
-    def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each vector to the other cells that its bound reaches: their ball, and their side of the plane between the pivots."""
-        numbers = np.array(sorted(cells))
-        radius = np.array([cells[c][0] for c in numbers])
+    numbers = np.array(sorted(cells))
+    radius = np.array([cells[c][0] for c in numbers])
+
+    def reached(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """Some vectors, and by row and cell which other cells their bounds reach: their ball, and their side of the plane between
+        the pivots."""
         for whole in frames:
             for start in range(0, len(whole), ROWS):
                 frame = whole.iloc[start : start + ROWS]
@@ -144,12 +146,23 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
                     plane = (away**2 - to_pivots[np.arange(len(frame)), home][:, None] ** 2) / (2 * apart)
                 plane = np.where(apart > 1e-6, plane, -np.inf)
                 row, cell = np.nonzero((np.maximum(away - radius, plane) <= frame["reach"].to_numpy()[:, None] + SLACK) & (numbers != home[:, None]))
-                sent_on = frame.iloc[row]
-                yield pd.DataFrame({"id": sent_on["id"].to_numpy(), "dim": sent_on["dim"].to_numpy(), "unit": sent_on["unit"].to_numpy(), "to": numbers[cell].astype("int32"), "apart": away[row, cell], "reach": sent_on["reach"].to_numpy()})
+                yield frame, row, cell, away
+
+    def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, row, cell, away in reached(frames):
+            on = frame.iloc[row]
+            yield pd.DataFrame({"id": on["id"].to_numpy(), "dim": on["dim"].to_numpy(), "unit": on["unit"].to_numpy(), "to": numbers[cell].astype("int32"), "apart": away[row, cell], "reach": on["reach"].to_numpy()})
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, cell, _ in reached(frames):
+            to, asks = np.unique(numbers[cell], return_counts=True)
+            yield pd.DataFrame({"to": to.astype("int32"), "asks": asks.astype("int64")})
 
+    # Which cells are asked how often is counted first: what is sent is not written for it.
+    wide = {r.to: r.asks for r in asking.mapInPandas(counted, "to int, asks long").groupBy("to").agg(F.sum("asks").alias("asks")).collect()}
     further = asking.mapInPandas(sent, "id long, dim int, unit binary, to int, apart double, reach double")
     # Through representatives: one vector of each kind asks, and its answers name one vector of each kind.
-    pairs = cut(best(first.unionByName(joined(further))))
+    pairs = cut(best(first.unionByName(joined(further, wide)))) if wide else first
     by_rep = few.groupBy("copy", "embedding").agg(F.min("id").alias("rep"))
     kinds = few.join(by_rep, ["copy", "embedding"]).select("id", "rep")
     askers = named.join(by_rep, ["copy", "embedding"]).select("id", "rep")

@@ -41,8 +41,9 @@ def test_neighbours_of_odd_vectors(spark):
     assert found(spark, rows[:3]) == set() == found(spark, [])
 
 
-def test_few_cells_are_asked_where_vectors_lie_in_clouds(spark):
+def test_few_cells_are_asked_where_vectors_lie_in_clouds(spark, monkeypatch):
     """Bounds keep the second round small: far fewer rows than vectors times cells."""
+    monkeypatch.setattr(N, "PIECE", 25)
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(20, 16))[draw.integers(0, 20, 600)] + draw.normal(size=(600, 16)) * 0.01
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
