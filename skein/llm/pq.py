@@ -296,10 +296,14 @@ FROM (SELECT vec_id, {doubles} AS e, {ks} AS k FROM {embeddings}) AS v WHERE k <
 MADE_SPARK = MADE.replace("{turned}", "transform(e, (x, i) -> x + 0.12D * k * e[(i + 1) % size(e)])").replace("{doubles}", "transform(embedding, x -> CAST(x AS DOUBLE))").replace("{ks}", "explode(sequence(0, 3))")
 MADE_DUCK = MADE.replace("{turned}", "list_transform(e, lambda x, i: x + 0.12::DOUBLE * k * e[i % len(e) + 1])").replace("{doubles}", "embedding::DOUBLE[]").replace("{ks}", "unnest(range(4))").replace("{embeddings}", "embeddings")
 
-MADE_ORACLE = f"""
-WITH RECURSIVE made AS MATERIALIZED ({MADE_DUCK}),
-links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM made a JOIN made b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= {COSINE}),
+#: Brute force over vectors that are neither null nor zero and hold neither nulls nor what isn't finite: only those have links.
+LINKED = """
+WITH RECURSIVE made AS MATERIALIZED ({vectors}),
+fine AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM made WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {cosine}),
 walk(id, other) AS (SELECT vec_id, vec_id FROM made UNION SELECT walk.id, v FROM walk JOIN links ON u = other)
 SELECT id AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(other) AS component_id, id = min(other) AS kept
 FROM walk LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) l ON u = id GROUP BY id
 """
+ORACLE = LINKED.replace("{vectors}", "SELECT vec_id, embedding FROM embeddings").replace("{cosine}", str(COSINE))
+MADE_ORACLE = LINKED.replace("{vectors}", MADE_DUCK).replace("{cosine}", str(COSINE))

@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_replay": replay.ORACLE, "op12_manifest": merkle.ORACLE, "op13_top": topk.ORACLE, "near_vectors_made": pq.MADE_ORACLE, "op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "tool_calls_made": toolcalls.MADE_ORACLE, "op6_quality": quality.ORACLE}
+    return {"op11_replay": replay.ORACLE, "op12_manifest": merkle.ORACLE, "op13_top": topk.ORACLE, "near_vectors_made": pq.MADE_ORACLE, "op10_pq": pq.ORACLE, "op4_warc": warc.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "tool_calls_made": toolcalls.MADE_ORACLE, "op6_quality": quality.ORACLE}

@@ -150,6 +150,19 @@ def test_vectors_bear_odd_rows(spark):
     assert pq.near_vectors(spark, frame.where("embedding is null")).collect()[0].n_links == 0
 
 
+def test_odd_vectors_against_sql(spark):
+    """The SQL of op10 leaves vectors without links alone as the operator does."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    odd = "(0, [1, 0]), (1, [2, 0]), (2, NULL), (3, []), (4, [0, 0]), (5, ['nan'::FLOAT, 1]), (6, ['inf'::FLOAT, 1]), (7, [NULL, 1]), (8, [1, 0]), (9, [1, 0, 0]), (10, [0, -1])"
+    con.execute(f"INSERT INTO embeddings VALUES {odd}")
+    frame = spark.createDataFrame(con.execute("SELECT * FROM embeddings").fetchall(), "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in pq.near_vectors(spark, frame).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({pq.ORACLE})").fetchall())
+
+
 def test_made_neighbours_against_sql(spark, sf):
     """Links, components and what is kept, where there are some."""
     import duckdb

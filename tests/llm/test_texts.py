@@ -101,6 +101,55 @@ def test_languages_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_language(field, text):
+    """Label and score from the learned weights alone: names of features, emissions and chances of all labels word by word."""
+    import zlib
+    from math import exp, fsum, log
+
+    import regex
+
+    k = len(field.labels)
+    total, n = [0.0] * k, 0
+    summed = lambda xs: max(xs) + log(fsum(exp(x - max(xs)) for x in xs))
+    for line in text.lower().split("\n"):
+        words = regex.findall(r"\p{L}+", line)
+        for start in range(0, len(words), 256):
+            scores = []
+            for w in words[start : start + 256]:
+                marked = "<" + w + ">"
+                names = ["p" + w[:1], "p" + w[:2], "p" + w[:3], "s" + w[-1:], "s" + w[-2:], "s" + w[-3:]]
+                names += [marked[a : a + size] for size in (2, 3) for a in range(len(marked) - size + 1)]
+                at = [zlib.crc32(x.encode()) % 32768 for x in names]
+                known = field.lexicon.get(w, [0.0] * k)
+                scores.append([fsum(field.weights[a][y] for a in at) / len(at) + fsum(known[x] * field.entry[x][y] for x in range(k)) for y in range(k)])
+            ahead, behind = [scores[0]], [[0.0] * k]
+            for s in scores[1:]:
+                ahead.append([s[y] + summed([ahead[-1][x] + field.transition[x][y] for x in range(k)]) for y in range(k)])
+            for s in reversed(scores[1:]):
+                behind.append([summed([field.transition[y][x] + s[x] + behind[-1][x] for x in range(k)]) for y in range(k)])
+            for a, b in zip(ahead, reversed(behind)):
+                whole = summed([x + y for x, y in zip(a, b)])
+                total = [t + exp(x + y - whole) for t, x, y in zip(total, a, b)]
+                n += 1
+    return (field.labels[total.index(max(total))], max(total) / n) if n else ("und", 0.0)
+
+
+def test_predictions_by_plain_loops(spark, sf):
+    """Documents' languages from the weights, computed apart: short and long texts, with switches, null and without letters."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    field = langcrf.train(docs)
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(30).collect()]
+    words = " ".join(texts).split()
+    texts = [t[:1500] for t in texts] + ["", "12 !", "a", "\n\nÀ la\nσΣ", " ".join(words[:700]), "\n".join(words[:60])]
+    asked = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    both = docs.select("doc_id", "text", "lang").unionByName(asked.selectExpr("doc_id", "text", "cast(null as string) as lang"))
+    got = {r.doc_id - 10**6: (r.lang_pred, r.score) for r in langcrf.predict(spark, both).where("doc_id >= 1000000").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        label, score = plain_language(field, t)
+        assert got[i][0] == label and got[i][1] == pytest.approx(score, abs=1e-9), t[:80]
+
+
 def test_switched_words_are_labelled(spark, sf):
     table = common.table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
     field = langcrf.train(table)
