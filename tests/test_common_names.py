@@ -92,3 +92,26 @@ def test_changed_paths_by_whole_components(spark):
     changed = lambda *p: spark.createDataFrame([(x,) for x in p], "changed string")
     got = lambda *p: {r.id for r in J.match_changed(nodes, changed(*p)).collect()}
     assert got("w/a/b/c.rs") == {1, 2, 4} and got("z") == {2} and got("b/c.rs") == {1} and got("y/b/c.rs", "k") == {1, 4, 5} and got("nothing") == set()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stems_equal_brute_force(spark, seed):
+    draw = random.Random(seed)
+    word = lambda most: "".join(draw.choice("ab_é😀.") for _ in range(draw.randrange(most)))
+    tests = [(k, "/".join(word(9) for _ in range(draw.randrange(1, 4)))) for k in range(60)] + [(90, None), (91, "")]
+    nodes = [(k, draw.choice(["", "src/", "a/b/"]) + word(6)) for k in range(200)] + [(300, "x/" + "ab" * 4), (301, None)]
+    stem = lambda p: re.sub(r"(?<=.)\.[^.]*$", "", p.split("/")[-1])
+    t, n = spark.createDataFrame(tests, "id long, path string"), spark.createDataFrame(nodes, "id long, path string")
+    want = {(s, i) for s in {stem(p) for _, p in nodes if p is not None} - {""} for i, p in tests if p is not None and s in p}
+    found = [(r.stem, r.test) for r in J.stem_matches(t, n).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert sorted(r.stem for r in J.known_stems(t, n).collect()) == sorted({s for s, _ in want})
+
+
+def test_stems_whose_runs_all_tests_share(spark):
+    """Every stem shares most of its runs with every test: rows grow with the tests' characters, not with stems times tests."""
+    n = 20_000
+    nodes = spark.range(n).select("id", F.concat(F.lit("src/doc_"), F.col("id") + n, F.lit(".rs")).alias("path"))
+    tests = spark.range(n).select("id", F.concat(F.lit("src/test_doc_"), F.col("id") + n, F.lit(".rs")).alias("path"))
+    assert J.stem_matches(tests, nodes).count() == n
+    assert most_rows(J.stem_matches(tests, nodes)) <= 25 * n
