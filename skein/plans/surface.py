@@ -653,12 +653,9 @@ def _(s, d):
 @query("n1_stream_of_changes", "SELECT user_id::VARCHAR AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, event_type AS fingerprint FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE event_type IS DISTINCT FROM b")
 def _(s, d):
     """The stream itself, over the events as files; one row a change."""
-    name = f"changes_{uuid.uuid4().hex[:8]}"
     stream = C.events_stream(s, d, s.read.parquet(f"{d}/events.parquet").schema, "events.parquet")
     keyed = stream.select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("fingerprint"))
-    q = C.only_changes(keyed).writeStream.format("memory").queryName(name).option("checkpointLocation", shared(s, "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "fingerprint")
+    return _streamed(s, C.only_changes(keyed)).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "fingerprint")
 
 
 CUSTOMER = 3_000_000_000
@@ -697,11 +694,11 @@ o AS (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS next FROM
 SELECT key, since, last, last + 21600000000 AS until, beats FROM o WHERE next IS NOT NULL OR last + 21600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM e)"""
 
 
-def _streamed(s, d, df):
-    """What a finished stream gave."""
-    name = f"given_{uuid.uuid4().hex[:8]}"
-    df.writeStream.format("memory").queryName(name).option("checkpointLocation", shared(s, "cp")).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+def _streamed(s, df):
+    """What a finished stream gave, in files that the sink's own log names: no row of it is held by the driver."""
+    at = shared(s, "given")
+    df.writeStream.format("parquet").option("checkpointLocation", shared(s, "cp")).trigger(availableNow=True).start(at).awaitTermination()
+    return s.read.schema(df.schema).parquet(at)
 
 
 def _as_stream(s, d):
@@ -716,7 +713,7 @@ def _in_micros(df):
 def _(s, d):
     """Heartbeats as a stream: users silent for six hours, an hour of lateness."""
     beats = _as_stream(s, d).select(F.col("user_id").alias("key"), "ts")
-    return _in_micros(_streamed(s, d, liveness.disconnects(beats, 6 * 3600, "1 hour")))
+    return _in_micros(_streamed(s, liveness.disconnects(beats, 6 * 3600, "1 hour")))
 
 
 @query("n7_disconnects_of_a_table", LIVES)
@@ -729,7 +726,7 @@ def _(s, d):
 def _(s, d):
     """Events as registrations, errors as unregistrations: who is registered in the end."""
     entries = _as_stream(s, d).select(F.col("user_id").alias("key"), "ts", F.col("event_id").cast("string").alias("value"), (F.col("event_type") != "error").alias("live"))
-    return liveness.names(_streamed(s, d, liveness.registry(entries, 3600, "1 hour")))
+    return liveness.names(_streamed(s, liveness.registry(entries, 3600, "1 hour")))
 
 
 @query("o8_iterations", table_sql([(10, 10), (1000, 5), (9000, 2)], "nodes, steps"))

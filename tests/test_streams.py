@@ -94,3 +94,12 @@ def test_only_changes_keeps_a_boundary(spark, tmp_path):
     stream = spark.readStream.schema(ROW).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     C.only_changes(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.key, r.ts.second, r.fingerprint or "-") for r in spark.table("kept").collect()) == [("k", 0, "a"), ("k", 2, "-"), ("k", 4, "b"), ("k", 6, "a")]
+
+
+@pytest.mark.parametrize("name", ["n1_stream_of_changes", "n7_disconnects", "n8_registry"])
+def test_what_a_stream_gave_lies_in_files(spark, sf, name):
+    """Not in the driver's memory, which a memory sink fills with every row."""
+    from skein.plans import catalog
+
+    frame = catalog.queries()[name](spark, sf)
+    assert frame.inputFiles() and frame.count()
