@@ -136,3 +136,18 @@ def test_changes_stay_in_their_folder(spark, tmp_path):
     with pytest.raises(PermissionError):
         FileMaterializer().apply_proposed_changes(bad, str(tmp_path))
     assert list(tmp_path.iterdir()) == []
+
+
+@pytest.mark.parametrize("axes", [("x", "y"), ("x", "y", "z")])
+def test_exact_pushes_make_no_row_a_pair(spark, monkeypatch, axes):
+    """Many blocks on both sides; rows are places times blocks, whatever the pairs are."""
+    from test_common_names import most_rows
+
+    places = np.random.default_rng(2).normal(0, 50, (600, len(axes)))
+    frame = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(places)], "id long, " + ", ".join(f"{a} double" for a in axes))
+    monkeypatch.setattr(cell_tree, "PUSHING", 200)
+    monkeypatch.setattr(cell_tree, "TREE_CELLS", 5)
+    found = cell_tree.exact(frame, frame, axes, 100.0, pushed=150)
+    assert np.asarray([tuple(r)[1:] for r in found.orderBy("id").collect()]) == pytest.approx(brute_push(places, 100.0))
+    assert most_rows(cell_tree.repulsion(frame, axes, 16, 1000.0, (0.0,) * len(axes), 0.0, 100.0)) <= 600 * 8
+    assert cell_tree.exact(frame.limit(0), frame, axes, 1.0).where("fx = 0").count() == 600 and cell_tree.exact(frame, frame.limit(0), axes, 1.0).count() == 0
