@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import annotate
 from .graph import Graph
+from .operators.automaton import adjacency_by
 from .operators.degrees import degrees
 from .operators.search import Selector
-from .operators.tables import cut, free
+from .operators.tables import cut, free, laid_out
 from .operators.vectors import hashed_embedding
 from .session import ship
 
@@ -144,8 +145,8 @@ class ModelRule:
         """id, prompt: own state and the neighbours' count and mean activation."""
         return self._prompts(g.adjacency(), state)
 
-    def _prompts(self, adjacency: DataFrame, state: DataFrame) -> DataFrame:
-        peers = state.select(F.col("id").alias("peer"), F.col("activation").alias("a"))
+    def _prompts(self, adjacency: DataFrame, state: DataFrame, of_peers: DataFrame | None = None) -> DataFrame:
+        peers = (state if of_peers is None else of_peers).select(F.col("id").alias("peer"), F.col("activation").alias("a"))
         near = adjacency.join(peers, "peer").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 6).alias("mean"))
         doc = F.to_json(F.struct(F.lit(self.instruction).alias("instruction"), F.struct("activation").alias("current"), F.struct("n", "mean").alias("neighbors")))
         return state.join(near, "id", "left").fillna({"n": 0, "mean": 0.0}).select("id", "activation", doc.alias("prompt"))
@@ -176,8 +177,9 @@ class ModelRule:
         A node waits only for its neighbours of a lower id, so all nodes that wait for none are asked together; what comes out
         is what asking one at a time gives. A round for each step of the longest chain of rising ids.
         """
-        adjacency = cut(g.adjacency())
-        waits = adjacency.where("peer < id").select("id", "peer")
+        adjacency = adjacency_by(g, "id", "id")
+        # Who waits for whom lies by the one waited for, and the neighbours by the one asked: rounds shuffle what they ask only.
+        waits = laid_out(adjacency.where("peer < id").select("id", "peer"), "peer")
         current = state.select("id", "activation")
         waiting, done = cut(current.select("id")), None
         while not waiting.isEmpty():
@@ -190,11 +192,13 @@ class ModelRule:
             current = cut(current.join(new, "id", "left").select("id", F.coalesce("new", "activation").alias("activation")))
             waiting = cut(waiting.join(ready, "id", "left_anti"))
             free(*spent)
-        free(adjacency, current, waiting)
+        free(adjacency, waits, current, waiting)
         return done if done is not None else self.tick(g, state)
 
     def _asked(self, adjacency: DataFrame, state: DataFrame, only: DataFrame) -> DataFrame:
-        return self._answers(self._prompts(adjacency, state).join(only, "id", "left_semi"), 8)
+        """Answers of the nodes of ``only`` (id): none but their neighbours are joined."""
+        near = adjacency.join(only, "id", "left_semi")
+        return self._answers(self._prompts(near, state.join(only, "id", "left_semi"), state), 8)
 
     def run(self, g: Graph, state: DataFrame, most: int = 10, in_turn: bool = False) -> tuple[DataFrame, list[tuple[int, int]]]:
         """Ticks until one changes nothing and fails nowhere, ``most`` at most: the last answers and (transitions, errors) of each."""

@@ -107,3 +107,29 @@ def test_long_runs_leave_little(spark):
     assert count() - before <= 3  # the adjacency, the last states and those before
     before = count()
     assert T.pagerank(g).count() == 60 and count() - before <= 1
+
+
+def test_adjacency_sums_each_pair_once(spark):
+    """Against a sum over both ends of every edge: loops, parallel edges, either direction, ties of pos."""
+    draw = random.Random(3)
+    rows = [(draw.randrange(12), draw.randrange(12), draw.choice(["uses", "imports", "contains"]), draw.randrange(3)) for _ in range(200)] + [(None, 1, "uses", 0), (1, None, "uses", 0)]
+    g = Graph(spark.range(12).select("id"), spark.createDataFrame(rows, "src long, dst long, relationship string, pos long"))
+    want = {}
+    for src, dst, kind, pos in rows[:200]:
+        for at in {(src, dst), (dst, src)}:
+            want[at] = min(want.get(at, (pos, kind)), (pos, kind))
+    found = [((r.id, r.peer), r.relationship) for r in g.adjacency().collect()]
+    assert len(found) == len(want) and dict(found) == {k: v[1] for k, v in want.items()}
+
+
+def test_a_model_needs_no_automaton_tables(spark, monkeypatch):
+    """States of a run that makes no tick are asked without its adjacency being laid out, and in turn each neighbour is met once."""
+    from skein.samplers import ModelRule
+
+    g = Graph(spark.range(6).select("id"), spark.createDataFrame([(k, k + 1, "uses", k) for k in range(5)], "src long, dst long, relationship string, pos long"))
+    run = A.Automaton(g, A.Registry(), A.initial_state(g.nodes, 0.5))
+    assert "adjacency" not in vars(run)
+    met, prompts = [], ModelRule._prompts
+    monkeypatch.setattr(ModelRule, "_prompts", lambda self, near, *a: (met.append(near.count()), prompts(self, near, *a))[1])
+    ModelRule(lambda p: ["{}" for _ in p]).tick_in_turn(run.graph, run.state)
+    assert len(met) == 6 and sum(met) == 10
