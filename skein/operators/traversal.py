@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import CONTAINS, Graph
-from .degrees import degrees
+from .degrees import in_degrees
 from .tables import cut, free, in_buckets, laid_out, summed
 
 
@@ -36,8 +36,10 @@ def impact(g: Graph, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """Nodes that depend on the seeds within ``depth`` steps, containment left out: the node, depth and in_degree, most depended on first."""
     edges = g.edges.where(F.col("relationship") != CONTAINS)
     found = layers(reverse(edges), seeds, depth).where("depth > 0")
-    rank = degrees(g, (CONTAINS,)).select("id", "in_degree")
-    return g.nodes.join(found, "id").join(rank, "id").orderBy(F.desc("in_degree"), "pos")
+    # Only edges to what was found are counted, not the degrees of all nodes.
+    rank = in_degrees(edges.join(found.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    nodes = g.nodes.join(found.select("id"), "id", "left_semi").join(found, "id").join(rank, "id", "left")
+    return nodes.withColumn("in_degree", F.coalesce("in_degree", F.lit(0).cast("long"))).orderBy(F.desc("in_degree"), "pos")
 
 
 def context(g: Graph, node_id: int, depth: int = 1) -> Graph:

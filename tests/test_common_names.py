@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.graph import Graph
 from skein.operators import joins as J
+from skein.operators import traversal as T
 
 
 def strip(p):
@@ -115,3 +116,13 @@ def test_stems_whose_runs_all_tests_share(spark):
     tests = spark.range(n).select("id", F.concat(F.lit("src/test_doc_"), F.col("id") + n, F.lit(".rs")).alias("path"))
     assert J.stem_matches(tests, nodes).count() == n
     assert most_rows(J.stem_matches(tests, nodes)) <= 25 * n
+
+
+def test_impact_counts_only_what_it_found(spark):
+    """Edges elsewhere are not unfolded to their ends, nor nodes elsewhere joined."""
+    nodes = spark.range(3000).select("id", F.col("id").alias("pos"))
+    edges = spark.range(3, 2999).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"), F.lit("uses").alias("relationship"), F.lit(0).alias("pos"))
+    edges = edges.unionByName(spark.createDataFrame([(1, 0, "uses", 0), (2, 1, "uses", 0), (5, 1, "contains", 0)], edges.schema))
+    found = T.impact(Graph(nodes, edges), nodes.where("id = 0"))
+    assert most_rows(found) <= 10
+    assert [(r.id, r.depth, r.in_degree) for r in found.collect()] == [(1, 1, 1), (2, 2, 0)]
