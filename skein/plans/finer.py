@@ -984,9 +984,11 @@ def _(s, d):
 
 @query("m12_regions_in_sql", f"{FK} SELECT kind, array_to_string(string_split(path, '/')[1:2], '/') AS region, count(*) AS n, min(id) AS first_id FROM nodes GROUP BY ALL")
 def _(s, d):
-    """The mapper as a table function of SQL, a partition for each kind."""
+    """The mapper as a table function of SQL, a partition for each kind and shelf of regions."""
     table_functions.register(s)
-    return s.sql("SELECT kind, region, n, first_id FROM regions(TABLE({nodes}) PARTITION BY kind, depth => 2, by => 'kind')", nodes=fk_graph(s, d).nodes)
+    nodes = fk_graph(s, d).nodes.select("id", "kind", "path")
+    shelved = nodes.withColumn("shelf", table_functions.shelf(F.col("path"), 2, nodes.count()))
+    return s.sql("SELECT kind, region, n, first_id FROM regions(TABLE({nodes}) PARTITION BY (kind, shelf), depth => 2, by => 'kind')", nodes=shelved)
 
 
 @query("n1_changes_in_sql", "SELECT user_id, event_id, event_type AS fingerprint FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -6,7 +6,8 @@ input has. A partition streams through: only counts, or the last row, are held.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -56,6 +57,17 @@ class Regions:
             yield (self.of, region, n, first) if self.by else (region, n, first)
 
 
+#: Rows of a shelf, on average.
+SHELF = 10_000
+
+
+def shelf(path: Column, depth: int, rows: int) -> Column:
+    """A number that all paths of a region have in common: partitioned by it too, a table of so many ``rows`` is dealt over many
+    partitions with few regions each, and a region's count is whole still."""
+    region = F.substring_index(F.coalesce(path, F.lit("")), "/", depth)
+    return F.pmod(F.xxhash64(region), F.lit(max(1, -(-rows // SHELF))))
+
+
 class OnlyChanges:
     """The rows of a partition whose ``fingerprint`` differs from the row's before, in the order that SQL gives: all columns of the
     table as they are."""

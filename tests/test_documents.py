@@ -5,6 +5,7 @@ import os
 
 import pytest
 from pyspark.errors import AnalysisException, PythonException
+from pyspark.sql import functions as F
 
 from skein import table_functions
 from skein.graph import Graph
@@ -40,6 +41,18 @@ def test_documents_of_other_layouts_and_empty_ones(spark, tmp_path):
     assert json.load(open(empty)) == {"nodes": [], "edges": [], "metadata": {}} and read_graph_json(spark, empty).nodes.count() == 0
 
 
+def test_regions_are_dealt_out(spark, monkeypatch):
+    """A kind's regions go to many partitions of SQL, each region to one: its count is whole."""
+    monkeypatch.setattr(table_functions, "SHELF", 10)
+    table_functions.register(spark)
+    rows = spark.range(400).selectExpr("id", "'x' AS kind", "CASE WHEN id >= 10 THEN concat('a/r', id % 30, '/f', id) WHEN id > 0 THEN '' END AS path")
+    dealt = rows.withColumn("shelf", table_functions.shelf(F.col("path"), 2, 400))
+    of = {r.region: r for r in dealt.selectExpr("substring_index(coalesce(path, ''), '/', 2) AS region", "shelf").groupBy("region").agg(F.min("shelf").alias("low"), F.max("shelf").alias("high")).collect()}
+    assert all(r.low == r.high for r in of.values()) and len({r.low for r in of.values()}) > 10
+    got = spark.sql("SELECT * FROM regions(TABLE({t}) PARTITION BY (kind, shelf), depth => 2, by => 'kind')", t=dealt).collect()
+    assert sorted(map(tuple, got)) == [("x", "", 10, 0)] + sorted(("x", f"a/r{k}", 13, k if k >= 10 else k + 30) for k in range(30))
+
+
 def test_table_functions_check_their_input(spark):
     table_functions.register(spark)
     rows = spark.createDataFrame([(1, "a/b/c", "x"), (2, "a/b/d", "x"), (3, "a/e", "y"), (4, None, "y")], "id int, path string, kind string")
