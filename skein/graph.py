@@ -13,12 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTAINS = "contains"
+#: Edges that a task sums or sorts at once, about.
+PART = 1_000_000
 
 
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    #: About how many edges there may be, where that is cheap to know: it decides over how many tasks they are dealt, nothing else.
+    about: Callable[[], int] | None = None
+
+    def parts(self) -> int:
+        """Parts of about PART edges; 0 where that isn't known or no more than there are cores."""
+        n = -(-self.about() // PART) if self.about else 0
+        return n if n > self.edges.sparkSession.sparkContext.defaultParallelism else 0
+
+    def dealt(self, *by: str) -> DataFrame:
+        """The edges in that many parts, by columns; as they are where there are few."""
+        n = self.parts()
+        return self.edges.repartition(n, *by) if n else self.edges
 
     def cut(self) -> "Graph":
         """The same graph, its tables written once for all that follows."""

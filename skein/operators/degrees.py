@@ -13,7 +13,8 @@ def degrees(g: Graph, relationships_out: tuple[str, ...] = ()) -> DataFrame:
 
     One shuffle of the edges: each is unfolded to its two ends and summed on both sides at once.
     """
-    edges = g.edges.where(~F.col("relationship").isin(*relationships_out)) if relationships_out else g.edges
+    edges = g.dealt("src", "dst")
+    edges = edges.where(~F.col("relationship").isin(*relationships_out)) if relationships_out else edges
     ends = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e")).select("e.*")
     sums = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     return g.nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))

@@ -50,7 +50,8 @@ def _names(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
 def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, parts and orders, linked by their keys."""
     nodes, edges = (spark.sql(t, **_names(spark, sf_dir, t)) for t in (FK_NODES, FK_EDGES))
-    return Graph(nodes.withColumn("pos", nodes.id), edges)
+    # Two edges a line at most, and one an order: counted from the footers.
+    return Graph(nodes.withColumn("pos", nodes.id), edges, lambda: 3 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
 
 
 def doc_graph(spark: SparkSession, sf_dir: str) -> Graph:

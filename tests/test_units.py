@@ -1,9 +1,12 @@
 import json
+import re
 import subprocess
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from skein import graph
 from skein.functions import code, logs, scalars
 from skein.graph import Graph
 from skein.operators import automaton as A
@@ -282,3 +285,14 @@ def test_streams(spark, tmp_path):
     t[0] = 0.4
     assert p.poll() == 0.0 and p.force_poll() == 0.4 and p.cached() == 0.4
     assert changes.playback([1, 2, 3], 4.2, 1.0) == 1 and changes.playback([], 1, 1) == 0
+
+
+def test_many_edges_are_dealt_over_tasks(spark, small, monkeypatch):
+    """By a graph's own estimate, so that what a task sums doesn't grow with it; nothing else changes."""
+    monkeypatch.setattr(graph, "PART", 1)
+    large = replace(small, about=lambda: 300)
+    assert large.parts() == 300 and small.parts() == 0 and replace(small, about=lambda: 1).parts() == 0
+    for made in (D.degrees,):
+        assert sorted(map(tuple, made(large).collect())) == sorted(map(tuple, made(small).collect()))
+    for made in (D.degrees(large),):
+        assert re.search(r"hashpartitioning\([^)]*, 300\)", made._jdf.queryExecution().executedPlan().toString())
