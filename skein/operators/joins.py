@@ -243,8 +243,13 @@ def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def adjacency_lists(edges: DataFrame) -> DataFrame:
-    """id, direction (out, in), n and the first, by pos, of each node's neighbours: the lists stay rows, an edge each."""
+def adjacency_lists(edges: DataFrame, parts: int = 0) -> DataFrame:
+    """id, direction (out, in), n and the first, by pos, of each node's neighbours: the lists stay rows, an edge each. ``parts``:
+    over how many tasks the rows are dealt by id, if given.
+
+    Edges of one pos are summed first, by numbers alone, which takes a hash; only what is left is sorted for the first.
+    """
     ends = F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("direction"), F.col("dst").alias("peer")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("direction"), F.col("src").alias("peer")))
     rows = edges.select("pos", F.explode(ends).alias("e")).select("pos", "e.*")
-    return rows.groupBy("id", "direction").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "peer")).alias("f")).select("id", "direction", "n", F.col("f.peer").alias("first"))
+    few = (rows.repartition(parts, "id") if parts else rows).groupBy("id", "direction", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("peer").alias("peer"))
+    return few.groupBy("id", "direction").agg(F.sum("n").alias("n"), F.min(F.struct("pos", "peer")).alias("f")).select("id", "direction", "n", F.col("f.peer").alias("first"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import graph
 from ..graph import Graph
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -49,9 +51,15 @@ def _names(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
 
 def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, parts and orders, linked by their keys."""
-    nodes, edges = (spark.sql(t, **_names(spark, sf_dir, t)) for t in (FK_NODES, FK_EDGES))
+    named = _names(spark, sf_dir, FK_EDGES)
     # Two edges a line at most, and one an order: counted from the footers.
-    return Graph(nodes.withColumn("pos", nodes.id), edges, lambda: 3 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
+    about = 3 * named["lineitem"].count()
+    parts = -(-about // graph.PART)
+    if parts > spark.sparkContext.defaultParallelism:
+        # As both DISTINCT need them, so that they take this dealing and none of their own, whose parts would grow.
+        named["lineitem"] = named["lineitem"].repartition(parts, F.expr("CAST(5000000000 + l_partkey AS BIGINT)"))
+    nodes, edges = spark.sql(FK_NODES, **_names(spark, sf_dir, FK_NODES)), spark.sql(FK_EDGES, **named)
+    return Graph(nodes.withColumn("pos", nodes.id), edges, lambda: about)
 
 
 def doc_graph(spark: SparkSession, sf_dir: str) -> Graph:

@@ -272,7 +272,7 @@ NODE_SQL = [
     ("d19_allowed_changes", "SELECT id FROM nodes WHERE kind = 'File' AND id % 2 = 0", lambda g: g.nodes.where(Constitution("c").add_evaluator(F.col("kind") == "File").add_evaluator(F.col("id") % 2 == 0).allowed()).select("id")),
     ("d20_visible_labels", "SELECT id FROM nodes WHERE kind = 'Directory' OR id % 100 < 30", lambda g: g.nodes.where(label_visible("all", F.col("id") % 100, F.col("kind") == "Directory", most=30)).select("id")),
     ("e23_find_target", f"SELECT id, path FROM nodes WHERE path = 'parts/part_9.rs' OR ends_with(path, '/part_9.rs') ORDER BY id LIMIT 1", lambda g: R.find_by_path(g.nodes, "part_9.rs").select("id", "path")),
-    ("e25_adjacency_lists", "SELECT src AS id, 'out' AS direction, count(*) AS n, arg_min(dst, (pos, dst)) AS first FROM edges GROUP BY src UNION ALL SELECT dst, 'in', count(*), arg_min(src, (pos, src)) FROM edges GROUP BY dst", lambda g: J.adjacency_lists(g.edges)),
+    ("e25_adjacency_lists", "SELECT src AS id, 'out' AS direction, count(*) AS n, arg_min(dst, (pos, dst)) AS first FROM edges GROUP BY src UNION ALL SELECT dst, 'in', count(*), arg_min(src, (pos, src)) FROM edges GROUP BY dst", lambda g: J.adjacency_lists(g.edges, g.parts())),
     ("f4_plan_in_degrees", "SELECT dst AS id, count(*) AS in_degree FROM edges GROUP BY dst", lambda g: D.in_degrees(g.edges)),
     ("h4_all_nodes", "SELECT id FROM nodes", lambda g: R.all_nodes(g.nodes)),
     ("i12_initial_states", "SELECT id, 0.0::DOUBLE AS activation, false AS changed FROM nodes", lambda g: A.initial_state(g.nodes).select("id", "activation", "changed")),

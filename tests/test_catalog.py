@@ -54,3 +54,17 @@ def test_entry_module_has_all_queries():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_lines_are_dealt_once_for_both_distincts(spark, monkeypatch):
+    """Into parts by their number, which no step coalesces or deals anew; the edges stay the same."""
+    from skein import graph
+    from skein.plans.projections import fk_graph
+
+    where = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, fk_graph(spark, where).edges.collect()))
+    monkeypatch.setattr(graph, "PART", 500)
+    edges = fk_graph(spark, where).edges
+    assert sorted(map(tuple, edges.collect())) == want
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("hashpartitioning") == 2 == plan.count("REPARTITION_BY_NUM")

@@ -292,7 +292,10 @@ def test_many_edges_are_dealt_over_tasks(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "PART", 1)
     large = replace(small, about=lambda: 300)
     assert large.parts() == 300 and small.parts() == 0 and replace(small, about=lambda: 1).parts() == 0
-    for made in (D.degrees,):
+    for made in (D.degrees, lambda g: J.adjacency_lists(g.edges, g.parts())):
         assert sorted(map(tuple, made(large).collect())) == sorted(map(tuple, made(small).collect()))
-    for made in (D.degrees(large),):
+    for made in (D.degrees(large), J.adjacency_lists(large.edges, large.parts())):
         assert re.search(r"hashpartitioning\([^)]*, 300\)", made._jdf.queryExecution().executedPlan().toString())
+    # By pos first, with ties by id: parallel and opposite edges of one pos too.
+    edges = spark.createDataFrame([(1, 3, "uses", 0), (1, 2, "uses", 0), (1, 0, "uses", 1), (2, 1, "uses", 0), (1, 2, "imports", 0)], small.edges.schema)
+    assert sorted(map(tuple, J.adjacency_lists(edges).collect())) == [(0, "in", 1, 1), (1, "in", 1, 2), (1, "out", 4, 2), (2, "in", 2, 1), (2, "out", 1, 1), (3, "in", 1, 1)]
