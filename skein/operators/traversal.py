@@ -76,9 +76,12 @@ def pagerank(g: Graph, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     partial sums made before the shuffle, so that a node that many link to is no hot key. Two sums a round reach the driver.
     """
     n = g.nodes.count()
-    out = g.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    # Both sums over the edges, and the join of the two, are of one dealing.
+    edges, parts = g.dealt("src"), g.parts()
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     inside = g.nodes.select(F.col("id").alias("dst"), F.lit(True).alias("inside"))
-    shares = g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).join(out, "src").join(inside, "dst", "left")
+    shares = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).join(out, "src")
+    shares = (shares.repartition(parts, "dst") if parts else shares).join(inside, "dst", "left")
     shares = laid_out(shares.select("src", "dst", (F.col("c") / F.col("n")).alias("share"), F.coalesce("inside", F.lit(False)).alias("inside")), "src")
     by = "id" if in_buckets(shares) else None
     total, inner = F.coalesce(F.sum("given"), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.when(F.col("inside"), F.col("given"))), F.lit(0.0)).alias("inner")

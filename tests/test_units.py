@@ -292,7 +292,7 @@ def test_many_edges_are_dealt_over_tasks(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "PART", 1)
     large = replace(small, about=lambda: 300)
     assert large.parts() == 300 and small.parts() == 0 and replace(small, about=lambda: 1).parts() == 0
-    for made in (D.degrees, lambda g: J.adjacency_lists(g.edges, g.parts())):
+    for made in (D.degrees, lambda g: J.adjacency_lists(g.edges, g.parts()), lambda g: T.pagerank(g, rounds=3).select("id", F.round("rank", 9))):
         assert sorted(map(tuple, made(large).collect())) == sorted(map(tuple, made(small).collect()))
     for made in (D.degrees(large), J.adjacency_lists(large.edges, large.parts())):
         assert re.search(r"hashpartitioning\([^)]*, 300\)", made._jdf.queryExecution().executedPlan().toString())
