@@ -21,8 +21,10 @@ from .tables import cut, free
 #: Pivots at most: they and their cells' radii go to all tasks, the numbers of pivots being a bounded sample.
 MOST_PIVOTS = 1024
 #: Members of a piece of a cell and vectors asking in a group, on average: what one task holds at once. Cells are about as large, so
-#: that a vector goes to n / PIECE cells at most, whether or not bounds rule any out.
+#: that a vector goes to n / piece cells at most, whether or not bounds rule any out.
 PIECE = 4096
+#: Pieces grow with the table, to so many times PIECE, so that vectors are sent PIECES times each until then.
+PIECES, WIDEST = 32, 8
 #: Vectors that are compared, or sent on, at once.
 ROWS = 128
 #: Rounding of distances, which are roots of differences and so are off by up to 1e-8: bounds are wider by this.
@@ -31,6 +33,11 @@ SLACK = 1e-7
 ROW = "id long, cell int, far double, dim int, unit binary"
 
 
+def piece_of(n: int) -> int:
+    """Vectors of a piece, for ``n`` in all."""
+    return min(WIDEST * PIECE, max(PIECE, -(-n // PIECES)))
+
+
 def _units(frame: pd.DataFrame, width: int) -> np.ndarray:
     """The vectors of ``unit`` one below the other."""
     return np.frombuffer(b"".join(frame["unit"]), "<f8").reshape(len(frame), width)
@@ -99,7 +106,8 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
     if not n:
         free(named, few)
         return spark.createDataFrame([], empty + ", label string")
-    wanted = min(MOST_PIVOTS, -(-n // PIECE))
+    piece = piece_of(n)
+    wanted = min(MOST_PIVOTS, -(-n // piece))
     chosen = [r[0] for r in distinct.orderBy(F.xxhash64(F.col("id") + 1), "id").limit(wanted).select("embedding").collect()]
     pivots = np.zeros((len(chosen), width))
     for row, v in zip(pivots, chosen):
@@ -111,7 +119,7 @@ def all_neighbours(index: DataFrame, k: int = 5, least: float = 0.1) -> DataFram
     def joined(asking: DataFrame, numbers: dict[int, int]) -> DataFrame:
         """Every row of ``asking`` (to: the cell it goes to, apart: its distance to that pivot, reach) with each piece of the cell;
         ``numbers``: how many rows go to a cell. Neither a piece nor a group of those that ask grows with the cell."""
-        sizes = F.broadcast(spark.createDataFrame([(c, -(-cells[c][1] // PIECE), -(-asks // PIECE)) for c, asks in numbers.items()], "to int, pieces int, parts int"))
+        sizes = F.broadcast(spark.createDataFrame([(c, -(-cells[c][1] // piece), -(-asks // piece)) for c, asks in numbers.items()], "to int, pieces int, parts int"))
         asks = asking.join(sizes, "to").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("part", F.pmod(F.xxhash64("id", F.lit("ask")), F.col("parts").cast("long")).cast("int"))
         asks = asks.toDF(*asks.columns)
         held = members.withColumnRenamed("cell", "to").join(sizes, "to").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces").cast("long")).cast("int"))

@@ -60,3 +60,10 @@ def test_few_cells_are_asked_where_vectors_lie_in_clouds(spark, monkeypatch):
     finally:
         N._best = best
     assert sent.value < 600 * 24 / 4
+
+
+def test_pieces_grow_with_the_table():
+    """Vectors are sent to no more than 32 cells while pieces may grow, which they do to eight times."""
+    assert N.piece_of(1) == N.piece_of(32 * 4096) == 4096
+    assert all(-(-n // N.piece_of(n)) <= 32 for n in (150_000, 400_000, 32 * 8 * 4096))
+    assert N.piece_of(10**8) == 8 * 4096
