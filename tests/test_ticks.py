@@ -58,6 +58,50 @@ def test_ticks_follow_new_states_and_rules(spark):
     assert run.step(A.NoOp()).transitions == 60 and run.reset().step(A.NoOp()).tick == 1
 
 
+class Falls(A.Rule):
+    """Nodes at 1 whose id is divisible by 7 leave it, and come back."""
+
+    id, priority, reads = "falls", 20, ()
+
+    def apply(self):
+        return F.when(F.col("id") % 7 == 0, A.outcome(F.when(F.col("activation") == 1, 0.4).otherwise(F.col("activation") + 0.3)))
+
+
+class Flips(A.Rule):
+    """Flags that come and go."""
+
+    id, priority, reads = "flips", 20, ()
+
+    def apply(self):
+        return F.when((F.col("id") % 9 == 0) & (F.col("activation") > 0.6), A.outcome(F.col("activation") - 0.5, changed=~F.col("changed")))
+
+
+@pytest.mark.parametrize("extra, large", [(None, 1 << 40), (None, 1), (Falls, 1 << 40), (Flips, 1 << 40)])
+def test_nodes_with_a_neighbour_at_one_are_not_summed_again(spark, extra, large, monkeypatch):
+    """States as of plain ticks over all edges, while the edges that ticks join become few (unless nodes leave 1 in each tick)."""
+    monkeypatch.setattr(tables, "LARGE", large)
+    monkeypatch.setattr(A, "OPEN", 1.0)  # as soon as can be
+    rules = A.description_rules()
+    if extra:
+        rules.register(extra())
+    g = random_graph(spark, 21, 90, 400)
+    start = tables.cut(A.initial_state(g.nodes, F.when(F.col("id") % 13 == 0, 1.0).otherwise(F.col("id") / 2000), F.col("id") % 13 == 0, F.lit(0.4)))
+    run, plain, joined, messages = A.Automaton(g, rules, start), start, [], A.messages
+    every = run.adjacency.count()
+    for _ in range(8):
+        monkeypatch.setattr(A, "messages", lambda adjacency, state: (joined.append(adjacency.count()), messages(adjacency, state))[1])
+        told = run.step()
+        monkeypatch.setattr(A, "messages", messages)
+        done = tables.cut(A.evaluate(plain, run.adjacency, rules.by_priority()))
+        plain = tables.cut(A.applied(done))
+        got, want = rows(run.state), rows(plain)
+        assert [r[0:1] + r[2:] for r in got] == [r[0:1] + r[2:] for r in want]
+        assert [r[1] for r in got] == pytest.approx([r[1] for r in want], abs=1e-12)
+        assert told.transitions == done.where("outcome IS NOT NULL").count()
+    assert joined[0] == every
+    assert extra or joined[-1] < 0.8 * every, joined
+
+
 def ranks(n, edges, damping, rounds):
     out = np.bincount([s for s, _ in edges], minlength=n)
     x = np.full(n, 1 / n)
