@@ -177,3 +177,20 @@ def test_a_model_needs_no_automaton_tables(spark, monkeypatch):
     monkeypatch.setattr(ModelRule, "_prompts", lambda self, near, *a: (met.append(near.count()), prompts(self, near, *a))[1])
     ModelRule(lambda p: ["{}" for _ in p]).tick_in_turn(run.graph, run.state)
     assert len(met) == 6 and sum(met) == 10
+
+
+@pytest.mark.parametrize("name", ["j22_impact_report"])
+def test_reports_make_their_description_once(spark, sf, name, monkeypatch):
+    """The run and the report read one written table, so that degrees are not summed for each."""
+    import __spark_entry__
+
+    class Seen(Exception):
+        pass
+
+    def seen(g, config, *a):
+        raise Seen(config)
+
+    monkeypatch.setattr(A, "with_description", seen)
+    with pytest.raises(Seen) as found:
+        __spark_entry__.queries()[name](spark, sf)
+    assert getattr(found.value.args[0], "cut_folder", None)
