@@ -179,7 +179,7 @@ def test_a_model_needs_no_automaton_tables(spark, monkeypatch):
     assert len(met) == 6 and sum(met) == 10
 
 
-@pytest.mark.parametrize("name", ["j22_impact_report"])
+@pytest.mark.parametrize("name", ["j22_impact_report", "g2_impact_ranking"])
 def test_reports_make_their_description_once(spark, sf, name, monkeypatch):
     """The run and the report read one written table, so that degrees are not summed for each."""
     import __spark_entry__
