@@ -581,7 +581,10 @@ def _(s, d):
 
 @query("p68_tool_impact", f"{FK}, a AS (SELECT src AS id FROM edges WHERE dst = {PART + 4} AND relationship <> 'contains'), b AS (SELECT src AS id FROM edges WHERE dst IN (SELECT id FROM a) AND relationship <> 'contains') SELECT DISTINCT id FROM (SELECT id FROM a UNION ALL SELECT id FROM b)")
 def _(s, d):
-    return _tools(s, d).call("impact_analysis", paths=["parts/part_4.rs"]).select("id")
+    """What depends on part 4, whose path follows from its size."""
+    tools = _tools(s, d)
+    own = R.get_node(tools.projects.resolve().graph.nodes, PART + 4).select("path")
+    return tools.call("impact_analysis", paths=[r.path for r in own.collect()]).select("id")
 
 
 @query("p68_tool_dependencies", f"{FK} SELECT direction, n.id FROM (SELECT 'in' AS direction, src AS id FROM edges WHERE dst = {REGION} UNION ALL SELECT 'out', dst FROM edges WHERE src = {REGION}) e JOIN nodes n USING (id)")
